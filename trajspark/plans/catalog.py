@@ -243,3 +243,104 @@ def a14(spark, sf):
         F.when(F.col("first_turn"), F.col("final_reward")).otherwise(-F.col("final_reward")).cast("double").alias("score"),
     )
     return A.score_board(scores, A.bounds_table(spark), "run")
+
+
+# ---------------------------------------------------------------- D family
+from trajspark.functions.keys import sa_key, seeded_order  # noqa: E402
+from trajspark.operators import sampling as D  # noqa: E402
+
+SKEYS = ["state", "props"]
+
+
+@query("d1_distinct_states")
+def d1(spark, sf):
+    return D.distinct_states(V.raw_states(spark, sf), SKEYS)
+
+
+@query("d1_distinct_counts")
+def d1c(spark, sf):
+    return D.distinct_counts(V.raw_states(spark, sf), SKEYS)
+
+
+@query("d3_not_done")
+def d3(spark, sf):
+    ws = V.week_states(spark, sf)
+    done = ws.where(F.col("iter") == 1)
+    return D.not_done(V.states(spark, sf), done, SKEYS)
+
+
+@query("d4_sample_n")
+def d4(spark, sf):
+    return D.sample_n(V.states(spark, sf), SKEYS, 100, seed=42).select(*SKEYS)
+
+
+@query("d5_sample_ratio")
+def d5(spark, sf):
+    return D.sample_ratio(V.raw_states(spark, sf), ["event_id"], 0.025, seed=42).select("event_id", *SKEYS)
+
+
+def _holdout(spark, sf):
+    return D.holdout(V.states(spark, sf), SKEYS, 50, seed=7)
+
+
+@query("d6_holdout_test")
+def d6t(spark, sf):
+    return _holdout(spark, sf)[1].select(*SKEYS)
+
+
+@query("d6_holdout_train")
+def d6r(spark, sf):
+    return _holdout(spark, sf)[0].select(*SKEYS)
+
+
+@query("d6_leakage")
+def d6l(spark, sf):
+    train, test = _holdout(spark, sf)
+    return D.leakage_report(train, test, SKEYS)
+
+
+@query("d7_grow_frontier")
+def d7(spark, sf):
+    ws = V.week_states(spark, sf)
+    return D.grow_frontier(ws.where(F.col("iter") == 1), ws.where(F.col("iter") == 2), SKEYS)
+
+
+@query("d8_shuffle")
+def d8(spark, sf):
+    return D.shuffle(V.states(spark, sf), SKEYS, seed=42)
+
+
+@query("d9_index")
+def d9(spark, sf):
+    idx, _ = D.with_index(V.states(spark, sf), seeded_order(42, SKEYS))
+    return idx.select(*SKEYS, "idx")
+
+
+@query("d10_replicate")
+def d10(spark, sf):
+    return D.replicate(V.states(spark, sf).select(*SKEYS), 3)
+
+
+def _chunk_input(spark, sf):
+    own = T.own_steps(V.ep_events(spark, sf))
+    return own.select(*EP, "step", sa_key("state", "action").alias("sa_key"))
+
+
+@query("d11_chunks")
+def d11(spark, sf):
+    return _wk(D.chunk(_chunk_input(spark, sf), ["sa_key"], [*EP, "step"], 5, seed=42))
+
+
+@query("d11_chunks_salted")
+def d11s(spark, sf):
+    return _wk(D.chunk(_chunk_input(spark, sf), ["sa_key"], [*EP, "step"], 5, seed=42, salted=True))
+
+
+@query("d12_batches")
+def d12(spark, sf):
+    return D.batches(V.batch_rows(spark, sf), ["user_id"], 4)
+
+
+@query("d13_epoch_plan")
+def d13(spark, sf):
+    return D.epoch_plan(V.batch_rows(spark, sf), ["user_id"], workers=2, size=4, seed=42)

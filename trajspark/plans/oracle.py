@@ -226,3 +226,56 @@ SELECT run, s.benchmark, round(avg(score), 6) AS raw_score,
        count(*) AS n
 FROM s JOIN b ON s.benchmark = b.benchmark GROUP BY run, s.benchmark""",
 }
+
+MD5_STATE = "md5(concat_ws('|', '{seed}', state, props))"
+CHUNK_SQL = W("ep_events") + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, sa_key,
+       CAST((rk - 1) // 5 AS BIGINT) AS chunk, CAST((rk - 1) % 5 AS BIGINT) AS pos
+FROM (SELECT user_id, week, step, concat_ws('|', state, action) AS sa_key,
+             row_number() OVER (PARTITION BY concat_ws('|', state, action)
+                                ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(step AS VARCHAR))),
+                                         user_id, week, step) AS rk
+      FROM ep_events WHERE turn AND action IS NOT NULL) t"""
+
+SQL.update({
+    "d1_distinct_states": W("raw_states") + "SELECT state, props, count(*) AS n_copies FROM raw_states GROUP BY state, props",
+    "d1_distinct_counts": W("raw_states") + "SELECT count(*) AS n_before, count(DISTINCT (state, props)) AS n_after FROM raw_states",
+    "d3_not_done": W("states", "week_states") + """
+SELECT s.state, s.props, s.is_terminal FROM states s
+WHERE NOT EXISTS (SELECT 1 FROM week_states d WHERE d.iter = 1
+                  AND d.state IS NOT DISTINCT FROM s.state AND d.props IS NOT DISTINCT FROM s.props)""",
+    "d4_sample_n": W("states") + f"""
+SELECT state, props FROM states ORDER BY {MD5_STATE.format(seed=42)}, state, props LIMIT 100""",
+    "d5_sample_ratio": W("raw_states") + """
+SELECT event_id, state, props FROM (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))), event_id) AS rn FROM raw_states) t
+WHERE rn <= (SELECT CAST(floor(0.025 * count(*)) AS BIGINT) FROM raw_states)""",
+    "d6_holdout_test": W("states") + f"""
+SELECT state, props FROM states ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50""",
+    "d6_holdout_train": W("states") + f"""
+SELECT state, props FROM states EXCEPT ALL
+SELECT * FROM (SELECT state, props FROM states ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50) t""",
+    "d6_leakage": W("states") + """
+SELECT count(*) - 50 AS n_train, CAST(50 AS BIGINT) AS n_test, CAST(0 AS BIGINT) AS n_overlap FROM states""",
+    "d7_grow_frontier": W("week_states") + """
+SELECT DISTINCT state, props, is_terminal FROM week_states WHERE iter IN (1, 2) AND NOT is_terminal""",
+    "d9_index": W("states") + f"""
+SELECT state, props, row_number() OVER (ORDER BY {MD5_STATE.format(seed=42)}, state, props) - 1 AS idx FROM states""",
+    "d10_replicate": W("states") + """
+SELECT state, props, CAST(unnest(range(3)) AS INTEGER) AS replica FROM states""",
+    "d11_chunks": CHUNK_SQL,
+    "d11_chunks_salted": CHUNK_SQL,
+    "d12_batches": W("batch_rows") + """,
+b AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM batch_rows),
+p AS (SELECT (4 - count(*) % 4) % 4 AS pad, (count(*) - 1) // 4 AS last FROM b),
+u AS (SELECT user_id, idx, CAST(idx // 4 AS BIGINT) AS batch, false AS is_pad FROM b
+      UNION ALL
+      SELECT user_id, idx, CAST(last AS BIGINT), true FROM b, p WHERE idx < pad)
+SELECT *, batch % 2 = 0 AS side_first FROM u""",
+    "d13_epoch_plan": W("batch_rows") + """,
+b AS (SELECT user_id, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR))), user_id) - 1 AS idx
+      FROM batch_rows),
+n AS (SELECT count(*) AS total FROM b),
+c AS (SELECT user_id, idx, CAST(idx % 2 AS INTEGER) AS worker, CAST((idx // 2) // 4 AS BIGINT) AS minibatch FROM b)
+SELECT c.* FROM c, n WHERE minibatch < ((total - worker - 1) // 2 + 1) // 4""",
+})

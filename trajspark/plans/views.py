@@ -145,3 +145,20 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     fwd = li.select(p.alias("src"), s.alias("dst"))
     bwd = li.select(s.alias("src"), p.alias("dst"))
     return fwd.unionByName(bwd)
+
+
+def week_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(state, props) occurrences tagged with their week number from 1 (iteration)."""
+    ev = table(spark, sf_dir, "events").withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    first_week = ev.select(F.min("week")).scalar()
+    return ev.select(
+        F.col("event_type").alias("state"),
+        "props",
+        (F.col("event_type") == "error").alias("is_terminal"),
+        (F.floor(F.datediff("week", first_week) / 7) + 1).cast("int").alias("iter"),
+    )
+
+
+def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users of ``events`` (rows to batch)."""
+    return table(spark, sf_dir, "events").select("user_id").distinct()

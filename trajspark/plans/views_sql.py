@@ -70,6 +70,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b
         """,
     ),
+    "week_states": (
+        (),
+        """
+        SELECT event_type AS state, props, event_type = 'error' AS is_terminal,
+               CAST((CAST(date_trunc('week', ts) AS DATE) - (SELECT min(CAST(date_trunc('week', ts) AS DATE)) FROM events)) // 7 + 1 AS INTEGER) AS iter
+        FROM events
+        """,
+    ),
+    "batch_rows": ((), "SELECT DISTINCT user_id FROM events"),
 }
 
 
