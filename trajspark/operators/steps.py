@@ -157,7 +157,9 @@ def with_sa_key(df: DataFrame, state: str = "state", action: str = "action", buc
 
 
 # T8 -------------------------------------------------------------------------
-def own_view(steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False) -> DataFrame:
+def own_view(
+    steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False, extra: Sequence[str] = ()
+) -> DataFrame:
     """One player's view: own steps, own-sign reward, ``done`` flag.
 
     Our side is fixed by the actor of step 0; rewards are negated when that
@@ -176,6 +178,7 @@ def own_view(steps: DataFrame, ep: Sequence[str], order: str = "step", credit_fi
         "action",
         "reward",
         "turn",
+        *extra,
         F.lead("state").over(w).alias("next_state"),
         F.min_by("turn", order).over(wp).alias("_first_turn"),
         F.max(F.when(has_action, F.col(order))).over(wp).alias("_last_action_step"),
@@ -198,7 +201,7 @@ def own_view(steps: DataFrame, ep: Sequence[str], order: str = "step", credit_fi
     else:
         done = (F.abs(F.col("_own_reward")) > 0) | (F.col(order) == F.col("_last_action_step"))
     return t.where(has_action & F.col("turn")).select(
-        *ep, order, "state", "action", "next_state", F.col("_own_reward").alias("reward"), done.alias("done")
+        *ep, order, "state", "action", "next_state", F.col("_own_reward").alias("reward"), done.alias("done"), *extra
     )
 
 

@@ -344,3 +344,123 @@ def d12(spark, sf):
 @query("d13_epoch_plan")
 def d13(spark, sf):
     return D.epoch_plan(V.batch_rows(spark, sf), ["user_id"], workers=2, size=4, seed=42)
+
+
+# ---------------------------------------------------------------- V family
+from pyspark.sql import Window  # noqa: E402
+
+from trajspark.operators import value as VE  # noqa: E402
+
+
+def _own_with_values(spark, sf):
+    ep = V.ep_events(spark, sf).withColumn(
+        "final_value", F.max_by("value", "step").over(Window.partitionBy(*EP))
+    )
+    own = T.own_view(ep, EP, extra=["value", "final_value"])
+    return VE.next_values(own, EP, "step", "value", "final_value")
+
+
+@query("v1_gae")
+def v1(spark, sf):
+    g = VE.gae(_own_with_values(spark, sf), EP)
+    # γ·v with v at 6 places lands exactly on half-way values; a 1e-9 nudge
+    # resolves those ties the same way in both engines.
+    return _wk(g.select(*EP, "step", F.round(F.col("adv") + 1e-9, 6).alias("adv"), F.round(F.col("ret") + 1e-9, 6).alias("ret")))
+
+
+@query("v2_next_values")
+def v2(spark, sf):
+    return _wk(_own_with_values(spark, sf).select(*EP, "step", "value", "next_value"))
+
+
+def _transitions(spark, sf):
+    w = Window.partitionBy(*EP).orderBy("step")
+    ep = V.ep_events(spark, sf)
+    return (
+        ep.withColumn("next_state", F.lead("state").over(w))
+        .withColumn("next_terminal", F.lead("is_terminal").over(w))
+        .where(F.col("next_state").isNotNull())
+        .select("state", "next_state", "next_terminal", "reward")
+    )
+
+
+@query("v3_td0")
+def v3(spark, sf):
+    v = VE.td0(_transitions(spark, sf), alpha=0.4, sweeps=2)
+    return v.select("state", F.round("value", 6).alias("value"), "visits")
+
+
+def _graph(spark, sf):
+    e = V.graph_edges(spark, sf).withColumn("action", F.col("dst"))
+    goals = spark.range(1).select(F.lit("s1").alias("node"))
+    return e, goals
+
+
+@query("v4_shortest_path")
+def v4(spark, sf):
+    e, goals = _graph(spark, sf)
+    return VE.shortest_policy(e, goals)
+
+
+@query("v5_degrade_policy")
+def v5(spark, sf):
+    e, goals = _graph(spark, sf)
+    pol = VE.shortest_policy(e, goals)
+    return VE.degrade_policy(pol, e.select(F.col("src").alias("node"), "action"), p=0.5, seed=42)
+
+
+def _layers(spark, sf):
+    ep = V.ep_events(spark, sf)
+    outcome = F.when(F.col("state") == "purchase", 1).when(F.col("state") == "error", -1).otherwise(0)
+    nodes = ep.groupBy(F.col("step").alias("layer"), F.col("state").alias("node")).agg(
+        F.max("is_terminal").alias("_ends")
+    ).select(
+        "layer",
+        "node",
+        ((F.col("layer") % 2) == 0).alias("maximize"),
+        F.when(
+            F.col("_ends"),
+            (F.when(F.col("node") == "purchase", 1).when(F.col("node") == "error", -1).otherwise(0) * (100 - F.col("layer"))).cast("double"),
+        ).alias("end_value"),
+    )
+    del outcome
+    edges = ep.where(F.col("action").isNotNull()).select(
+        F.col("step").alias("layer"), F.col("state").alias("node"), F.col("action").alias("next_node")
+    ).distinct()
+    return nodes, edges
+
+
+@query("v6_backward_induction")
+def v6(spark, sf):
+    nodes, edges = _layers(spark, sf)
+    return VE.backward_induction(nodes, edges)
+
+
+def _greedy(spark, sf):
+    nodes, edges = _layers(spark, sf)
+    vals = VE.backward_induction(nodes, edges)
+    nv = vals.select(
+        (F.col("layer") - 1).alias("layer"), F.col("node").alias("next_node"), F.col("value")
+    )
+    ch = edges.join(nv, ["layer", "next_node"]).join(nodes.select("layer", "node", "maximize"), ["layer", "node"])
+    ch = ch.select(
+        F.concat_ws(":", F.col("layer").cast("string"), "node").alias("node"),
+        "maximize",
+        F.col("next_node").alias("action"),
+        "value",
+    )
+    return VE.greedy_actions(ch, seed=42)
+
+
+@query("v7_greedy_actions")
+def v7(spark, sf):
+    return _greedy(spark, sf).select("node", "action", "value", "is_pick")
+
+
+@query("v8_move_accuracy")
+def v8(spark, sf):
+    opt = _greedy(spark, sf)
+    pred = T.own_steps(V.ep_events(spark, sf)).select(
+        F.concat_ws(":", F.col("step").cast("string"), "state").alias("node"), "action"
+    )
+    return VE.move_accuracy(pred, opt, ["node"])

@@ -279,3 +279,116 @@ n AS (SELECT count(*) AS total FROM b),
 c AS (SELECT user_id, idx, CAST(idx % 2 AS INTEGER) AS worker, CAST((idx // 2) // 4 AS BIGINT) AS minibatch FROM b)
 SELECT c.* FROM c, n WHERE minibatch < ((total - worker - 1) // 2 + 1) // 4""",
 })
+
+OWN_VALUES = """,
+t AS (SELECT *, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS next_state,
+             arg_min(turn, step) OVER (PARTITION BY user_id, week) AS first_turn,
+             max(CASE WHEN action IS NOT NULL THEN step END) OVER (PARTITION BY user_id, week) AS last_action_step,
+             arg_max(value, step) OVER (PARTITION BY user_id, week) AS final_value
+      FROM ep_events),
+own AS (SELECT user_id, week, step, value, final_value, reward * CASE WHEN first_turn THEN 1 ELSE -1 END AS reward,
+               (abs(reward) > 0 OR step = last_action_step) AS done
+        FROM t WHERE action IS NOT NULL AND turn),
+nv AS (SELECT *, coalesce(lead(value) OVER w, final_value) AS next_value, row_number() OVER w - 1 AS pos,
+              count(*) OVER (PARTITION BY user_id, week) AS n
+       FROM own WINDOW w AS (PARTITION BY user_id, week ORDER BY step))
+"""
+
+TD_SWEEP = """,
+t{i} AS (SELECT p.state, sum(p.r_sum + CASE WHEN p.next_terminal THEN 0.0 ELSE coalesce(v.value, 0.0) * p.n END) / sum(p.n) AS target
+        FROM pairs p LEFT JOIN v{j} v ON v.state = p.next_state GROUP BY p.state),
+v{i} AS (SELECT v.state, CASE WHEN t.target IS NULL THEN v.value ELSE v.value + 0.4 * (t.target - v.value) END AS value
+        FROM v{j} v LEFT JOIN t{i} t ON t.state = v.state)"""
+
+BFS = """,
+bfs(node, d) AS (SELECT 's1', 0 UNION SELECT e.src, b.d + 1 FROM bfs b JOIN graph_edges e ON e.dst = b.node WHERE b.d < 12),
+dist AS (SELECT node, min(d) AS dist FROM bfs GROUP BY node),
+pol AS (SELECT d.node, CAST(d.dist AS INTEGER) AS dist,
+               (SELECT min(e.dst) FROM graph_edges e JOIN dist d2 ON d2.node = e.dst
+                WHERE e.src = d.node AND d2.dist = d.dist - 1) AS move
+        FROM dist d)
+"""
+
+
+def _u(seed: str, key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+MAX_LAYERS = 64
+
+
+def _layers_sql() -> str:
+    out = [""",
+n AS (SELECT step AS layer, state AS node, step % 2 = 0 AS maximize,
+             CASE WHEN bool_or(is_terminal) THEN
+                  CAST((CASE state WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) * (100 - step) AS DOUBLE) END AS end_value
+      FROM ep_events GROUP BY step, state),
+e AS (SELECT DISTINCT step AS layer, state AS node, action AS next_node FROM ep_events WHERE action IS NOT NULL)"""]
+    out.append(f""",
+l{MAX_LAYERS} AS (SELECT layer, node, maximize, end_value AS value FROM n WHERE layer = {MAX_LAYERS})""")
+    for i in range(MAX_LAYERS - 1, -1, -1):
+        out.append(f""",
+l{i} AS (SELECT n.layer, n.node, n.maximize,
+               CASE WHEN n.maximize THEN greatest(s.smax, n.end_value) ELSE least(s.smin, n.end_value) END AS value
+        FROM n LEFT JOIN (SELECT e.node, max(v.value) AS smax, min(v.value) AS smin FROM e JOIN l{i + 1} v ON v.node = e.next_node
+                          WHERE e.layer = {i} GROUP BY e.node) s ON s.node = n.node
+        WHERE n.layer = {i})""")
+    out.append(",\nvals AS (" + " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(MAX_LAYERS + 1)) + ")")
+    return "".join(out)
+
+
+GREEDY = _layers_sql() + """,
+ch AS (SELECT CAST(e.layer AS VARCHAR) || ':' || e.node AS node, n.maximize, e.next_node AS action, v.value
+       FROM e JOIN vals v ON v.layer = e.layer + 1 AND v.node = e.next_node
+              JOIN n ON n.layer = e.layer AND n.node = e.node),
+best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY node ORDER BY CASE WHEN maximize THEN value ELSE -value END DESC) AS rk FROM ch) x
+         WHERE rk = 1),
+greedy AS (SELECT node, action, value,
+                  row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws('|', '42', node, action)), action) = 1 AS is_pick
+           FROM best)
+"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
+SQL.update({
+    "v2_next_values": W("ep_events") + OWN_VALUES + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, value, next_value FROM nv""",
+    "v1_gae": _recursive(W("ep_events")) + OWN_VALUES + """,
+c AS (SELECT *, reward + CASE WHEN done THEN 0.0 ELSE 0.99 * next_value END - value AS delta FROM nv),
+r(user_id, week, pos, step, value, adv) AS (
+  SELECT user_id, week, pos, step, value, delta FROM c WHERE pos = n - 1
+  UNION ALL
+  SELECT c.user_id, c.week, c.pos, c.step, c.value, c.delta + 0.99 * 0.95 * (CASE WHEN c.done THEN 0 ELSE 1 END) * r.adv
+  FROM c JOIN r ON c.user_id = r.user_id AND c.week = r.week AND c.pos = r.pos - 1)
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, round(adv + 1e-9, 6) AS adv, round(adv + value + 1e-9, 6) AS ret FROM r""",
+    "v3_td0": W("ep_events") + """,
+tr AS (SELECT * FROM (SELECT state, lead(state) OVER w AS next_state, lead(is_terminal) OVER w AS next_terminal, reward
+                      FROM ep_events WINDOW w AS (PARTITION BY user_id, week ORDER BY step)) x WHERE next_state IS NOT NULL),
+pairs AS (SELECT state, next_state, next_terminal, count(*) AS n, sum(CAST(reward AS DOUBLE)) AS r_sum FROM tr
+          GROUP BY state, next_state, next_terminal),
+v0 AS (SELECT state, 0.0 AS value FROM (SELECT state FROM pairs UNION SELECT next_state FROM pairs) s)"""
+    + TD_SWEEP.format(i=1, j=0) + TD_SWEEP.format(i=2, j=1) + """
+SELECT v2.state, round(v2.value, 6) AS value, CAST(coalesce(vis.visits, 0) AS BIGINT) AS visits
+FROM v2 LEFT JOIN (SELECT state, sum(n) AS visits FROM pairs GROUP BY state) vis ON vis.state = v2.state""",
+    "v4_shortest_path": _recursive(W("graph_edges")) + BFS + "SELECT node, dist, move FROM pol",
+    "v5_degrade_policy": _recursive(W("graph_edges")) + BFS + f""",
+mv AS (SELECT src AS node, dst AS action, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r,
+              count(*) OVER (PARTITION BY src) AS deg
+       FROM (SELECT DISTINCT src, dst FROM graph_edges) g)
+SELECT p.node, p.dist, CASE WHEN {_u('42', 'p.node')} < 0.5 THEN p.move ELSE mv.action END AS move,
+       {_u('42', 'p.node')} >= 0.5 AS is_random
+FROM pol p JOIN mv ON mv.node = p.node
+WHERE p.move IS NOT NULL AND mv.r = floor({_u('42|pick', 'p.node')} * mv.deg)""",
+    "v6_backward_induction": W("ep_events") + _layers_sql() + """
+SELECT layer, node, maximize, value FROM vals""",
+    "v7_greedy_actions": W("ep_events") + GREEDY + "SELECT node, action, value, is_pick FROM greedy",
+    "v8_move_accuracy": W("ep_events") + GREEDY + """,
+pred AS (SELECT CAST(step AS VARCHAR) || ':' || state AS node, action FROM ep_events WHERE turn AND action IS NOT NULL),
+j AS (SELECT p.*, EXISTS (SELECT 1 FROM greedy g WHERE g.node = p.node AND g.action = p.action) AS ok FROM pred p)
+SELECT count(*) AS n, CAST(count_if(action IS NULL) AS BIGINT) AS n_parse_fail, CAST(count_if(ok) AS BIGINT) AS n_correct,
+       round(count_if(ok) / nullif(count(*) - count_if(action IS NULL), 0), 6) AS accuracy
+FROM j""",
+})
