@@ -464,3 +464,162 @@ def v8(spark, sf):
         F.concat_ws(":", F.col("step").cast("string"), "state").alias("node"), "action"
     )
     return VE.move_accuracy(pred, opt, ["node"])
+
+
+# ---------------------------------------------------------------- P family
+from trajspark.operators import answers as P  # noqa: E402
+from trajspark.operators import infer as I  # noqa: E402
+from trajspark.operators import prompts as PR  # noqa: E402
+
+LA_KEYS = [*EP, "pv_idx"]
+
+
+@query("p1_prompt_table")
+def p1(spark, sf):
+    st = V.states(spark, sf)
+    out = PR.prompt_table(st, PR.template_table(spark), "evaluate", {"state": F.concat_ws(" ", "state", "props"), "turn": F.lit("true")})
+    return out.select("state", "props", "system", "user", F.size("messages").alias("n_messages"))
+
+
+def _game_text():
+    return F.concat(
+        F.lit("actions: "), F.array_join("suffix_actions", " "), F.lit("; return: "), F.col("return_to_go").cast("string")
+    )
+
+
+@query("p2_mc_prompts")
+def p2(spark, sf):
+    s = T.suffixes(V.ep_events(spark, sf), EP).select(
+        *EP, "start", "state", "action", sa_key("state", "action").alias("sa_key"), _game_text().alias("game_text")
+    )
+    ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42)
+    out = PR.mc_prompts(ch, ["sa_key"], PR.template_table(spark))
+    return out.select("sa_key", "chunk", "state", "action", "n_games", "user")
+
+
+@query("p3_visit_prompts")
+def p3(spark, sf):
+    tr = T.to_transitions(V.ep_events(spark, sf), EP).select("state", "turn").distinct()
+    out = PR.prompt_table(tr, PR.template_table(spark), "evaluate", {"state": F.col("state"), "turn": F.col("turn")})
+    return out.select("state", "turn", "user")
+
+
+def _end_state_prompts(spark, sf, m=2):
+    la = V.lookahead_ev(spark, sf).where((F.col("pv_idx") < m) & ~F.col("final_state.is_terminal"))
+    out = PR.prompt_table(
+        la, PR.template_table(spark), "evaluate",
+        {"state": F.col("final_state.state"), "turn": F.col("final_state.turn")},
+    )
+    return out
+
+
+@query("p4_end_state_prompts")
+def p4(spark, sf):
+    return _wk(_end_state_prompts(spark, sf).select(*LA_KEYS, "system", "user"))
+
+
+def _responses(spark, sf):
+    return I.infer(_end_state_prompts(spark, sf), "len_value", LA_KEYS)
+
+
+@query("p8_infer")
+def p8(spark, sf):
+    return _wk(_responses(spark, sf))
+
+
+def _attached(spark, sf):
+    return I.attach_eval(V.lookahead_ev(spark, sf), _responses(spark, sf), LA_KEYS)
+
+
+@query("p9_attach")
+def p9(spark, sf):
+    a = _attached(spark, sf)
+    return _wk(
+        a.select(
+            *LA_KEYS,
+            F.col("final_state.state").alias("final_state"),
+            F.col("final_state.eval").alias("final_eval"),
+            F.col("final_state.is_terminal").alias("final_terminal"),
+        )
+    )
+
+
+@query("p5_td_prompts")
+def p5(spark, sf):
+    ok, _ = PR.td_prompts(_attached(spark, sf), EP, 2, PR.template_table(spark))
+    return _wk(ok.select(*EP, "state", "user"))
+
+
+@query("p5_td_errors")
+def p5e(spark, sf):
+    _, err = PR.td_prompts(_attached(spark, sf), EP, 3, PR.template_table(spark))
+    return _wk(err)
+
+
+@query("p6_improvement_prompts")
+def p6(spark, sf):
+    ev = V.votes(spark, sf).groupBy("state", F.col("candidate").alias("action")).agg(
+        F.concat(F.lit("n="), F.count(F.lit(1)).cast("string")).alias("text")
+    )
+    out = PR.improvement_prompts(ev, "state", PR.template_table(spark))
+    return out.select("state", "n_actions", "user")
+
+
+def _legal(spark, sf):
+    return T.to_transitions(V.ep_events(spark, sf), EP).select("state", "action").distinct()
+
+
+@query("p7_candidates")
+def p7(spark, sf):
+    return PR.candidates(V.states(spark, sf).select("state", "props"), _legal(spark, sf), ["state"])
+
+
+def _eps_split(spark, sf):
+    legal = _legal(spark, sf).groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("legal"))
+    st = V.states(spark, sf).select("state", "props").join(legal, "state")
+    return PR.epsilon_split(st, SKEYS, "legal", eps=0.3, seed=42)
+
+
+def _model_moves(spark, sf):
+    _, model = _eps_split(spark, sf)
+    pr = PR.prompt_table(
+        model, PR.template_table(spark), "move", {"state": F.concat_ws(" ", "state", "props"), "moves": F.array_join("legal", ",")}
+    )
+    resp = I.infer(pr, "best_move", SKEYS)
+    j = pr.select(*SKEYS, "legal").join(resp, SKEYS)
+    return P.extract_pattern(j, "response", "legal", SKEYS, seed=42)
+
+
+@query("p10_epsilon_split")
+def p10(spark, sf):
+    rnd, _ = _eps_split(spark, sf)
+    r = rnd.select(*SKEYS, "action", F.lit("random").alias("source"), F.lit("skipped").alias("status"))
+    m = _model_moves(spark, sf).select(*SKEYS, "action", F.lit("model").alias("source"), "status")
+    return r.unionByName(m)
+
+
+@query("p11_extract_pattern")
+def p11p(spark, sf):
+    return _model_moves(spark, sf).select(*SKEYS, "response", "action", "status")
+
+
+@query("p11_extract_verdict")
+def p11v(spark, sf):
+    return P.extract_verdict(V.verdicts(spark, sf), "response").select("doc_id", "predict", "status")
+
+
+@query("p11_yield_report")
+def p11y(spark, sf):
+    return P.yield_report(P.extract_verdict(V.verdicts(spark, sf), "response"), "verdict")
+
+
+@query("p12_verdict_accuracy")
+def p12(spark, sf):
+    v = V.verdicts(spark, sf)
+    pred = P.extract_verdict(v, "response").select("doc_id", "predict")
+    return P.verdict_accuracy(pred, v.select("doc_id", "win", "win_rate"), ["doc_id"])
+
+
+@query("p13_move_distribution")
+def p13(spark, sf):
+    return P.move_distribution(V.logprobs(spark, sf), "state", "move", "lp", temperature=1.0, seed=42)

@@ -392,3 +392,154 @@ SELECT count(*) AS n, CAST(count_if(action IS NULL) AS BIGINT) AS n_parse_fail,
        round(count_if(ok) / nullif(count(*) - count_if(action IS NULL), 0), 6) AS accuracy
 FROM j""",
 })
+
+from trajspark.operators.prompts import TEMPLATES  # noqa: E402
+
+_TPL = {name: (system, user) for name, system, user in TEMPLATES}
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _fill(name: str, slots: dict[str, str]) -> str:
+    expr = _lit(_TPL[name][1])
+    for k, v in slots.items():
+        expr = f"replace({expr}, '{{{k}}}', coalesce(CAST({v} AS VARCHAR), ''))"
+    return expr
+
+
+def _sys(name: str) -> str:
+    return _lit(_TPL[name][0])
+
+
+def _u2(seed: str, keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {keys})), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+SUFFIX_CHUNKS = """,
+sfx AS (SELECT user_id, week, step AS start, state, action, turn,
+               CAST(sum(reward) OVER w AS BIGINT) AS rtg, list(action) OVER w AS acts
+        FROM ep_events
+        WINDOW w AS (PARTITION BY user_id, week ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+games AS (SELECT user_id, week, start, state, action, concat_ws('|', state, action) AS sa_key,
+                 'actions: ' || array_to_string(list_reverse(list_filter(acts, lambda x: x IS NOT NULL)), ' ') || '; return: ' || CAST(rtg AS VARCHAR) AS game_text
+          FROM sfx WHERE action IS NOT NULL AND turn),
+ch AS (SELECT *, (rk - 1) // 5 AS chunk, (rk - 1) % 5 AS pos FROM (
+         SELECT *, row_number() OVER (PARTITION BY sa_key ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(start AS VARCHAR))), user_id, week, start) AS rk
+         FROM games) r)
+"""
+
+EPS = f""",
+legal AS (SELECT state, list_sort(list(DISTINCT action)) AS legal FROM (
+            SELECT state, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS action FROM ep_events) t
+          WHERE action IS NOT NULL GROUP BY state),
+st AS (SELECT s.state, s.props, l.legal, {_u2('42', 's.state, s.props')} AS u, {_u2('42|pick', 's.state, s.props')} AS u2
+       FROM states s JOIN legal l ON l.state = s.state),
+rnd AS (SELECT state, props, legal[CAST(floor(u2 * len(legal)) AS INTEGER) + 1] AS action FROM st WHERE u < 0.3),
+model AS (SELECT state, props, legal, u2, {_fill('move', {'state': "state || ' ' || props", 'moves': "array_to_string(legal, ',')"})} AS user
+          FROM st WHERE u >= 0.3),
+resp AS (SELECT *, '{{"best_move": ' || CAST(length(user) % 9 + 1 AS VARCHAR) || '}}' AS response FROM model),
+ext AS (SELECT *, string_split(response, '"best_move": ') AS parts FROM resp),
+ext2 AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[2] END AS after FROM ext),
+ext3 AS (SELECT *, TRY_CAST(substr(after, 1, 1) AS INTEGER) - 1 AS idx FROM ext2),
+moves AS (SELECT state, props, response,
+                 CASE WHEN after IS NOT NULL AND idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN legal[idx + 1]
+                      ELSE legal[CAST(floor(u2 * len(legal)) AS INTEGER) + 1] END AS action,
+                 CASE WHEN after IS NULL THEN 'no_marker'
+                      WHEN idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN 'ok' ELSE 'fallback' END AS status
+          FROM ext3)
+"""
+
+VERDICT = """,
+pv AS (SELECT doc_id, win, win_rate,
+              CASE WHEN contains(tail, '<white>') AND NOT contains(tail, '<black>') THEN 'white'
+                   WHEN contains(tail, '<black>') AND NOT contains(tail, '<white>') THEN 'black'
+                   ELSE 'undecided' END AS predict
+       FROM (SELECT *, string_split(response, 'Advantage')[-1] AS tail FROM verdicts) t)
+"""
+
+END_PROMPTS = f""",
+esp AS (SELECT user_id, week, pv_idx, {_sys('evaluate')} AS system,
+               {_fill('evaluate', {'state': 'final_state', 'turn': 'final_turn'})} AS user
+        FROM lookahead_ev WHERE pv_idx < 2 AND NOT final_terminal),
+resp AS (SELECT user_id, week, pv_idx, 'value ' || CAST(length(user) % 7 - 3 AS VARCHAR) AS response FROM esp),
+att AS (SELECT l.*, coalesce(r.response, l.final_eval) AS eval
+        FROM lookahead_ev l LEFT JOIN resp r ON r.user_id = l.user_id AND r.week = l.week AND r.pv_idx = l.pv_idx)
+"""
+
+
+def _td(m: int) -> str:
+    return f""",
+lines AS (SELECT user_id, week, pv_idx, current_state,
+                 CASE WHEN final_terminal THEN 'terminal, reward ' || CAST(list_sum(list_transform(pv_rewards, lambda x: CAST(x AS DOUBLE))) AS VARCHAR)
+                      ELSE eval END AS evaluation,
+                 'Variation ' || CAST(pv_idx + 1 AS VARCHAR) || ': moves ' || array_to_string(pv_actions, ' ') || '; end ' || final_state
+                 || '; eval ' || coalesce(CASE WHEN final_terminal THEN 'terminal, reward ' || CAST(list_sum(list_transform(pv_rewards, lambda x: CAST(x AS DOUBLE))) AS VARCHAR) ELSE eval END, '?') AS line
+          FROM att WHERE pv_idx < {m}),
+rec AS (SELECT user_id, week, min(current_state) AS state, string_agg(line, '\n' ORDER BY pv_idx) AS variations,
+               count_if(evaluation IS NULL) AS n_missing
+        FROM lines GROUP BY user_id, week)
+"""
+
+
+SQL.update({
+    "p1_prompt_table": W("states") + f"""
+SELECT state, props, {_sys('evaluate')} AS system,
+       {_fill('evaluate', {'state': "concat_ws(' ', state, props)", 'turn': "'true'"})} AS user, 2 AS n_messages
+FROM states""",
+    "p2_mc_prompts": W("ep_events") + SUFFIX_CHUNKS + f""",
+g AS (SELECT sa_key, CAST(chunk AS BIGINT) AS chunk, min(state) AS state, min(action) AS action, CAST(count(*) AS INTEGER) AS n_games,
+             string_agg('Game ' || CAST(pos + 1 AS VARCHAR) || ': ' || game_text, '\n' ORDER BY pos) || '\nEnd of games.' AS games
+      FROM ch GROUP BY sa_key, chunk)
+SELECT sa_key, chunk, state, action, n_games, {_fill('mc', {'state': 'state', 'action': 'action', 'games': 'games'})} AS user FROM g""",
+    "p3_visit_prompts": W("ep_events") + f"""
+SELECT state, turn, {_fill('evaluate', {'state': 'state', 'turn': 'turn'})} AS user
+FROM (SELECT DISTINCT state, turn FROM ep_events WHERE action IS NOT NULL) t""",
+    "p4_end_state_prompts": W("lookahead_ev") + END_PROMPTS + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, system, user FROM esp""",
+    "p8_infer": W("lookahead_ev") + END_PROMPTS + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, response FROM resp""",
+    "p9_attach": W("lookahead_ev") + END_PROMPTS + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, final_state, eval AS final_eval, final_terminal FROM att""",
+    "p5_td_prompts": W("lookahead_ev") + END_PROMPTS + _td(2) + f"""
+SELECT user_id, CAST(week AS VARCHAR) AS week, state, {_fill('td', {'state': 'state', 'variations': 'variations'})} AS user
+FROM rec WHERE n_missing = 0""",
+    "p5_td_errors": W("lookahead_ev") + END_PROMPTS + _td(3) + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(n_missing AS BIGINT) AS n_missing FROM rec WHERE n_missing > 0""",
+    "p6_improvement_prompts": W("votes") + f""",
+ev AS (SELECT state, candidate AS action, 'n=' || CAST(count(*) AS VARCHAR) AS text FROM votes GROUP BY state, candidate),
+g AS (SELECT state, CAST(count(*) AS INTEGER) AS n_actions, string_agg(action || ': ' || text, '\n' ORDER BY action) AS actions
+      FROM ev GROUP BY state)
+SELECT state, n_actions, {_fill('improve', {'state': 'state', 'actions': 'actions'})} AS user FROM g""",
+    "p7_candidates": W("ep_events", "states") + """,
+legal AS (SELECT DISTINCT state, action FROM ep_events WHERE action IS NOT NULL)
+SELECT s.state, s.props, l.action FROM states s JOIN legal l ON l.state = s.state""",
+    "p10_epsilon_split": W("ep_events", "states") + EPS + """
+SELECT state, props, action, 'random' AS source, 'skipped' AS status FROM rnd
+UNION ALL
+SELECT state, props, action, 'model', status FROM moves""",
+    "p11_extract_pattern": W("ep_events", "states") + EPS + "SELECT state, props, response, action, status FROM moves",
+    "p11_extract_verdict": W("verdicts") + VERDICT + """
+SELECT doc_id, predict, CASE WHEN predict = 'undecided' THEN 'undecided' ELSE 'ok' END AS status FROM pv""",
+    "p11_yield_report": W("verdicts") + VERDICT + """
+SELECT CASE WHEN predict = 'undecided' THEN 'undecided' ELSE 'ok' END AS status, count(*) AS n, 'verdict' AS mode
+FROM pv GROUP BY 1""",
+    "p12_verdict_accuracy": W("verdicts") + VERDICT + """
+SELECT CAST(count_if(predict = win) AS BIGINT) AS n_right, count(*) AS n_total,
+       round(count_if(predict = win) / nullif(count(*), 0), 6) AS accuracy
+FROM pv WHERE abs(win_rate) >= 0.2 AND predict <> 'undecided'""",
+    "p13_move_distribution": W("logprobs") + f""",
+t AS (SELECT *, max(lp) OVER (PARTITION BY state) AS m FROM logprobs),
+e AS (SELECT *, CASE WHEN m = '-inf'::DOUBLE THEN 1.0 WHEN lp = '-inf'::DOUBLE THEN 0.0 ELSE exp(lp - m) END AS ex FROM t),
+p AS (SELECT *, ex / sum(ex) OVER (PARTITION BY state) AS p FROM e),
+c AS (SELECT *, sum(p) OVER (PARTITION BY state ORDER BY move ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             coalesce(sum(p) OVER (PARTITION BY state ORDER BY move ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS prev,
+             {_u2('42', 'CAST(state AS VARCHAR)')} AS u,
+             row_number() OVER (PARTITION BY state ORDER BY move DESC) = 1 AS is_last,
+             row_number() OVER (PARTITION BY state ORDER BY p DESC, move) = 1 AS is_argmax
+      FROM p)
+SELECT state, move, lp, round(p, 6) AS p, is_argmax,
+       ((prev <= u AND u < cum) OR (is_last AND cum <= u)) AS is_sample
+FROM c""",
+})

@@ -162,3 +162,58 @@ def week_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users of ``events`` (rows to batch)."""
     return table(spark, sf_dir, "events").select("user_id").distinct()
+
+
+def lookahead_ev(spark: SparkSession, sf_dir: str, k: int = 4, n_var: int = 4, seed: int = 42) -> DataFrame:
+    """Look-ahead records in long form: record = week episode, variations = up to
+    ``n_var`` k-step look-aheads from start steps taken in seeded md5 order (pv_idx from 0)."""
+    from trajspark.functions.keys import seeded_key
+    from trajspark.operators.steps import look_ahead
+
+    la = look_ahead(ep_events(spark, sf_dir), EP_KEYS, k)
+    wp = Window.partitionBy(*EP_KEYS)
+    wr = Window.partitionBy(*EP_KEYS).orderBy(seeded_key(seed, ["user_id", "week", "step"]), "step")
+    return (
+        la.withColumn("current_state", F.min_by("state", "step").over(wp))
+        .withColumn("pv_idx", (F.row_number().over(wr) - 1).cast("int"))
+        .where(F.col("pv_idx") < n_var)
+    )
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` ⋈ ``labels``: a verdict text per document and its label.
+
+    truth: 'black' when quality = 1; weight (stands in for win_rate) = quality − toxic.
+    The text has one-tag, both-tag, no-tag and tag-before-the-marker cases.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels")
+    body = (
+        F.when(F.col("lang") == "de", F.lit("Advantage: unclear"))
+        .when(F.col("n_chars") % 5 == 0, F.lit("Advantage: <black> and <white>"))
+        .when(F.col("n_chars") % 2 == 0, F.lit("Advantage: <black>"))
+        .otherwise(F.lit("Advantage: <white>"))
+    )
+    prefix = F.when(F.col("n_chars") % 3 == 0, F.lit("<white> early. ")).otherwise(F.lit(""))
+    return docs.join(lab, "doc_id").select(
+        "doc_id",
+        F.concat(prefix, body).alias("response"),
+        F.when(F.col("quality") == 1, "black").otherwise("white").alias("win"),
+        (F.col("quality") - F.col("toxic")).cast("double").alias("win_rate"),
+    )
+
+
+def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """state = user_id, move = event_type; lp = −avg(value)/100 over the user's
+    first-week events; moves the user made only later get lp = −inf."""
+    ws = table(spark, sf_dir, "events").withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    first_week = ws.select(F.min("week")).scalar()
+    legal = ws.select(F.col("user_id").alias("state"), F.col("event_type").alias("move")).distinct()
+    seen = (
+        ws.where(F.col("week") == first_week)
+        .groupBy(F.col("user_id").alias("state"), F.col("event_type").alias("move"))
+        .agg(F.round(-F.avg("value") / 100, 6).alias("lp"))
+    )
+    return legal.join(seen, ["state", "move"], "left").select(
+        "state", "move", F.coalesce("lp", F.lit(float("-inf"))).alias("lp")
+    )
