@@ -623,3 +623,83 @@ def p12(spark, sf):
 @query("p13_move_distribution")
 def p13(spark, sf):
     return P.move_distribution(V.logprobs(spark, sf), "state", "move", "lp", temperature=1.0, seed=42)
+
+
+# ---------------------------------------------------------------- X family
+from trajspark.operators import examples as X  # noqa: E402
+
+
+@query("x1_sft_pairs")
+def x1(spark, sf):
+    c = V.chats(spark, sf)
+    is_user = F.col("role") == "user"
+    first_user = c.groupBy("conv_id").agg(
+        F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("text")
+    ).where(F.col("text").isNotNull())
+    student = PR.prompt_table(first_user, PR.template_table(spark), "student", {"text": F.col("text")})
+    teacher = X.last_message(c, ["conv_id"], "turn")
+    out = X.sft_pairs(student, teacher, ["conv_id"])
+    return out.select("conv_id", F.size("messages").alias("n_messages"), "system", "user", "assistant")
+
+
+def _rendered(spark, sf):
+    return X.render_chat(V.chats(spark, sf), ["conv_id"], ["turn"])
+
+
+@query("x2_render_chat")
+def x2(spark, sf):
+    return _rendered(spark, sf)
+
+
+def _masked(spark, sf):
+    return X.label_masks(_rendered(spark, sf), 256)
+
+
+@query("x3_label_masks")
+def x3(spark, sf):
+    m = _masked(spark, sf)
+    return m.select(
+        "conv_id", "n_tokens", "n_prompt", "n_label", "kept",
+        F.when(F.col("kept"), F.element_at("labels", F.col("n_prompt") + 1)).alias("first_label"),
+    )
+
+
+@query("x3_dropped")
+def x3d(spark, sf):
+    m = _masked(spark, sf)
+    return m.agg(F.count_if(~F.col("kept")).alias("n_dropped"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("x4_pad_batches")
+def x4(spark, sf):
+    m = _masked(spark, sf).where("kept").select("conv_id", F.slice(X.tokens(F.col("full_text")), 1, 256).alias("tok"))
+    b = X.epoch_batches(m, ["conv_id"], 4, seed=42)
+    p = X.pad_batches(b, "tok", "batch")
+    return p.select(
+        "conv_id", "batch", "length", "padded_len", "n_pad",
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attention"),
+        F.size("tok_padded").alias("n_padded"),
+    )
+
+
+def _ppo(spark, sf):
+    ep = V.ep_events(spark, sf).withColumn("lp", -F.col("value") + F.lit(0.1) * ((F.col("step") % 3) - 1))
+    return X.ppo_samples(ep, EP)
+
+
+@query("x5_ppo_samples")
+def x5(spark, sf):
+    s = _ppo(spark, sf)
+    return _wk(
+        s.select(
+            *EP, "step", "state", "action",
+            F.round(F.col("adv_norm") + 1e-9, 6).alias("adv_norm"),
+            F.round(F.col("ret") + 1e-9, 6).alias("ret"),
+            F.round("old_lp", 6).alias("old_lp"),
+        )
+    )
+
+
+@query("x5_not_null_audit")
+def x5a(spark, sf):
+    return X.not_null_audit(_ppo(spark, sf))

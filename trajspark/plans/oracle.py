@@ -543,3 +543,65 @@ SELECT state, move, lp, round(p, 6) AS p, is_argmax,
        ((prev <= u AND u < cum) OR (is_last AND cum <= u)) AS is_sample
 FROM c""",
 })
+
+XTOK = "list_filter(string_split_regex({x}, '" + WS + "'), lambda t: t <> '')"
+RENDER = """,
+r AS (SELECT conv_id, '<|start_header_id|>' || role || '<|end_header_id|>\n' || text || '<|eot_id|>\n' AS piece,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn,
+             count(*) OVER (PARTITION BY conv_id) AS n
+      FROM conversations),
+rc AS (SELECT conv_id, CAST(max(n) AS INTEGER) AS n_messages,
+              '<|begin_of_text|>' || coalesce(string_agg(piece, '' ORDER BY rn) FILTER (WHERE rn < n), '')
+              || '<|start_header_id|>assistant<|end_header_id|>\n' AS query_text,
+              '<|begin_of_text|>' || string_agg(piece, '' ORDER BY rn) AS full_text
+       FROM r GROUP BY conv_id),
+mk AS (SELECT conv_id, full_text, (""" + XTOK.format(x="full_text") + """)[1:256] AS toks,
+              CAST(len(""" + XTOK.format(x="query_text") + """) AS INTEGER) AS n_prompt FROM rc),
+mk2 AS (SELECT conv_id, toks, CAST(len(toks) AS INTEGER) AS n_tokens, n_prompt,
+               CAST(greatest(len(toks) - n_prompt, 0) AS INTEGER) AS n_label FROM mk)
+"""
+
+PPO = OWN_VALUES.replace(
+    "own AS (SELECT user_id, week, step, value, final_value,",
+    "own AS (SELECT user_id, week, step, state, action, value, final_value, -value + 0.1 * ((step % 3) - 1) AS lp,",
+) + """,
+c AS (SELECT *, reward + CASE WHEN done THEN 0.0 ELSE 0.99 * next_value END - value AS delta FROM nv),
+r(user_id, week, pos, step, state, action, value, lp, adv) AS (
+  SELECT user_id, week, pos, step, state, action, value, lp, delta FROM c WHERE pos = n - 1
+  UNION ALL
+  SELECT c.user_id, c.week, c.pos, c.step, c.state, c.action, c.value, c.lp,
+         c.delta + 0.99 * 0.95 * (CASE WHEN c.done THEN 0 ELSE 1 END) * r.adv
+  FROM c JOIN r ON c.user_id = r.user_id AND c.week = r.week AND c.pos = r.pos - 1),
+ppo AS (SELECT user_id, week, step, state, action,
+               (adv - avg(adv) OVER ()) / (stddev_samp(adv) OVER () + 1e-8) AS adv_norm, adv + value AS ret, lp AS old_lp
+        FROM r)
+"""
+
+SQL.update({
+    "x1_sft_pairs": f"""
+WITH fu AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS text FROM conversations GROUP BY conv_id),
+te AS (SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
+SELECT fu.conv_id, 3 AS n_messages, {_sys('student')} AS system, {_fill('student', {'text': 'fu.text'})} AS user, te.content AS assistant
+FROM fu JOIN te ON te.conv_id = fu.conv_id WHERE fu.text IS NOT NULL""",
+    "x2_render_chat": "WITH dummy AS (SELECT 1)" + RENDER + "SELECT conv_id, n_messages, query_text, full_text FROM rc",
+    "x3_label_masks": "WITH dummy AS (SELECT 1)" + RENDER + """
+SELECT conv_id, n_tokens, n_prompt, n_label, n_label > 0 AS kept,
+       CASE WHEN n_label > 0 THEN toks[n_prompt + 1] END AS first_label FROM mk2""",
+    "x3_dropped": "WITH dummy AS (SELECT 1)" + RENDER + """
+SELECT CAST(count_if(n_label <= 0) AS BIGINT) AS n_dropped, count(*) AS n_rows FROM mk2""",
+    "x4_pad_batches": "WITH dummy AS (SELECT 1)" + RENDER + """,
+k AS (SELECT conv_id, n_tokens AS length,
+             CAST((row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(conv_id AS VARCHAR))), conv_id) - 1) // 4 AS BIGINT) AS batch
+      FROM mk2 WHERE n_label > 0)
+SELECT conv_id, batch, length, CAST(max(length) OVER (PARTITION BY batch) AS INTEGER) AS padded_len,
+       CAST(max(length) OVER (PARTITION BY batch) - length AS INTEGER) AS n_pad, length AS n_attention,
+       CAST(max(length) OVER (PARTITION BY batch) AS INTEGER) AS n_padded
+FROM k""",
+    "x5_ppo_samples": _recursive(W("ep_events")) + PPO + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, state, action, round(adv_norm + 1e-9, 6) AS adv_norm,
+       round(ret + 1e-9, 6) AS ret, round(old_lp, 6) AS old_lp FROM ppo""",
+    "x5_not_null_audit": _recursive(W("ep_events")) + PPO + """
+SELECT CAST(count_if(state IS NULL) AS BIGINT) AS null_state, CAST(count_if(action IS NULL) AS BIGINT) AS null_action,
+       CAST(count_if(adv_norm IS NULL) AS BIGINT) AS null_adv_norm, CAST(count_if(ret IS NULL) AS BIGINT) AS null_ret,
+       CAST(count_if(old_lp IS NULL) AS BIGINT) AS null_old_lp, count(*) AS n FROM ppo""",
+})
