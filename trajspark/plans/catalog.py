@@ -703,3 +703,71 @@ def x5(spark, sf):
 @query("x5_not_null_audit")
 def x5a(spark, sf):
     return X.not_null_audit(_ppo(spark, sf))
+
+
+# ---------------------------------------------------------------- S family
+import uuid  # noqa: E402
+
+from pyspark.sql import types as TY  # noqa: E402
+
+from trajspark.session import checkpoint_dir  # noqa: E402
+from trajspark.sources import io as S  # noqa: E402
+
+
+def _scratch(spark, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("s1_read_buffer")
+def s1(spark, sf):
+    """Round trip: week episodes → trajectory JSONL (S2) → explicit-schema read (S1) → steps."""
+    tr = T.to_trajectories(V.ep_events(spark, sf), EP).withColumn("week", F.col("week").cast("string"))
+    path = _scratch(spark, "s1")
+    S.write_buffer(tr, path)
+    extra = [TY.StructField("user_id", TY.LongType()), TY.StructField("week", TY.StringType())]
+    steps, _ = S.read_buffer(spark, path, "generic", extra)
+    return steps.select(*EP, "step", "state", "action", "reward", "turn", "is_terminal")
+
+
+@query("s1_rejects")
+def s1r(spark, sf):
+    """Malformed lines go to the reject table: documents texts are not trajectories."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("{\"state\": "), F.col("text")).alias("value"))
+    path = _scratch(spark, "s1r")
+    docs.write.mode("overwrite").text(path)
+    _, rejects = S.read_buffer(spark, path, "generic")
+    return rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
+
+
+@query("s3_merge_keyed")
+def s3(spark, sf):
+    return S.merge_keyed(V.keyed(spark, sf), "key", "value", ["seq"])
+
+
+@query("s6_history_window")
+def s6(spark, sf):
+    w = S.history_window(V.ep_events(spark, sf), iteration=4, history=3, keys=[*EP, "step"])
+    return _wk(w.select(*EP, "step", "iter", "state"))
+
+
+@query("s7_contiguous_iterations")
+def s7(spark, sf):
+    c = S.contiguous_iterations(V.ep_events(spark, sf))
+    return c.groupBy("iter").agg(F.count(F.lit(1)).alias("n_steps"))
+
+
+@query("s8_export_requests")
+def s8(spark, sf):
+    st = V.states(spark, sf)
+    pr = PR.prompt_table(st, PR.template_table(spark), "evaluate", {"state": F.concat_ws(" ", "state", "props"), "turn": F.lit("true")})
+    return S.export_requests(pr, SKEYS, "model-under-test", {"temperature": 1.0, "top_p": 1.0, "max_tokens": 512})
+
+
+@query("s9_value_table")
+def s9(spark, sf):
+    v = VE.td0(_transitions(spark, sf), alpha=0.4, sweeps=2)
+    path = _scratch(spark, "s9")
+    S.save_values(v, path, {"type": "td", "sweeps": 2, "alpha": 0.4})
+    loaded, _ = S.load_values(spark, path)
+    return loaded

@@ -605,3 +605,22 @@ SELECT CAST(count_if(state IS NULL) AS BIGINT) AS null_state, CAST(count_if(acti
        CAST(count_if(adv_norm IS NULL) AS BIGINT) AS null_adv_norm, CAST(count_if(ret IS NULL) AS BIGINT) AS null_ret,
        CAST(count_if(old_lp IS NULL) AS BIGINT) AS null_old_lp, count(*) AS n FROM ppo""",
 })
+
+SQL.update({
+    "s1_read_buffer": W("ep_events") + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, state, action, CAST(reward AS DOUBLE) AS reward,
+       CASE WHEN action IS NOT NULL THEN turn END AS turn, is_terminal FROM ep_events""",
+    "s1_rejects": """
+SELECT CAST(sum(len(list_filter(string_split('{"state": ' || text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$'))))
+            AS BIGINT) AS n_rejects
+FROM documents""",
+    "s3_merge_keyed": W("keyed") + "SELECT key, arg_max(value, seq) AS value FROM keyed GROUP BY key",
+    "s6_history_window": W("ep_events") + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, step, iter, state FROM ep_events WHERE iter BETWEEN 2 AND 4""",
+    "s7_contiguous_iterations": W("ep_events") + """,
+its AS (SELECT iter, row_number() OVER (ORDER BY iter) AS rn FROM (SELECT DISTINCT iter FROM ep_events) d)
+SELECT e.iter, count(*) AS n_steps FROM ep_events e JOIN its ON its.iter = e.iter AND its.rn = its.iter GROUP BY e.iter""",
+    "s9_value_table": SQL["v3_td0"].replace(
+        "SELECT v2.state, round(v2.value, 6) AS value,", "SELECT v2.state, round(v2.value, 3) AS value,"
+    ),
+})
