@@ -190,11 +190,11 @@ def own_view(
         final_r = F.max(F.when(F.col(order) == F.col("_last_action_step"), F.col("_own_reward"))).over(own_w)
         last_own = F.max(F.when(has_action & F.col("turn"), F.col(order))).over(own_w)
         t = t.withColumn("_final_r", final_r).withColumn("_last_own", last_own)
-        extra = F.when(
+        bonus = F.when(
             (F.col(order) == F.col("_last_own")) & (F.col("_last_own") != F.col("_last_action_step")),
             F.col("_final_r"),
         ).otherwise(0)
-        t = t.withColumn("_own_reward", F.col("_own_reward") + extra)
+        t = t.withColumn("_own_reward", F.col("_own_reward") + bonus)
         done = (F.abs(F.col("_own_reward")) > 0) | (F.col(order) == F.col("_last_action_step")) | (
             F.col(order) == F.col("_last_own")
         )

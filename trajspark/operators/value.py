@@ -98,7 +98,7 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
     pairs = cut_lineage(pairs)
     visits = pairs.groupBy("state").agg(F.sum("n").alias("visits"))
     states = pairs.select("state").union(pairs.select(F.col("next_state").alias("state"))).distinct()
-    v = cut_lineage(states.withColumn("value", F.lit(float(init))))
+    v = cut_lineage(states.withColumn("value", F.lit(float(init))), persist=False)
     for _ in range(sweeps):
         nv = v.select(F.col("state").alias("next_state"), F.col("value").alias("nv"))
         tgt = pairs.join(nv, "next_state", "left").select(
@@ -115,7 +115,8 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
                 F.when(F.col("target").isNull(), F.col("value"))
                 .otherwise(F.col("value") + F.lit(alpha) * (F.col("target") - F.col("value")))
                 .alias("value"),
-            )
+            ),
+            persist=False,
         )
     return v.join(visits, "state", "left").select("state", "value", F.coalesce("visits", F.lit(0)).alias("visits"))
 
@@ -132,24 +133,33 @@ def shortest_policy(
     direction order). Stops when the frontier is empty (or at ``max_rounds``).
     """
     e = edges.select("src", "dst", "action", F.col(rank).alias("_rank"))
-    seen = cut_lineage(goals.select(F.col("node"), F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")))
-    frontier = seen.select("node")
+    rounds = [
+        cut_lineage(goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")), persist=False)
+    ]
+    frontier = rounds[0]
     d = 0
     while max_rounds is None or d < max_rounds:
-        cand = e.join(frontier.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "action", "_rank")
+        seen = rounds[0].select("node")
+        for r in rounds[1:]:
+            seen = seen.unionByName(r.select("node"))
+        cand = e.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "action", "_rank")
         new = (
-            cand.join(seen.select("node"), "node", "left_anti")
+            cand.join(seen, "node", "left_anti")
             .groupBy("node")
             .agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
-            .withColumn("dist", F.lit(d + 1))
+            .select("node", F.lit(d + 1).alias("dist"), "move")
         )
-        new = cut_lineage(new)
+        # each round is checkpointed once; earlier rounds are read back from their files
+        new = cut_lineage(new, persist=False)
         if new.isEmpty():
             break
         d += 1
-        seen = cut_lineage(seen.unionByName(new.select("node", "dist", "move")))
-        frontier = new.select("node")
-    return seen
+        rounds.append(new)
+        frontier = new
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 # V5 -------------------------------------------------------------------------
@@ -178,20 +188,24 @@ def degrade_policy(policy: DataFrame, moves: DataFrame, p: float, seed: int | st
 
 
 # V6 -------------------------------------------------------------------------
-def backward_induction(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 8) -> DataFrame:
     """Best value per node of a layered transition graph, from the last layer back.
 
     nodes: (layer, node, maximize, end_value) with end_value null when the
     node never ends a game; edges: (layer, node, next_node) into layer + 1.
     value = max (maximizing player) or min over successor values and the
     node's own end value.
+
+    ``block`` layers are planned lazily as one job; the block's values are
+    then cut with a reliable checkpoint, which the next block reads. A lost
+    executor recomputes at most one block.
     """
-    layers = nodes.agg(F.min("layer"), F.max("layer")).first()
-    lo, hi = layers[0], layers[1]
+    lo, hi = nodes.agg(F.min("layer"), F.max("layer")).first()
     nodes = cut_lineage(nodes)
     edges = cut_lineage(edges)
-    done = None
+    blocks: list[DataFrame] = []
     prev = None
+    pending: list[DataFrame] = []
     for layer in range(hi, lo - 1, -1):
         cur = nodes.where(F.col("layer") == layer)
         if prev is not None:
@@ -204,15 +218,24 @@ def backward_induction(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             cur = cur.join(succ, "node", "left")
         else:
             cur = cur.withColumn("smax", F.lit(None).cast("double")).withColumn("smin", F.lit(None).cast("double"))
-        val = F.when(
-            F.col("maximize"), F.greatest(F.col("smax"), F.col("end_value"))
-        ).otherwise(F.least(F.col("smin"), F.col("end_value")))
-        cur = cut_lineage(cur.select("layer", "node", "maximize", val.alias("value")))
-        done = cur if done is None else done.unionByName(cur)
+        val = F.when(F.col("maximize"), F.greatest(F.col("smax"), F.col("end_value"))).otherwise(
+            F.least(F.col("smin"), F.col("end_value"))
+        )
+        cur = cur.select("layer", "node", "maximize", val.alias("value"))
+        pending.append(cur)
         prev = cur
-        if (hi - layer) % 8 == 7:
-            done = cut_lineage(done)
-    return done
+        if len(pending) == block or layer == lo:
+            blk = pending[0]
+            for f in pending[1:]:
+                blk = blk.unionByName(f)
+            blk = cut_lineage(blk, persist=False)
+            blocks.append(blk)
+            prev = blk.where(F.col("layer") == layer)
+            pending = []
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
 
 
 # V7 -------------------------------------------------------------------------

@@ -48,7 +48,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
+def cut_lineage(df, eager: bool = True, persist: bool = True):
+    """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
+
+    With ``persist`` the plan is cached first so the eager checkpoint computes
+    it once (writing a reliable checkpoint otherwise re-runs the plan); the
+    cache is released as soon as the checkpoint files exist. Small per-round
+    frames of iterative loops skip the cache (``persist=False``): recomputing
+    them is cheaper than caching them.
+    """
+    from pyspark import StorageLevel
+
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    if not persist:
+        return df.checkpoint(eager=eager)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=eager)
+    if eager:
+        cached.unpersist(blocking=False)
+    return out
