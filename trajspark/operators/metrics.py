@@ -280,3 +280,51 @@ def score_board(scores: DataFrame, bounds: DataFrame, run: str, benchmark: str =
     return j.groupBy(run, benchmark).agg(
         _r(F.avg(score)).alias("raw_score"), _r(F.avg(norm)).alias("norm_score"), F.count(F.lit(1)).alias("n")
     )
+
+
+# A9 -------------------------------------------------------------------------
+# The "mid" parameter grid (episodes × epsilon × alpha = 32 runs).
+GRID_EPISODES = [10000, 15000, 20000, 25000]
+GRID_EPSILONS = [0.10, 0.15]
+GRID_ALPHAS = [0.3, 0.4, 0.5, 0.6]
+
+
+def param_grid(spark, episodes=GRID_EPISODES, epsilons=GRID_EPSILONS, alphas=GRID_ALPHAS) -> DataFrame:
+    """Parameter product by generators over literal arrays (no join); ``combo`` numbers it."""
+    one = spark.range(1)
+    g = one.select(F.posexplode(F.array(*[F.lit(e) for e in episodes])).alias("_ei", "max_episode"))
+    g = g.select("*", F.posexplode(F.array(*[F.lit(e) for e in epsilons])).alias("_pi", "epsilon"))
+    g = g.select("*", F.posexplode(F.array(*[F.lit(a) for a in alphas])).alias("_ai", "alpha"))
+    n_p, n_a = len(epsilons), len(alphas)
+    return g.select(
+        ((F.col("_ei") * n_p + F.col("_pi")) * n_a + F.col("_ai")).alias("combo"), "max_episode", "epsilon", "alpha"
+    )
+
+
+def leaderboard(grid: DataFrame, results: DataFrame, first_k: int = 10, final_k: int = 5) -> DataFrame:
+    """Two-phase leaderboard over a parameter grid.
+
+    results: (combo, repeat, losses, games) with repeat 0 = the search run.
+    Phase 1 keeps the ``first_k`` combos with the fewest losses (then fewer
+    episodes); phase 2 pools their repeat runs, computes the loss percentage
+    and keeps ``final_k``. ``lose_pct_ref`` reproduces the logged formula,
+    which divides by the repeat count twice. The top-k sorts run on the
+    per-combo table (one row per parameter set), not on the log.
+    """
+    first = results.where(F.col("repeat") == 0).groupBy("combo").agg(F.sum("losses").alias("base_win"))
+    top = (
+        grid.join(first, "combo")
+        .orderBy("base_win", "max_episode", "epsilon", "alpha")
+        .limit(first_k)
+    )
+    rep = results.where(F.col("repeat") > 0).groupBy("combo").agg(
+        F.sum("losses").alias("rep_losses"), F.sum("games").alias("rep_games"), F.count_distinct("repeat").alias("n_repeats")
+    )
+    j = top.join(rep, "combo")
+    pct = F.col("rep_losses") / F.col("rep_games") * 100
+    ref = F.col("rep_losses") / F.col("n_repeats") / F.col("rep_games") * 100
+    return (
+        j.select("combo", "max_episode", "epsilon", "alpha", "base_win", _r(pct, 2).alias("lose_pct"), _r(ref, 2).alias("lose_pct_ref"), "rep_games")
+        .orderBy("lose_pct", "max_episode", "epsilon", "alpha")
+        .limit(final_k)
+    )

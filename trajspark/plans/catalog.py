@@ -864,3 +864,32 @@ def m4(spark, sf):
     third = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
     out = spark.read.parquet(sink).select("event_id", "state")
     return out.withColumn("runs_with_new_rows", F.lit(int(first > 0) + int(second > 0) + int(third > 0)))
+
+
+# ---------------------------------------------------------------- A9, D2
+def _bench_results(spark, sf):
+    """Benchmark games per (parameter combo, repeat): week episodes dealt to the 32
+    combos by a seeded hash; repeat = iteration − 1 (0 is the search run)."""
+    f = A.episode_facts(V.ep_events(spark, sf), EP, extra=["iter"])
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("user_id").cast("string"), F.col("week").cast("string"))), 1, 8), 16, 10)
+    f = f.withColumn("combo", (h.cast("bigint") % 32).cast("int")).withColumn("repeat", F.col("iter") - 1)
+    return f.groupBy("combo", "repeat").agg(
+        F.count_if(F.col("final_reward") == -1).alias("losses"), F.count(F.lit(1)).alias("games")
+    )
+
+
+@query("a9_leaderboard")
+def a9(spark, sf):
+    return A.leaderboard(A.param_grid(spark), _bench_results(spark, sf))
+
+
+@query("d2_distinct_variations")
+def d2(spark, sf):
+    la = V.lookahead_ev(spark, sf)
+    var = F.struct(F.array_join("pv_actions", " ").alias("moves"), F.col("final_state.state").alias("end"))
+    g = la.groupBy(*EP).agg(F.sort_array(F.collect_list(F.struct("pv_idx", var.alias("v")))).alias("_v"))
+    # the first variation is repeated on purpose
+    arr = F.transform("_v", lambda x: x["v"])
+    g = g.withColumn("variations", F.concat(arr, F.slice(arr, 1, 1)))
+    d = D.distinct_variations(g, "variations")
+    return _wk(d.select(*EP, (F.size("_v") + 1).alias("n_variations"), F.size("variations").alias("n_distinct")))

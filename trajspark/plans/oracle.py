@@ -641,3 +641,28 @@ SELECT user_id, CAST(min(ts) AS VARCHAR) AS session_start, CAST(max(ts) + INTERV
 FROM s GROUP BY user_id, sid""",
     "m4_resume": "SELECT event_id, event_type AS state, 2 AS runs_with_new_rows FROM events",
 })
+
+SQL.update({
+    "a9_leaderboard": W("ep_events") + "," + FACTS + """,
+grid AS (SELECT ((e.i * 2 + p.i) * 4 + a.i) AS combo, e.v AS max_episode, p.v AS epsilon, a.v AS alpha
+         FROM (VALUES (0, 10000), (1, 15000), (2, 20000), (3, 25000)) e(i, v),
+              (VALUES (0, 0.10::DOUBLE), (1, 0.15::DOUBLE)) p(i, v),
+              (VALUES (0, 0.3::DOUBLE), (1, 0.4::DOUBLE), (2, 0.5::DOUBLE), (3, 0.6::DOUBLE)) a(i, v)),
+res AS (SELECT CAST(('0x' || substr(md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR))), 1, 8))::BIGINT % 32 AS INTEGER) AS combo,
+               iter - 1 AS repeat, count_if(final_reward = -1) AS losses, count(*) AS games
+        FROM facts GROUP BY 1, 2),
+first AS (SELECT combo, CAST(sum(losses) AS BIGINT) AS base_win FROM res WHERE repeat = 0 GROUP BY combo),
+top AS (SELECT g.*, f.base_win FROM grid g JOIN first f ON f.combo = g.combo
+        ORDER BY base_win, max_episode, epsilon, alpha LIMIT 10),
+rep AS (SELECT combo, sum(losses) AS rep_losses, CAST(sum(games) AS BIGINT) AS rep_games, count(DISTINCT repeat) AS n_repeats
+        FROM res WHERE repeat > 0 GROUP BY combo)
+SELECT t.combo, CAST(max_episode AS INTEGER) AS max_episode, epsilon, alpha, base_win,
+       round(rep_losses / rep_games * 100, 2) AS lose_pct,
+       round(rep_losses / n_repeats / rep_games * 100, 2) AS lose_pct_ref, rep_games
+FROM top t JOIN rep r ON r.combo = t.combo
+ORDER BY lose_pct, max_episode, epsilon, alpha LIMIT 5""",
+    "d2_distinct_variations": W("lookahead_ev") + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(count(*) + 1 AS INTEGER) AS n_variations,
+       CAST(count(DISTINCT (array_to_string(pv_actions, ' '), final_state)) AS INTEGER) AS n_distinct
+FROM lookahead_ev GROUP BY user_id, week""",
+})
