@@ -192,10 +192,9 @@ def token_cost(
 # A11 ------------------------------------------------------------------------
 def normalise(df: DataFrame, x: str, out: str | None = None, eps: float = 1e-8) -> DataFrame:
     """(x − mean) / (sample std + eps) over the whole table, via scalar subqueries."""
-    stats = df.agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
-    m = stats.select("m").scalar()
-    s = stats.select("s").scalar()
-    return df.withColumn(out or f"{x}_norm", (F.col(x) - m) / (s + F.lit(eps)))
+    # one scalar subquery carrying both statistics (a second one would rerun the input)
+    stats = df.agg(F.struct(F.avg(x).alias("m"), F.stddev_samp(x).alias("s")).alias("st")).scalar()
+    return df.withColumn(out or f"{x}_norm", (F.col(x) - stats["m"]) / (stats["s"] + F.lit(eps)))
 
 
 # A12 ------------------------------------------------------------------------

@@ -132,7 +132,9 @@ def shortest_policy(
     edge into the previous frontier, ties broken by ``rank`` (the fixed
     direction order). Stops when the frontier is empty (or at ``max_rounds``).
     """
-    e = edges.select("src", "dst", "action", F.col(rank).alias("_rank"))
+    # edges hash-partitioned on dst once; the checkpoint keeps that partitioning,
+    # so each round shuffles only the (small) frontier, never the edge table
+    e = cut_lineage(edges.select("src", "dst", "action", F.col(rank).alias("_rank")).repartition("dst"))
     rounds = [
         cut_lineage(goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")), persist=False)
     ]
@@ -188,7 +190,7 @@ def degrade_policy(policy: DataFrame, moves: DataFrame, p: float, seed: int | st
 
 
 # V6 -------------------------------------------------------------------------
-def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 8) -> DataFrame:
+def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> DataFrame:
     """Best value per node of a layered transition graph, from the last layer back.
 
     nodes: (layer, node, maximize, end_value) with end_value null when the
@@ -200,9 +202,19 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 8) -> Da
     then cut with a reliable checkpoint, which the next block reads. A lost
     executor recomputes at most one block.
     """
+    import uuid
+
+    from trajspark.session import checkpoint_dir
+
+    # the graph is written once as tables partitioned by layer (in the shared
+    # checkpoint folder): each layer then reads only its own partition
+    spark = nodes.sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
+    nodes.write.partitionBy("layer").parquet(f"{root}/nodes")
+    edges.write.partitionBy("layer").parquet(f"{root}/edges")
+    nodes = spark.read.parquet(f"{root}/nodes")
+    edges = spark.read.parquet(f"{root}/edges")
     lo, hi = nodes.agg(F.min("layer"), F.max("layer")).first()
-    nodes = cut_lineage(nodes)
-    edges = cut_lineage(edges)
     blocks: list[DataFrame] = []
     prev = None
     pending: list[DataFrame] = []
