@@ -15,7 +15,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.keys import seeded_key, seeded_uniform
-from trajspark.session import cut_lineage
+from trajspark.session import cut_lineage, write_table
+
+
+# Rows below which a side whose row count was just measured is broadcast
+# (narrow rows: a node id and a value); above it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def _bounded_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
 # V2 -------------------------------------------------------------------------
@@ -98,7 +107,7 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
     pairs = cut_lineage(pairs)
     visits = pairs.groupBy("state").agg(F.sum("n").alias("visits"))
     states = pairs.select("state").union(pairs.select(F.col("next_state").alias("state"))).distinct()
-    v = cut_lineage(states.withColumn("value", F.lit(float(init))), persist=False)
+    v = write_table(states.withColumn("value", F.lit(float(init))), "td-values")
     for _ in range(sweeps):
         nv = v.select(F.col("state").alias("next_state"), F.col("value").alias("nv"))
         tgt = pairs.join(nv, "next_state", "left").select(
@@ -109,14 +118,14 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
             ),
         )
         mean_t = tgt.groupBy("state").agg((F.sum("t_sum") / F.sum("n")).alias("target"))
-        v = cut_lineage(
+        v = write_table(
             v.join(mean_t, "state", "left").select(
                 "state",
                 F.when(F.col("target").isNull(), F.col("value"))
                 .otherwise(F.col("value") + F.lit(alpha) * (F.col("target") - F.col("value")))
                 .alias("value"),
             ),
-            persist=False,
+            "td-values",
         )
     return v.join(visits, "state", "left").select("state", "value", F.coalesce("visits", F.lit(0)).alias("visits"))
 
@@ -136,28 +145,32 @@ def shortest_policy(
     # so each round shuffles only the (small) frontier, never the edge table
     e = cut_lineage(edges.select("src", "dst", "action", F.col(rank).alias("_rank")).repartition("dst"))
     rounds = [
-        cut_lineage(goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")), persist=False)
+        write_table(goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")), "bfs-round")
     ]
-    frontier = rounds[0]
+    frontier, n_front = rounds[0], rounds[0].count()
+    n_seen = n_front
     d = 0
     while max_rounds is None or d < max_rounds:
         seen = rounds[0].select("node")
         for r in rounds[1:]:
             seen = seen.unionByName(r.select("node"))
-        cand = e.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "action", "_rank")
+        front = frontier.select(F.col("node").alias("dst"))
+        cand = e.join(_bounded_broadcast(front, n_front), "dst").select(F.col("src").alias("node"), "action", "_rank")
         new = (
-            cand.join(seen, "node", "left_anti")
+            cand.join(_bounded_broadcast(seen, n_seen), "node", "left_anti")
             .groupBy("node")
             .agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
             .select("node", F.lit(d + 1).alias("dist"), "move")
         )
         # each round is checkpointed once; earlier rounds are read back from their files
-        new = cut_lineage(new, persist=False)
-        if new.isEmpty():
+        new = write_table(new, "bfs-round")
+        n_new = new.count()
+        if n_new == 0:
             break
         d += 1
         rounds.append(new)
-        frontier = new
+        frontier, n_front = new, n_new
+        n_seen += n_new
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
@@ -214,20 +227,25 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> Da
     edges.write.partitionBy("layer").parquet(f"{root}/edges")
     nodes = spark.read.parquet(f"{root}/nodes")
     edges = spark.read.parquet(f"{root}/edges")
-    lo, hi = nodes.agg(F.min("layer"), F.max("layer")).first()
+    # one row per layer reaches the driver: the size check for every broadcast below
+    sizes = dict(nodes.groupBy("layer").count().collect())
+    lo, hi = min(sizes), max(sizes)
     blocks: list[DataFrame] = []
-    prev = None
+    prev, n_prev = None, 0
     pending: list[DataFrame] = []
     for layer in range(hi, lo - 1, -1):
         cur = nodes.where(F.col("layer") == layer)
         if prev is not None:
             succ = (
                 edges.where(F.col("layer") == layer)
-                .join(prev.select(F.col("node").alias("next_node"), F.col("value").alias("sv")), "next_node")
+                .join(
+                    _bounded_broadcast(prev.select(F.col("node").alias("next_node"), F.col("value").alias("sv")), n_prev),
+                    "next_node",
+                )
                 .groupBy("node")
                 .agg(F.max("sv").alias("smax"), F.min("sv").alias("smin"))
             )
-            cur = cur.join(succ, "node", "left")
+            cur = cur.join(_bounded_broadcast(succ, sizes.get(layer, 0)), "node", "left")
         else:
             cur = cur.withColumn("smax", F.lit(None).cast("double")).withColumn("smin", F.lit(None).cast("double"))
         val = F.when(F.col("maximize"), F.greatest(F.col("smax"), F.col("end_value"))).otherwise(
@@ -235,12 +253,12 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> Da
         )
         cur = cur.select("layer", "node", "maximize", val.alias("value"))
         pending.append(cur)
-        prev = cur
+        prev, n_prev = cur, sizes.get(layer, 0)
         if len(pending) == block or layer == lo:
             blk = pending[0]
             for f in pending[1:]:
                 blk = blk.unionByName(f)
-            blk = cut_lineage(blk, persist=False)
+            blk = write_table(blk, "layer-values")
             blocks.append(blk)
             prev = blk.where(F.col("layer") == layer)
             pending = []

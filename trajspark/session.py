@@ -67,3 +67,18 @@ def cut_lineage(df, eager: bool = True, persist: bool = True):
     if eager:
         cached.unpersist(blocking=False)
     return out
+
+
+def write_table(df, tag: str = "tbl"):
+    """Cut lineage by writing a Parquet table into the shared checkpoint folder.
+
+    One job (a reliable checkpoint runs the plan twice unless cached); the
+    read-back has no known partitioning, so use ``cut_lineage`` where a
+    later join relies on the partitioning or a partition's row order.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
