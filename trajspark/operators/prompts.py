@@ -28,6 +28,8 @@ TEMPLATES = [
     ("move", "You choose a move.",
      "State: {state}\nLegal moves: {moves}\nAnswer with {\"best_move\": n}."),
     ("student", "You are a helpful assistant.", "{text}"),
+    ("move_sample", "You choose a move.",
+     "State: {state}\nLegal moves: {moves}\nSample: {sample}\nAnswer with {\"best_move\": n}."),
 ]
 
 
@@ -156,3 +158,36 @@ def seeded_legal_pick(legal: str, seed: int | str, keys: Sequence[str]) -> Colum
 
 def numbered_window(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def voted_candidates(
+    states: DataFrame,
+    keys: Sequence[str],
+    legal: str,
+    templates: DataFrame,
+    n_samples: int,
+    k: int,
+    scorer: str,
+    state_text: Column,
+    seed: int | str = 42,
+) -> DataFrame:
+    """Candidate actions by sampling: replicate each state n times (D10), ask the
+    scorer (P8), extract the move (P11) and keep the top-k by votes (A6)."""
+    from trajspark.operators.answers import extract_pattern
+    from trajspark.operators.infer import infer
+    from trajspark.operators.metrics import vote
+    from trajspark.operators.sampling import replicate
+
+    rep = replicate(states, n_samples, "replica")
+    ids = [*keys, "replica"]
+    pr = prompt_table(
+        rep, templates, "move_sample",
+        {"state": state_text, "moves": F.array_join(legal, ","), "sample": F.col("replica")},
+    )
+    resp = infer(pr, scorer, ids)
+    ext = extract_pattern(pr.select(*ids, legal).join(resp, ids), "response", legal, ids, seed=seed)
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
+    v = vote(ext.select(*keys, key.alias("_key"), F.col("action").alias("candidate"), F.col("replica").alias("sample_idx")),
+             "_key", "candidate", k)
+    first = ext.select(*keys, key.alias("_key")).distinct()
+    return v.join(first, "_key").drop("_key")

@@ -590,6 +590,17 @@ def _model_moves(spark, sf):
     return P.extract_pattern(j, "response", "legal", SKEYS, seed=42)
 
 
+@query("p7_candidates_voted")
+def p7v(spark, sf):
+    legal = _legal(spark, sf).groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("legal"))
+    st = V.states(spark, sf).select("state", "props").join(legal, "state")
+    out = PR.voted_candidates(
+        st, SKEYS, "legal", PR.template_table(spark), n_samples=3, k=2, scorer="best_move",
+        state_text=F.concat_ws(" ", "state", "props"), seed=42,
+    )
+    return out.select(*SKEYS, "candidate", "n_votes", "first_seen", "rank")
+
+
 @query("p10_epsilon_split")
 def p10(spark, sf):
     rnd, _ = _eps_split(spark, sf)

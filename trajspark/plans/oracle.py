@@ -666,3 +666,28 @@ SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(count(*) + 1 AS INTEGER) AS
        CAST(count(DISTINCT (array_to_string(pv_actions, ' '), final_state)) AS INTEGER) AS n_distinct
 FROM lookahead_ev GROUP BY user_id, week""",
 })
+
+VOTED = f""",
+legal AS (SELECT state, list_sort(list(DISTINCT action)) AS legal FROM (
+            SELECT state, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS action FROM ep_events) t
+          WHERE action IS NOT NULL GROUP BY state),
+rep AS (SELECT s.state, s.props, l.legal, CAST(unnest(range(3)) AS INTEGER) AS replica FROM states s JOIN legal l ON l.state = s.state),
+pr AS (SELECT *, {_fill('move_sample', {'state': "state || ' ' || props", 'moves': "array_to_string(legal, ',')", 'sample': 'replica'})} AS user
+       FROM rep),
+resp AS (SELECT *, '{{"best_move": ' || CAST(length(user) % 9 + 1 AS VARCHAR) || '}}' AS response FROM pr),
+ext AS (SELECT *, CASE WHEN len(string_split(response, '"best_move": ')) >= 2 THEN string_split(response, '"best_move": ')[2] END AS after
+        FROM resp),
+ext2 AS (SELECT *, TRY_CAST(substr(after, 1, 1) AS INTEGER) - 1 AS idx,
+                {_u2('42|pick', 'state, props, CAST(replica AS VARCHAR)')} AS u2 FROM ext),
+mv AS (SELECT state, props, replica,
+              CASE WHEN after IS NOT NULL AND idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN legal[idx + 1]
+                   ELSE legal[CAST(floor(u2 * len(legal)) AS INTEGER) + 1] END AS candidate
+       FROM ext2)
+"""
+
+SQL["p7_candidates_voted"] = W("ep_events", "states") + VOTED + """
+SELECT * FROM (
+  SELECT state, props, candidate, count(*) AS n_votes, min(replica) AS first_seen,
+         CAST(row_number() OVER (PARTITION BY state, props ORDER BY count(*) DESC, min(replica)) AS INTEGER) AS rank
+  FROM mv GROUP BY state, props, candidate) t
+WHERE rank <= 2"""
