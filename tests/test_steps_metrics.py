@@ -84,3 +84,14 @@ def test_masked_stats_cut_at_padding(spark):
     r = A.masked_stats(df, ["id"], "xs", F.lit(3)).first()
     assert (r.mean, r.min, r.max, r.n_kept) == (1.5, 1.0, 3.0, 3)
     assert abs(r.std - 0.816497) < 1e-6
+
+
+def test_running_stats_across_partitions(spark):
+    df = spark.range(0, 500, numPartitions=7).select(F.col("id").alias("k"), ((F.col("id") * 37) % 101).cast("double").alias("x"))
+    rows = A.running_stats(df, ["k"], "x").orderBy("k").collect()
+    xs = [(k * 37) % 101 for k in range(500)]
+    run_sum, run_max = 0.0, float("-inf")
+    for k, r in enumerate(rows):
+        run_sum += xs[k]
+        run_max = max(run_max, xs[k])
+        assert r.k == k and r.running_sum == run_sum and r.running_count == k + 1 and r.running_max == run_max

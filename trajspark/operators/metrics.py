@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.operators.steps import WS
+from trajspark.session import cut_lineage
 
 
 def _r(c: Column, d: int = 6) -> Column:
@@ -197,6 +198,68 @@ def normalise(df: DataFrame, x: str, out: str | None = None, eps: float = 1e-8)
     return df.withColumn(out or f"{x}_norm", (F.col(x) - stats["m"]) / (stats["s"] + F.lit(eps)))
 
 
+# Running aggregates ---------------------------------------------------------
+def running_stats(df: DataFrame, order: Sequence[str], value: str, prefix: str = "running") -> DataFrame:
+    """Running sum, count, mean and max of ``value`` in a global order, without a
+    single-partition window.
+
+    Distributed range sort → reliable checkpoint (fixes partition contents and
+    order) → one total per partition reaches the driver → inside each
+    partition a pandas cumulative sum / max continues from its partition's
+    offset. Work and memory per task stay bounded whatever the row count.
+    """
+    import pandas as pd
+    from pyspark.sql import types as TT
+
+    srt = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
+    tot = {
+        r["_pid"]: (r["s"] or 0.0, r["n"], r["m"])
+        for r in srt.groupBy("_pid").agg(
+            F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"), F.max(F.col(value).cast("double")).alias("m")
+        ).collect()
+    }
+    offsets, acc_s, acc_n, acc_m = {}, 0.0, 0, None
+    for p in sorted(tot):
+        offsets[p] = (acc_s, acc_n, acc_m)
+        s, n, m = tot[p]
+        acc_s, acc_n = acc_s + s, acc_n + n
+        acc_m = m if acc_m is None else (acc_m if m is None else max(acc_m, m))
+    names = [f"{prefix}_sum", f"{prefix}_count", f"{prefix}_mean", f"{prefix}_max"]
+
+    def scan(batches):
+        state = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if state is None:
+                state = offsets.get(int(pdf["_pid"].iloc[0]), (0.0, 0, None))
+            s0, n0, m0 = state
+            x = pd.to_numeric(pdf[value], errors="coerce").astype("float64")
+            cs = x.fillna(0.0).cumsum() + s0
+            cn = x.notna().cumsum() + n0
+            cm = x.cummax()
+            if m0 is not None:
+                cm = cm.fillna(m0).clip(lower=m0)
+            elif cm.isna().any():
+                cm = cm.ffill()
+            pdf[names[0]], pdf[names[1]] = cs, cn.astype("int64")
+            pdf[names[2]] = cs / cn.where(cn > 0)
+            pdf[names[3]] = cm
+            state = (float(cs.iloc[-1]), int(cn.iloc[-1]), None if pd.isna(cm.iloc[-1]) else float(cm.iloc[-1]))
+            yield pdf
+
+    schema = TT.StructType(
+        list(srt.schema.fields)
+        + [
+            TT.StructField(names[0], TT.DoubleType()),
+            TT.StructField(names[1], TT.LongType()),
+            TT.StructField(names[2], TT.DoubleType()),
+            TT.StructField(names[3], TT.DoubleType()),
+        ]
+    )
+    return srt.mapInPandas(scan, schema).drop("_pid")
+
+
 # A12 ------------------------------------------------------------------------
 def update_diagnostics(
     df: DataFrame,
@@ -233,13 +296,14 @@ def update_diagnostics(
     )
     total = F.col("policy_loss") + F.lit(value_coef) * F.col("value_loss") - F.lit(entropy_coef) * F.col("entropy")
     g = g.withColumn("total_loss", total)
-    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per batch: the running window runs over the (small) per-batch table only
+    # the running mean over batches is a distributed prefix scan: the number of
+    # minibatches grows with the data, so no single-partition window
+    g = running_stats(g, [batch], "total_loss", "_run")
     return g.select(
         batch,
         *[_r(F.col(c)).alias(c) for c in ("policy_loss", "value_loss", "entropy", "ratio_mean", "ratio_std", "clip_frac", "total_loss")],
         "n",
-        _r(F.avg("total_loss").over(w)).alias("running_total"),
+        _r(F.col("_run_mean")).alias("running_total"),
     )
 
 
@@ -247,8 +311,8 @@ def update_diagnostics(
 def best_so_far(df: DataFrame, epoch: str, reward: str) -> DataFrame:
     """Average reward per epoch and the best average seen so far."""
     g = df.groupBy(epoch).agg(F.avg(reward).alias("avg_reward"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select(epoch, _r(F.col("avg_reward")).alias("avg_reward"), "n", _r(F.max("avg_reward").over(w)).alias("best_so_far"))
+    g = running_stats(g, [epoch], "avg_reward", "_run")
+    return g.select(epoch, _r(F.col("avg_reward")).alias("avg_reward"), "n", _r(F.col("_run_max")).alias("best_so_far"))
 
 
 # A14 ------------------------------------------------------------------------
