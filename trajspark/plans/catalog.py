@@ -790,38 +790,58 @@ from trajspark.streaming import incremental as M  # noqa: E402
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _event_files(spark, sf, parts=(0, 1, 2, 3), root: str | None = None) -> str:
-    """The whole ``events`` table written as four stream files (split by event_id mod 4)."""
-    root = root or _scratch(spark, "stream-src")
+def _feed(spark, sf, run, split: str = "id", parts: int = 4) -> str:
+    """Feed the whole ``events`` table to a stream in ``parts`` folders.
+
+    Each folder is written with the table's own parallelism (no single-task
+    coalesce); after each one ``run(root)`` processes what is new
+    (``availableNow`` on a fixed checkpoint), so every query resumes from its
+    checkpoint between folders. ``split="id"`` deals rows by ``event_id``;
+    ``split="time"`` cuts ``ts`` into equal spans so folders arrive in
+    event-time order (no step is late).
+    """
+    root = _scratch(spark, "stream-src")
     ev = table(spark, sf, "events")
-    for k in parts:
-        ev.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("overwrite").parquet(f"{root}/part={k}")
+    if split == "time":
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        lo, hi = ev.select(F.min(us), F.max(us)).first()
+        k = F.floor((us - F.lit(lo)) * parts / F.lit(hi - lo + 1))
+    else:
+        k = F.col("event_id") % parts
+    for i in range(parts):
+        ev.where(k == i).write.mode("overwrite").parquet(f"{root}/part={i}")
+        run(root)
     return root
 
 
-def _stream(spark, root, max_files=1):
-    return M.event_stream(spark, f"{root}/part=*", EVENT_SCHEMA, max_files=max_files).select(
+def _stream(spark, root):
+    return M.event_stream(spark, f"{root}/part=*", EVENT_SCHEMA).select(
         "event_id", "ts", "user_id", F.col("event_type").alias("state"), "props", "value"
     )
 
 
+def _until_done(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 @query("m1_new_states")
 def m1(spark, sf):
-    root = _event_files(spark, sf)
-    table_path = _scratch(spark, "m1-table")
-    q = M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], _scratch(spark, "m1-ckpt"))
-    q.awaitTermination()
+    table_path, ckpt = _scratch(spark, "m1-table"), _scratch(spark, "m1-ckpt")
+    _feed(spark, sf, lambda root: _until_done(M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt)))
     return spark.read.parquet(table_path).select("state", "props")
 
 
 @query("m1_new_states_watermark")
 def m1w(spark, sf):
-    root = _event_files(spark, sf)
-    table_path = _scratch(spark, "m1w-table")
-    q = M.ingest_new_states(
-        _stream(spark, root), table_path, ["state", "props"], _scratch(spark, "m1w-ckpt"), watermark=("ts", "3650 days")
+    table_path, ckpt = _scratch(spark, "m1w-table"), _scratch(spark, "m1w-ckpt")
+    _feed(
+        spark, sf,
+        lambda root: _until_done(
+            M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt, watermark=("ts", "3650 days"))
+        ),
     )
-    q.awaitTermination()
     return spark.read.parquet(table_path).select("state", "props")
 
 
@@ -829,18 +849,23 @@ def _complete_to_parquet(df, path: str, ckpt: str) -> None:
     def write(batch, _bid):
         batch.write.mode("overwrite").parquet(path)
 
-    q = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt).trigger(
-        availableNow=True
-    ).start()
-    q.awaitTermination()
+    _until_done(
+        df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
+        .trigger(availableNow=True).start()
+    )
+
+
+def _append_to_parquet(df, path: str, ckpt: str) -> None:
+    _until_done(
+        df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", ckpt)
+        .trigger(availableNow=True).start()
+    )
 
 
 @query("m2_live_metrics")
 def m2(spark, sf):
-    root = _event_files(spark, sf)
-    agg = M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value")
-    path = _scratch(spark, "m2-out")
-    _complete_to_parquet(agg, path, _scratch(spark, "m2-ckpt"))
+    path, ckpt = _scratch(spark, "m2-out"), _scratch(spark, "m2-ckpt")
+    _feed(spark, sf, lambda root: _complete_to_parquet(M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value"), path, ckpt))
     out = spark.read.parquet(path)
     return out.select(
         F.col("window.start").cast("string").alias("window_start"), "state", "n",
@@ -848,12 +873,20 @@ def m2(spark, sf):
     )
 
 
+# Watermark delay of the M3 streams; the oracle closes what the final watermark passed.
+M3_DELAY = "1 hour"
+
+
 @query("m3_assemble_episodes")
 def m3(spark, sf):
-    root = _event_files(spark, sf)
-    ep = M.assemble_episodes(_stream(spark, root), ["user_id"], "ts", "2 hours", ["state"])
-    path = _scratch(spark, "m3-out")
-    _complete_to_parquet(ep, path, _scratch(spark, "m3-ckpt"))
+    """Session episodes in append mode: a session is written once the watermark passes its end."""
+    path, ckpt = _scratch(spark, "m3-out"), _scratch(spark, "m3-ckpt")
+
+    def run(root):
+        s = _stream(spark, root).withWatermark("ts", M3_DELAY)
+        _append_to_parquet(M.assemble_episodes(s, ["user_id"], "ts", "2 hours", ["event_id", "state"]), path, ckpt)
+
+    _feed(spark, sf, run, split="time")
     out = spark.read.parquet(path)
     return out.select(
         "user_id",
@@ -864,17 +897,34 @@ def m3(spark, sf):
     )
 
 
+@query("m3_terminal_episodes")
+def m3t(spark, sf):
+    """Episodes closed at the terminal step (purchase or error) or after 2 hours without a step."""
+    path, ckpt = _scratch(spark, "m3t-out"), _scratch(spark, "m3t-ckpt")
+
+    def run(root):
+        s = _stream(spark, root).withWatermark("ts", M3_DELAY)
+        ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state").isin("purchase", "error"), 7200)
+        _append_to_parquet(ep, path, ckpt)
+
+    _feed(spark, sf, run, split="time")
+    out = spark.read.parquet(path)
+    return out.select(
+        "user_id",
+        F.col("episode_start").cast("string").alias("episode_start"),
+        F.col("episode_end").cast("string").alias("episode_end"),
+        "n_steps", "states", "closed_by",
+    )
+
+
 @query("m4_resume")
 def m4(spark, sf):
-    root = _scratch(spark, "m4-src")
     sink, ckpt = _scratch(spark, "m4-sink"), _scratch(spark, "m4-ckpt")
-    _event_files(spark, sf, parts=(0, 1), root=root)
-    first = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
-    _event_files(spark, sf, parts=(2, 3), root=root)
-    second = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
-    third = M.run_incremental(_stream(spark, root, max_files=None), sink, ckpt)
+    runs: list[int] = []
+    root = _feed(spark, sf, lambda r: runs.append(M.run_incremental(_stream(spark, r), sink, ckpt)), parts=2)
+    runs.append(M.run_incremental(_stream(spark, root), sink, ckpt))  # nothing new: reprocesses nothing
     out = spark.read.parquet(sink).select("event_id", "state")
-    return out.withColumn("runs_with_new_rows", F.lit(int(first > 0) + int(second > 0) + int(third > 0)))
+    return out.withColumn("runs_with_new_rows", F.lit(sum(int(r > 0) for r in runs)))
 
 
 # ---------------------------------------------------------------- A9, D2

@@ -635,10 +635,28 @@ FROM events GROUP BY 1, 2""",
     "m3_assemble_episodes": """
 WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS brk
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, CAST(min(ts) AS VARCHAR) AS session_start, CAST(max(ts) + INTERVAL 2 HOUR AS VARCHAR) AS session_end,
-       count(*) AS n_steps, string_agg(event_type, ' ' ORDER BY ts, event_type) AS states
-FROM s GROUP BY user_id, sid""",
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+e AS (SELECT user_id, min(ts) AS st, max(ts) + INTERVAL 2 HOUR AS en, count(*) AS n_steps,
+             string_agg(event_type, ' ' ORDER BY ts, event_id) AS states
+      FROM s GROUP BY user_id, sid)
+SELECT user_id, CAST(st AS VARCHAR) AS session_start, CAST(en AS VARCHAR) AS session_end, n_steps, states
+FROM e WHERE en <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    "m3_terminal_episodes": """
+WITH b AS (SELECT *, lag(event_type) OVER w AS prev_type, lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, CASE WHEN prev_ts IS NULL OR prev_type IN ('purchase', 'error') OR ts - prev_ts >= INTERVAL 2 HOUR
+                     THEN 1 ELSE 0 END AS brk FROM b),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS eid FROM g),
+l AS (SELECT *, lead(eid) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM eid AS is_last FROM s),
+e AS (SELECT user_id, min(ts) AS st, max(ts) AS en, count(*) AS n_steps,
+             string_agg(event_type, ' ' ORDER BY ts, event_id) AS states,
+             bool_or(is_last AND event_type IN ('purchase', 'error')) AS term,
+             max(CASE WHEN is_last THEN next_ts END) AS nxt
+      FROM l GROUP BY user_id, eid)
+SELECT user_id, CAST(st AS VARCHAR) AS episode_start, CAST(en AS VARCHAR) AS episode_end, n_steps, states,
+       CASE WHEN term THEN 'terminal' ELSE 'inactive' END AS closed_by
+FROM e
+WHERE term OR nxt IS NOT NULL OR en + INTERVAL 2 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "m4_resume": "SELECT event_id, event_type AS state, 2 AS runs_with_new_rows FROM events",
 })
 

@@ -121,3 +121,71 @@ def run_incremental(
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return sum(int(p.get("numInputRows", 0)) for p in q.recentProgress)
+
+
+# M3 (stateful) ------------------------------------------------------------------
+EPISODE_OUT = "key bigint, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string"
+EPISODE_STATE = "start_us bigint, last_us bigint, n bigint, states string"
+
+
+def assemble_until_terminal(
+    stream: DataFrame, key: str, time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int
+) -> DataFrame:
+    """Episodes closed at once by a terminal step, or by ``gap_seconds`` of inactivity.
+
+    Custom state per key with ``applyInPandasWithState``: the open episode's
+    start, last step time, length and state text (bounded by one episode).
+    A new step after the gap closes the open episode; otherwise an event-time
+    timeout closes it once the watermark passes ``last + gap``. The caller
+    sets the watermark on ``time_col`` (Spark drops steps older than it).
+    Times cross the Python boundary as epoch microseconds, so the timeout
+    does not depend on the session time zone.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    gap_us = int(gap_seconds) * 1_000_000
+    term = F.col(terminal) if isinstance(terminal, str) else terminal
+    rows = stream.select(
+        F.col(key).alias("_k"), time_col, F.unix_micros(time_col).alias("_us"), F.col(order_col).alias("_o"),
+        F.col(state_col).cast("string").alias("_s"), term.alias("_t"),
+    )
+
+    def emit(k, start, last, n, states, how):
+        return pd.DataFrame(
+            {"key": [k], "start_us": [start], "end_us": [last], "n_steps": [n], "states": [states], "closed_by": [how]}
+        )
+
+    def fn(k, pdfs, state):
+        kk = int(k[0])
+        if state.hasTimedOut:
+            s0, l0, n0, st0 = state.get
+            state.remove()
+            yield emit(kk, s0, l0, n0, st0, "inactive")
+            return
+        cur = state.get if state.exists else None
+        batch = pd.concat(list(pdfs)).sort_values(["_us", "_o"])
+        for tu, st, end in zip(batch["_us"].tolist(), batch["_s"].tolist(), batch["_t"].tolist()):
+            if cur is not None and tu - cur[1] >= gap_us:
+                yield emit(kk, cur[0], cur[1], cur[2], cur[3], "inactive")
+                cur = None
+            cur = (tu, tu, 1, st) if cur is None else (cur[0], tu, cur[2] + 1, cur[3] + " " + st)
+            if bool(end):
+                yield emit(kk, cur[0], cur[1], cur[2], cur[3], "terminal")
+                cur = None
+        if cur is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(cur)
+            state.setTimeoutTimestamp((cur[1] + gap_us) // 1000)
+
+    out = rows.groupBy("_k").applyInPandasWithState(
+        fn, EPISODE_OUT, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return out.select(
+        F.col("key").alias(key),
+        F.timestamp_micros("start_us").alias("episode_start"),
+        F.timestamp_micros("end_us").alias("episode_end"),
+        "n_steps", "states", "closed_by",
+    )
