@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,13 +185,15 @@ def history_window(df: DataFrame, iteration: int, history: int, seed: int | str
 def contiguous_iterations(df: DataFrame, it_col: str = "iter") -> DataFrame:
     """Rows of iterations 1, 2, … up to the first gap.
 
-    The window runs over the distinct iteration list only (one row per
-    iteration), then a semi join keeps the rows.
+    The first gap is the smallest of {1} ∪ {i + 1} that is not an iteration:
+    an anti join of the distinct iteration list with itself and a global
+    ``min`` (partial aggregation; no window, no single partition). Rows are
+    then kept by a range filter.
     """
-    its = df.select(it_col).distinct()
-    rn = F.row_number().over(Window.orderBy(it_col))
-    ok = its.withColumn("_rn", rn).where(F.col("_rn") == F.col(it_col)).select(it_col)
-    return df.join(F.broadcast(ok), it_col, "left_semi")
+    its = df.select(F.col(it_col).cast("long").alias("_i")).distinct()
+    cand = its.select((F.col("_i") + 1).alias("_i")).union(df.sparkSession.range(1, 2).select(F.col("id").alias("_i")))
+    first_gap = cand.join(its, "_i", "left_anti").select(F.min("_i")).scalar()
+    return df.where((F.col(it_col) >= 1) & (F.col(it_col) < F.lit(first_gap)))
 
 
 # S8 -------------------------------------------------------------------------

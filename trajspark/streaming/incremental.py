@@ -151,27 +151,25 @@ def assemble_until_terminal(
         F.col(state_col).cast("string").alias("_s"), term.alias("_t"),
     )
 
-    def emit(k, start, last, n, states, how):
-        return pd.DataFrame(
-            {"key": [k], "start_us": [start], "end_us": [last], "n_steps": [n], "states": [states], "closed_by": [how]}
-        )
+    cols = ["key", "start_us", "end_us", "n_steps", "states", "closed_by"]
 
     def fn(k, pdfs, state):
         kk = int(k[0])
+        done: list[tuple] = []  # closed episodes of this call, returned as one frame
         if state.hasTimedOut:
             s0, l0, n0, st0 = state.get
             state.remove()
-            yield emit(kk, s0, l0, n0, st0, "inactive")
+            yield pd.DataFrame([(kk, s0, l0, n0, st0, "inactive")], columns=cols)
             return
         cur = state.get if state.exists else None
         batch = pd.concat(list(pdfs)).sort_values(["_us", "_o"])
         for tu, st, end in zip(batch["_us"].tolist(), batch["_s"].tolist(), batch["_t"].tolist()):
             if cur is not None and tu - cur[1] >= gap_us:
-                yield emit(kk, cur[0], cur[1], cur[2], cur[3], "inactive")
+                done.append((kk, cur[0], cur[1], cur[2], cur[3], "inactive"))
                 cur = None
             cur = (tu, tu, 1, st) if cur is None else (cur[0], tu, cur[2] + 1, cur[3] + " " + st)
             if bool(end):
-                yield emit(kk, cur[0], cur[1], cur[2], cur[3], "terminal")
+                done.append((kk, cur[0], cur[1], cur[2], cur[3], "terminal"))
                 cur = None
         if cur is None:
             if state.exists:
@@ -179,6 +177,8 @@ def assemble_until_terminal(
         else:
             state.update(cur)
             state.setTimeoutTimestamp((cur[1] + gap_us) // 1000)
+        if done:
+            yield pd.DataFrame(done, columns=cols)
 
     out = rows.groupBy("_k").applyInPandasWithState(
         fn, EPISODE_OUT, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout
