@@ -95,3 +95,16 @@ def test_running_stats_across_partitions(spark):
         run_sum += xs[k]
         run_max = max(run_max, xs[k])
         assert r.k == k and r.running_sum == run_sum and r.running_count == k + 1 and r.running_max == run_max
+
+
+def test_window_free_episode_facts_equal_the_steps_path(spark):
+    from trajspark.operators import metrics as A
+    from trajspark.plans import views as V
+
+    cols = ["user_id", "week", "iter", "first_state", "first_turn", "final_reward", "ep_return", "n_actions"]
+    sf = "/root/testdata/sf0.01"
+    direct = V.ep_event_facts(spark, sf).select(*cols)
+    via_steps = A.episode_facts(V.ep_events(spark, sf), V.EP_KEYS, extra=["iter"]).select(*cols)
+    assert [(f.name, f.dataType) for f in direct.schema] == [(f.name, f.dataType) for f in via_steps.schema]
+    assert direct.exceptAll(via_steps).count() == 0 and via_steps.exceptAll(direct).count() == 0
+    assert direct.count() > 0

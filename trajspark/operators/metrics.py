@@ -40,7 +40,11 @@ def episode_facts(steps: DataFrame, ep: Sequence[str], order: str = "step", extr
 # A1 -------------------------------------------------------------------------
 def win_rate(steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
     """Monte-Carlo label per (first state, first turn): mean final reward; black if the sum ≥ 0."""
-    f = episode_facts(steps, ep, order)
+    return win_rate_of(episode_facts(steps, ep, order))
+
+
+def win_rate_of(f: DataFrame) -> DataFrame:
+    """A1 over per-episode facts (first_state, first_turn, final_reward)."""
     return f.groupBy("first_state", "first_turn").agg(
         F.when(F.sum("final_reward") >= 0, F.lit("black")).otherwise(F.lit("white")).alias("win"),
         _r(F.avg("final_reward")).alias("win_rate"),
@@ -64,13 +68,16 @@ def _outcome_cols(f: DataFrame) -> list[Column]:
 
 def episode_outcomes(steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
     """Mean return and win/tie/loss rates from our side; empty input gives nulls and 0."""
-    f = episode_facts(steps, ep, order)
-    return f.agg(*_outcome_cols(f))
+    return outcomes_of(episode_facts(steps, ep, order))
 
 
 def outcomes_by_iteration(steps: DataFrame, ep: Sequence[str], order: str = "step", it: str = "iter") -> DataFrame:
-    f = episode_facts(steps, ep, order, extra=[it])
-    return f.groupBy(it).agg(*_outcome_cols(f))
+    return outcomes_of(episode_facts(steps, ep, order, extra=[it]), [it])
+
+
+def outcomes_of(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A2 (no ``by``) / A3 (``by`` = iteration) over per-episode facts."""
+    return (f.groupBy(*by) if by else f).agg(*_outcome_cols(f))
 
 
 # A4 -------------------------------------------------------------------------

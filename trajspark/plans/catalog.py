@@ -152,17 +152,17 @@ def t12(spark, sf):
 # ---------------------------------------------------------------- A family
 @query("a1_win_rate")
 def a1(spark, sf):
-    return A.win_rate(V.ep_events(spark, sf), EP)
+    return A.win_rate_of(V.ep_event_facts(spark, sf))
 
 
 @query("a2_episode_outcomes")
 def a2(spark, sf):
-    return A.episode_outcomes(V.ep_events(spark, sf), EP)
+    return A.outcomes_of(V.ep_event_facts(spark, sf))
 
 
 @query("a3_outcomes_by_iteration")
 def a3(spark, sf):
-    return A.outcomes_by_iteration(V.ep_events(spark, sf), EP)
+    return A.outcomes_of(V.ep_event_facts(spark, sf), ["iter"])
 
 
 @query("a4_key_counts")
@@ -172,7 +172,7 @@ def a4(spark, sf):
 
 
 def _ep_summary_input(spark, sf):
-    f = A.episode_facts(V.ep_events(spark, sf), EP)
+    f = V.ep_event_facts(spark, sf)
     return f.select(
         "first_state",
         F.col("ep_return").alias("reward"),
@@ -206,7 +206,7 @@ def a7(spark, sf):
 
 @query("a8_outcome_counts")
 def a8(spark, sf):
-    f = A.episode_facts(V.ep_events(spark, sf), EP, extra=["iter"])
+    f = V.ep_event_facts(spark, sf)
     return A.outcome_counts(f, "iter")
 
 
@@ -230,13 +230,13 @@ def a12(spark, sf):
 
 @query("a13_best_so_far")
 def a13(spark, sf):
-    f = A.episode_facts(V.ep_events(spark, sf), EP, extra=["iter"])
+    f = V.ep_event_facts(spark, sf)
     return A.best_so_far(f, "iter", "ep_return")
 
 
 @query("a14_score_board")
 def a14(spark, sf):
-    f = A.episode_facts(V.ep_events(spark, sf), EP, extra=["iter"])
+    f = V.ep_event_facts(spark, sf)
     scores = f.select(
         F.col("iter").alias("run"),
         F.lit("endgames").alias("benchmark"),
@@ -931,7 +931,7 @@ def m4(spark, sf):
 def _bench_results(spark, sf):
     """Benchmark games per (parameter combo, repeat): week episodes dealt to the 32
     combos by a seeded hash; repeat = iteration − 1 (0 is the search run)."""
-    f = A.episode_facts(V.ep_events(spark, sf), EP, extra=["iter"])
+    f = V.ep_event_facts(spark, sf)
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), F.col("user_id").cast("string"), F.col("week").cast("string"))), 1, 8), 16, 10)
     f = f.withColumn("combo", (h.cast("bigint") % 32).cast("int")).withColumn("repeat", F.col("iter") - 1)
     return f.groupBy("combo", "repeat").agg(

@@ -27,6 +27,43 @@ def _outcome(col) -> F.Column:
     return F.when(col == "purchase", 1).when(col == "error", -1).otherwise(0)
 
 
+def _weeks(ev: DataFrame) -> tuple[DataFrame, F.Column]:
+    """Add the episode week; the iteration is the week number from 1.
+
+    The first week is a scalar subquery: no cross join, no unpartitioned window.
+    """
+    ev = ev.withColumn("week", F.to_date(F.date_trunc("week", "ts")))
+    first_week = ev.select(F.min("week")).scalar()
+    return ev, (F.floor(F.datediff("week", first_week) / 7) + 1).cast("int").alias("iter")
+
+
+def ep_event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-episode facts of ``ep_events`` straight from ``events``, without a window.
+
+    Same rows as ``episode_facts(ep_events(...))``: only the last action earns
+    a reward (the outcome of the terminal event), so final reward = return =
+    outcome of the last event; the first turn is the turn at step 0; an
+    episode needs two events to hold an action. First and last events are
+    ``min_by`` / ``max_by`` on (ts, event_id): partial aggregation, so a hot
+    episode is combined map-side instead of landing whole in one task.
+    """
+    ev, it = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    order = F.struct("ts", "event_id")
+    f = ev.groupBy(*EP_KEYS).agg(
+        F.min_by("event_type", order).alias("first_state"),
+        F.max_by("event_type", order).alias("last_state"),
+        F.count(F.lit(1)).alias("n_steps"),
+    ).where(F.col("n_steps") > 1)
+    final = _outcome(F.col("last_state")).cast("int")
+    return f.select(
+        *EP_KEYS, it, "first_state",
+        ((F.col("user_id") % 2) == 0).alias("first_turn"),
+        final.alias("final_reward"),
+        final.cast("bigint").alias("ep_return"),
+        (F.col("n_steps") - 1).alias("n_actions"),
+    )
+
+
 def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as week episodes: episode = (user_id, week of ts).
 
@@ -34,10 +71,7 @@ def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     event type, the action is the next event type, the reward of the last
     action is the outcome of the terminal event; iter = week number from 1.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    ev = ev.withColumn("week", F.to_date(F.date_trunc("week", "ts")))
-    # first week as a scalar subquery: no cross join, no unpartitioned window
-    first_week = ev.select(F.min("week")).scalar()
+    ev, it = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
     w = Window.partitionBy(*EP_KEYS).orderBy("ts", "event_id")
     nxt = F.lead("event_type", 1).over(w)
     nxt2 = F.lead("event_type", 2).over(w)
@@ -45,7 +79,7 @@ def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         "user_id",
         "week",
-        (F.floor(F.datediff("week", first_week) / 7) + 1).cast("int").alias("iter"),
+        it,
         step.alias("step"),
         "event_id",
         F.col("event_type").alias("state"),
