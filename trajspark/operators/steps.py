@@ -302,3 +302,59 @@ def keep_last(df: DataFrame, ep: Sequence[str], order: str, k: int) -> DataFrame
     """History truncation: keep the last k items of every history."""
     w = Window.partitionBy(*ep).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+# Step numbering --------------------------------------------------------------
+def number_steps(
+    df: DataFrame, ep: Sequence[str], order: Sequence[str], carry: str, ahead: int = 2, slices: int | None = None
+) -> DataFrame:
+    """0-based ``step`` per episode and the next ``ahead`` values of ``carry``
+    (``_next1`` … ``_next{ahead}``), for episodes too large for one task.
+
+    A window per episode puts a whole episode in one task. Here the rows are
+    range-partitioned on (episode, order…), so a hot episode spreads over
+    many slices. Row numbers and look-ahead values are computed inside each
+    (slice, episode), and a small table with one row per (slice, episode)
+    supplies the offsets (sum of the earlier slices' counts) and the first
+    values of the following slices, which fill the look-ahead at slice ends.
+    The result equals ``row_number()`` / ``lead()`` over the episode.
+    """
+    from trajspark.session import write_table
+
+    order = list(order)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # slice ids come from sampled range bounds: written once as a table (shared
+    # checkpoint folder) so every branch below, and any retry, sees the same ids
+    r = write_table(df.repartitionByRange(slices, *ep, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    w = Window.partitionBy("_slice", *ep).orderBy(*order)
+    loc = r.select(
+        "*",
+        F.row_number().over(w).alias("_rn"),
+        *[F.lead(carry, i).over(w).alias(f"_n{i}") for i in range(1, ahead + 1)],
+    )
+    # one row per (slice, episode): count and the first `ahead` values
+    heads = loc.groupBy("_slice", *ep).agg(
+        F.count(F.lit(1)).alias("_cnt"),
+        F.sort_array(F.collect_list(F.when(F.col("_rn") <= ahead, F.struct("_rn", F.col(carry).alias("v"))))).alias("_h"),
+    )
+    ws = Window.partitionBy(*ep).orderBy("_slice")
+    heads = heads.select(
+        "_slice", *ep, "_cnt",
+        F.coalesce(F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        # every slice holds at least one row, so `ahead` following slices hold `ahead` values
+        F.slice(
+            F.flatten(F.collect_list(F.transform("_h", lambda x: x["v"])).over(ws.rowsBetween(1, ahead))), 1, ahead
+        ).alias("_after"),
+    )
+    j = loc.join(heads, ["_slice", *ep])
+    out = j.withColumn("step", (F.col("_off") + F.col("_rn") - 1).cast("int"))
+    # the i-th value ahead: local lead while the slice has it, else from the following slices
+    n_local = F.least(F.col("_cnt") - F.col("_rn"), F.lit(ahead))
+    for i in range(1, ahead + 1):
+        out = out.withColumn(
+            f"_next{i}",
+            F.when(F.lit(i) <= n_local, F.col(f"_n{i}")).otherwise(
+                F.try_element_at("_after", F.greatest(F.lit(i) - n_local, F.lit(1)).cast("int"))
+            ),
+        )
+    return out.drop("_slice", "_rn", "_off", "_after", "_cnt", *[f"_n{i}" for i in range(1, ahead + 1)])

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajspark.operators.steps import number_steps
 from trajspark.sources.tables import table
 
 EP_KEYS = ["user_id", "week"]
@@ -27,6 +28,32 @@ def _outcome(col) -> F.Column:
     return F.when(col == "purchase", 1).when(col == "error", -1).otherwise(0)
 
 
+# Largest episode (rows) still numbered by a window in one task; the session
+# conf ``trajspark.hotEpisodeRows`` overrides it.
+HOT_EPISODE_ROWS = 4_000_000
+# Rows per range slice on the hot-episode path (``trajspark.rowsPerSlice``).
+ROWS_PER_SLICE = 4_000_000
+_HOT: dict[tuple[str, str], tuple[bool, int]] = {}
+
+
+def hot_episodes(spark: SparkSession, sf_dir: str, ev: DataFrame, ep: list[str]) -> tuple[bool, int]:
+    """(some episode exceeds the one-task bound?, slices for the range path).
+
+    One partial-aggregate job, remembered per (table folder, threshold): both
+    plans give the same rows, so a stale answer only changes speed, never
+    results. Slices hold about ``ROWS_PER_SLICE`` rows each, and are never
+    fewer than ``spark.sql.shuffle.partitions``.
+    """
+    limit = int(spark.conf.get("trajspark.hotEpisodeRows", str(HOT_EPISODE_ROWS)))
+    key = (f"{sf_dir}|{','.join(ep)}", str(limit))
+    if key not in _HOT:
+        biggest, total = ev.groupBy(*ep).count().agg(F.max("count"), F.sum("count")).first()
+        per_slice = max(int(spark.conf.get("trajspark.rowsPerSlice", str(ROWS_PER_SLICE))), 1)
+        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // per_slice))
+        _HOT[key] = ((biggest or 0) > limit, slices)
+    return _HOT[key]
+
+
 def _weeks(ev: DataFrame) -> tuple[DataFrame, F.Column]:
     """Add the episode week; the iteration is the week number from 1.
 
@@ -72,10 +99,16 @@ def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     action is the outcome of the terminal event; iter = week number from 1.
     """
     ev, it = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    w = Window.partitionBy(*EP_KEYS).orderBy("ts", "event_id")
-    nxt = F.lead("event_type", 1).over(w)
-    nxt2 = F.lead("event_type", 2).over(w)
-    step = (F.row_number().over(w) - 1).cast("int")
+    hot, slices = hot_episodes(spark, sf_dir, ev, EP_KEYS)
+    if hot:
+        # an episode too large for one task: numbering and look-ahead over range slices
+        ev = number_steps(ev, EP_KEYS, ["ts", "event_id"], "event_type", ahead=2, slices=slices)
+        step, nxt, nxt2 = F.col("step"), F.col("_next1"), F.col("_next2")
+    else:
+        w = Window.partitionBy(*EP_KEYS).orderBy("ts", "event_id")
+        nxt = F.lead("event_type", 1).over(w)
+        nxt2 = F.lead("event_type", 2).over(w)
+        step = (F.row_number().over(w) - 1).cast("int")
     return ev.select(
         "user_id",
         "week",
