@@ -51,10 +51,24 @@ def test_write_buffer_keeps_nulls_and_appends(spark, tmp_path):
 def test_keyed_merge_last_wins(spark, tmp_path):
     _write_lines(tmp_path / "k.jsonl", [json.dumps({"1": "a", "2": "b"}), json.dumps({"1": "c"})])
     kv = S.read_keyed(spark, str(tmp_path / "k.jsonl"))
-    merged = {r.key: r.value for r in S.merge_keyed(kv, "key", "value", ["file", "pos"]).collect()}
+    merged = {r.key: r.value for r in S.merge_keyed(kv, "key", "value", ["file", "block", "pos"]).collect()}
     assert merged == {1: "c", 2: "b"}
 
 
+def test_keyed_merge_last_wins_across_file_splits(spark, tmp_path):
+    lines = [json.dumps({"1": f"v{i}", str(i + 10): "x" * (i % 7)}) for i in range(400)]
+    _write_lines(tmp_path / "big.jsonl", lines)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")  # many splits of one file
+    try:
+        kv = S.read_keyed(spark, str(tmp_path / "big.jsonl"))
+        assert kv.select("block").distinct().count() > 5
+        merged = {r.key: r.value for r in S.merge_keyed(kv, "key", "value", ["file", "block", "pos"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert merged[1] == "v399" and len(merged) == 401
+
+
 def test_read_runs_and_manifest(spark, tmp_path):
     for run in ("r1", "r2"):
         (tmp_path / run).mkdir()

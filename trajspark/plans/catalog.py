@@ -721,7 +721,7 @@ import uuid  # noqa: E402
 
 from pyspark.sql import types as TY  # noqa: E402
 
-from trajspark.session import checkpoint_dir  # noqa: E402
+from trajspark.session import checkpoint_dir, write_table  # noqa: E402
 from trajspark.sources import io as S  # noqa: E402
 
 
@@ -751,6 +751,45 @@ def s1r(spark, sf):
     return rejects.agg(F.count(F.lit(1)).alias("n_rejects"))
 
 
+@query("s4_read_runs")
+def s4(spark, sf):
+    """Each iteration's trajectories as its own run folder (one partitioned write), read back as one table."""
+    tr = T.to_trajectories(V.ep_events(spark, sf), [*EP, "iter"]).withColumn("week", F.col("week").cast("string"))
+    root = _scratch(spark, "s4")
+    S.write_buffer(tr.withColumn("run", F.concat(F.lit("iter-"), F.col("iter").cast("string"))).drop("iter"), root,
+                   partition_by=["run"])
+    extra = [TY.StructField("user_id", TY.LongType()), TY.StructField("week", TY.StringType())]
+    steps = S.read_runs(spark, f"{root}/run=*", "generic", extra)
+    return steps.select(
+        F.regexp_replace("run", "^run=", "").alias("run"), *EP, "step", "state", "action", "reward", "turn", "is_terminal"
+    )
+
+
+@query("s5_read_states")
+def s5(spark, sf):
+    """A trajectory buffer and a state buffer of the same states give one distinct, non-terminal state table."""
+    tr = T.to_trajectories(V.ep_events(spark, sf), EP).withColumn("week", F.col("week").cast("string"))
+    tpath, spath = _scratch(spark, "s5-traj"), _scratch(spark, "s5-states")
+    S.write_buffer(tr, tpath)
+    from_traj = S.read_states(spark, tpath, "trajectory", traj_kind="generic")
+    S.write_buffer(from_traj.select(F.col("state").alias("serializad_state")), spath)
+    from_states = S.read_states(spark, spath, "states")
+    both = from_traj.withColumn("src", F.lit("trajectory")).unionByName(from_states.withColumn("src", F.lit("states")))
+    return both.select("src", "state")
+
+
+@query("s10_manifest")
+def s10(spark, sf):
+    """An output written with its one-row manifest: parameters, seed and row counts."""
+    steps = V.ep_events(spark, sf)
+    out = _scratch(spark, "s10")
+    written = write_table(steps.where(F.col("action").isNotNull()), "s10-out")
+    counts = written.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*EP).alias("episodes")).first()
+    S.write_manifest(spark, out, {"seed": 42, "view": "ep_events", "filter": "action is not null"},
+                     {"rows": counts["rows"], "episodes": counts["episodes"]})
+    return spark.read.json(f"{out}/_manifest").select("params", "n_rows", "n_episodes")
+
+
 @query("s3_merge_keyed")
 def s3(spark, sf):
     return S.merge_keyed(V.keyed(spark, sf), "key", "value", ["seq"])

@@ -614,6 +614,18 @@ SELECT user_id, CAST(week AS VARCHAR) AS week, step, state, action, CAST(reward
 SELECT CAST(sum(len(list_filter(string_split('{"state": ' || text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*$'))))
             AS BIGINT) AS n_rejects
 FROM documents""",
+    "s4_read_runs": W("ep_events") + """
+SELECT 'iter-' || CAST(iter AS VARCHAR) AS run, user_id, CAST(week AS VARCHAR) AS week, step, state, action,
+       CAST(reward AS DOUBLE) AS reward, CASE WHEN action IS NOT NULL THEN turn END AS turn, is_terminal
+FROM ep_events""",
+    "s5_read_states": """
+SELECT 'trajectory' AS src, state FROM (SELECT DISTINCT event_type AS state FROM events) t
+UNION ALL
+SELECT 'states' AS src, state FROM (SELECT DISTINCT event_type AS state FROM events) s""",
+    "s10_manifest": W("ep_events") + """
+SELECT '{"filter": "action is not null", "seed": 42, "view": "ep_events"}' AS params,
+       count(*) AS n_rows, count(DISTINCT (user_id, week)) AS n_episodes
+FROM ep_events WHERE action IS NOT NULL""",
     "s3_merge_keyed": W("keyed") + "SELECT key, arg_max(value, seq) AS value FROM keyed GROUP BY key",
     "s6_history_window": W("ep_events") + """
 SELECT user_id, CAST(week AS VARCHAR) AS week, step, iter, state FROM ep_events WHERE iter BETWEEN 2 AND 4""",

@@ -117,11 +117,18 @@ def read_buffer(
 
 
 # S2 -------------------------------------------------------------------------
-def write_buffer(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSONL sink; nulls are written (they are meaningful, e.g. ``eval: null``)."""
+def write_buffer(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
+    """JSONL sink; nulls are written (they are meaningful, e.g. ``eval: null``).
+
+    ``partition_by`` writes one folder per value (e.g. one run folder per
+    iteration) in a single job.
+    """
     if mode not in ("overwrite", "append"):
         raise ValueError("mode must be 'overwrite' or 'append'")
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    w = df.write.mode(mode).option("ignoreNullFields", "false")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.json(path)
 
 
 # S3 -------------------------------------------------------------------------
@@ -131,22 +138,34 @@ def merge_keyed(df: DataFrame, key: str, value: str, order: Sequence[str]) -> Da
 
 
 def read_keyed(spark: SparkSession, paths: str | Sequence[str], value_type: str = "string") -> DataFrame:
-    """Lines of ``{key: value, …}`` objects → (key BIGINT, value, file, pos) rows; merge with ``merge_keyed``."""
+    """Lines of ``{key: value, …}`` objects → (key BIGINT, value, file, block, pos) rows.
+
+    Merge with ``merge_keyed(…, ["file", "block", "pos"])``: ``block`` is the
+    byte offset of the file split (Spark packs splits into tasks by size, so
+    a later split of a big file can get smaller ids), ``pos`` increases with
+    the line inside a split.
+    """
     raw = spark.read.text(_paths(paths)).select(
-        F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("pos"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"), "value",
     )
-    m = raw.select("file", "pos", F.from_json("value", f"map<string,{value_type}>").alias("_m"))
-    e = m.select("file", "pos", F.explode("_m").alias("_k", "value"))
-    return e.select(F.col("_k").cast("bigint").alias("key"), "value", "file", "pos")
+    m = raw.select("file", "block", "pos", F.from_json("value", f"map<string,{value_type}>").alias("_m"))
+    e = m.select("file", "block", "pos", F.explode("_m").alias("_k", "value"))
+    return e.select(F.col("_k").cast("bigint").alias("key"), "value", "file", "block", "pos")
 
 
 # S4 -------------------------------------------------------------------------
-def read_runs(spark: SparkSession, paths: str | Sequence[str], kind: str) -> DataFrame:
-    """Many run folders / comma-separated paths → one steps table with a ``run`` column."""
-    traj, _ = read_trajectories(spark, paths, kind)
-    run = F.regexp_extract(F.col("source_file"), r"^(.*)/[^/]+$", 1)
-    steps = trajectories_to_steps(traj.withColumn("run", run), kind, ["run", "episode_id"])
-    return steps
+def read_runs(
+    spark: SparkSession, paths: str | Sequence[str], kind: str, extra: Sequence[T.StructField] = ()
+) -> DataFrame:
+    """Many run folders / comma-separated paths / globs → one steps table.
+
+    ``run`` is the name of the folder that holds each file.
+    """
+    traj, _ = read_trajectories(spark, paths, kind, extra)
+    run = F.regexp_extract(F.col("source_file"), r"([^/]+)/[^/]+$", 1)
+    keys = ["run", "episode_id", *[f.name for f in extra]]
+    return trajectories_to_steps(traj.withColumn("run", run), kind, keys)
 
 
 # S5 -------------------------------------------------------------------------
