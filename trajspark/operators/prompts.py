@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.functions.keys import seeded_uniform
@@ -156,10 +156,6 @@ def seeded_legal_pick(legal: str, seed: int | str, keys: Sequence[str]) -> Colum
     return F.element_at(F.col(legal), (F.floor(u2 * F.size(legal)) + 1).cast("int"))
 
 
-def numbered_window(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-
-
 def voted_candidates(
     states: DataFrame,
     keys: Sequence[str],
