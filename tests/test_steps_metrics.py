@@ -141,3 +141,22 @@ def test_number_steps_across_many_slices(spark):
     )
     got = got.select("g", "t", "v", "step", "_next1", "_next2")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_audit_replay_counts_each_rule_in_one_pass(spark):
+    schema = "ep int, step int, state string, action string, turn boolean, is_terminal boolean"
+    rows = [
+        # episode 1: clean
+        (1, 0, "a", "b", True, False), (1, 1, "b", "c", False, False), (1, 2, "c", None, True, True),
+        # episode 2: same actor twice, the action does not name the next state, terminal flag early
+        (2, 0, "a", "b", True, False), (2, 1, "b", "x", True, True), (2, 2, "c", None, False, True),
+    ]
+    steps = spark.createDataFrame(rows, schema)
+    legal = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "b")], "state string, action string")
+    got = {r.rule: (r.n_checked, r.n_violations) for r in T.audit_replay(steps, ["ep"], legal=legal).collect()}
+    assert got == {
+        "alternation": (4, 1),
+        "next_state": (4, 1),
+        "terminal_flag": (6, 1),
+        "legal": (4, 1),  # (b, x) is not a legal move
+    }

@@ -92,7 +92,11 @@ def interaction_summary(episodes: DataFrame, start: str, cols: Sequence[str]) ->
     """mean / population std / min / max of each column per start point, plus a macro row.
 
     The macro row (start = '__macro__') averages the per-start statistics,
-    which is not what a rollup (the micro average) would give.
+    which a rollup over the episodes (the micro average) would not give. The
+    rollup here runs over the small per-start table instead: its detail rows
+    average one row (the value itself) and its grand-total row is the macro
+    average, so the input is aggregated once (a union of the per-start rows
+    and a second aggregate over them would compute the input twice).
     """
     stats = []
     for c in cols:
@@ -107,10 +111,11 @@ def interaction_summary(episodes: DataFrame, start: str, cols: Sequence[str]) ->
         *stats, F.count(F.lit(1)).alias("n_episodes")
     )
     names = [c for c in per.columns if c not in ("start", "n_episodes")]
-    macro = per.agg(*[_r(F.avg(n)).alias(n) for n in names], F.sum("n_episodes").alias("n_episodes")).select(
-        F.lit("__macro__").alias("start"), *names, "n_episodes"
+    r = per.rollup("start").agg(
+        *[_r(F.avg(n)).alias(n) for n in names], F.sum("n_episodes").alias("n_episodes"), F.grouping_id().alias("_g")
     )
-    return per.unionByName(macro)
+    label = F.when(F.col("_g") == 1, F.lit("__macro__")).otherwise(F.col("start"))
+    return r.select(label.alias("start"), *names, "n_episodes")
 
 
 # A6 -------------------------------------------------------------------------

@@ -127,25 +127,17 @@ def audit_replay(
         ("next_state", F.col("action").isNotNull(), ~F.col("action").eqNullSafe(F.col("_next_state"))),
         ("terminal_flag", F.lit(True), F.col("is_terminal") != F.col("_next_state").isNull()),
     ]
-    parts = [
-        t.agg(F.count_if(cond).alias("n_checked"), F.count_if(cond & bad).alias("n_violations")).select(
-            F.lit(name).alias("rule"), "n_checked", "n_violations"
-        )
-        for name, cond, bad in checks
-    ]
     if legal is not None:
-        acts = steps.where(F.col("action").isNotNull()).select("state", "action")
-        illegal = acts.join(legal.select("state", "action").distinct(), ["state", "action"], "left_anti")
-        n_illegal = illegal.agg(F.count(F.lit(1))).scalar()
-        parts.append(
-            acts.agg(F.count(F.lit(1)).alias("n_checked")).select(
-                F.lit("legal").alias("rule"), "n_checked", n_illegal.alias("n_violations")
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        # legal-move rule in the same pass: left join to the distinct rule table
+        ok = legal.select("state", "action").distinct().withColumn("_legal", F.lit(True))
+        t = t.join(ok, ["state", "action"], "left")
+        checks.append(("legal", F.col("action").isNotNull(), F.col("_legal").isNull()))
+    # every rule's counts in one aggregate (one pass over the steps), then one row per rule
+    aggs = []
+    for i, (_, cond, bad) in enumerate(checks):
+        aggs += [F.count_if(cond).alias(f"_c{i}"), F.count_if(cond & bad).alias(f"_v{i}")]
+    rows = ", ".join(f"'{name}', _c{i}, _v{i}" for i, (name, _, _) in enumerate(checks))
+    return t.agg(*aggs).selectExpr(f"stack({len(checks)}, {rows}) AS (rule, n_checked, n_violations)")
 
 
 # T7 -------------------------------------------------------------------------

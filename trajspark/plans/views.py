@@ -209,9 +209,9 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    fwd = li.select(p.alias("src"), s.alias("dst"))
-    bwd = li.select(s.alias("src"), p.alias("dst"))
-    return fwd.unionByName(bwd)
+    # both directions from one pass over the distinct pairs
+    both = F.array(F.struct(p.alias("src"), s.alias("dst")), F.struct(s.alias("src"), p.alias("dst")))
+    return li.select(F.explode(both).alias("_e")).select("_e.src", "_e.dst")
 
 
 def week_states(spark: SparkSession, sf_dir: str) -> DataFrame:
