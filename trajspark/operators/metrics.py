@@ -386,16 +386,21 @@ def leaderboard(grid: DataFrame, results: DataFrame, first_k: int = 10, final_k:
     which divides by the repeat count twice. The top-k sorts run on the
     per-combo table (one row per parameter set), not on the log.
     """
-    first = results.where(F.col("repeat") == 0).groupBy("combo").agg(F.sum("losses").alias("base_win"))
+    # both phases' per-combo figures in one aggregate (one pass over the results)
+    rp = F.col("repeat")
+    per = results.groupBy("combo").agg(
+        F.count_if(rp == 0).alias("_n_base"),
+        F.sum(F.when(rp == 0, F.col("losses"))).alias("base_win"),
+        F.sum(F.when(rp > 0, F.col("losses"))).alias("rep_losses"),
+        F.sum(F.when(rp > 0, F.col("games"))).alias("rep_games"),
+        F.count_distinct(F.when(rp > 0, rp)).alias("n_repeats"),
+    )
     top = (
-        grid.join(first, "combo")
+        grid.join(per.where(F.col("_n_base") > 0), "combo")
         .orderBy("base_win", "max_episode", "epsilon", "alpha")
         .limit(first_k)
     )
-    rep = results.where(F.col("repeat") > 0).groupBy("combo").agg(
-        F.sum("losses").alias("rep_losses"), F.sum("games").alias("rep_games"), F.count_distinct("repeat").alias("n_repeats")
-    )
-    j = top.join(rep, "combo")
+    j = top.where(F.col("n_repeats") > 0)
     pct = F.col("rep_losses") / F.col("rep_games") * 100
     ref = F.col("rep_losses") / F.col("n_repeats") / F.col("rep_games") * 100
     return (
