@@ -884,6 +884,18 @@ def m1w(spark, sf):
     return spark.read.parquet(table_path).select("state", "props")
 
 
+@query("m1_new_states_state")
+def m1s(spark, sf):
+    table_path, ckpt = _scratch(spark, "m1s-table"), _scratch(spark, "m1s-ckpt")
+    _feed(
+        spark, sf,
+        lambda root: _until_done(
+            M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt, mode="state")
+        ),
+    )
+    return spark.read.parquet(table_path).select("state", "props")
+
+
 def _complete_to_parquet(df, path: str, ckpt: str) -> None:
     def write(batch, _bid):
         batch.write.mode("overwrite").parquet(path)

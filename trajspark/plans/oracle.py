@@ -639,6 +639,7 @@ SELECT e.iter, count(*) AS n_steps FROM ep_events e JOIN its ON its.iter = e.ite
 
 SQL.update({
     "m1_new_states": "SELECT DISTINCT event_type AS state, props FROM events",
+    "m1_new_states_state": "SELECT DISTINCT event_type AS state, props FROM events",
     "m1_new_states_watermark": "SELECT DISTINCT event_type AS state, props FROM events",
     "m2_live_metrics": """
 SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS window_start, event_type AS state, count(*) AS n,

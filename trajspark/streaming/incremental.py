@@ -32,6 +32,7 @@ def ingest_new_states(
     checkpoint: str,
     watermark: tuple[str, str] | None = None,
     trigger_available_now: bool = True,
+    mode: str | None = None,
 ) -> StreamingQuery:
     """Append only states never seen before to the table at ``table_path``.
 
@@ -40,9 +41,20 @@ def ingest_new_states(
     overwrite mode, so a retried batch replaces its own output (idempotent).
     Bounded-state mode (``watermark=(time_col, delay)``): Spark keeps the keys
     seen within the watermark (``dropDuplicatesWithinWatermark``).
+    State mode (``mode="state"``): exact and incremental; every key seen by the
+    stream is kept in the state store (``dropDuplicates`` without a
+    watermark), so a batch costs its own size, not a scan of the table. The
+    state grows with the distinct keys; run it on the RocksDB state store
+    provider (session conf) when they outgrow executor memory. Unlike the
+    table mode it does not know rows written to the table by other jobs.
     """
     keys = list(keys)
     spark = stream.sparkSession
+    if mode == "state":
+        out = stream.select(*keys).dropna(how="all").dropDuplicates(keys)
+        w = out.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
+        w = w.outputMode("append")
+        return (w.trigger(availableNow=True) if trigger_available_now else w).start()
     if watermark is not None:
         time_col, delay = watermark
         out = stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys).select(*keys)
