@@ -173,3 +173,25 @@ def test_td0_two_sweeps(spark):
     v = {r.state: r.value for r in VE.td0(tr, alpha=0.5, sweeps=2).collect()}
     # sweep 1: v(b) = 0.5; sweep 2: v(a) = 0.5 * 0.5 = 0.25, v(b) = 0.75
     assert v == {"a": 0.25, "b": 0.75, "t": 0.0}
+
+
+def test_salt_digits_grow_with_the_hot_key(spark):
+    from trajspark.operators import sampling as D
+
+    df = spark.range(0, 5000).selectExpr("CASE WHEN id < 4000 THEN 'hot' ELSE CAST(id AS STRING) END AS k")
+    assert D.salt_digits_for(df, ["k"], bound=5000) == 0
+    assert D.salt_digits_for(df, ["k"], bound=1000) == 1     # 4000 rows → 16 buckets of ≤ 1000
+    assert D.salt_digits_for(df, ["k"], bound=10) == 3       # 16**3 buckets hold 4000 rows at ≤ 10
+
+
+def test_mc_prompts_salted_path_equals_plain(spark, monkeypatch):
+    import __spark_entry__ as E
+    from trajspark.operators import sampling as D
+
+    sf = "/root/testdata/sf0.01"
+    plain = E.queries()["p2_mc_prompts"](spark, sf)
+    plain_rows = plain.collect()
+    monkeypatch.setattr(D, "HOT_KEY_ROWS", 3)  # every (state, action) key is "hot"
+    salted = E.queries()["p2_mc_prompts"](spark, sf)
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain_rows))

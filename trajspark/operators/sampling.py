@@ -132,6 +132,24 @@ def replicate(df: DataFrame, n: int, name: str = "replica") -> DataFrame:
 
 
 # D11 ------------------------------------------------------------------------
+# Rows of one key that a single task may rank (``chunk`` auto-salting).
+HOT_KEY_ROWS = 4_000_000
+
+
+def salt_digits_for(sizes_of: DataFrame, keys: Sequence[str], bound: int | None = None) -> int:
+    """md5-prefix digits that cut the largest key into buckets of at most
+    ``bound`` rows (0 = no key is hot). One partial-aggregate job over
+    ``sizes_of``, which must have one row per row to be chunked (pass the
+    cheapest table with that property)."""
+    import math
+
+    bound = HOT_KEY_ROWS if bound is None else bound
+    biggest = sizes_of.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= bound:
+        return 0
+    return min(8, max(1, math.ceil(math.log(biggest / bound, 16))))
+
+
 def chunk(
     df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, seed: int | str = 42, salted: bool = False,
     salt_digits: int = 2,
