@@ -238,6 +238,8 @@ FROM (SELECT user_id, week, step, concat_ws('|', state, action) AS sa_key,
       FROM ep_events WHERE turn AND action IS NOT NULL) t"""
 
 SQL.update({
+    # the order is the feature (unit test); the twin checks no row is lost or repeated
+    "d8_shuffle": W("states") + "SELECT state, props, is_terminal FROM states",
     "d1_distinct_states": W("raw_states") + "SELECT state, props, count(*) AS n_copies FROM raw_states GROUP BY state, props",
     "d1_distinct_counts": W("raw_states") + "SELECT count(*) AS n_before, count(DISTINCT (state, props)) AS n_after FROM raw_states",
     "d3_not_done": W("states", "week_states") + """
