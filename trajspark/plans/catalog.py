@@ -492,9 +492,10 @@ def p2(spark, sf):
     s = T.suffixes(V.ep_events(spark, sf), EP).select(
         *EP, "start", "state", "action", sa_key("state", "action").alias("sa_key"), _game_text().alias("game_text")
     )
-    # one suffix per own step: the key sizes come from the cheap own-step table
-    own = T.own_steps(V.ep_events(spark, sf)).select(sa_key("state", "action").alias("sa_key"))
-    digits = D.salt_digits_for(own, ["sa_key"])
+    # one suffix per own step, and a (state, action) pair occurs at most as often
+    # as its state: counting states on the raw table (one column, partial
+    # aggregation) bounds every key; salting more than needed changes nothing
+    digits = D.salt_digits_for(table(spark, sf, "events").select(F.col("event_type").alias("state")), ["state"])
     ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42, salted=digits > 0, salt_digits=max(digits, 1))
     out = PR.mc_prompts(ch, ["sa_key"], PR.template_table(spark))
     return out.select("sa_key", "chunk", "state", "action", "n_games", "user")
