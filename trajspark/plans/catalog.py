@@ -919,9 +919,16 @@ def _append_to_parquet(df, path: str, ckpt: str) -> None:
 
 @query("m2_live_metrics")
 def m2(spark, sf):
+    """Update mode with a watermark: closed windows leave the state; each batch
+    writes the windows it changed, readers keep the last version per window."""
     path, ckpt = _scratch(spark, "m2-out"), _scratch(spark, "m2-ckpt")
-    _feed(spark, sf, lambda root: _complete_to_parquet(M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value"), path, ckpt))
-    out = spark.read.parquet(path)
+
+    def run(root):
+        agg = M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value", watermark="1 hour")
+        M.write_updates(agg, path, ckpt).awaitTermination()
+
+    _feed(spark, sf, run, split="time")
+    out = M.read_latest(spark, path, ["window", "state"])
     return out.select(
         F.col("window.start").cast("string").alias("window_start"), "state", "n",
         F.round("mean_value", 6).alias("mean_value"), "min_value", "max_value",

@@ -100,6 +100,26 @@ def live_metrics(
     )
 
 
+def write_updates(agg: DataFrame, path: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
+    """Update-mode sink: each micro-batch writes the groups it changed to its own
+    ``batch_id=`` folder (overwrite, so a retried batch replaces itself)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if trigger_available_now else w).start()
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """Current value of every group written by ``write_updates``: the row of the
+    latest batch per key (``max_by``, a partial aggregation; no sort)."""
+    df = spark.read.parquet(path)
+    vals = [c for c in df.columns if c not in (*keys, "batch_id")]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
+    return last.select(*keys, *[F.col("_v")[c].alias(c) for c in vals])
+
+
 # M3 -------------------------------------------------------------------------
 def assemble_episodes(stream: DataFrame, key: Sequence[str], time_col: str, gap: str, step_cols: Sequence[str]) -> DataFrame:
     """Episodes from a step stream: a session closes after ``gap`` of inactivity.
