@@ -900,16 +900,6 @@ def m1s(spark, sf):
     return spark.read.parquet(table_path).select("state", "props")
 
 
-def _complete_to_parquet(df, path: str, ckpt: str) -> None:
-    def write(batch, _bid):
-        batch.write.mode("overwrite").parquet(path)
-
-    _until_done(
-        df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
-    )
-
-
 def _append_to_parquet(df, path: str, ckpt: str) -> None:
     _until_done(
         df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", ckpt)
