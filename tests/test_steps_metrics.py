@@ -160,3 +160,25 @@ def test_audit_replay_counts_each_rule_in_one_pass(spark):
         "terminal_flag": (6, 1),
         "legal": (4, 1),  # (b, x) is not a legal move
     }
+
+
+def test_running_stats_across_partitions_with_nulls(spark):
+    import pandas as pd
+
+    n = 1000
+    rows = [(i, None if i % 7 == 0 or 300 <= i < 340 else float((i * 37) % 101 - 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, x double").repartition(13)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        got = A.running_stats(df, ["k"], "x", "r").orderBy("k").toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    x = pd.Series([r[1] for r in rows], dtype="float64")
+    want_sum = x.fillna(0).cumsum()
+    want_cnt = x.notna().cumsum()
+    want_max = x.cummax().ffill()
+    assert (got["r_sum"] - want_sum).abs().max() < 1e-9
+    assert (got["r_count"] == want_cnt).all()
+    assert ((got["r_mean"] - want_sum / want_cnt.where(want_cnt > 0)).abs().fillna(0) < 1e-9).all()
+    assert ((got["r_max"] - want_max).abs().fillna(0) < 1e-12).all()

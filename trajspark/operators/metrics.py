@@ -215,61 +215,47 @@ def running_stats(df: DataFrame, order: Sequence[str], value: str, prefix: str =
     """Running sum, count, mean and max of ``value`` in a global order, without a
     single-partition window.
 
-    Distributed range sort → reliable checkpoint (fixes partition contents and
-    order) → one total per partition reaches the driver → inside each
-    partition a pandas cumulative sum / max continues from its partition's
-    offset. Work and memory per task stay bounded whatever the row count.
+    Distributed range sort → reliable checkpoint (fixes partition contents) →
+    one total per partition reaches the driver → a window per partition id
+    (JVM-side) continues from its partition's offset, taken from literal
+    arrays with one entry per partition. Work and memory per task stay
+    bounded whatever the row count.
     """
-    import pandas as pd
-    from pyspark.sql import types as TT
-
     srt = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
+    x = F.col(value).cast("double")
     tot = {
         r["_pid"]: (r["s"] or 0.0, r["n"], r["m"])
-        for r in srt.groupBy("_pid").agg(
-            F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n"), F.max(F.col(value).cast("double")).alias("m")
-        ).collect()
+        for r in srt.groupBy("_pid").agg(F.sum(x).alias("s"), F.count(x).alias("n"), F.max(x).alias("m")).collect()
     }
-    offsets, acc_s, acc_n, acc_m = {}, 0.0, 0, None
-    for p in sorted(tot):
-        offsets[p] = (acc_s, acc_n, acc_m)
-        s, n, m = tot[p]
+    names = [f"{prefix}_sum", f"{prefix}_count", f"{prefix}_mean", f"{prefix}_max"]
+    if not tot:
+        return srt.drop("_pid").select(
+            "*", *[F.lit(None).cast("long" if n.endswith("_count") else "double").alias(n) for n in names]
+        )
+    # offsets: totals of all earlier partitions (a loop over one row per partition)
+    off_s, off_n, off_m = [], [], []
+    acc_s, acc_n, acc_m = 0.0, 0, None
+    for p in range(max(tot) + 1):
+        off_s.append(acc_s)
+        off_n.append(acc_n)
+        off_m.append(acc_m)
+        s, n, m = tot.get(p, (0.0, 0, None))
         acc_s, acc_n = acc_s + s, acc_n + n
         acc_m = m if acc_m is None else (acc_m if m is None else max(acc_m, m))
-    names = [f"{prefix}_sum", f"{prefix}_count", f"{prefix}_mean", f"{prefix}_max"]
-
-    def scan(batches):
-        state = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if state is None:
-                state = offsets.get(int(pdf["_pid"].iloc[0]), (0.0, 0, None))
-            s0, n0, m0 = state
-            x = pd.to_numeric(pdf[value], errors="coerce").astype("float64")
-            cs = x.fillna(0.0).cumsum() + s0
-            cn = x.notna().cumsum() + n0
-            cm = x.cummax()
-            if m0 is not None:
-                cm = cm.fillna(m0).clip(lower=m0)
-            elif cm.isna().any():
-                cm = cm.ffill()
-            pdf[names[0]], pdf[names[1]] = cs, cn.astype("int64")
-            pdf[names[2]] = cs / cn.where(cn > 0)
-            pdf[names[3]] = cm
-            state = (float(cs.iloc[-1]), int(cn.iloc[-1]), None if pd.isna(cm.iloc[-1]) else float(cm.iloc[-1]))
-            yield pdf
-
-    schema = TT.StructType(
-        list(srt.schema.fields)
-        + [
-            TT.StructField(names[0], TT.DoubleType()),
-            TT.StructField(names[1], TT.LongType()),
-            TT.StructField(names[2], TT.DoubleType()),
-            TT.StructField(names[3], TT.DoubleType()),
-        ]
-    )
-    return srt.mapInPandas(scan, schema).drop("_pid")
+    at = F.col("_pid") + 1
+    s0 = F.element_at(F.array(*[F.lit(float(v)) for v in off_s]), at)
+    n0 = F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in off_n]), at)
+    m0 = F.element_at(F.array(*[F.lit(None if v is None else float(v)).cast("double") for v in off_m]), at)
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cs = F.coalesce(F.sum(x).over(w), F.lit(0.0)) + s0
+    cn = F.count(x).over(w) + n0
+    return srt.select(
+        "*",
+        cs.alias(names[0]),
+        cn.alias(names[1]),
+        (cs / F.when(cn > 0, cn)).alias(names[2]),
+        F.greatest(F.max(x).over(w), m0).alias(names[3]),
+    ).drop("_pid")
 
 
 # A12 ------------------------------------------------------------------------
