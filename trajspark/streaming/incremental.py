@@ -25,6 +25,10 @@ def event_stream(spark: SparkSession, path: str, schema: str, time_col: str = "t
 
 
 # M1 -------------------------------------------------------------------------
+# Distinct keys of one micro-batch that may be broadcast (checked by a count).
+BATCH_KEYS_BROADCAST = 1_000_000
+
+
 def ingest_new_states(
     stream: DataFrame,
     table_path: str,
@@ -39,6 +43,9 @@ def ingest_new_states(
     Exact mode (default): each micro-batch is deduplicated and anti-joined
     with the table; the batch is written to its own ``batch_id=`` folder in
     overwrite mode, so a retried batch replaces its own output (idempotent).
+    When the batch's distinct keys are few (a count against
+    ``BATCH_KEYS_BROADCAST``), the table is streamed once against a broadcast
+    of those keys instead of being shuffled for the anti join.
     Bounded-state mode (``watermark=(time_col, delay)``): Spark keeps the keys
     seen within the watermark (``dropDuplicatesWithinWatermark``).
     State mode (``mode="state"``): exact and incremental; every key seen by the
@@ -66,10 +73,20 @@ def ingest_new_states(
         new = batch.select(*keys).dropna(how="all").distinct()
         try:
             seen = spark.read.parquet(table_path).where(F.col("batch_id") < batch_id).select(*keys)
-            new = new.join(seen, [new[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
         except AnalysisException:
-            pass  # first batch: the table does not exist yet
+            seen = None  # first batch: the table does not exist yet
+        if seen is not None:
+            new = new.persist()  # counted, then joined: the batch keys are computed once
+            n_new = new.count()
+            if n_new <= BATCH_KEYS_BROADCAST:
+                # small batch: stream the table once against a broadcast of the
+                # batch keys (no shuffle of the table), then drop the few matches
+                hit = seen.join(F.broadcast(new), [seen[k].eqNullSafe(new[k]) for k in keys], "left_semi")
+                new = new.join(hit, [new[k].eqNullSafe(hit[k]) for k in keys], "left_anti")
+            else:
+                new = new.join(seen, [new[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
         new.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        new.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
