@@ -182,3 +182,14 @@ def test_running_stats_across_partitions_with_nulls(spark):
     assert (got["r_count"] == want_cnt).all()
     assert ((got["r_mean"] - want_sum / want_cnt.where(want_cnt > 0)).abs().fillna(0) < 1e-9).all()
     assert ((got["r_max"] - want_max).abs().fillna(0) < 1e-12).all()
+
+
+def test_transitions_by_join_equal_the_window(spark):
+    from trajspark.plans import views as V
+
+    steps = V.ep_events(spark, "/root/testdata/sf0.01")
+    a = T.to_transitions(steps, V.EP_KEYS)
+    b = T.to_transitions(steps, V.EP_KEYS, skew_safe=True)
+    assert a.columns == b.columns
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    assert b.where(F.col("next_state").isNull()).count() == 0  # every action has a next state

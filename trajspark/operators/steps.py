@@ -24,8 +24,21 @@ def _w(ep: Sequence[str], order: str = "step", desc: bool = False):
 
 
 # T1 -------------------------------------------------------------------------
-def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
-    """(s, a, r, s', turn, step) for every step that has an action."""
+def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step", skew_safe: bool = False) -> DataFrame:
+    """(s, a, r, s', turn, step) for every step that has an action.
+
+    ``skew_safe`` (for episodes too large for one task; ``order`` must be the
+    dense 0-based step number): s' comes from an equi-join on
+    (episode…, step + 1). Both sides hash on the step as well, so a long
+    episode spreads over many tasks instead of one window partition.
+    """
+    if skew_safe:
+        nxt = steps.select(
+            *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
+        )
+        cur = steps.where(F.col("action").isNotNull())
+        cond = [cur[k] == nxt[f"_n_{k}"] for k in ep] + [cur[order] == nxt["_n_o"]]
+        return cur.join(nxt, cond, "left").select(*ep, order, "state", "action", "reward", "next_state", "turn")
     w = _w(ep, order)
     return (
         steps.withColumn("next_state", F.lead("state").over(w))

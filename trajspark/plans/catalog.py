@@ -42,7 +42,7 @@ def _join(c, sep: str = " ") -> F.Column:
 # ---------------------------------------------------------------- T family
 @query("t1_transitions")
 def t1(spark, sf):
-    return _wk(T.to_transitions(V.ep_events(spark, sf), EP))
+    return _wk(T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)))
 
 
 @query("t2_own_steps")
@@ -503,7 +503,7 @@ def p2(spark, sf):
 
 @query("p3_visit_prompts")
 def p3(spark, sf):
-    tr = T.to_transitions(V.ep_events(spark, sf), EP).select("state", "turn").distinct()
+    tr = T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)).select("state", "turn").distinct()
     out = PR.prompt_table(tr, PR.template_table(spark), "evaluate", {"state": F.col("state"), "turn": F.col("turn")})
     return out.select("state", "turn", "user")
 
@@ -570,7 +570,7 @@ def p6(spark, sf):
 
 
 def _legal(spark, sf):
-    return T.to_transitions(V.ep_events(spark, sf), EP).select("state", "action").distinct()
+    return T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)).select("state", "action").distinct()
 
 
 @query("p7_candidates")

@@ -54,6 +54,12 @@ def hot_episodes(spark: SparkSession, sf_dir: str, ev: DataFrame, ep: list[str])
     return _HOT[key]
 
 
+def events_hot(spark: SparkSession, sf_dir: str) -> bool:
+    """Is some week episode of ``events`` above the one-task bound? (memoised check)"""
+    ev, _ = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
+    return hot_episodes(spark, sf_dir, ev, EP_KEYS)[0]
+
+
 def _weeks(ev: DataFrame) -> tuple[DataFrame, F.Column]:
     """Add the episode week; the iteration is the week number from 1.
 
