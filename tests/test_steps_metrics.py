@@ -193,3 +193,14 @@ def test_transitions_by_join_equal_the_window(spark):
     assert a.columns == b.columns
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     assert b.where(F.col("next_state").isNull()).count() == 0  # every action has a next state
+
+
+def test_look_ahead_by_offsets_equals_the_window(spark):
+    from trajspark.plans import views as V
+
+    steps = V.ep_events(spark, "/root/testdata/sf0.01")
+    for k in (1, 4):
+        a = T.look_ahead(steps, V.EP_KEYS, k=k)
+        b = T.look_ahead(steps, V.EP_KEYS, k=k, skew_safe=True)
+        assert a.schema.simpleString() == b.schema.simpleString()
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -233,14 +233,21 @@ def to_trajectories(steps: DataFrame, ep: Sequence[str], order: str = "step") ->
 
 
 # T10 ------------------------------------------------------------------------
-def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step") -> DataFrame:
+def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step", skew_safe: bool = False) -> DataFrame:
     """k-step look-ahead over logged games.
 
     Per state with an action: the next k actions and rewards and a
     ``final_state``: the state k steps ahead with its turn (eval null), or the
     terminal state (turn null) when the game ends inside the window. A
     bounded sliding frame keeps this O(n·k) per episode.
+
+    ``skew_safe`` (``order`` must be the dense 0-based step number): every
+    row is sent to the k + 1 anchor steps that see it (offsets 0..k) and one
+    aggregate per (episode…, anchor) gathers them: groups of at most k + 1
+    rows, hashed on the step as well, so a long episode spreads over tasks.
     """
+    if skew_safe:
+        return _look_ahead_by_offsets(steps, ep, k, order)
     w = _w(ep, order)
     frame = w.rowsBetween(0, k - 1)
     ahead_state = F.lead("state", k).over(w)
@@ -275,6 +282,44 @@ def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step")
     )
 
 
+def _look_ahead_by_offsets(steps: DataFrame, ep: Sequence[str], k: int, order: str) -> DataFrame:
+    j = F.col("_j")
+    rep = steps.select(
+        *ep, order, "state", "action", "reward", "turn", "is_terminal", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_j")
+    ).withColumn("_anchor", F.col(order) - j)
+
+    def ordered(col: str) -> F.Column:
+        picked = F.collect_list(F.when((j < k) & F.col(col).isNotNull(), F.struct(j.alias("j"), F.col(col).alias("v"))))
+        return F.transform(F.sort_array(picked), lambda x: x["v"])
+
+    g = rep.where(F.col("_anchor") >= 0).groupBy(*ep, "_anchor").agg(
+        F.max(F.when(j == 0, F.lit(1))).alias("_has"),
+        F.max_by(F.when(j == 0, F.col("state")), F.when(j == 0, j)).alias("state"),
+        F.max(F.when(j == 0, F.col("action").isNotNull())).alias("_act"),
+        ordered("action").alias("pv_actions"),
+        ordered("reward").alias("pv_rewards"),
+        F.max_by(F.when(j == k, F.col("state")), F.when(j == k, j)).alias("_as"),
+        F.max(F.when(j == k, F.col("is_terminal"))).alias("_at"),
+        F.max(F.when(j == k, F.col("turn"))).alias("_au"),
+        F.max_by("state", j).alias("_last"),  # the furthest row seen: the episode's last one when it ends early
+    )
+    g = g.where((F.col("_has") == 1) & F.col("_act"))
+    ended = F.col("_as").isNull() | F.col("_at")
+    return g.select(
+        *ep,
+        F.col("_anchor").cast(steps.schema[order].dataType).alias(order),
+        "state",
+        "pv_actions",
+        "pv_rewards",
+        F.struct(
+            F.coalesce(F.col("_as"), F.col("_last")).alias("state"),
+            F.lit(None).cast("string").alias("eval"),
+            F.when(ended, F.lit(None).cast("boolean")).otherwise(F.col("_au")).alias("turn"),
+            ended.alias("is_terminal"),
+        ).alias("final_state"),
+    )
+
+
 # T11 ------------------------------------------------------------------------
 def token_rows(
     texts: DataFrame,

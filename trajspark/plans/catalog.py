@@ -121,7 +121,7 @@ def t9o(spark, sf):
 
 @query("t10_look_ahead")
 def t10(spark, sf):
-    la = T.look_ahead(V.ep_events(spark, sf), EP, k=4)
+    la = T.look_ahead(V.ep_events(spark, sf), EP, k=4, skew_safe=V.events_hot(spark, sf))
     return _wk(
         la.select(
             *EP, "step", "state",
