@@ -204,3 +204,14 @@ def test_look_ahead_by_offsets_equals_the_window(spark):
         b = T.look_ahead(steps, V.EP_KEYS, k=k, skew_safe=True)
         assert a.schema.simpleString() == b.schema.simpleString()
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_own_view_by_joins_equals_the_windows(spark):
+    from trajspark.plans import views as V
+
+    steps = V.ep_events(spark, "/root/testdata/sf0.01").select(*V.EP_KEYS, "step", "state", "action", "reward", "turn", "value")
+    for credit in (False, True):
+        a = T.own_view(steps, V.EP_KEYS, credit_final=credit, extra=["value"])
+        b = T.own_view(steps, V.EP_KEYS, credit_final=credit, extra=["value"], skew_safe=True)
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -163,7 +163,8 @@ def with_sa_key(df: DataFrame, state: str = "state", action: str = "action", buc
 
 # T8 -------------------------------------------------------------------------
 def own_view(
-    steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False, extra: Sequence[str] = ()
+    steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False, extra: Sequence[str] = (),
+    skew_safe: bool = False,
 ) -> DataFrame:
     """One player's view: own steps, own-sign reward, ``done`` flag.
 
@@ -172,29 +173,52 @@ def own_view(
     action of the game. Episodes without own steps vanish. With
     ``credit_final`` a final reward earned on the opponent's move is added to
     our last step (the default keeps the logged behaviour, which drops it).
+
+    ``skew_safe`` (``order`` must be the dense 0-based step number): the
+    per-episode facts are a partial aggregate joined back on the episode (AQE
+    splits a hot key of that join), and s' comes from an equi-join on
+    (episode…, step + 1); no window over a whole episode.
     """
-    w = _w(ep, order)
-    wp = Window.partitionBy(*ep)
     has_action = F.col("action").isNotNull()
-    t = steps.select(
-        *ep,
-        order,
-        "state",
-        "action",
-        "reward",
-        "turn",
-        *extra,
-        F.lead("state").over(w).alias("next_state"),
-        F.min_by("turn", order).over(wp).alias("_first_turn"),
-        F.max(F.when(has_action, F.col(order))).over(wp).alias("_last_action_step"),
-    )
+    if skew_safe:
+        facts = steps.groupBy(*ep).agg(
+            F.min_by("turn", order).alias("_first_turn"),
+            F.max(F.when(has_action, F.col(order))).alias("_last_action_step"),
+            F.max_by("reward", F.when(has_action, F.col(order))).alias("_final_raw"),
+            F.max(F.when(has_action & F.col("turn"), F.col(order))).alias("_last_own"),
+        )
+        nxt = steps.select(
+            *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
+        )
+        cur = steps.select(*ep, order, "state", "action", "reward", "turn", *extra)
+        cur = cur.join(nxt, [cur[k] == nxt[f"_n_{k}"] for k in ep] + [cur[order] == nxt["_n_o"]], "left")
+        t = cur.join(facts, list(ep)).drop(*[f"_n_{k}" for k in ep], "_n_o")
+    else:
+        w = _w(ep, order)
+        wp = Window.partitionBy(*ep)
+        t = steps.select(
+            *ep,
+            order,
+            "state",
+            "action",
+            "reward",
+            "turn",
+            *extra,
+            F.lead("state").over(w).alias("next_state"),
+            F.min_by("turn", order).over(wp).alias("_first_turn"),
+            F.max(F.when(has_action, F.col(order))).over(wp).alias("_last_action_step"),
+        )
     sign = F.when(F.col("_first_turn"), 1).otherwise(-1)
     t = t.withColumn("_own_reward", F.col("reward") * sign)
     if credit_final:
-        own_w = Window.partitionBy(*ep)
-        final_r = F.max(F.when(F.col(order) == F.col("_last_action_step"), F.col("_own_reward"))).over(own_w)
-        last_own = F.max(F.when(has_action & F.col("turn"), F.col(order))).over(own_w)
-        t = t.withColumn("_final_r", final_r).withColumn("_last_own", last_own)
+        if skew_safe:
+            final_r = F.col("_final_raw") * sign
+            t = t.withColumn("_final_r", final_r)
+        else:
+            own_w = Window.partitionBy(*ep)
+            final_r = F.max(F.when(F.col(order) == F.col("_last_action_step"), F.col("_own_reward"))).over(own_w)
+            last_own = F.max(F.when(has_action & F.col("turn"), F.col(order))).over(own_w)
+            t = t.withColumn("_final_r", final_r).withColumn("_last_own", last_own)
         bonus = F.when(
             (F.col(order) == F.col("_last_own")) & (F.col("_last_own") != F.col("_last_action_step")),
             F.col("_final_r"),

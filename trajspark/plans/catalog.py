@@ -85,12 +85,12 @@ def t7(spark, sf):
 
 @query("t8_own_view")
 def t8(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP))
+    return _wk(T.own_view(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)))
 
 
 @query("t8_own_view_credit_final")
 def t8c(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP, credit_final=True))
+    return _wk(T.own_view(V.ep_events(spark, sf), EP, credit_final=True, skew_safe=V.events_hot(spark, sf)))
 
 
 @query("t9_trajectories")
