@@ -215,3 +215,19 @@ def test_own_view_by_joins_equals_the_windows(spark):
         b = T.own_view(steps, V.EP_KEYS, credit_final=credit, extra=["value"], skew_safe=True)
         assert a.columns == b.columns
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_number_steps_keeps_null_values_in_place(spark):
+    from pyspark.sql import Window
+
+    from trajspark.operators.steps import number_steps
+
+    rows = [(g, i, None if i % 3 == 1 else f"v{i}") for g in range(2) for i in range(30)]
+    df = spark.createDataFrame(rows, "g int, t int, v string")
+    got = number_steps(df, ["g"], ["t"], "v", ahead=3, slices=9).select("g", "t", "step", "_next1", "_next2", "_next3")
+    w = Window.partitionBy("g").orderBy("t")
+    want = df.select(
+        "g", "t", (F.row_number().over(w) - 1).alias("step"),
+        *[F.lead("v", i).over(w).alias(f"_next{i}") for i in (1, 2, 3)],
+    )
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
