@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import blocks, slim
+from .text import Lists, blocks, slim, spread_join
 
 #: fixed value: characters that don't count when texts are compared
 SPACE = b" \t\n\x0b\x0c\r"
@@ -24,8 +24,6 @@ SPACE = b" \t\n\x0b\x0c\r"
 LOCAL_BYTES = 16 << 20
 LOCAL_IDS = 4096
 SALTS = 16
-#: copies of a large group's row that its member lists are dealt to
-FAN_OUT = 64
 
 _GROUP = "digest binary, check binary, content binary, best_len long, best_id long, n long"
 _ARROW = pa.schema([("digest", pa.binary()), ("check", pa.binary()), ("content", pa.binary()), ("best_len", pa.int64()), ("best_id", pa.int64()), ("n", pa.int64())])
@@ -111,27 +109,17 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids of a task by content, at most LOCAL_IDS in one row."""
     schema = pa.schema([("digest", pa.binary()), ("check", pa.binary()), ("ids", pa.list_(pa.int64()))])
-    ids: dict[tuple[bytes, bytes], list] = {}
+    ids = Lists(LOCAL_IDS)
 
-    def table(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.binary()), pa.array([k[1] for k, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.list_(pa.int64()))], schema=schema)
+    def table(rows: list) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.binary()), pa.array([k[1] for k, _ in rows], pa.binary()), pa.array([v for _, v in rows], pa.list_(pa.int64()))], schema=schema)
 
-    full: list = []
     for part, texts in blocks(batches):
         for doc_id, raw in zip(part.column(0).to_pylist(), texts):
-            key = _keys(normalised(raw))
-            mine = ids.setdefault(key, [])
-            mine.append(doc_id)
-            if len(mine) == LOCAL_IDS:
-                full.append((key, ids.pop(key)))
-        if full:
-            yield table(full)
-            full = []
-        if len(ids) > 50_000:
-            yield table(list(ids.items()))
-            ids = {}
-    if ids:
-        yield table(list(ids.items()))
+            ids.add(_keys(normalised(raw)), doc_id)
+        yield from table(ids.rows())
+    yield from table(ids.rows(last=True))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -153,15 +141,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     id is marked kept if the id is the one to stay. Further columns are not carried; an
     empty table gives an empty result.
 
-    Lists of ids that fill a row meet copies of their group's row by salt, so a hot
-    group's ids are spread over FAN_OUT tasks.
+    A hot group's ids come back as lists that are spread over several tasks.
     """
     found = groups(docs)
     ids = slim(docs).mapInArrow(_members, "digest binary, check binary, ids array<long>")
-    keys = ["digest", "check"]
-    is_full = F.size("ids") >= LOCAL_IDS
-    plain = ids.filter(~is_full).join(found, keys)
-    copies = found.filter(F.col("n") >= LOCAL_IDS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT - 1))))
-    dealt = ids.filter(is_full).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(FAN_OUT)).cast("int")).join(copies, [*keys, "salt"]).drop("salt")
-    each = plain.unionByName(dealt).select(F.explode("ids").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "digest")
+    each = spread_join(ids, found, ["digest", "check"], LOCAL_IDS).select(F.explode("ids").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "digest")
     return each.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

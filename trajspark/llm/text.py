@@ -139,3 +139,43 @@ def slim(docs: DataFrame, *more: str) -> DataFrame:
 def remainder(divisor: int, col: str = "doc_id"):
     """crc32 of doc_id as text, modulo ``divisor`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+#: ids in one row of a list table, and copies of a large group's row that full lists are dealt to
+LIST_IDS = 4096
+FAN_OUT = 64
+
+
+class Lists:
+    """Ids gathered by key inside a task, given up as rows of at most ``LIST_IDS`` ids."""
+
+    def __init__(self, limit: int | None = None, keys: int = 50_000):
+        self.limit, self.keys, self.held, self.full = limit or LIST_IDS, keys, {}, []
+
+    def add(self, key, doc_id) -> None:
+        mine = self.held.setdefault(key, [])
+        mine.append(doc_id)
+        if len(mine) == self.limit:
+            self.full.append((key, self.held.pop(key)))
+
+    def rows(self, last: bool = False) -> list:
+        out, self.full = self.full, []
+        if last or len(self.held) > self.keys:
+            out += self.held.items()
+            self.held = {}
+        return out
+
+
+def spread_join(lists: DataFrame, groups: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Join lists of ids (column ``ids``) with one row per group (its size in ``n``).
+
+    A full list belongs to a group of at least that size, so full lists meet copies of
+    their group's row by salt: a group that holds a third of all ids is spread over
+    ``FAN_OUT`` tasks a key. There are at most n / limit such groups.
+    """
+    limit = limit or LIST_IDS
+    full = F.size("ids") >= limit
+    plain = lists.filter(~full).join(groups, keys)
+    copies = groups.filter(F.col("n") >= limit).withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(FAN_OUT - 1))))
+    dealt = lists.filter(full).withColumn("salt_", F.pmod(F.xxhash64("ids"), F.lit(FAN_OUT)).cast("int")).join(copies, [*keys, "salt_"]).drop("salt_")
+    return plain.unionByName(dealt)
