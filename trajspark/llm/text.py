@@ -81,7 +81,13 @@ class Words:
             n = len(self.buf)
             acc = np.zeros(n + 1, np.uint64)
             np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * powers(_BASE, n), out=acc[1:])
-            self.hash = mix((acc[self.end] - acc[self.start]) * powers(_BASE_INV, n + 1)[self.start])
+            self._acc = acc
+            self.hash = self.prefix_hash(n)
+
+    def prefix_hash(self, n: int) -> np.ndarray:
+        """Hashes of the words' first n bytes (of whole words that are shorter)."""
+        to = np.minimum(self.start + n, self.end)
+        return mix((self._acc[to] - self._acc[self.start]) * powers(_BASE_INV, len(self._acc))[self.start])
 
     def __len__(self) -> int:
         return len(self.start)
