@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import write_table
 from ..sources.tables import table
-from . import decontam, exact, pii, sharding, simhash, toxicity
+from . import bpe, decontam, exact, pii, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +38,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts of all documents, as digests."""
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), write_table)
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of four-word shingles over all documents, linked at four bits or fewer."""
