@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import write_table
 from ..sources.tables import table
-from . import bpe, decontam, exact, pii, sharding, simhash, toxicity
+from . import bpe, decontam, exact, linededup, pii, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), write_table)
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that lie in a run that occurred earlier."""
+    return linededup.report(table(spark, sf_dir, "documents"), write_table)
+
+
+SQL["op5_line_dedup"] = linededup.SQL
+
+
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
