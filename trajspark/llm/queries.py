@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import write_table
 from ..sources.tables import table
-from . import bpe, decontam, exact, linededup, pii, sharding, simhash, toxicity
+from . import bpe, decontam, exact, linededup, pii, sharding, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in windows of 13 that start in an earlier document too."""
+    return substring.report(table(spark, sf_dir, "documents"), write_table)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of documents, learnt from labels.toxic."""
