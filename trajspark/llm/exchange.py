@@ -28,7 +28,7 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def _deflate(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 3)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -76,8 +76,12 @@ def by_bucket(keys: np.ndarray, key_bits: int, bits: int) -> Iterator[tuple[int,
         yield int(bucket[a]), slice(int(a), int(b))
 
 
-def chunks(docs: DataFrame, save, size: int = CHUNK) -> DataFrame:
-    """(chunk, n_bytes, blob): the documents' ids and texts, compressed, in the shared folder."""
+def chunks(docs: DataFrame, save=None, size: int = CHUNK) -> DataFrame:
+    """(chunk, n_bytes, blob): the documents' ids and texts, compressed; with ``save`` kept in the shared folder.
+
+    Without ``save`` the chunks are made anew whenever they are read. Then ``docs`` must
+    give the same partitions each time, as a table read from files does.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id, k = TaskContext.get().partitionId(), 0
@@ -105,7 +109,8 @@ def chunks(docs: DataFrame, save, size: int = CHUNK) -> DataFrame:
         if held:
             yield out()
 
-    return save(slim(docs).mapInArrow(run, "chunk long, n_bytes long, blob binary"))
+    made = slim(docs).mapInArrow(run, "chunk long, n_bytes long, blob binary")
+    return save(made) if save else made
 
 
 def documents(blob: bytes) -> tuple[list, list[bytes]]:
@@ -120,3 +125,16 @@ def documents(blob: bytes) -> tuple[list, list[bytes]]:
         texts.append(raw[at : at + x])
         at += x
     return [None if z else i for i, z in zip(head.tolist(), null.tolist())], texts
+
+
+def bundle(parts: list[bytes]) -> bytes:
+    return b"".join([np.array([len(parts), *map(len, parts)], np.int64).tobytes(), *parts])
+
+
+def unbundle(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at, out = 8 + 8 * n, []
+    for x in np.frombuffer(data, np.int64, n, 8).tolist():
+        out.append(data[at : at + x])
+        at += x
+    return out

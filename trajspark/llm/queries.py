@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import write_table
 from ..sources.tables import table
-from . import bpe, decontam, exact, linededup, pii, sharding, simhash, substring, toxicity
+from . import bpe, decontam, exact, linededup, pii, pitmanyor, sharding, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"), write_table)
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pitman-Yor scores of all documents, learnt from those that are not held out."""
+    return pitmanyor.score(table(spark, sf_dir, "documents"), write_table)
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text of documents, learnt from labels.toxic."""
