@@ -9,7 +9,7 @@ from trajspark.llm import bpe
 from trajspark.llm.queries import QUERIES
 from trajspark.session import write_table
 
-from conftest import SF001, rows_of, same
+from llm_helpers import SF001, rows_of, same
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,11 +45,20 @@ def test_codec_equals_the_library_on_hard_texts(tmp_path):
     texts = ["".join(rng.choice(chars, int(rng.integers(0, 60)))) for _ in range(400)] + ["a" * 3000, " " * 50 + "x", "'s't're <|endoftext|><|endoftext|> x<|endoftext", "ab" * 500, "\n\n \n a"]
     bpe.build(sorted({w.encode() for t in texts[:100] for w in bpe._WORDS.findall(t)}), PATH, str(tmp_path / "x.npy"))
     codec = bpe.Codec(str(tmp_path / "x.npy"))
-    split, of = codec.encode(texts)
-    for (t, ids, decoded), words in zip(library(list(zip(texts, texts))), split):
-        got = [i for w in words for i in of[w]]
-        assert got == ids
-        assert codec.decode(got).decode() == decoded == t
+    for part in (texts[:200], texts[200:], texts):
+        ids, bounds = codec.encode(part)
+        decoded, decimal = codec.decode(ids, bounds), codec.decimal(ids, bounds)
+        for k, (t, want, back) in enumerate(library(list(zip(part, part)))):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == want
+            assert decimal[k].decode() == ",".join(map(str, want))
+            assert decoded[k] == back == t
+
+
+def test_latin_1_split_is_the_same_split():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(chr(c) for c in rng.integers(0, 256, 80)) + " it's we'll   \n\n x"
+        assert bpe.words_of(text) == bpe._WORDS.findall(text)
 
 
 def test_automaton_is_minimal_and_numbers_words():

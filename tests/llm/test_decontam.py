@@ -7,7 +7,7 @@ import pytest
 from trajspark.llm import decontam
 from trajspark.llm.queries import QUERIES
 
-from conftest import SF001, rows_of, same
+from llm_helpers import SF001, rows_of, same
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

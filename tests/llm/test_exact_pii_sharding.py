@@ -7,7 +7,7 @@ import pytest
 
 from trajspark.llm import exact, pii, sharding
 
-from conftest import rows_of, same
+from llm_helpers import rows_of, same
 
 WS = re.compile(r"[\x20\x09-\x0D]")
 

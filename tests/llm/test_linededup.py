@@ -9,7 +9,7 @@ from trajspark.llm import linededup
 from trajspark.llm.queries import QUERIES, SQL
 from trajspark.session import write_table
 
-from conftest import SF001, rows_of, same
+from llm_helpers import SF001, rows_of, same
 
 T = linededup.MIN_BYTES
 

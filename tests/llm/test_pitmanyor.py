@@ -11,7 +11,7 @@ from trajspark.llm import exchange, pitmanyor
 from trajspark.llm.queries import QUERIES
 from trajspark.session import write_table
 
-from conftest import SF001, rows_of, same
+from llm_helpers import SF001, rows_of, same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -7,7 +7,7 @@ import xxhash
 from trajspark.llm import simhash
 from trajspark.session import write_table
 
-from conftest import rows_of, same
+from llm_helpers import rows_of, same
 
 
 def brute_print(t):

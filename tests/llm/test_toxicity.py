@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trajspark.llm import toxicity
 from trajspark.session import write_table
 
-from conftest import same
+from llm_helpers import same
 
 
 @pytest.fixture(scope="module")

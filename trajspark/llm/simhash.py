@@ -323,3 +323,20 @@ def near_dedup(docs: DataFrame, save, shingle: int = SHINGLE, max_bits: int = MA
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     found = rooted.join(whole, "root").select("fp", "n", "component_id")
     return spread_join(lists, found, ["fp"]).select(F.explode("ids").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, save, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The documents, all columns kept, with one of each group of near copies: the smallest doc_id.
+
+    Of rows that repeat that id one stays, and of a group without any id one. Rows are
+    told apart by a number that is written with them, so equal rows are rows of their own.
+    """
+    names = docs.columns
+    rows = save(docs.select(F.col("doc_id").cast("long").alias("id_"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest")).withColumn("row_", F.monotonically_increasing_id()))
+    found = near_dedup(rows.select(F.col("row_").alias("doc_id"), "text"), save, shingle, max_bits)
+    groups = found.select(F.col("doc_id").alias("row_"), F.col("component_id").alias("group_"))
+    # the group's first row by doc_id, null last; minima are combined before the shuffle
+    place = F.struct(F.col("id_").isNull().alias("null_"), F.coalesce("id_", F.lit(0)).alias("id_"), F.col("row_"))
+    first = rows.select("row_", "id_").join(groups, "row_").groupBy("group_").agg(F.min(place).alias("first")).select(F.col("first.row_").alias("row_"))
+    kept = rows.join(first, "row_", "left_semi")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
