@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .text import blocks, slim
 
 #: text of a chunk, bytes; a longer text is a chunk of its own
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: keys that a bucket is to hold, about
 BUCKET_KEYS = 1 << 20
 #: stands for a null doc_id; orders last
