@@ -12,10 +12,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,36 @@ from pyspark.sql import functions as F
 from .text import blocks, slim
 
 #: a word is frequent, and put into the lexicon, if it is at least this share of all words, so at most 1 / share are
-SHARE = 1 / 65536
+SHARE = 1 / (1 << 18)
 #: longest word of the lexicon, bytes
 LONGEST = 48
 BLOCK = 4 << 20
 #: fixed value: how byte-level BPE splits a text into words before merging
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = regex.compile(SPLIT)
+#: distinct words that a worker keeps with their ids
+SEEN = 300_000
+
+
+def _latin_1() -> re.Pattern:
+    """The same split for texts below code point 256, where the classes can be spelt out (it is faster)."""
+    below = [chr(c) for c in range(256)]
+    spelt = lambda chars: "".join(f"\\x{ord(c):02x}" for c in chars)
+    letter, number = (spelt(c for c in below if unicodedata.category(c)[0] == k) for k in "LN")
+    space = spelt(c for c in below if regex.fullmatch(r"\s", c))
+    return re.compile(SPLIT.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+_LATIN_1 = _latin_1()
+
+
+def words_of(text: str) -> list[str]:
+    """Words that a text without special tokens is cut into."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORDS.findall(text)
+    return _LATIN_1.findall(text)
 
 
 class Table:
@@ -137,6 +163,25 @@ def compile_words(words: list[bytes]) -> tuple[Table, np.ndarray]:
     return Table.build(np.array(keys, np.int64), np.array(values, np.int64)), np.array([final[s] for s in live], np.int64)
 
 
+def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Places of ranges one after another."""
+    return np.arange(int(lens.sum())) + np.repeat(starts - np.cumsum(lens) + lens, lens)
+
+
+def _take(offs: np.ndarray, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of the rows of a list table one after another, and the rows' lengths."""
+    lens = offs[rows + 1] - offs[rows]
+    return data[_places(offs[rows], lens)], lens
+
+
+class _Index(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, words), np.int64, len(words))
     return np.frombuffer(b"".join(words), np.uint8), np.r_[0, np.cumsum(lens)]
@@ -190,14 +235,22 @@ class Codec:
         whole = np.load(path, mmap_mode="r")
         n = len(self.SECTIONS)
         bounds = np.r_[n + 1, n + 1 + np.cumsum(whole[1 : n + 1])].tolist()
-        part = {name: whole[a:b] for name, a, b in zip(self.SECTIONS, bounds, bounds[1:])}
+        part = {name: np.asarray(whole[a:b]) for name, a, b in zip(self.SECTIONS, bounds, bounds[1:])}
         self.edges, self.final = Table(part["edge_keys"], part["edge_values"]), part["final"]
         self.list_offs, self.list_ids = part["list_offs"], part["list_ids"]
         self.merger = Merger(Table(part["pair_keys"], part["pair_values"]), np.asarray(part["byte_ids"]))
-        raw, offs = np.asarray(part["token_bytes"]).astype(np.uint8).tobytes(), part["token_offs"].tolist()
-        self.tokens = [raw[a:b] for a, b in zip(offs, offs[1:])]
+        self.token_offs, self.token_raw = np.asarray(part["token_offs"]), np.asarray(part["token_bytes"]).astype(np.uint8)
+        offs = self.token_offs.tolist()
+        self.tokens = [self.token_raw[a:b].tobytes() for a, b in zip(offs, offs[1:])]
+        # decimal ids, a comma after each
+        shown = [b"%d," % i for i in range(len(self.tokens))]
+        self.decimal_offs, self.decimal_raw = np.r_[0, np.cumsum([len(x) for x in shown])], np.frombuffer(b"".join(shown), np.uint8)
         self.special = {self.tokens[i].decode(): i for i in part["special"].tolist()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.index, self.ids, self.offs = _Index(), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     @classmethod
     def write(cls, path: str, **parts: np.ndarray) -> None:
@@ -223,43 +276,60 @@ class Codec:
         ok = (state >= 0) & (self.final[np.maximum(state, 0)] > 0)
         return np.where(ok, number, -1)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words: from the lexicon, else merged."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has: from the lexicon, else merged."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         place = self.place(raw)
-        out: list = [None] * len(words)
-        known = np.flatnonzero(place >= 0)
-        a, b = self.list_offs[place[known]].tolist(), self.list_offs[place[known] + 1].tolist()
-        ids = self.list_ids
-        for k, x, y in zip(known.tolist(), a, b):
-            out[k] = ids[x:y].tolist()
-        new = np.flatnonzero(place < 0).tolist()
-        if new:
-            merged, bounds = self.merger.merge([raw[k] for k in new])
-            merged, bounds = merged.tolist(), bounds.tolist()
-            for j, k in enumerate(new):
-                out[k] = merged[bounds[j] : bounds[j + 1]]
-        return out
+        known, new = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        listed, n_listed = _take(self.list_offs, self.list_ids, place[known])
+        merged, bounds = self.merger.merge([raw[k] for k in new.tolist()])
+        n = np.zeros(len(words), np.int64)
+        n[known], n[new] = n_listed, np.diff(bounds)
+        start, ids = np.cumsum(n) - n, np.empty(int(n.sum()), np.int64)
+        ids[_places(start[known], n[known])] = listed
+        ids[_places(start[new], n[new])] = merged
+        return ids, n
 
     def split(self, text: str) -> list[str]:
         """Words of a text; special tokens are words of their own."""
         if self.cut is None or not any(s in text for s in self.special):
-            return _WORDS.findall(text)
+            return words_of(text)
         out = []
         for piece in self.cut.split(text):
-            out += [piece] if piece in self.special else _WORDS.findall(piece)
+            out += [piece] if piece in self.special else words_of(piece)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[list[str]], dict[str, list[int]]]:
-        """Words of each text, and the ids of each distinct word."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and the bounds of each text's ids."""
+        if len(self.index) > SEEN:
+            self.forget()
+        if not len(self.index):
+            # special tokens are no words of the split, so they can't be taken for one
+            for s, i in self.special.items():
+                self.index[s]
+                self.ids, self.offs = np.r_[self.ids, i], np.r_[self.offs, self.offs[-1] + 1]
         split = [self.split(t) for t in texts]
-        distinct = list(set().union(*split))
-        ids = dict(zip(distinct, self.encode_words(distinct)))
-        ids.update((s, [i]) for s, i in self.special.items())
-        return split, ids
+        seen = len(self.index)
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        number = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        if len(self.index) > seen:
+            ids, n = self.encode_words(list(self.index)[seen:])
+            self.ids, self.offs = np.r_[self.ids, ids], np.r_[self.offs, self.offs[-1] + np.cumsum(n)]
+        ids, n = _take(self.offs, self.ids, number)
+        ends = np.r_[0, np.cumsum(n)]
+        return ids, ends[np.r_[0, np.cumsum(size)]]
+
+    def _written(self, offs: np.ndarray, raw: np.ndarray, ids: np.ndarray, bounds: np.ndarray, drop: int) -> list[bytes]:
+        flat, n = _take(offs, raw, ids)
+        flat, ends = flat.tobytes(), np.r_[0, np.cumsum(n)][bounds].tolist()
+        return [flat[a : max(a, b - drop)] for a, b in zip(ends, ends[1:])]
+
+    def decimal(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Decimal ids of each text, comma-joined."""
+        return self._written(self.decimal_offs, self.decimal_raw, ids, bounds, 1)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        return [t.decode("utf-8", "replace") for t in self._written(self.token_offs, self.token_raw, ids, bounds, 0)]
 
 
 def vocabulary(path: str) -> dict[str, np.ndarray]:
@@ -306,7 +376,7 @@ def frequent_words(docs: DataFrame, save, share: float = SHARE) -> list[bytes]:
 
         for _, texts in blocks(batches):
             for t in texts:
-                counts.update(_WORDS.findall(t.decode("utf-8", "replace")))
+                counts.update(words_of(t.decode("utf-8", "replace")))
             if len(counts) > 300_000:
                 yield from out()
         yield from out()
@@ -356,10 +426,9 @@ def encode(docs: DataFrame, tokenizer: str, save, share: float = SHARE) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
         for part, texts in blocks(batches, size=BLOCK):
-            split, of = codec.encode([t.decode("utf-8", "replace") for t in texts])
-            ids = [[i for w in words for i in of[w]] for words in split]
-            decoded = [codec.decode(i).decode("utf-8", "replace") for i in ids]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            ids, bounds = codec.encode([t.decode("utf-8", "replace") for t in texts])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), lists, pa.array(codec.decode(ids, bounds), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return slim(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
@@ -372,16 +441,9 @@ def digests(docs: DataFrame, tokenizer: str, save, share: float = SHARE) -> Data
         codec = _codec(name)
         sha = hashlib.sha256
         for part, texts in blocks(batches, size=BLOCK):
-            split, of = codec.encode([t.decode("utf-8", "replace") for t in texts])
-            decimal = {w: ",".join(map(str, ids)) for w, ids in of.items()}
-            decoded = {w: codec.decode(ids) for w, ids in of.items()}
-            n, by_id, by_text = [], [], []
-            for words in split:
-                ids = ",".join(map(decimal.__getitem__, words))
-                text = b"".join(map(decoded.__getitem__, words)).decode("utf-8", "replace")
-                n.append(ids.count(",") + 1 if words else 0)
-                by_id.append(sha(ids.encode()).hexdigest())
-                by_text.append(sha(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(by_id), pa.array(by_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, bounds = codec.encode([t.decode("utf-8", "replace") for t in texts])
+            by_id = [sha(t).hexdigest() for t in codec.decimal(ids, bounds)]
+            by_text = [sha(t.encode()).hexdigest() for t in codec.decode(ids, bounds)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(by_id), pa.array(by_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return slim(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
