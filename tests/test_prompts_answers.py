@@ -37,12 +37,36 @@ def test_verdict_accuracy_strict_threshold(spark):
 
 
 def test_pattern_extraction_and_fallback(spark):
-    df = spark.createDataFrame(
-        [(1, '{"best_move": 2}', ["a", "b", "c"]), (2, '{"best_move": 9}', ["a", "b"]), (3, "no idea", ["a"])],
-        "id int, response string, legal array<string>",
-    )
+    """Digit − 1 is the move itself; it counts if it is in the legal list."""
+    rows = [(1, '{"best_move": 5}', [4, 8]), (2, '{"best_move": 1}', [4, 8]), (3, "no idea", [6]), (4, '{"best_move": x}', [2]), (5, '{"best_move": 9}', [4, 8]), (6, None, [3])]
+    df = spark.createDataFrame(rows, "id int, response string, legal array<int>")
     got = {r.id: (r.action, r.status) for r in P.extract_pattern(df, "response", "legal", ["id"]).collect()}
-    assert got[1] == ("b", "ok") and got[2][1] == "fallback" and got[2][0] in ("a", "b") and got[3] == ("a", "no_marker")
+    assert got[1] == (4, "ok") and got[5] == (8, "ok")
+    assert got[2][1] == "fallback" and got[2][0] in (4, 8)
+    assert got[3] == (6, "no_marker") and got[4] == (2, "fallback") and got[6] == (3, "no_marker")
+
+
+def test_json_extraction_takes_the_default_where_the_field_is_missing(spark):
+    rows = [(1, '{"action": "up", "thoughts": "t"}'), (2, '{"thoughts": "t"}'), (3, "up"), (4, None), (5, '{"action": ')]
+    df = spark.createDataFrame(rows, "id int, response string")
+    out = P.extract_json(df, "response", "thoughts string, action string", "action", F.lit("none"))
+    assert {r.id: (r.answer, r.status) for r in out.collect()} == {1: ("up", "ok"), **{i: ("none", "default") for i in (2, 3, 4, 5)}}
+
+
+def test_values_with_slots_stay_as_they_are(spark):
+    from trajspark.operators import prompts as PR
+
+    df = spark.createDataFrame([("x {turn} y",), ("{state}",), (None,)], "state string")
+    out = PR.prompt_table(df, spark.createDataFrame([("t", "s", "A {state} B {turn}{turn} {other}")], "name string, system string, user string"), "t", {"state": F.col("state"), "turn": F.lit("now")})
+    assert sorted(r.user for r in out.collect()) == ["A  B nownow {other}", "A x {turn} y B nownow {other}", "A {state} B nownow {other}"]
+
+
+def test_joint_keys_tell_pairs_apart(spark):
+    from trajspark.functions.keys import joint_key
+
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("", "a"), ("-", "a"), ("1:a", "")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    assert df.select(joint_key(["p", "q"]).alias("k")).distinct().count() == len(rows)
 
 
 def test_move_distribution_all_minus_inf_is_uniform(spark):

@@ -44,15 +44,33 @@ def test_wrap_around_batches(spark):
 
 
 def test_chunks_partition_each_key_exactly(spark):
-    rows = [("hot", i) for i in range(23)] + [("cold", i) for i in range(3)]
+    rows = [("hot", i) for i in range(23)] + [(None, i) for i in range(3)]
     df = spark.createDataFrame(rows, "key string, id int")
     exact = D.chunk(df, ["key"], ["id"], 5).collect()
-    salted = D.chunk(df, ["key"], ["id"], 5, salted=True, salt_digits=1).collect()
-    assert {(r.key, r.id, r.chunk, r.pos) for r in exact} == {(r.key, r.id, r.chunk, r.pos) for r in salted}
+    for digits in (1, 4):
+        other = D.chunk(df, ["key"], ["id"], 5, salt_digits=digits).collect()
+        assert {(r.key, r.id, r.chunk, r.pos) for r in exact} == {(r.key, r.id, r.chunk, r.pos) for r in other}
     hot = sorted((r.chunk, r.pos) for r in exact if r.key == "hot")
     assert hot == [(i // 5, i % 5) for i in range(23)]
 
 
+def test_a_short_table_fills_its_only_batch(spark):
+    df = spark.createDataFrame([(7,), (8,)], "k int")
+    for size, n in ((4, 4), (5, 5), (2, 2)):
+        b = D.batches(df, ["k"], size).collect()
+        assert len(b) == n and {r.batch for r in b} == {0}
+    assert sorted(r.k for r in D.batches(df, ["k"], 5).collect()) == [7, 7, 7, 8, 8]
+
+
+def test_counts_regard_rows_with_null_parts(spark):
+    df = spark.createDataFrame([("a", None), ("a", None), ("b", "x")], "p string, q string")
+    assert tuple(D.distinct_counts(df, ["p", "q"]).first()) == (3, 2)
+    from trajspark.operators import metrics as A
+
+    assert tuple(A.key_counts(df, ["p", "q"]).first()) == (2, 3)
+    assert tuple(A.key_counts(df, ["p", "q"], approx=True).first()) == (2, 3)
+
+
 def test_epoch_plan_drops_short_minibatches(spark):
     df = spark.range(11).select(F.col("id").alias("k"))
     plan = D.epoch_plan(df, ["k"], workers=2, size=2, seed=1).collect()
@@ -173,25 +191,3 @@ def test_td0_two_sweeps(spark):
     v = {r.state: r.value for r in VE.td0(tr, alpha=0.5, sweeps=2).collect()}
     # sweep 1: v(b) = 0.5; sweep 2: v(a) = 0.5 * 0.5 = 0.25, v(b) = 0.75
     assert v == {"a": 0.25, "b": 0.75, "t": 0.0}
-
-
-def test_salt_digits_grow_with_the_hot_key(spark):
-    from trajspark.operators import sampling as D
-
-    df = spark.range(0, 5000).selectExpr("CASE WHEN id < 4000 THEN 'hot' ELSE CAST(id AS STRING) END AS k")
-    assert D.salt_digits_for(df, ["k"], bound=5000) == 0
-    assert D.salt_digits_for(df, ["k"], bound=1000) == 1     # 4000 rows → 16 buckets of ≤ 1000
-    assert D.salt_digits_for(df, ["k"], bound=10) == 3       # 16**3 buckets hold 4000 rows at ≤ 10
-
-
-def test_mc_prompts_salted_path_equals_plain(spark, monkeypatch):
-    import __spark_entry__ as E
-    from trajspark.operators import sampling as D
-
-    sf = "/root/testdata/sf0.01"
-    plain = E.queries()["p2_mc_prompts"](spark, sf)
-    plain_rows = plain.collect()
-    monkeypatch.setattr(D, "HOT_KEY_ROWS", 3)  # every (state, action) key is "hot"
-    salted = E.queries()["p2_mc_prompts"](spark, sf)
-    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
-    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain_rows))

@@ -79,11 +79,28 @@ def test_score_normalisation_fixed_points(spark):
     assert res == {1: 50.0, 2: 100.0, 3: 0.0}
 
 
-def test_masked_stats_cut_at_padding(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 100.0])], "id int, xs array<double>")
-    r = A.masked_stats(df, ["id"], "xs", F.lit(3)).first()
-    assert (r.mean, r.min, r.max, r.n_kept) == (1.5, 1.0, 3.0, 3)
-    assert abs(r.std - 0.816497) < 1e-6
+def test_masked_stats(spark):
+    rows = [
+        (1, [1.0, 100.0, 2.0, 3.0], [True, False, True, True]),
+        (2, [5.0], [False]),
+        (3, [1e9, 1e9 + 1, 1e9 + 2], [True, True, True]),
+        (4, [], []),
+        (5, [1.0, 2.0], [None, True]),
+    ]
+    df = spark.createDataFrame(rows, "id int, xs array<double>, mask array<boolean>")
+    r = {x.id: x for x in A.masked_stats(df, ["id"], "xs", "mask").collect()}
+    assert (r[1].mean, r[1].min, r[1].max, r[1].n_kept, r[1].n) == (1.5, 1.0, 3.0, 3, 4) and abs(r[1].std - 0.816497) < 1e-6
+    assert (r[2].mean, r[2].min, r[2].std, r[2].n_kept) == (0.0, None, None, 0)
+    assert abs(r[3].std - 0.816497) < 1e-6  # no cancellation
+    assert (r[4].mean, r[4].std, r[4].n) == (None, None, 0)
+    assert (r[5].min, r[5].n_kept) == (2.0, 1)
+
+
+def test_unpad_cuts_at_the_first_padding(spark):
+    rows = [(1, [1, 2, 3], [True, False, True]), (2, [1, 2], [True, True]), (3, [1], [False])]
+    df = spark.createDataFrame(rows, "id int, xs array<int>, mask array<boolean>")
+    got = {r.id: r.u for r in df.select("id", A.unpad(F.col("xs"), F.col("mask")).alias("u")).collect()}
+    assert got == {1: [1], 2: [1, 2], 3: []}
 
 
 def test_running_stats_across_partitions(spark):
@@ -110,37 +127,21 @@ def test_window_free_episode_facts_equal_the_steps_path(spark):
     assert direct.count() > 0
 
 
-def test_skew_safe_step_numbering_equals_the_window(spark):
-    """Hot-episode path (range slices + offsets) gives the window path's rows."""
-    from trajspark.plans import views as V
-
-    sf = "/root/testdata/sf0.01"
-    cols = ["user_id", "week", "iter", "step", "event_id", "state", "action", "reward", "turn", "is_terminal", "value"]
-    plain = V.ep_events(spark, sf).select(*cols)
-    spark.conf.set("trajspark.hotEpisodeRows", "0")
-    try:
-        sliced = V.ep_events(spark, sf).select(*cols)
-        assert "_slice" in sliced._jdf.queryExecution().analyzed().toString()  # the range path ran
-        assert sliced.exceptAll(plain).count() == 0 and plain.exceptAll(sliced).count() == 0
-    finally:
-        spark.conf.unset("trajspark.hotEpisodeRows")
-
-
-def test_number_steps_across_many_slices(spark):
+def test_numbering_by_spans_equals_one_window(spark):
     from pyspark.sql import Window
 
     from trajspark.operators.steps import number_steps
 
-    rows = [(k % 3, i, f"v{i}") for k in range(3) for i in range(40)] + [(7, 0, "only")]
+    rows = [(k if k < 3 else None, i, f"v{i}" if i % 5 else None) for k in range(4) for i in range(40)] + [(7, 0, "only")]
     df = spark.createDataFrame(rows, "g int, t int, v string")
-    got = number_steps(df, ["g"], ["t"], "v", ahead=2, slices=17)
     w = Window.partitionBy("g").orderBy("t")
+    cols = ["g", "t", "v", "step", "_next1", "_next2", "_next3"]
     want = df.select(
-        "g", "t", "v", (F.row_number().over(w) - 1).alias("step"),
-        F.lead("v", 1).over(w).alias("_next1"), F.lead("v", 2).over(w).alias("_next2"),
+        "g", "t", "v", (F.row_number().over(w) - 1).alias("step"), *[F.lead("v", i).over(w).alias(f"_next{i}") for i in (1, 2, 3)]
     )
-    got = got.select("g", "t", "v", "step", "_next1", "_next2")
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    for span in (F.lit(0), F.floor(F.col("t") / 7), F.col("t")):
+        got = number_steps(df, ["g"], ["t"], "v", span, ahead=3).select(*cols)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
 def test_audit_replay_counts_each_rule_in_one_pass(spark):
@@ -184,50 +185,42 @@ def test_running_stats_across_partitions_with_nulls(spark):
     assert ((got["r_max"] - want_max).abs().fillna(0) < 1e-12).all()
 
 
-def test_transitions_by_join_equal_the_window(spark):
-    from trajspark.plans import views as V
+NULL_STEPS = [
+    # an episode under a null key is an episode like any other
+    (None, 0, "a", "b", 0, True), (None, 1, "b", "c", -1, False), (None, 2, "c", None, None, True),
+    (1, 0, "x", "y", 0, False), (1, 1, "y", "z", 1, True), (1, 2, "z", None, None, False),
+]
 
-    steps = V.ep_events(spark, "/root/testdata/sf0.01")
-    a = T.to_transitions(steps, V.EP_KEYS)
-    b = T.to_transitions(steps, V.EP_KEYS, skew_safe=True)
-    assert a.columns == b.columns
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    assert b.where(F.col("next_state").isNull()).count() == 0  # every action has a next state
 
+def _null_steps(spark):
+    df = spark.createDataFrame(NULL_STEPS, "ep int, step int, state string, action string, reward int, turn boolean")
+    return df.withColumn("is_terminal", F.col("action").isNull())
 
-def test_look_ahead_by_offsets_equals_the_window(spark):
-    from trajspark.plans import views as V
-
-    steps = V.ep_events(spark, "/root/testdata/sf0.01")
-    for k in (1, 4):
-        a = T.look_ahead(steps, V.EP_KEYS, k=k)
-        b = T.look_ahead(steps, V.EP_KEYS, k=k, skew_safe=True)
-        assert a.schema.simpleString() == b.schema.simpleString()
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
+def test_null_keys_keep_their_rows(spark):
+    steps = _null_steps(spark)
+    t = {(r.ep, r.step): r.next_state for r in T.to_transitions(steps, ["ep"]).collect()}
+    assert t == {(None, 0): "b", (None, 1): "c", (1, 0): "y", (1, 1): "z"}
+    own = {(r.ep, r.step): (r.next_state, r.reward, r.done) for r in T.own_view(steps, ["ep"]).collect()}
+    assert own == {(None, 0): ("b", 0, False), (1, 1): ("z", -1, True)}
+    credit = {(r.ep, r.step): (r.reward, r.done) for r in T.own_view(steps, ["ep"], credit_final=True).collect()}
+    assert credit == {(None, 0): (-1, True), (1, 1): (-1, True)}
+    la = {(r.ep, r.step): (r.pv_actions, r.final_state.state, r.final_state.is_terminal) for r in T.look_ahead(steps, ["ep"], k=2).collect()}
+    assert la == {(None, 0): (["b", "c"], "c", True), (None, 1): (["c"], "c", True), (1, 0): (["y", "z"], "z", True), (1, 1): (["z"], "z", True)}
 
-def test_own_view_by_joins_equals_the_windows(spark):
-    from trajspark.plans import views as V
 
-    steps = V.ep_events(spark, "/root/testdata/sf0.01").select(*V.EP_KEYS, "step", "state", "action", "reward", "turn", "value")
-    for credit in (False, True):
-        a = T.own_view(steps, V.EP_KEYS, credit_final=credit, extra=["value"])
-        b = T.own_view(steps, V.EP_KEYS, credit_final=credit, extra=["value"], skew_safe=True)
-        assert a.columns == b.columns
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_number_steps_keeps_null_values_in_place(spark):
+def test_joins_equal_the_windows(spark):
     from pyspark.sql import Window
 
-    from trajspark.operators.steps import number_steps
+    from trajspark.plans import views as V
 
-    rows = [(g, i, None if i % 3 == 1 else f"v{i}") for g in range(2) for i in range(30)]
-    df = spark.createDataFrame(rows, "g int, t int, v string")
-    got = number_steps(df, ["g"], ["t"], "v", ahead=3, slices=9).select("g", "t", "step", "_next1", "_next2", "_next3")
-    w = Window.partitionBy("g").orderBy("t")
-    want = df.select(
-        "g", "t", (F.row_number().over(w) - 1).alias("step"),
-        *[F.lead("v", i).over(w).alias(f"_next{i}") for i in (1, 2, 3)],
-    )
+    steps = V.ep_events(spark, "/root/testdata/sf0.01")
+    w = Window.partitionBy(*V.EP_KEYS).orderBy("step")
+    want = steps.withColumn("next_state", F.lead("state").over(w)).where(F.col("action").isNotNull())
+    got = T.to_transitions(steps, V.EP_KEYS)
+    want = want.select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    ahead = T.look_ahead(steps, V.EP_KEYS, k=3).select(*V.EP_KEYS, "step", "pv_actions")
+    full = steps.select(*V.EP_KEYS, "step", F.collect_list("action").over(w.rowsBetween(0, 2)).alias("pv_actions"), "action")
+    full = full.where(F.col("action").isNotNull()).drop("action")
+    assert ahead.exceptAll(full).count() == 0 and full.exceptAll(ahead).count() == 0

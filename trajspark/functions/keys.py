@@ -38,8 +38,14 @@ def seeded_uniform(seed: int | str, keys: Sequence[str | Column]) -> Column:
 
 def sa_key(state: str | Column, action: str | Column) -> Column:
     """Canonical (state, action) key used to group equal pairs."""
-    s, a = _cols([state, action])
-    return F.concat_ws("|", s.cast("string"), a.cast("string"))
+    return joint_key([state, action])
+
+
+def joint_key(parts: Sequence[str | Column]) -> Column:
+    """One text for several values, different for different values: each part is
+    ``length:text`` and a null part is ``-``, joined by ``|``."""
+    texts = [c.cast("string") for c in _cols(parts)]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
 
 
 def bucket_of(key: Column, buckets: int) -> Column:

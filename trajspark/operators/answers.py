@@ -24,22 +24,23 @@ VERDICT_TAGS = ("<white>", "<black>")
 def extract_pattern(
     df: DataFrame, response: str, legal: str, keys: Sequence[str], seed: int | str = 42, marker: str = BEST_MOVE_MARKER
 ) -> DataFrame:
-    """The single digit after the marker, 1-based → 0-based index into the legal list.
+    """The single digit after the first marker names the move from 1: digit − 1 is the action itself.
 
-    Not found, not a digit or not legal → a seeded uniform legal action with
-    status 'fallback' (status 'no_marker' when the marker is absent).
+    ``legal`` is an array of action numbers. A digit − 1 that is not in it, or no digit →
+    a seeded uniform legal action with status 'fallback' (status 'no_marker' when the
+    marker is absent).
     """
     parts = F.split(F.col(response), F.lit(marker), -1)
     after = F.try_element_at(parts, F.lit(2))
     digit = F.expr("try_cast(substring(_after, 1, 1) AS INT)")
     t = df.withColumn("_after", after).withColumn("_d", digit)
-    idx = F.col("_d") - 1
-    ok = F.col("_after").isNotNull() & idx.isNotNull() & (idx >= 0) & (idx < F.size(legal))
+    move = (F.col("_d") - 1).cast(df.schema[legal].dataType.elementType)
+    ok = F.col("_after").isNotNull() & F.coalesce(F.array_contains(F.col(legal), move), F.lit(False))
     u = seeded_uniform(f"{seed}|pick", keys)
     fallback = F.element_at(F.col(legal), (F.floor(u * F.size(legal)) + 1).cast("int"))
     status = F.when(F.col("_after").isNull(), "no_marker").when(ok, "ok").otherwise("fallback")
     return (
-        t.withColumn("action", F.when(ok, F.element_at(F.col(legal), (idx + 1).cast("int"))).otherwise(fallback))
+        t.withColumn("action", F.when(ok, move).otherwise(fallback))
         .withColumn("status", status)
         .drop("_after", "_d")
     )

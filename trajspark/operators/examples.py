@@ -21,6 +21,8 @@ LLAMA3 = {
     "eot": "<|eot_id|>\n",
 }
 IGNORE_INDEX = -100
+#: longest example that is trained on, tokens; longer ones are cut by X3
+MAX_TOKENS = 1024
 
 
 # X1 -------------------------------------------------------------------------
@@ -32,6 +34,18 @@ def sft_pairs(student: DataFrame, teacher: DataFrame, keys: Sequence[str]) -> Da
     return j.withColumn("messages", F.concat("messages", F.array(last))).withColumnRenamed("_teacher", "assistant")
 
 
+def exchanges(turns: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """Questions and answers: user messages, and the assistant message that directly follows
+    one, both under (keys…, order of the question).
+
+    The next message is found by one window over a conversation's turn numbers.
+    """
+    w = Window.partitionBy(*keys).orderBy(order, "role", "text")
+    t = turns.select(*keys, order, "role", "text", F.lead(F.struct("role", "text")).over(w).alias("_next"))
+    t = t.where((F.col("role") == "user") & (F.col("_next.role") == "assistant"))
+    return t.select(*keys, order, "text"), t.select(*keys, order, F.col("_next.text").alias("content"))
+
+
 def last_message(turns: DataFrame, keys: Sequence[str], order: str, role: str = "assistant") -> DataFrame:
     """The last message of a role per conversation (partial aggregation, no sort)."""
     return turns.where(F.col("role") == role).groupBy(*keys).agg(F.max_by("text", order).alias("content"))
@@ -62,7 +76,7 @@ def render_chat(turns: DataFrame, keys: Sequence[str], order: Sequence[str], sty
 
 # X3 -------------------------------------------------------------------------
 def label_masks(df: DataFrame, max_len: int, tokenizer: str | None = None) -> DataFrame:
-    """Truncate to ``max_len`` tokens; prompt positions get label −100; rows whose
+    """Truncate to ``max_len`` tokens (``input_tokens``); prompt positions get label −100; rows whose
     answer is cut away entirely are flagged ``kept = false`` (count them, drop them)."""
     toks = tokens(F.col("full_text"), tokenizer)
     t = df.withColumn("_t", F.slice(toks, 1, max_len)).withColumn("n_prompt", token_count(F.col("query_text"), tokenizer))
@@ -72,7 +86,7 @@ def label_masks(df: DataFrame, max_len: int, tokenizer: str | None = None) -> Da
         F.size("_t").alias("n_tokens"),
         F.greatest(F.size("_t") - F.col("n_prompt"), F.lit(0)).alias("n_label"),
         labels.alias("labels"),
-    ).withColumn("kept", F.col("n_label") > 0).drop("_t")
+    ).withColumn("kept", F.col("n_label") > 0).withColumnRenamed("_t", "input_tokens")
 
 
 # X4 -------------------------------------------------------------------------

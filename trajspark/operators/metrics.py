@@ -83,7 +83,7 @@ def outcomes_of(f: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # A4 -------------------------------------------------------------------------
 def key_counts(df: DataFrame, keys: Sequence[str], approx: bool = False) -> DataFrame:
     """Unique keys and total rows (``approx`` uses HyperLogLog++ for very large inputs)."""
-    distinct = F.approx_count_distinct(F.struct(*keys)) if approx else F.count_distinct(*keys)
+    distinct = F.approx_count_distinct(F.struct(*keys)) if approx else F.count_distinct(F.struct(*keys))
     return df.agg(distinct.alias("n_unique"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -127,33 +127,39 @@ def vote(df: DataFrame, state: str, cand: str, k: int, sample_idx: str = "sample
 
 
 # A7 -------------------------------------------------------------------------
-def masked_stats(df: DataFrame, keys: Sequence[str], xs: str, cut: Column) -> DataFrame:
-    """Masked statistics of an array column, cut at the first padding position.
-
-    ``cut`` is the number of leading valid elements (the mask is a prefix
-    after unpadding). mean = sum(x·mask)/n with n the full length; min, max
-    and population std over the kept elements. Pure per-row array work: no
-    shuffle at all.
+def masked_stats(df: DataFrame, keys: Sequence[str], xs: str, mask: Column | str, n: Column | None = None) -> DataFrame:
+    """Statistics of an array column over the elements whose mask is true.
+
+    ``mask`` is an array of booleans or numbers as long as ``xs`` (null: false). mean =
+    sum(x·mask)/n with n the full length unless given; min, max and population std are
+    over the kept elements (null when none is kept, or n is 0). The std is taken around
+    the kept mean in a second pass, so large offsets don't cancel. Pure per-row array
+    work: no shuffle at all.
     """
-    arr = F.transform(F.col(xs), lambda x: x.cast("double"))
-    kept = F.filter(arr, lambda x, i: i < cut)
-    n = F.size(arr)
-    m = F.size(kept)
-    s1 = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
-    s2 = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x * x)
-    mean_kept = s1 / m
-    var = F.greatest(s2 / m - mean_kept * mean_kept, F.lit(0.0))
-    return df.select(
+    m = F.col(mask) if isinstance(mask, str) else mask
+    pairs = F.arrays_zip(F.transform(F.col(xs), lambda x: x.cast("double")).alias("x"), F.transform(m, lambda b: F.coalesce(b.cast("boolean"), F.lit(False))).alias("m"))
+    t = df.withColumn("_kept", F.transform(F.filter(pairs, lambda p: p["m"]), lambda p: p["x"]))
+    t = t.withColumn("_m", F.size("_kept")).withColumn("_s", F.aggregate("_kept", F.lit(0.0), lambda a, x: a + x))
+    t = t.withColumn("_mu", F.col("_s") / F.nullif(F.col("_m"), F.lit(0)))
+    t = t.withColumn("_v", F.aggregate("_kept", F.lit(0.0), lambda a, x: a + (x - F.col("_mu")) * (x - F.col("_mu"))))
+    size = n if n is not None else F.size(xs)
+    return t.select(
         *keys,
-        _r(s1 / n).alias("mean"),
-        _r(F.array_min(kept)).alias("min"),
-        _r(F.array_max(kept)).alias("max"),
-        _r(F.sqrt(var)).alias("std"),
-        m.alias("n_kept"),
-        n.alias("n"),
+        _r(F.col("_s") / F.nullif(size, F.lit(0))).alias("mean"),
+        _r(F.array_min("_kept")).alias("min"),
+        _r(F.array_max("_kept")).alias("max"),
+        _r(F.sqrt(F.col("_v") / F.nullif(F.col("_m"), F.lit(0)))).alias("std"),
+        F.col("_m").alias("n_kept"),
+        size.alias("n"),
     )
 
 
+def unpad(xs: Column, mask: Column) -> Column:
+    """The array up to its first masked-out position."""
+    first = F.array_position(F.transform(mask, lambda b: F.coalesce(b.cast("boolean"), F.lit(False))), F.lit(False))
+    return F.when(first > 0, F.slice(xs, 1, (first - 1).cast("int"))).otherwise(xs)
+
+
 # A8 -------------------------------------------------------------------------
 def outcome_counts(facts: DataFrame, group: str, outcome: str = "final_reward") -> DataFrame:
     """Benchmark outcome counts per group: +1 win, −1 loss, the rest draws."""

@@ -8,12 +8,13 @@ columns.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajspark.functions.keys import seeded_uniform
+from trajspark.functions.keys import joint_key, seeded_uniform
 
 # The template wording used by the registered queries (our own text).
 TEMPLATES = [
@@ -38,10 +39,23 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def fill(text: Column, slots: Mapping[str, Column]) -> Column:
-    """Replace every ``{slot}`` in ``text`` by its column value (cast to string)."""
-    for name, value in slots.items():
-        text = F.replace(text, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-    return text
+    """Replace every ``{slot}`` in ``text`` by its column value (cast to string).
+
+    The template is cut at its slots once and the parts are joined, so a value that
+    itself holds a ``{slot}`` stays as it is.
+    """
+    if not slots:
+        return text
+    names = "|".join(re.escape(n) for n in slots)
+    parts = F.split(text, f"(?=\\{{(?:{names})\\}})|(?<=\\{{(?:{names})\\}})", -1)
+
+    def part(p: Column) -> Column:
+        out = p
+        for name, value in slots.items():
+            out = F.when(p == "{" + name + "}", F.coalesce(value.cast("string"), F.lit(""))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(parts, part), "")
 
 
 # P1 -------------------------------------------------------------------------
@@ -54,7 +68,9 @@ def prompt_table(df: DataFrame, templates: DataFrame, name: str, slots: Mapping[
     t = templates.where(F.col("name") == name)
     sys_t = t.select("system").scalar()
     usr_t = t.select("user").scalar()
-    out = df.withColumn("system", sys_t).withColumn("user", fill(usr_t, slots))
+    # the template becomes a column first: a subquery can't stand inside an array function
+    out = df.withColumn("system", sys_t).withColumn("_template", usr_t)
+    out = out.withColumn("user", fill(F.col("_template"), slots)).drop("_template")
     return out.withColumn(
         "messages",
         F.array(
@@ -103,14 +119,14 @@ def td_prompts(look: DataFrame, record: Sequence[str], m: int, templates: DataFr
     )
     v = v.select(*record, "pv_idx", "current_state", line.alias("line"), evaluation.isNull().alias("_missing"))
     g = v.groupBy(*record).agg(
-        F.min("current_state").alias("state"),
+        F.min("current_state").alias("current_state"),
         F.sort_array(F.collect_list(F.struct("pv_idx", "line"))).alias("_l"),
         F.count_if("_missing").alias("n_missing"),
     )
     g = g.withColumn("variations", F.array_join(F.transform("_l", lambda x: x["line"]), "\n")).drop("_l")
     ok = g.where(F.col("n_missing") == 0).drop("n_missing")
     errors = g.where(F.col("n_missing") > 0).select(*record, "n_missing")
-    return prompt_table(ok, templates, "td", {"state": F.col("state"), "variations": F.col("variations")}), errors
+    return prompt_table(ok, templates, "td", {"state": F.col("current_state"), "variations": F.col("variations")}), errors
 
 
 # P6 -------------------------------------------------------------------------
@@ -150,12 +166,6 @@ def epsilon_split(df: DataFrame, keys: Sequence[str], legal: str, eps: float, se
     return rnd, model
 
 
-def seeded_legal_pick(legal: str, seed: int | str, keys: Sequence[str]) -> Column:
-    """A seeded uniform element of a legal-action array."""
-    u2 = seeded_uniform(f"{seed}|pick", keys)
-    return F.element_at(F.col(legal), (F.floor(u2 * F.size(legal)) + 1).cast("int"))
-
-
 def voted_candidates(
     states: DataFrame,
     keys: Sequence[str],
@@ -178,11 +188,11 @@ def voted_candidates(
     ids = [*keys, "replica"]
     pr = prompt_table(
         rep, templates, "move_sample",
-        {"state": state_text, "moves": F.array_join(legal, ","), "sample": F.col("replica")},
+        {"state": state_text, "moves": F.array_join(F.col(legal).cast("array<string>"), ","), "sample": F.col("replica")},
     )
     resp = infer(pr, scorer, ids)
     ext = extract_pattern(pr.select(*ids, legal).join(resp, ids), "response", legal, ids, seed=seed)
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
+    key = joint_key(keys)
     v = vote(ext.select(*keys, key.alias("_key"), F.col("action").alias("candidate"), F.col("replica").alias("sample_idx")),
              "_key", "candidate", k)
     first = ext.select(*keys, key.alias("_key")).distinct()

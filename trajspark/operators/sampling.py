@@ -36,7 +36,7 @@ def distinct_states(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def distinct_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Before/after counts of D1 as one row."""
-    return df.agg(F.count(F.lit(1)).alias("n_before"), F.count_distinct(*keys).alias("n_after"))
+    return df.agg(F.count(F.lit(1)).alias("n_before"), F.count_distinct(F.struct(*keys)).alias("n_after"))
 
 
 # D2 -------------------------------------------------------------------------
@@ -132,58 +132,43 @@ def replicate(df: DataFrame, n: int, name: str = "replica") -> DataFrame:
 
 
 # D11 ------------------------------------------------------------------------
-# Rows of one key that a single task may rank (``chunk`` auto-salting).
-HOT_KEY_ROWS = 4_000_000
+#: md5 digits that deal a key's rows to buckets: a key of n rows is ranked by tasks of n / 16**digits rows
+SALT_DIGITS = 3
 
 
-def salt_digits_for(sizes_of: DataFrame, keys: Sequence[str], bound: int | None = None) -> int:
-    """md5-prefix digits that cut the largest key into buckets of at most
-    ``bound`` rows (0 = no key is hot). One partial-aggregate job over
-    ``sizes_of``, which must have one row per row to be chunked (pass the
-    cheapest table with that property)."""
-    import math
+def seeded_rank(
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: int | str, name: str, digits: int = SALT_DIGITS
+) -> DataFrame:
+    """0-based rank of each row among the rows of its keys, in seeded md5 order of the ids.
 
-    bound = HOT_KEY_ROWS if bound is None else bound
-    biggest = sizes_of.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= bound:
-        return 0
-    return min(8, max(1, math.ceil(math.log(biggest / bound, 16))))
+    The md5 prefix, which is the leading sort key, splits every key into buckets; each
+    bucket is ranked on its own and the buckets' counts supply the offsets. So no task
+    holds a key. Null keys are keys like any other.
+    """
+    t = df.withColumn("_h", seeded_key(seed, ids)).withColumn("_salt", F.substring("_h", 1, digits))
+    w = Window.partitionBy(*keys, "_salt").orderBy("_h", *ids)
+    t = t.withColumn("_local", F.row_number().over(w) - 1)
+    sizes = t.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_m"))
+    wo = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(wo), F.lit(0))).select(
+        *[F.col(k).alias(f"_o_{k}") for k in [*keys, "_salt"]], "_off"
+    )
+    cond = F.lit(True)
+    for k in [*keys, "_salt"]:
+        cond = cond & t[k].eqNullSafe(offs[f"_o_{k}"])
+    t = t.join(offs, cond, "inner").withColumn(name, F.col("_off") + F.col("_local"))
+    return t.drop("_h", "_salt", "_local", "_off", *[f"_o_{k}" for k in [*keys, "_salt"]])
 
 
-def chunk(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, seed: int | str = 42, salted: bool = False,
-    salt_digits: int = 2,
-) -> DataFrame:
+def chunk(df: DataFrame, keys: Sequence[str], ids: Sequence[str], n: int, seed: int | str = 42, salt_digits: int = SALT_DIGITS) -> DataFrame:
     """Per-key shuffled chunks of at most n rows; the short last chunk is kept.
 
-    Rows of a key are ranked in seeded md5 order of their ids; chunk =
-    rank div n. ``salted`` gives the same answer for hot keys without one
-    task per key: the md5 prefix (which *is* the leading sort key) splits a
-    key into up to 16**salt_digits buckets, each bucket is ranked on its own,
-    and bucket offsets come from a small (key, bucket) count table.
+    Rows of a key are ranked in seeded md5 order of their ids; chunk = rank div n. The
+    number of digits changes the plan only, not the rows.
     """
-    h = seeded_key(seed, ids)
-    t = df.withColumn("_h", h)
-    if not salted:
-        w = Window.partitionBy(*keys).orderBy("_h", *ids)
-        t = t.withColumn("_rank", F.row_number().over(w) - 1)
-    else:
-        t = t.withColumn("_salt", F.substring("_h", 1, salt_digits))
-        w = Window.partitionBy(*keys, "_salt").orderBy("_h", *ids)
-        t = t.withColumn("_local", F.row_number().over(w) - 1)
-        sizes = t.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_m"))
-        wo = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-        offs = sizes.withColumn("_off", F.coalesce(F.sum("_m").over(wo), F.lit(0))).select(
-            *[F.col(k).alias(f"_o_{k}") for k in [*keys, "_salt"]], "_off"
-        )
-        cond = None
-        for k in [*keys, "_salt"]:
-            c = t[k].eqNullSafe(offs[f"_o_{k}"])
-            cond = c if cond is None else cond & c
-        t = t.join(offs, cond, "inner").drop(*[f"_o_{k}" for k in [*keys, "_salt"]])
-        t = t.withColumn("_rank", F.col("_off") + F.col("_local")).drop("_off", "_local", "_salt")
+    t = seeded_rank(df, keys, ids, seed, "_rank", salt_digits)
     t = t.withColumn("chunk", (F.col("_rank") / n).cast("long")).withColumn("pos", (F.col("_rank") % n).cast("long"))
-    return t.drop("_h", "_rank")
+    return t.drop("_rank")
 
 
 # D12 ------------------------------------------------------------------------
@@ -195,8 +180,12 @@ def batches(df: DataFrame, keys: Sequence[str], size: int, wrap: bool = True) ->
     pad = (size - total % size) % size if wrap and total else 0
     if pad:
         last = (total - 1) // size
+        # pad row j repeats row j modulo the row count: fewer than ``size`` rows
+        times = F.floor((F.lit(pad - 1) - F.col("idx")) / total) + 1
         extra = (
             idx.where(F.col("idx") < pad)
+            .withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+            .drop("_again")
             .withColumn("batch", F.lit(last).cast("long"))
             .withColumn("is_pad", F.lit(True))
         )

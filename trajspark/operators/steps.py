@@ -23,28 +23,32 @@ def _w(ep: Sequence[str], order: str = "step", desc: bool = False):
     return Window.partitionBy(*ep).orderBy(o)
 
 
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str], name) -> Column:
+    """Null-safe equality of key columns (an equi-join for Spark)."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & left[c].eqNullSafe(right[name(c)])
+    return cond
+
+
+def _with_next_state(cur: DataFrame, steps: DataFrame, ep: Sequence[str], order: str) -> DataFrame:
+    """``next_state`` by a join on (episode…, step + 1); both sides hash on the step as well,
+    so a long episode spreads over many tasks. Null keys are keys like any other."""
+    nxt = steps.select(
+        *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
+    )
+    cond = _same(cur, nxt, ep, lambda c: f"_n_{c}") & (cur[order] == nxt["_n_o"])
+    return cur.join(nxt, cond, "left").drop(*[f"_n_{k}" for k in ep], "_n_o")
+
+
 # T1 -------------------------------------------------------------------------
-def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step", skew_safe: bool = False) -> DataFrame:
+def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
     """(s, a, r, s', turn, step) for every step that has an action.
 
-    ``skew_safe`` (for episodes too large for one task; ``order`` must be the
-    dense 0-based step number): s' comes from an equi-join on
-    (episode…, step + 1). Both sides hash on the step as well, so a long
-    episode spreads over many tasks instead of one window partition.
+    ``order`` is the dense 0-based step number.
     """
-    if skew_safe:
-        nxt = steps.select(
-            *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
-        )
-        cur = steps.where(F.col("action").isNotNull())
-        cond = [cur[k] == nxt[f"_n_{k}"] for k in ep] + [cur[order] == nxt["_n_o"]]
-        return cur.join(nxt, cond, "left").select(*ep, order, "state", "action", "reward", "next_state", "turn")
-    w = _w(ep, order)
-    return (
-        steps.withColumn("next_state", F.lead("state").over(w))
-        .where(F.col("action").isNotNull())
-        .select(*ep, order, "state", "action", "reward", "next_state", "turn")
-    )
+    cur = steps.where(F.col("action").isNotNull())
+    return _with_next_state(cur, steps, ep, order).select(*ep, order, "state", "action", "reward", "next_state", "turn")
 
 
 # T2 -------------------------------------------------------------------------
@@ -163,8 +167,7 @@ def with_sa_key(df: DataFrame, state: str = "state", action: str = "action", buc
 
 # T8 -------------------------------------------------------------------------
 def own_view(
-    steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False, extra: Sequence[str] = (),
-    skew_safe: bool = False,
+    steps: DataFrame, ep: Sequence[str], order: str = "step", credit_final: bool = False, extra: Sequence[str] = ()
 ) -> DataFrame:
     """One player's view: own steps, own-sign reward, ``done`` flag.
 
@@ -174,62 +177,34 @@ def own_view(
     ``credit_final`` a final reward earned on the opponent's move is added to
     our last step (the default keeps the logged behaviour, which drops it).
 
-    ``skew_safe`` (``order`` must be the dense 0-based step number): the
-    per-episode facts are a partial aggregate joined back on the episode (AQE
-    splits a hot key of that join), and s' comes from an equi-join on
-    (episode…, step + 1); no window over a whole episode.
+    ``order`` is the dense 0-based step number. The per-episode facts are a
+    partial aggregate joined back on the episode (AQE splits a hot key of that
+    join), and s' comes from a join on (episode…, step + 1); no window over a
+    whole episode.
     """
     has_action = F.col("action").isNotNull()
-    if skew_safe:
-        facts = steps.groupBy(*ep).agg(
-            F.min_by("turn", order).alias("_first_turn"),
-            F.max(F.when(has_action, F.col(order))).alias("_last_action_step"),
-            F.max_by("reward", F.when(has_action, F.col(order))).alias("_final_raw"),
-            F.max(F.when(has_action & F.col("turn"), F.col(order))).alias("_last_own"),
-        )
-        nxt = steps.select(
-            *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
-        )
-        cur = steps.select(*ep, order, "state", "action", "reward", "turn", *extra)
-        cur = cur.join(nxt, [cur[k] == nxt[f"_n_{k}"] for k in ep] + [cur[order] == nxt["_n_o"]], "left")
-        t = cur.join(facts, list(ep)).drop(*[f"_n_{k}" for k in ep], "_n_o")
-    else:
-        w = _w(ep, order)
-        wp = Window.partitionBy(*ep)
-        t = steps.select(
-            *ep,
-            order,
-            "state",
-            "action",
-            "reward",
-            "turn",
-            *extra,
-            F.lead("state").over(w).alias("next_state"),
-            F.min_by("turn", order).over(wp).alias("_first_turn"),
-            F.max(F.when(has_action, F.col(order))).over(wp).alias("_last_action_step"),
-        )
+    facts = steps.groupBy(*ep).agg(
+        F.min_by("turn", order).alias("_first_turn"),
+        F.max(F.when(has_action, F.col(order))).alias("_last_action_step"),
+        F.max_by("reward", F.when(has_action, F.col(order))).alias("_final_raw"),
+        F.max(F.when(has_action & F.col("turn"), F.col(order))).alias("_last_own"),
+    )
+    facts = facts.select(*[F.col(k).alias(f"_f_{k}") for k in ep], *[c for c in facts.columns if c not in ep])
+    cur = steps.select(*ep, order, "state", "action", "reward", "turn", *extra).where(has_action & F.col("turn"))
+    cur = _with_next_state(cur, steps, ep, order)
+    t = cur.join(facts, _same(cur, facts, ep, lambda c: f"_f_{c}"))
     sign = F.when(F.col("_first_turn"), 1).otherwise(-1)
     t = t.withColumn("_own_reward", F.col("reward") * sign)
+    done = F.col(order) == F.col("_last_action_step")
     if credit_final:
-        if skew_safe:
-            final_r = F.col("_final_raw") * sign
-            t = t.withColumn("_final_r", final_r)
-        else:
-            own_w = Window.partitionBy(*ep)
-            final_r = F.max(F.when(F.col(order) == F.col("_last_action_step"), F.col("_own_reward"))).over(own_w)
-            last_own = F.max(F.when(has_action & F.col("turn"), F.col(order))).over(own_w)
-            t = t.withColumn("_final_r", final_r).withColumn("_last_own", last_own)
         bonus = F.when(
             (F.col(order) == F.col("_last_own")) & (F.col("_last_own") != F.col("_last_action_step")),
-            F.col("_final_r"),
+            F.col("_final_raw") * sign,
         ).otherwise(0)
         t = t.withColumn("_own_reward", F.col("_own_reward") + bonus)
-        done = (F.abs(F.col("_own_reward")) > 0) | (F.col(order) == F.col("_last_action_step")) | (
-            F.col(order) == F.col("_last_own")
-        )
-    else:
-        done = (F.abs(F.col("_own_reward")) > 0) | (F.col(order) == F.col("_last_action_step"))
-    return t.where(has_action & F.col("turn")).select(
+        done = done | (F.col(order) == F.col("_last_own"))
+    done = (F.abs(F.col("_own_reward")) > 0) | done
+    return t.select(
         *ep, order, "state", "action", "next_state", F.col("_own_reward").alias("reward"), done.alias("done"), *extra
     )
 
@@ -257,56 +232,18 @@ def to_trajectories(steps: DataFrame, ep: Sequence[str], order: str = "step") ->
 
 
 # T10 ------------------------------------------------------------------------
-def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step", skew_safe: bool = False) -> DataFrame:
+def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step") -> DataFrame:
     """k-step look-ahead over logged games.
 
     Per state with an action: the next k actions and rewards and a
     ``final_state``: the state k steps ahead with its turn (eval null), or the
-    terminal state (turn null) when the game ends inside the window. A
-    bounded sliding frame keeps this O(n·k) per episode.
+    terminal state (turn null) when the game ends inside the window.
 
-    ``skew_safe`` (``order`` must be the dense 0-based step number): every
-    row is sent to the k + 1 anchor steps that see it (offsets 0..k) and one
-    aggregate per (episode…, anchor) gathers them: groups of at most k + 1
-    rows, hashed on the step as well, so a long episode spreads over tasks.
+    ``order`` is the dense 0-based step number. Every row is sent to the k + 1
+    anchor steps that see it (offsets 0..k) and one aggregate per (episode…,
+    anchor) gathers them: groups of at most k + 1 rows, hashed on the step as
+    well, so a long episode spreads over tasks.
     """
-    if skew_safe:
-        return _look_ahead_by_offsets(steps, ep, k, order)
-    w = _w(ep, order)
-    frame = w.rowsBetween(0, k - 1)
-    ahead_state = F.lead("state", k).over(w)
-    ahead_term = F.lead("is_terminal", k).over(w)
-    ahead_turn = F.lead("turn", k).over(w)
-    last_state = F.max_by("state", order).over(Window.partitionBy(*ep))
-    t = steps.select(
-        *ep,
-        order,
-        "state",
-        "action",
-        F.collect_list("action").over(frame).alias("pv_actions"),
-        F.collect_list("reward").over(frame).alias("pv_rewards"),
-        ahead_state.alias("_as"),
-        ahead_term.alias("_at"),
-        ahead_turn.alias("_au"),
-        last_state.alias("_ls"),
-    ).where(F.col("action").isNotNull())
-    ended = F.col("_as").isNull() | F.col("_at")
-    return t.select(
-        *ep,
-        order,
-        "state",
-        "pv_actions",
-        "pv_rewards",
-        F.struct(
-            F.when(ended, F.col("_ls")).otherwise(F.col("_as")).alias("state"),
-            F.lit(None).cast("string").alias("eval"),
-            F.when(ended, F.lit(None).cast("boolean")).otherwise(F.col("_au")).alias("turn"),
-            ended.alias("is_terminal"),
-        ).alias("final_state"),
-    )
-
-
-def _look_ahead_by_offsets(steps: DataFrame, ep: Sequence[str], k: int, order: str) -> DataFrame:
     j = F.col("_j")
     rep = steps.select(
         *ep, order, "state", "action", "reward", "turn", "is_terminal", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_j")
@@ -380,49 +317,42 @@ def keep_last(df: DataFrame, ep: Sequence[str], order: str, k: int) -> DataFrame
 
 # Step numbering --------------------------------------------------------------
 def number_steps(
-    df: DataFrame, ep: Sequence[str], order: Sequence[str], carry: str, ahead: int = 2, slices: int | None = None
+    df: DataFrame, ep: Sequence[str], order: Sequence[str], carry: str, span: Column, ahead: int = 2
 ) -> DataFrame:
     """0-based ``step`` per episode and the next ``ahead`` values of ``carry``
-    (``_next1`` … ``_next{ahead}``), for episodes too large for one task.
-
-    A window per episode puts a whole episode in one task. Here the rows are
-    range-partitioned on (episode, order…), so a hot episode spreads over
-    many slices. Row numbers and look-ahead values are computed inside each
-    (slice, episode), and a small table with one row per (slice, episode)
-    supplies the offsets (sum of the earlier slices' counts) and the first
-    values of the following slices, which fill the look-ahead at slice ends.
-    The result equals ``row_number()`` / ``lead()`` over the episode.
+    (``_next1`` … ``_next{ahead}``).
+
+    ``span`` cuts an episode into pieces that follow one another in ``order`` (such as
+    the minute of a time). Rows are numbered inside each (episode, span), and a small
+    table with one row per (episode, span) supplies the offsets (counts of the earlier
+    spans) and the first values of the following spans, which fill the look-ahead at
+    a span's end. So a task holds a span, however long the episode is. The result equals
+    ``row_number()`` / ``lead()`` over the episode; null keys are keys like any other.
     """
-    from trajspark.session import write_table
-
-    order = list(order)
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # slice ids come from sampled range bounds: written once as a table (shared
-    # checkpoint folder) so every branch below, and any retry, sees the same ids
-    r = write_table(df.repartitionByRange(slices, *ep, *order).withColumn("_slice", F.spark_partition_id()), "slices")
-    w = Window.partitionBy("_slice", *ep).orderBy(*order)
+    r = df.withColumn("_slice", span)
+    w = Window.partitionBy(*ep, "_slice").orderBy(*order)
     loc = r.select(
         "*",
         F.row_number().over(w).alias("_rn"),
         *[F.lead(carry, i).over(w).alias(f"_n{i}") for i in range(1, ahead + 1)],
     )
-    # one row per (slice, episode): count and the first `ahead` values
-    heads = loc.groupBy("_slice", *ep).agg(
+    # one row per (episode, span): count and the first `ahead` values (in a struct, as a list drops nulls)
+    heads = loc.groupBy(*ep, "_slice").agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.sort_array(F.collect_list(F.when(F.col("_rn") <= ahead, F.struct("_rn", F.col(carry).alias("v"))))).alias("_h"),
     )
     ws = Window.partitionBy(*ep).orderBy("_slice")
     heads = heads.select(
-        "_slice", *ep, "_cnt",
+        *[F.col(c).alias(f"_o_{c}") for c in [*ep, "_slice"]], "_cnt",
         F.coalesce(F.sum("_cnt").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        # every slice holds at least one row, so `ahead` following slices hold `ahead` values
+        # every span holds at least one row, so `ahead` following spans hold `ahead` values
         F.slice(
             F.flatten(F.collect_list(F.transform("_h", lambda x: x["v"])).over(ws.rowsBetween(1, ahead))), 1, ahead
         ).alias("_after"),
     )
-    j = loc.join(heads, ["_slice", *ep])
+    j = loc.join(heads, _same(loc, heads, [*ep, "_slice"], lambda c: f"_o_{c}"))
     out = j.withColumn("step", (F.col("_off") + F.col("_rn") - 1).cast("int"))
-    # the i-th value ahead: local lead while the slice has it, else from the following slices
+    # the i-th value ahead: local lead while the span has it, else from the following spans
     n_local = F.least(F.col("_cnt") - F.col("_rn"), F.lit(ahead))
     for i in range(1, ahead + 1):
         out = out.withColumn(
@@ -431,4 +361,4 @@ def number_steps(
                 F.try_element_at("_after", F.greatest(F.lit(i) - n_local, F.lit(1)).cast("int"))
             ),
         )
-    return out.drop("_slice", "_rn", "_off", "_after", "_cnt", *[f"_n{i}" for i in range(1, ahead + 1)])
+    return out.drop("_slice", "_rn", "_off", "_after", "_cnt", *[f"_n{i}" for i in range(1, ahead + 1)], *[f"_o_{c}" for c in [*ep, "_slice"]])

@@ -42,7 +42,7 @@ def _join(c, sep: str = " ") -> F.Column:
 # ---------------------------------------------------------------- T family
 @query("t1_transitions")
 def t1(spark, sf):
-    return _wk(T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)))
+    return _wk(T.to_transitions(V.ep_events(spark, sf), EP))
 
 
 @query("t2_own_steps")
@@ -85,12 +85,12 @@ def t7(spark, sf):
 
 @query("t8_own_view")
 def t8(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)))
+    return _wk(T.own_view(V.ep_events(spark, sf), EP))
 
 
 @query("t8_own_view_credit_final")
 def t8c(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP, credit_final=True, skew_safe=V.events_hot(spark, sf)))
+    return _wk(T.own_view(V.ep_events(spark, sf), EP, credit_final=True))
 
 
 @query("t9_trajectories")
@@ -121,7 +121,7 @@ def t9o(spark, sf):
 
 @query("t10_look_ahead")
 def t10(spark, sf):
-    la = T.look_ahead(V.ep_events(spark, sf), EP, k=4, skew_safe=V.events_hot(spark, sf))
+    la = T.look_ahead(V.ep_events(spark, sf), EP, k=4)
     return _wk(
         la.select(
             *EP, "step", "state",
@@ -201,7 +201,16 @@ def a6(spark, sf):
 @query("a7_masked_stats")
 def a7(spark, sf):
     emb = table(spark, sf, "embeddings")
-    return A.masked_stats(emb, ["vec_id"], "embedding", cut=F.lit(8) + F.col("label"))
+    return A.masked_stats(emb, ["vec_id"], "embedding", F.transform("embedding", lambda x, i: (i + F.col("label")) % 3 != 0))
+
+
+@query("a7_unpadded_stats")
+def a7u(spark, sf):
+    """The array up to its first padding position, then unmasked statistics."""
+    emb = table(spark, sf, "embeddings")
+    cut = A.unpad(F.col("embedding"), F.transform("embedding", lambda x, i: i < 8 + F.col("label")))
+    emb = emb.withColumn("kept", cut)
+    return A.masked_stats(emb, ["vec_id"], "kept", F.transform("kept", lambda x: F.lit(True)))
 
 
 @query("a8_outcome_counts")
@@ -280,7 +289,7 @@ def d5(spark, sf):
 
 
 def _holdout(spark, sf):
-    return D.holdout(V.states(spark, sf), SKEYS, 50, seed=7)
+    return D.holdout(T.drop_terminal(V.states(spark, sf)), SKEYS, 50, seed=7)
 
 
 @query("d6_holdout_test")
@@ -301,8 +310,9 @@ def d6l(spark, sf):
 
 @query("d7_grow_frontier")
 def d7(spark, sf):
+    """The frontier of week 1 grown by all later weeks."""
     ws = V.week_states(spark, sf)
-    return D.grow_frontier(ws.where(F.col("iter") == 1), ws.where(F.col("iter") == 2), SKEYS)
+    return D.grow_frontier(ws.where(F.col("iter") == 1), ws.where(F.col("iter") > 1), SKEYS)
 
 
 @query("d8_shuffle")
@@ -333,7 +343,7 @@ def d11(spark, sf):
 
 @query("d11_chunks_salted")
 def d11s(spark, sf):
-    return _wk(D.chunk(_chunk_input(spark, sf), ["sa_key"], [*EP, "step"], 5, seed=42, salted=True))
+    return _wk(D.chunk(_chunk_input(spark, sf), ["sa_key"], [*EP, "step"], 5, seed=42, salt_digits=1))
 
 
 @query("d12_batches")
@@ -471,7 +481,7 @@ from trajspark.operators import answers as P  # noqa: E402
 from trajspark.operators import infer as I  # noqa: E402
 from trajspark.operators import prompts as PR  # noqa: E402
 
-LA_KEYS = [*EP, "pv_idx"]
+LA_KEYS = [*V.LA_RECORD, "pv_idx"]
 
 
 @query("p1_prompt_table")
@@ -492,18 +502,14 @@ def p2(spark, sf):
     s = T.suffixes(V.ep_events(spark, sf), EP).select(
         *EP, "start", "state", "action", sa_key("state", "action").alias("sa_key"), _game_text().alias("game_text")
     )
-    # one suffix per own step, and a (state, action) pair occurs at most as often
-    # as its state: counting states on the raw table (one column, partial
-    # aggregation) bounds every key; salting more than needed changes nothing
-    digits = D.salt_digits_for(table(spark, sf, "events").select(F.col("event_type").alias("state")), ["state"])
-    ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42, salted=digits > 0, salt_digits=max(digits, 1))
+    ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42)
     out = PR.mc_prompts(ch, ["sa_key"], PR.template_table(spark))
     return out.select("sa_key", "chunk", "state", "action", "n_games", "user")
 
 
 @query("p3_visit_prompts")
 def p3(spark, sf):
-    tr = T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)).select("state", "turn").distinct()
+    tr = T.to_transitions(V.ep_events(spark, sf), EP).select("state", "turn").distinct()
     out = PR.prompt_table(tr, PR.template_table(spark), "evaluate", {"state": F.col("state"), "turn": F.col("turn")})
     return out.select("state", "turn", "user")
 
@@ -519,7 +525,7 @@ def _end_state_prompts(spark, sf, m=2):
 
 @query("p4_end_state_prompts")
 def p4(spark, sf):
-    return _wk(_end_state_prompts(spark, sf).select(*LA_KEYS, "system", "user"))
+    return _end_state_prompts(spark, sf).select(*LA_KEYS, "system", "user")
 
 
 def _responses(spark, sf):
@@ -528,7 +534,7 @@ def _responses(spark, sf):
 
 @query("p8_infer")
 def p8(spark, sf):
-    return _wk(_responses(spark, sf))
+    return _responses(spark, sf)
 
 
 def _attached(spark, sf):
@@ -538,26 +544,24 @@ def _attached(spark, sf):
 @query("p9_attach")
 def p9(spark, sf):
     a = _attached(spark, sf)
-    return _wk(
-        a.select(
-            *LA_KEYS,
-            F.col("final_state.state").alias("final_state"),
-            F.col("final_state.eval").alias("final_eval"),
-            F.col("final_state.is_terminal").alias("final_terminal"),
-        )
+    return a.select(
+        *LA_KEYS,
+        F.col("final_state.state").alias("final_state"),
+        F.col("final_state.eval").alias("final_eval"),
+        F.col("final_state.is_terminal").alias("final_terminal"),
     )
 
 
 @query("p5_td_prompts")
 def p5(spark, sf):
-    ok, _ = PR.td_prompts(_attached(spark, sf), EP, 2, PR.template_table(spark))
-    return _wk(ok.select(*EP, "state", "user"))
+    ok, _ = PR.td_prompts(_attached(spark, sf), V.LA_RECORD, 2, PR.template_table(spark))
+    return ok.select(*V.LA_RECORD, "user")
 
 
 @query("p5_td_errors")
 def p5e(spark, sf):
-    _, err = PR.td_prompts(_attached(spark, sf), EP, 3, PR.template_table(spark))
-    return _wk(err)
+    _, err = PR.td_prompts(_attached(spark, sf), V.LA_RECORD, 3, PR.template_table(spark))
+    return err
 
 
 @query("p6_improvement_prompts")
@@ -570,7 +574,7 @@ def p6(spark, sf):
 
 
 def _legal(spark, sf):
-    return T.to_transitions(V.ep_events(spark, sf), EP, skew_safe=V.events_hot(spark, sf)).select("state", "action").distinct()
+    return T.to_transitions(V.ep_events(spark, sf), EP).select("state", "action").distinct()
 
 
 @query("p7_candidates")
@@ -578,16 +582,20 @@ def p7(spark, sf):
     return PR.candidates(V.states(spark, sf).select("state", "props"), _legal(spark, sf), ["state"])
 
 
+def _legal_moves(spark, sf):
+    """Legal move numbers of each state; an action's number is the length of its name."""
+    return _legal(spark, sf).groupBy("state").agg(F.sort_array(F.collect_set(F.length("action"))).alias("legal"))
+
+
 def _eps_split(spark, sf):
-    legal = _legal(spark, sf).groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("legal"))
-    st = V.states(spark, sf).select("state", "props").join(legal, "state")
+    st = V.states(spark, sf).select("state", "props").join(_legal_moves(spark, sf), "state")
     return PR.epsilon_split(st, SKEYS, "legal", eps=0.3, seed=42)
 
 
 def _model_moves(spark, sf):
     _, model = _eps_split(spark, sf)
     pr = PR.prompt_table(
-        model, PR.template_table(spark), "move", {"state": F.concat_ws(" ", "state", "props"), "moves": F.array_join("legal", ",")}
+        model, PR.template_table(spark), "move", {"state": F.concat_ws(" ", "state", "props"), "moves": F.array_join(F.col("legal").cast("array<string>"), ",")}
     )
     resp = I.infer(pr, "best_move", SKEYS)
     j = pr.select(*SKEYS, "legal").join(resp, SKEYS)
@@ -596,8 +604,7 @@ def _model_moves(spark, sf):
 
 @query("p7_candidates_voted")
 def p7v(spark, sf):
-    legal = _legal(spark, sf).groupBy("state").agg(F.sort_array(F.collect_set("action")).alias("legal"))
-    st = V.states(spark, sf).select("state", "props").join(legal, "state")
+    st = V.states(spark, sf).select("state", "props").join(_legal_moves(spark, sf), "state")
     out = PR.voted_candidates(
         st, SKEYS, "legal", PR.template_table(spark), n_samples=3, k=2, scorer="best_move",
         state_text=F.concat_ws(" ", "state", "props"), seed=42,
@@ -618,6 +625,20 @@ def p11p(spark, sf):
     return _model_moves(spark, sf).select(*SKEYS, "response", "action", "status")
 
 
+@query("p11_extract_json")
+def p11j(spark, sf):
+    """JSON answers with well-formed, malformed and field-less replies; a default where the field is missing."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    reply = (
+        F.when(F.col("n_chars") % 4 == 0, F.concat(F.lit('{"thoughts": "'), F.col("lang"), F.lit('", "action": "move '), (F.col("n_chars") % 9).cast("string"), F.lit('"}')))
+        .when(F.col("n_chars") % 4 == 1, F.lit('{"thoughts": "none"}'))
+        .when(F.col("n_chars") % 4 == 2, F.lit('{"action": '))
+        .otherwise(F.lit("move up"))
+    )
+    out = P.extract_json(d.withColumn("response", reply), "response", "thoughts string, action string", "action", F.lit(""))
+    return out.select("doc_id", "answer", "status")
+
+
 @query("p11_extract_verdict")
 def p11v(spark, sf):
     return P.extract_verdict(V.verdicts(spark, sf), "response").select("doc_id", "predict", "status")
@@ -646,15 +667,11 @@ from trajspark.operators import examples as X  # noqa: E402
 
 @query("x1_sft_pairs")
 def x1(spark, sf):
-    c = V.chats(spark, sf)
-    is_user = F.col("role") == "user"
-    first_user = c.groupBy("conv_id").agg(
-        F.min_by(F.when(is_user, F.col("text")), F.when(is_user, F.col("turn"))).alias("text")
-    ).where(F.col("text").isNotNull())
-    student = PR.prompt_table(first_user, PR.template_table(spark), "student", {"text": F.col("text")})
-    teacher = X.last_message(c, ["conv_id"], "turn")
-    out = X.sft_pairs(student, teacher, ["conv_id"])
-    return out.select("conv_id", F.size("messages").alias("n_messages"), "system", "user", "assistant")
+    """Every question with its own answer: the assistant message right after a user message."""
+    ask, answer = X.exchanges(V.chats(spark, sf), ["conv_id"], "turn")
+    student = PR.prompt_table(ask, PR.template_table(spark), "student", {"text": F.col("text")})
+    out = X.sft_pairs(student, answer, ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.size("messages").alias("n_messages"), "system", "user", "assistant")
 
 
 def _rendered(spark, sf):
@@ -667,7 +684,7 @@ def x2(spark, sf):
 
 
 def _masked(spark, sf):
-    return X.label_masks(_rendered(spark, sf), 256)
+    return X.label_masks(_rendered(spark, sf), X.MAX_TOKENS)
 
 
 @query("x3_label_masks")
@@ -687,7 +704,7 @@ def x3d(spark, sf):
 
 @query("x4_pad_batches")
 def x4(spark, sf):
-    m = _masked(spark, sf).where("kept").select("conv_id", F.slice(X.tokens(F.col("full_text")), 1, 256).alias("tok"))
+    m = _masked(spark, sf).where("kept").select("conv_id", F.col("input_tokens").alias("tok"))
     b = X.epoch_batches(m, ["conv_id"], 4, seed=42)
     p = X.pad_batches(b, "tok", "batch")
     return p.select(
@@ -1000,9 +1017,9 @@ def a9(spark, sf):
 def d2(spark, sf):
     la = V.lookahead_ev(spark, sf)
     var = F.struct(F.array_join("pv_actions", " ").alias("moves"), F.col("final_state.state").alias("end"))
-    g = la.groupBy(*EP).agg(F.sort_array(F.collect_list(F.struct("pv_idx", var.alias("v")))).alias("_v"))
+    g = la.groupBy(*V.LA_RECORD).agg(F.sort_array(F.collect_list(F.struct("pv_idx", var.alias("v")))).alias("_v"))
     # the first variation is repeated on purpose
     arr = F.transform("_v", lambda x: x["v"])
     g = g.withColumn("variations", F.concat(arr, F.slice(arr, 1, 1)))
     d = D.distinct_variations(g, "variations")
-    return _wk(d.select(*EP, (F.size("_v") + 1).alias("n_variations"), F.size("variations").alias("n_distinct")))
+    return d.select(*V.LA_RECORD, (F.size("_v") + 1).alias("n_variations"), F.size("variations").alias("n_distinct"))

@@ -6,8 +6,12 @@ Tables region … conversations are views in the oracle's DuckDB; the
 
 from __future__ import annotations
 
+import re
+
 from trajspark.plans.views_sql import with_views as W
 
+# each part as length:text, so that different pairs never share a key
+SA = "CAST(length(state) AS VARCHAR) || ':' || state || '|' || CAST(length(action) AS VARCHAR) || ':' || action"
 WS = "[ \\t\\n\\r\\f]+"
 TOKENS = f"list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '')"
 
@@ -86,7 +90,7 @@ UNION ALL SELECT 'next_state', CAST(count_if(action IS NOT NULL) AS BIGINT),
 UNION ALL SELECT 'terminal_flag', CAST(count(*) AS BIGINT),
        CAST(count_if(is_terminal <> (next_state IS NULL)) AS BIGINT) FROM t""",
     "t7_sa_keys": W("ep_events") + """
-SELECT concat_ws('|', state, action) AS sa_key, count(*) AS n FROM ep_events
+SELECT """ + SA + """ AS sa_key, count(*) AS n FROM ep_events
 WHERE turn AND action IS NOT NULL GROUP BY 1""",
     "t8_own_view": W("ep_events") + """,
 t AS (SELECT *, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS next_state,
@@ -173,10 +177,17 @@ SELECT * FROM (
   FROM votes GROUP BY state, candidate) t
 WHERE rank <= 2""",
     "a7_masked_stats": """
-SELECT vec_id, round(sum(x) / any_value(n), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max,
-       round(stddev_pop(x), 6) AS std, CAST(count(*) AS INTEGER) AS n_kept, CAST(any_value(n) AS INTEGER) AS n
+SELECT vec_id, round(coalesce(sum(x) FILTER (WHERE (i + label) % 3 <> 0), 0) / any_value(n), 6) AS mean, round(min(x) FILTER (WHERE (i + label) % 3 <> 0), 6) AS min,
+       round(max(x) FILTER (WHERE (i + label) % 3 <> 0), 6) AS max, round(stddev_pop(x) FILTER (WHERE (i + label) % 3 <> 0), 6) AS std,
+       CAST(count_if((i + label) % 3 <> 0) AS INTEGER) AS n_kept, CAST(any_value(n) AS INTEGER) AS n
 FROM (SELECT vec_id, label, len(embedding) AS n, CAST(unnest(embedding) AS DOUBLE) AS x,
              generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) u
+GROUP BY vec_id""",
+    "a7_unpadded_stats": """
+SELECT vec_id, round(sum(x) / count(*), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max,
+       round(stddev_pop(x), 6) AS std, CAST(count(*) AS INTEGER) AS n_kept, CAST(count(*) AS INTEGER) AS n
+FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x,
+             generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) u
 WHERE i < 8 + label GROUP BY vec_id""",
     "a8_outcome_counts": W("ep_events") + "," + FACTS + """
 SELECT iter, CAST(count_if(final_reward = 1) AS BIGINT) AS n_win, CAST(count_if(final_reward = -1) AS BIGINT) AS n_loss,
@@ -228,11 +239,11 @@ FROM s JOIN b ON s.benchmark = b.benchmark GROUP BY run, s.benchmark""",
 }
 
 MD5_STATE = "md5(concat_ws('|', '{seed}', state, props))"
-CHUNK_SQL = W("ep_events") + """
+CHUNK_SQL = W("ep_events") + f"""
 SELECT user_id, CAST(week AS VARCHAR) AS week, step, sa_key,
        CAST((rk - 1) // 5 AS BIGINT) AS chunk, CAST((rk - 1) % 5 AS BIGINT) AS pos
-FROM (SELECT user_id, week, step, concat_ws('|', state, action) AS sa_key,
-             row_number() OVER (PARTITION BY concat_ws('|', state, action)
+FROM (SELECT user_id, week, step, {SA} AS sa_key,
+             row_number() OVER (PARTITION BY {SA}
                                 ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(step AS VARCHAR))),
                                          user_id, week, step) AS rk
       FROM ep_events WHERE turn AND action IS NOT NULL) t"""
@@ -253,14 +264,14 @@ SELECT event_id, state, props FROM (
   SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))), event_id) AS rn FROM raw_states) t
 WHERE rn <= (SELECT CAST(floor(0.025 * count(*)) AS BIGINT) FROM raw_states)""",
     "d6_holdout_test": W("states") + f"""
-SELECT state, props FROM states ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50""",
+SELECT state, props FROM states WHERE NOT is_terminal ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50""",
     "d6_holdout_train": W("states") + f"""
-SELECT state, props FROM states EXCEPT ALL
-SELECT * FROM (SELECT state, props FROM states ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50) t""",
+SELECT state, props FROM states WHERE NOT is_terminal EXCEPT ALL
+SELECT * FROM (SELECT state, props FROM states WHERE NOT is_terminal ORDER BY {MD5_STATE.format(seed=7)}, state, props LIMIT 50) t""",
     "d6_leakage": W("states") + """
-SELECT count(*) - 50 AS n_train, CAST(50 AS BIGINT) AS n_test, CAST(0 AS BIGINT) AS n_overlap FROM states""",
+SELECT count(*) - 50 AS n_train, CAST(50 AS BIGINT) AS n_test, CAST(0 AS BIGINT) AS n_overlap FROM states WHERE NOT is_terminal""",
     "d7_grow_frontier": W("week_states") + """
-SELECT DISTINCT state, props, is_terminal FROM week_states WHERE iter IN (1, 2) AND NOT is_terminal""",
+SELECT DISTINCT state, props, is_terminal FROM week_states WHERE NOT is_terminal""",
     "d9_index": W("states") + f"""
 SELECT state, props, row_number() OVER (ORDER BY {MD5_STATE.format(seed=42)}, state, props) - 1 AS idx FROM states""",
     "d10_replicate": W("states") + """
@@ -405,10 +416,10 @@ def _lit(s: str) -> str:
 
 
 def _fill(name: str, slots: dict[str, str]) -> str:
-    expr = _lit(_TPL[name][1])
-    for k, v in slots.items():
-        expr = f"replace({expr}, '{{{k}}}', coalesce(CAST({v} AS VARCHAR), ''))"
-    return expr
+    # the template is cut at its slots; values are never searched for slots
+    pieces = re.split("(" + "|".join(re.escape("{" + k + "}") for k in slots) + ")", _TPL[name][1])
+    named = {"{" + k + "}": f"coalesce(CAST({v} AS VARCHAR), '')" for k, v in slots.items()}
+    return "(" + " || ".join(named.get(p, _lit(p)) for p in pieces if p) + ")"
 
 
 def _sys(name: str) -> str:
@@ -419,12 +430,12 @@ def _u2(seed: str, keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {keys})), 1, 13))::BIGINT / 4503599627370496.0)"
 
 
-SUFFIX_CHUNKS = """,
+SUFFIX_CHUNKS = f""",
 sfx AS (SELECT user_id, week, step AS start, state, action, turn,
                CAST(sum(reward) OVER w AS BIGINT) AS rtg, list(action) OVER w AS acts
         FROM ep_events
         WINDOW w AS (PARTITION BY user_id, week ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-games AS (SELECT user_id, week, start, state, action, concat_ws('|', state, action) AS sa_key,
+games AS (SELECT user_id, week, start, state, action, {SA} AS sa_key,
                  'actions: ' || array_to_string(list_reverse(list_filter(acts, lambda x: x IS NOT NULL)), ' ') || '; return: ' || CAST(rtg AS VARCHAR) AS game_text
           FROM sfx WHERE action IS NOT NULL AND turn),
 ch AS (SELECT *, (rk - 1) // 5 AS chunk, (rk - 1) % 5 AS pos FROM (
@@ -433,7 +444,7 @@ ch AS (SELECT *, (rk - 1) // 5 AS chunk, (rk - 1) % 5 AS pos FROM (
 """
 
 EPS = f""",
-legal AS (SELECT state, list_sort(list(DISTINCT action)) AS legal FROM (
+legal AS (SELECT state, list_sort(list(DISTINCT CAST(length(action) AS INTEGER))) AS legal FROM (
             SELECT state, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS action FROM ep_events) t
           WHERE action IS NOT NULL GROUP BY state),
 st AS (SELECT s.state, s.props, l.legal, {_u2('42', 's.state, s.props')} AS u, {_u2('42|pick', 's.state, s.props')} AS u2
@@ -446,10 +457,10 @@ ext AS (SELECT *, string_split(response, '"best_move": ') AS parts FROM resp),
 ext2 AS (SELECT *, CASE WHEN len(parts) >= 2 THEN parts[2] END AS after FROM ext),
 ext3 AS (SELECT *, TRY_CAST(substr(after, 1, 1) AS INTEGER) - 1 AS idx FROM ext2),
 moves AS (SELECT state, props, response,
-                 CASE WHEN after IS NOT NULL AND idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN legal[idx + 1]
+                 CASE WHEN after IS NOT NULL AND coalesce(list_contains(legal, idx), false) THEN idx
                       ELSE legal[CAST(floor(u2 * len(legal)) AS INTEGER) + 1] END AS action,
                  CASE WHEN after IS NULL THEN 'no_marker'
-                      WHEN idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN 'ok' ELSE 'fallback' END AS status
+                      WHEN coalesce(list_contains(legal, idx), false) THEN 'ok' ELSE 'fallback' END AS status
           FROM ext3)
 """
 
@@ -462,26 +473,26 @@ pv AS (SELECT doc_id, win, win_rate,
 """
 
 END_PROMPTS = f""",
-esp AS (SELECT user_id, week, pv_idx, {_sys('evaluate')} AS system,
+esp AS (SELECT user_id, state, pv_idx, {_sys('evaluate')} AS system,
                {_fill('evaluate', {'state': 'final_state', 'turn': 'final_turn'})} AS user
         FROM lookahead_ev WHERE pv_idx < 2 AND NOT final_terminal),
-resp AS (SELECT user_id, week, pv_idx, 'value ' || CAST(length(user) % 7 - 3 AS VARCHAR) AS response FROM esp),
+resp AS (SELECT user_id, state, pv_idx, 'value ' || CAST(length(user) % 7 - 3 AS VARCHAR) AS response FROM esp),
 att AS (SELECT l.*, coalesce(r.response, l.final_eval) AS eval
-        FROM lookahead_ev l LEFT JOIN resp r ON r.user_id = l.user_id AND r.week = l.week AND r.pv_idx = l.pv_idx)
+        FROM lookahead_ev l LEFT JOIN resp r ON r.user_id = l.user_id AND r.state = l.state AND r.pv_idx = l.pv_idx)
 """
 
 
 def _td(m: int) -> str:
     return f""",
-lines AS (SELECT user_id, week, pv_idx, current_state,
+lines AS (SELECT user_id, state, pv_idx, current_state,
                  CASE WHEN final_terminal THEN 'terminal, reward ' || CAST(list_sum(list_transform(pv_rewards, lambda x: CAST(x AS DOUBLE))) AS VARCHAR)
                       ELSE eval END AS evaluation,
                  'Variation ' || CAST(pv_idx + 1 AS VARCHAR) || ': moves ' || array_to_string(pv_actions, ' ') || '; end ' || final_state
                  || '; eval ' || coalesce(CASE WHEN final_terminal THEN 'terminal, reward ' || CAST(list_sum(list_transform(pv_rewards, lambda x: CAST(x AS DOUBLE))) AS VARCHAR) ELSE eval END, '?') AS line
           FROM att WHERE pv_idx < {m}),
-rec AS (SELECT user_id, week, min(current_state) AS state, string_agg(line, '\n' ORDER BY pv_idx) AS variations,
+rec AS (SELECT user_id, state, string_agg(line, '\n' ORDER BY pv_idx) AS variations,
                count_if(evaluation IS NULL) AS n_missing
-        FROM lines GROUP BY user_id, week)
+        FROM lines GROUP BY user_id, state)
 """
 
 
@@ -499,16 +510,16 @@ SELECT sa_key, chunk, state, action, n_games, {_fill('mc', {'state': 'state', 'a
 SELECT state, turn, {_fill('evaluate', {'state': 'state', 'turn': 'turn'})} AS user
 FROM (SELECT DISTINCT state, turn FROM ep_events WHERE action IS NOT NULL) t""",
     "p4_end_state_prompts": W("lookahead_ev") + END_PROMPTS + """
-SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, system, user FROM esp""",
+SELECT user_id, state, pv_idx, system, user FROM esp""",
     "p8_infer": W("lookahead_ev") + END_PROMPTS + """
-SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, response FROM resp""",
+SELECT user_id, state, pv_idx, response FROM resp""",
     "p9_attach": W("lookahead_ev") + END_PROMPTS + """
-SELECT user_id, CAST(week AS VARCHAR) AS week, pv_idx, final_state, eval AS final_eval, final_terminal FROM att""",
+SELECT user_id, state, pv_idx, final_state, eval AS final_eval, final_terminal FROM att""",
     "p5_td_prompts": W("lookahead_ev") + END_PROMPTS + _td(2) + f"""
-SELECT user_id, CAST(week AS VARCHAR) AS week, state, {_fill('td', {'state': 'state', 'variations': 'variations'})} AS user
+SELECT user_id, state, {_fill('td', {'state': 'state', 'variations': 'variations'})} AS user
 FROM rec WHERE n_missing = 0""",
     "p5_td_errors": W("lookahead_ev") + END_PROMPTS + _td(3) + """
-SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(n_missing AS BIGINT) AS n_missing FROM rec WHERE n_missing > 0""",
+SELECT user_id, state, CAST(n_missing AS BIGINT) AS n_missing FROM rec WHERE n_missing > 0""",
     "p6_improvement_prompts": W("votes") + f""",
 ev AS (SELECT state, candidate AS action, 'n=' || CAST(count(*) AS VARCHAR) AS text FROM votes GROUP BY state, candidate),
 g AS (SELECT state, CAST(count(*) AS INTEGER) AS n_actions, string_agg(action || ': ' || text, '\n' ORDER BY action) AS actions
@@ -522,6 +533,9 @@ SELECT state, props, action, 'random' AS source, 'skipped' AS status FROM rnd
 UNION ALL
 SELECT state, props, action, 'model', status FROM moves""",
     "p11_extract_pattern": W("ep_events", "states") + EPS + "SELECT state, props, response, action, status FROM moves",
+    "p11_extract_json": """
+SELECT doc_id, CASE WHEN n_chars % 4 = 0 THEN 'move ' || CAST(n_chars % 9 AS VARCHAR) ELSE '' END AS answer,
+       CASE WHEN n_chars % 4 = 0 THEN 'ok' ELSE 'default' END AS status FROM documents""",
     "p11_extract_verdict": W("verdicts") + VERDICT + """
 SELECT doc_id, predict, CASE WHEN predict = 'undecided' THEN 'undecided' ELSE 'ok' END AS status FROM pv""",
     "p11_yield_report": W("verdicts") + VERDICT + """
@@ -546,6 +560,8 @@ SELECT state, move, lp, round(p, 6) AS p, is_argmax,
 FROM c""",
 })
 
+from trajspark.operators.examples import MAX_TOKENS  # noqa: E402
+
 XTOK = "list_filter(string_split_regex({x}, '" + WS + "'), lambda t: t <> '')"
 RENDER = """,
 r AS (SELECT conv_id, '<|start_header_id|>' || role || '<|end_header_id|>\n' || text || '<|eot_id|>\n' AS piece,
@@ -557,7 +573,7 @@ rc AS (SELECT conv_id, CAST(max(n) AS INTEGER) AS n_messages,
               || '<|start_header_id|>assistant<|end_header_id|>\n' AS query_text,
               '<|begin_of_text|>' || string_agg(piece, '' ORDER BY rn) AS full_text
        FROM r GROUP BY conv_id),
-mk AS (SELECT conv_id, full_text, (""" + XTOK.format(x="full_text") + """)[1:256] AS toks,
+mk AS (SELECT conv_id, full_text, (""" + XTOK.format(x="full_text") + f""")[1:{MAX_TOKENS}] AS toks,
               CAST(len(""" + XTOK.format(x="query_text") + """) AS INTEGER) AS n_prompt FROM rc),
 mk2 AS (SELECT conv_id, toks, CAST(len(toks) AS INTEGER) AS n_tokens, n_prompt,
                CAST(greatest(len(toks) - n_prompt, 0) AS INTEGER) AS n_label FROM mk)
@@ -581,10 +597,10 @@ ppo AS (SELECT user_id, week, step, state, action,
 
 SQL.update({
     "x1_sft_pairs": f"""
-WITH fu AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS text FROM conversations GROUP BY conv_id),
-te AS (SELECT conv_id, arg_max(text, turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
-SELECT fu.conv_id, 3 AS n_messages, {_sys('student')} AS system, {_fill('student', {'text': 'fu.text'})} AS user, te.content AS assistant
-FROM fu JOIN te ON te.conv_id = fu.conv_id WHERE fu.text IS NOT NULL""",
+WITH n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations
+           WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, turn, 3 AS n_messages, {_sys('student')} AS system, {_fill('student', {'text': 'text'})} AS user, next_text AS assistant
+FROM n WHERE role = 'user' AND next_role = 'assistant'""",
     "x2_render_chat": "WITH dummy AS (SELECT 1)" + RENDER + "SELECT conv_id, n_messages, query_text, full_text FROM rc",
     "x3_label_masks": "WITH dummy AS (SELECT 1)" + RENDER + """
 SELECT conv_id, n_tokens, n_prompt, n_label, n_label > 0 AS kept,
@@ -695,13 +711,13 @@ SELECT t.combo, CAST(max_episode AS INTEGER) AS max_episode, epsilon, alpha, bas
 FROM top t JOIN rep r ON r.combo = t.combo
 ORDER BY lose_pct, max_episode, epsilon, alpha LIMIT 5""",
     "d2_distinct_variations": W("lookahead_ev") + """
-SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(count(*) + 1 AS INTEGER) AS n_variations,
+SELECT user_id, state, CAST(count(*) + 1 AS INTEGER) AS n_variations,
        CAST(count(DISTINCT (array_to_string(pv_actions, ' '), final_state)) AS INTEGER) AS n_distinct
-FROM lookahead_ev GROUP BY user_id, week""",
+FROM lookahead_ev GROUP BY user_id, state""",
 })
 
 VOTED = f""",
-legal AS (SELECT state, list_sort(list(DISTINCT action)) AS legal FROM (
+legal AS (SELECT state, list_sort(list(DISTINCT CAST(length(action) AS INTEGER))) AS legal FROM (
             SELECT state, lead(state) OVER (PARTITION BY user_id, week ORDER BY step) AS action FROM ep_events) t
           WHERE action IS NOT NULL GROUP BY state),
 rep AS (SELECT s.state, s.props, l.legal, CAST(unnest(range(3)) AS INTEGER) AS replica FROM states s JOIN legal l ON l.state = s.state),
@@ -713,7 +729,7 @@ ext AS (SELECT *, CASE WHEN len(string_split(response, '"best_move": ')) >= 2 TH
 ext2 AS (SELECT *, TRY_CAST(substr(after, 1, 1) AS INTEGER) - 1 AS idx,
                 {_u2('42|pick', 'state, props, CAST(replica AS VARCHAR)')} AS u2 FROM ext),
 mv AS (SELECT state, props, replica,
-              CASE WHEN after IS NOT NULL AND idx IS NOT NULL AND idx >= 0 AND idx < len(legal) THEN legal[idx + 1]
+              CASE WHEN after IS NOT NULL AND coalesce(list_contains(legal, idx), false) THEN idx
                    ELSE legal[CAST(floor(u2 * len(legal)) AS INTEGER) + 1] END AS candidate
        FROM ext2)
 """

@@ -28,37 +28,8 @@ def _outcome(col) -> F.Column:
     return F.when(col == "purchase", 1).when(col == "error", -1).otherwise(0)
 
 
-# Largest episode (rows) still numbered by a window in one task; the session
-# conf ``trajspark.hotEpisodeRows`` overrides it.
-HOT_EPISODE_ROWS = 4_000_000
-# Rows per range slice on the hot-episode path (``trajspark.rowsPerSlice``).
-ROWS_PER_SLICE = 4_000_000
-_HOT: dict[tuple[str, str], tuple[bool, int]] = {}
-
-
-def hot_episodes(spark: SparkSession, sf_dir: str, ev: DataFrame, ep: list[str]) -> tuple[bool, int]:
-    """(some episode exceeds the one-task bound?, slices for the range path).
-
-    One partial-aggregate job, remembered per (table folder, threshold): both
-    plans give the same rows, so a stale answer only changes speed, never
-    results. Slices hold about ``ROWS_PER_SLICE`` rows each, and are never
-    fewer than ``spark.sql.shuffle.partitions``.
-    """
-    limit = int(spark.conf.get("trajspark.hotEpisodeRows", str(HOT_EPISODE_ROWS)))
-    key = (f"{sf_dir}|{','.join(ep)}", str(limit))
-    if key not in _HOT:
-        biggest, total = ev.groupBy(*ep).count().agg(F.max("count"), F.sum("count")).first()
-        per_slice = max(int(spark.conf.get("trajspark.rowsPerSlice", str(ROWS_PER_SLICE))), 1)
-        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total or 0) // per_slice))
-        _HOT[key] = ((biggest or 0) > limit, slices)
-    return _HOT[key]
-
-
-def events_hot(spark: SparkSession, sf_dir: str) -> bool:
-    """Is some week episode of ``events`` above the one-task bound? (memoised check)"""
-    ev, _ = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"))
-    return hot_episodes(spark, sf_dir, ev, EP_KEYS)[0]
-
+# An episode is numbered by spans of time of this length, so that a task holds a span and not an episode.
+SPAN = "minute"
 
 def _weeks(ev: DataFrame) -> tuple[DataFrame, F.Column]:
     """Add the episode week; the iteration is the week number from 1.
@@ -105,16 +76,8 @@ def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     action is the outcome of the terminal event; iter = week number from 1.
     """
     ev, it = _weeks(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"))
-    hot, slices = hot_episodes(spark, sf_dir, ev, EP_KEYS)
-    if hot:
-        # an episode too large for one task: numbering and look-ahead over range slices
-        ev = number_steps(ev, EP_KEYS, ["ts", "event_id"], "event_type", ahead=2, slices=slices)
-        step, nxt, nxt2 = F.col("step"), F.col("_next1"), F.col("_next2")
-    else:
-        w = Window.partitionBy(*EP_KEYS).orderBy("ts", "event_id")
-        nxt = F.lead("event_type", 1).over(w)
-        nxt2 = F.lead("event_type", 2).over(w)
-        step = (F.row_number().over(w) - 1).cast("int")
+    ev = number_steps(ev, EP_KEYS, ["ts", "event_id"], "event_type", F.date_trunc(SPAN, "ts"), ahead=2)
+    step, nxt, nxt2 = F.col("step"), F.col("_next1"), F.col("_next2")
     return ev.select(
         "user_id",
         "week",
@@ -237,20 +200,19 @@ def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id").distinct()
 
 
-def lookahead_ev(spark: SparkSession, sf_dir: str, k: int = 4, n_var: int = 4, seed: int = 42) -> DataFrame:
-    """Look-ahead records in long form: record = week episode, variations = up to
-    ``n_var`` k-step look-aheads from start steps taken in seeded md5 order (pv_idx from 0)."""
-    from trajspark.functions.keys import seeded_key
+#: a look-ahead record is a state of a user
+LA_RECORD = ["user_id", "state"]
+
+
+def lookahead_ev(spark: SparkSession, sf_dir: str, k: int = 4, seed: int = 42) -> DataFrame:
+    """Look-ahead records in long form: record = a user's state, variations = all k-step
+    look-aheads that start from it (current_state), numbered in seeded md5 order (pv_idx from 0)."""
+    from trajspark.operators.sampling import seeded_rank
     from trajspark.operators.steps import look_ahead
 
     la = look_ahead(ep_events(spark, sf_dir), EP_KEYS, k)
-    wp = Window.partitionBy(*EP_KEYS)
-    wr = Window.partitionBy(*EP_KEYS).orderBy(seeded_key(seed, ["user_id", "week", "step"]), "step")
-    return (
-        la.withColumn("current_state", F.min_by("state", "step").over(wp))
-        .withColumn("pv_idx", (F.row_number().over(wr) - 1).cast("int"))
-        .where(F.col("pv_idx") < n_var)
-    )
+    ranked = seeded_rank(la, LA_RECORD, ["user_id", "week", "step"], seed, "pv_idx")
+    return ranked.withColumn("pv_idx", F.col("pv_idx").cast("int")).withColumn("current_state", F.col("state"))
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,15 +239,13 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """state = user_id, move = event_type; lp = −avg(value)/100 over the user's
-    first-week events; moves the user made only later get lp = −inf."""
-    ws = table(spark, sf_dir, "events").withColumn("week", F.to_date(F.date_trunc("week", "ts")))
-    first_week = ws.select(F.min("week")).scalar()
-    legal = ws.select(F.col("user_id").alias("state"), F.col("event_type").alias("move")).distinct()
-    seen = (
-        ws.where(F.col("week") == first_week)
-        .groupBy(F.col("user_id").alias("state"), F.col("event_type").alias("move"))
-        .agg(F.round(-F.avg("value") / 100, 6).alias("lp"))
+    """state = user_id, move = event_type; lp = −avg(value)/100 over all the user's events;
+    moves that the user never made get lp = −inf."""
+    ev = table(spark, sf_dir, "events")
+    moves = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()  # one value per event type
+    legal = ev.select(F.col("user_id").alias("state")).distinct().select("state", F.explode(moves).alias("move"))
+    seen = ev.groupBy(F.col("user_id").alias("state"), F.col("event_type").alias("move")).agg(
+        F.round(-F.avg("value") / 100, 6).alias("lp")
     )
     return legal.join(seen, ["state", "move"], "left").select(
         "state", "move", F.coalesce("lp", F.lit(float("-inf"))).alias("lp")

@@ -82,26 +82,23 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "lookahead_ev": (
         ("ep_events",),
         """
-        SELECT * FROM (
-          SELECT user_id, week, step, state, current_state,
+          SELECT user_id, week, step, state, state AS current_state,
                  list_filter(acts, lambda x: x IS NOT NULL) AS pv_actions,
                  list_filter(rws, lambda x: x IS NOT NULL) AS pv_rewards,
                  CASE WHEN a_state IS NULL OR a_term THEN last_state ELSE a_state END AS final_state,
                  CAST(NULL AS VARCHAR) AS final_eval,
                  CASE WHEN a_state IS NULL OR a_term THEN NULL ELSE a_turn END AS final_turn,
                  (a_state IS NULL OR a_term) AS final_terminal,
-                 CAST(row_number() OVER (PARTITION BY user_id, week
-                      ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(step AS VARCHAR))), step) - 1
+                 CAST(row_number() OVER (PARTITION BY user_id, state
+                      ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(step AS VARCHAR))), user_id, week, step) - 1
                       AS INTEGER) AS pv_idx
           FROM (SELECT *, list(action) OVER f AS acts, list(reward) OVER f AS rws,
                        lead(state, 4) OVER w AS a_state, lead(is_terminal, 4) OVER w AS a_term, lead(turn, 4) OVER w AS a_turn,
-                       arg_max(state, step) OVER (PARTITION BY user_id, week) AS last_state,
-                       arg_min(state, step) FILTER (WHERE action IS NOT NULL) OVER (PARTITION BY user_id, week) AS current_state
+                       arg_max(state, step) OVER (PARTITION BY user_id, week) AS last_state
                 FROM ep_events
                 WINDOW w AS (PARTITION BY user_id, week ORDER BY step),
                        f AS (PARTITION BY user_id, week ORDER BY step ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) t
-          WHERE action IS NOT NULL) u
-        WHERE pv_idx < 4
+          WHERE action IS NOT NULL
         """,
     ),
     "verdicts": (
@@ -122,9 +119,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         SELECT g.state, g.move, coalesce(s.lp, '-inf'::DOUBLE) AS lp
-        FROM (SELECT DISTINCT user_id AS state, event_type AS move FROM events) g
+        FROM (SELECT u.user_id AS state, m.event_type AS move FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) m) g
         LEFT JOIN (SELECT user_id AS state, event_type AS move, round(-avg(value) / 100, 6) AS lp FROM events
-                   WHERE CAST(date_trunc('week', ts) AS DATE) = (SELECT min(CAST(date_trunc('week', ts) AS DATE)) FROM events)
                    GROUP BY 1, 2) s ON s.state = g.state AND s.move = g.move
         """,
     ),
