@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import write_table
+from ..session import checkpoint_dir
 from ..sources.tables import table
 from . import bpe, decontam, exact, linededup, pii, pitmanyor, sharding, simhash, substring, toxicity
 
@@ -15,6 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def write_table(df: DataFrame) -> DataFrame:
+    """Cut lineage: write a table to the shared folder, well compressed as texts are, and read it again."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
