@@ -47,3 +47,42 @@ def test_terminal_gap_timeout_and_late(spark, tmp_path):
         (1, 300, 1, "click", "inactive"),   # closed by the event-time timeout
         (2, 0, 1, "view", "inactive"),      # closed by the event-time timeout
     ]
+
+
+def test_steps_out_of_order_inside_the_watermark(spark, tmp_path):
+    """Any key type; a late step within the watermark takes its place by time."""
+    root, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    schema = "user_id string, event_id bigint, ts timestamp, state string"
+
+    def run(rows, i):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/part={i}")
+        s = spark.readStream.schema(schema).parquet(f"{root}/part=*").withWatermark("ts", "30 minutes")
+        ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state") == "purchase", 7200)
+        q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+        q = q.outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.exception() is None
+
+    run([("u", 1, _at(60), "b"), (None, 9, _at(61), "n")], 0)
+    run([("u", 2, _at(55), "a")], 1)
+    run([("u", 3, _at(70), "purchase")], 2)
+    run([("u", 4, _at(68), "late"), ("flush", 99, _at(6000), "x")], 3)
+    got = {(r.user_id, int((r.episode_start - T0).total_seconds() // 60), int((r.episode_end - T0).total_seconds() // 60), r.states, r.closed_by) for r in spark.read.parquet(out).collect()}
+    assert got == {("u", 55, 70, "a b late purchase", "terminal"), (None, 61, 61, "n", "inactive")}
+
+
+def test_new_states_under_a_second_checkpoint(spark, tmp_path):
+    """A new checkpoint over an existing table keeps its rows and adds unseen ones only; null keys are states."""
+    table = str(tmp_path / "table")
+
+    def ingest(rows, name):
+        src = str(tmp_path / f"src-{name}")
+        spark.createDataFrame(rows, "s string, p string").write.parquet(f"{src}/part=0")
+        q = M.ingest_new_states(spark.readStream.schema("s string, p string").parquet(f"{src}/part=*"), table, ["s", "p"], str(tmp_path / name))
+        q.awaitTermination()
+        assert q.exception() is None
+
+    ingest([("a", "1"), ("b", "1"), ("b", "1"), (None, None)], "one")
+    ingest([("b", "1"), ("c", None), (None, None)], "two")
+    got = sorted((r.s or "", r.p or "") for r in spark.read.parquet(table).collect())
+    assert got == [("", ""), ("a", "1"), ("b", "1"), ("c", "")]

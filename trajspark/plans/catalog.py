@@ -850,15 +850,20 @@ from trajspark.streaming import incremental as M  # noqa: E402
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def _feed(spark, sf, run, split: str = "id", parts: int = 4) -> str:
+# key of the row that moves the watermark past all others at the end of a feed
+FLUSH_USER = -1
+
+
+def _feed(spark, sf, run, split: str = "id", parts: int = 4, flush: bool = False) -> str:
     """Feed the whole ``events`` table to a stream in ``parts`` folders.
 
-    Each folder is written with the table's own parallelism (no single-task
-    coalesce); after each one ``run(root)`` processes what is new
-    (``availableNow`` on a fixed checkpoint), so every query resumes from its
-    checkpoint between folders. ``split="id"`` deals rows by ``event_id``;
-    ``split="time"`` cuts ``ts`` into equal spans so folders arrive in
-    event-time order (no step is late).
+    The folders are staged by one write with the table's own parallelism;
+    ``run(glob)`` then processes one more folder each time (``availableNow`` on
+    a fixed checkpoint), so every query resumes from its checkpoint between
+    folders. ``split="id"`` deals rows by ``event_id``; ``split="time"`` cuts
+    ``ts`` into equal spans so folders arrive in event-time order (no step is
+    late). ``flush`` adds a last folder with a row of ``FLUSH_USER`` two days
+    after the last event. Returns the glob of all folders.
     """
     root = _scratch(spark, "stream-src")
     ev = table(spark, sf, "events")
@@ -868,14 +873,19 @@ def _feed(spark, sf, run, split: str = "id", parts: int = 4) -> str:
         k = F.floor((us - F.lit(lo)) * parts / F.lit(hi - lo + 1))
     else:
         k = F.col("event_id") % parts
-    for i in range(parts):
-        ev.where(k == i).write.mode("overwrite").parquet(f"{root}/part={i}")
-        run(root)
-    return root
-
-
-def _stream(spark, root):
-    return M.event_stream(spark, f"{root}/part=*", EVENT_SCHEMA).select(
+    staged = ev.withColumn("part", k.cast("int"))
+    if flush:
+        late = {"user_id": F.lit(FLUSH_USER).cast("bigint"), "ts": F.expr("ts + INTERVAL 2 DAYS"), "part": F.lit(parts)}
+        last = ev.select(F.max("ts").alias("ts")).select(*[late.get(c, F.lit(None).cast(ev.schema[c].dataType) if c in ev.columns else None).alias(c) for c in staged.columns])
+        staged = staged.unionByName(last)
+    staged.write.mode("overwrite").partitionBy("part").parquet(root)
+    for i in range(parts + flush):
+        run(f"{root}/part=[0-{i}]")
+    return f"{root}/part=*"
+
+
+def _stream(spark, glob):
+    return M.event_stream(spark, glob, EVENT_SCHEMA).select(
         "event_id", "ts", "user_id", F.col("event_type").alias("state"), "props", "value"
     )
 
@@ -899,10 +909,12 @@ def m1w(spark, sf):
     _feed(
         spark, sf,
         lambda root: _until_done(
-            M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt, watermark=("ts", "3650 days"))
+            M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt, watermark=("ts", "1 day"))
         ),
+        split="time",
     )
-    return spark.read.parquet(table_path).select("state", "props")
+    # the watermark lets go of states not seen for a day, so one that comes back is written again
+    return spark.read.parquet(table_path).select("state", "props").distinct()
 
 
 @query("m1_new_states_state")
@@ -942,21 +954,21 @@ def m2(spark, sf):
     )
 
 
-# Watermark delay of the M3 streams; the oracle closes what the final watermark passed.
+# Watermark delay of the M3 streams.
 M3_DELAY = "1 hour"
 
 
 @query("m3_assemble_episodes")
 def m3(spark, sf):
-    """Session episodes in append mode: a session is written once the watermark passes its end."""
+    """Session episodes in append mode: a session is written once the watermark passes its end; the last ones are flushed."""
     path, ckpt = _scratch(spark, "m3-out"), _scratch(spark, "m3-ckpt")
 
     def run(root):
         s = _stream(spark, root).withWatermark("ts", M3_DELAY)
         _append_to_parquet(M.assemble_episodes(s, ["user_id"], "ts", "2 hours", ["event_id", "state"]), path, ckpt)
 
-    _feed(spark, sf, run, split="time")
-    out = spark.read.parquet(path)
+    _feed(spark, sf, run, split="time", flush=True)
+    out = spark.read.parquet(path).where(F.col("user_id") != FLUSH_USER)
     return out.select(
         "user_id",
         F.col("session.start").cast("string").alias("session_start"),
@@ -976,8 +988,8 @@ def m3t(spark, sf):
         ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state").isin("purchase", "error"), 7200)
         _append_to_parquet(ep, path, ckpt)
 
-    _feed(spark, sf, run, split="time")
-    out = spark.read.parquet(path)
+    _feed(spark, sf, run, split="time", flush=True)
+    out = spark.read.parquet(path).where(F.col("user_id") != FLUSH_USER)
     return out.select(
         "user_id",
         F.col("episode_start").cast("string").alias("episode_start"),

@@ -671,7 +671,7 @@ e AS (SELECT user_id, min(ts) AS st, max(ts) + INTERVAL 2 HOUR AS en, count(*) A
              string_agg(event_type, ' ' ORDER BY ts, event_id) AS states
       FROM s GROUP BY user_id, sid)
 SELECT user_id, CAST(st AS VARCHAR) AS session_start, CAST(en AS VARCHAR) AS session_end, n_steps, states
-FROM e WHERE en <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+FROM e""",
     "m3_terminal_episodes": """
 WITH b AS (SELECT *, lag(event_type) OVER w AS prev_type, lag(ts) OVER w AS prev_ts, lead(ts) OVER w AS next_ts
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -686,8 +686,7 @@ e AS (SELECT user_id, min(ts) AS st, max(ts) AS en, count(*) AS n_steps,
       FROM l GROUP BY user_id, eid)
 SELECT user_id, CAST(st AS VARCHAR) AS episode_start, CAST(en AS VARCHAR) AS episode_end, n_steps, states,
        CASE WHEN term THEN 'terminal' ELSE 'inactive' END AS closed_by
-FROM e
-WHERE term OR nxt IS NOT NULL OR en + INTERVAL 2 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+FROM e""",
     "m4_resume": "SELECT event_id, event_type AS state, 2 AS runs_with_new_rows FROM events",
 })
 

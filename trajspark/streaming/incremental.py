@@ -8,12 +8,13 @@ restart resumes where it stopped and reprocesses nothing.
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, time_col: str = "ts", max_files: int | None = None) -> DataFrame:
@@ -25,8 +26,18 @@ def event_stream(spark: SparkSession, path: str, schema: str, time_col: str = "t
 
 
 # M1 -------------------------------------------------------------------------
-# Distinct keys of one micro-batch that may be broadcast (checked by a count).
-BATCH_KEYS_BROADCAST = 1_000_000
+# Distinct keys of one micro-batch that may be broadcast: bytes of their text, checked per batch.
+BATCH_KEYS_BROADCAST = 32 << 20
+
+
+def _run_of(checkpoint: str) -> str:
+    """A name for all batches of one checkpoint: a retried batch finds its own folder, another checkpoint doesn't."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def ingest_new_states(
@@ -41,11 +52,13 @@ def ingest_new_states(
     """Append only states never seen before to the table at ``table_path``.
 
     Exact mode (default): each micro-batch is deduplicated and anti-joined
-    with the table; the batch is written to its own ``batch_id=`` folder in
-    overwrite mode, so a retried batch replaces its own output (idempotent).
-    When the batch's distinct keys are few (a count against
+    with the table; the batch is written to its own ``batch_id=<run>-<n>``
+    folder in overwrite mode, so a retried batch replaces its own output
+    (idempotent) and a run under a new checkpoint replaces nobody's.
+    When the batch's distinct keys are small (their bytes against
     ``BATCH_KEYS_BROADCAST``), the table is streamed once against a broadcast
-    of those keys instead of being shuffled for the anti join.
+    of those keys instead of being shuffled for the anti join. Keys that are
+    null in every part are a state like any other, in all modes.
     Bounded-state mode (``watermark=(time_col, delay)``): Spark keeps the keys
     seen within the watermark (``dropDuplicatesWithinWatermark``).
     State mode (``mode="state"``): exact and incremental; every key seen by the
@@ -58,7 +71,7 @@ def ingest_new_states(
     keys = list(keys)
     spark = stream.sparkSession
     if mode == "state":
-        out = stream.select(*keys).dropna(how="all").dropDuplicates(keys)
+        out = stream.select(*keys).dropDuplicates(keys)
         w = out.writeStream.format("parquet").option("path", table_path).option("checkpointLocation", checkpoint)
         w = w.outputMode("append")
         return (w.trigger(availableNow=True) if trigger_available_now else w).start()
@@ -69,23 +82,25 @@ def ingest_new_states(
         w = w.outputMode("append")
         return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
+    run = _run_of(checkpoint)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*keys).dropna(how="all").distinct()
-        try:
-            seen = spark.read.parquet(table_path).where(F.col("batch_id") < batch_id).select(*keys)
-        except AnalysisException:
-            seen = None  # first batch: the table does not exist yet
-        if seen is not None:
-            new = new.persist()  # counted, then joined: the batch keys are computed once
-            n_new = new.count()
-            if n_new <= BATCH_KEYS_BROADCAST:
+        new = batch.select(*keys).distinct()
+        if _exists(spark, table_path):
+            stored = spark.read.parquet(table_path)
+            part = F.col("batch_id").cast("string")
+            own = (F.substring_index(part, "-", 1) == run) & (F.substring_index(part, "-", -1).cast("long") >= batch_id)
+            seen = (stored.where(~own) if "batch_id" in stored.columns else stored).select(*keys)
+            new = new.persist()  # measured, then joined: the batch keys are computed once
+            size = F.sum(F.lit(16) + sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
+            if (new.agg(size).first()[0] or 0) <= BATCH_KEYS_BROADCAST:
                 # small batch: stream the table once against a broadcast of the
                 # batch keys (no shuffle of the table), then drop the few matches
                 hit = seen.join(F.broadcast(new), [seen[k].eqNullSafe(new[k]) for k in keys], "left_semi")
                 new = new.join(hit, [new[k].eqNullSafe(hit[k]) for k in keys], "left_anti")
             else:
                 new = new.join(seen, [new[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
-        new.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+        new.write.mode("overwrite").parquet(f"{table_path}/batch_id={run}-{batch_id}")
         new.unpersist()
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
@@ -119,10 +134,13 @@ def live_metrics(
 
 def write_updates(agg: DataFrame, path: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
     """Update-mode sink: each micro-batch writes the groups it changed to its own
-    ``batch_id=`` folder (overwrite, so a retried batch replaces itself)."""
+    ``batch_id=<run>-<n>`` folder (overwrite, so a retried batch replaces itself and a new
+    checkpoint replaces nobody), with the time of the write as ``version``."""
+    run = _run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        out = batch.withColumn("version", F.lit(time.time_ns()))
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={run}-{batch_id}")
 
     w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
@@ -130,10 +148,10 @@ def write_updates(agg: DataFrame, path: str, checkpoint: str, trigger_available_
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """Current value of every group written by ``write_updates``: the row of the
-    latest batch per key (``max_by``, a partial aggregation; no sort)."""
+    latest write per key (``max_by``, a partial aggregation; no sort)."""
     df = spark.read.parquet(path)
-    vals = [c for c in df.columns if c not in (*keys, "batch_id")]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "batch_id").alias("_v"))
+    vals = [c for c in df.columns if c not in (*keys, "batch_id", "version")]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "version").alias("_v"))
     return last.select(*keys, *[F.col("_v")[c].alias(c) for c in vals])
 
 
@@ -173,64 +191,67 @@ def run_incremental(
 
 
 # M3 (stateful) ------------------------------------------------------------------
-EPISODE_OUT = "key bigint, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string"
-EPISODE_STATE = "start_us bigint, last_us bigint, n bigint, states string"
+EPISODE_STATE = "us array<bigint>, o array<bigint>, s array<string>, t array<boolean>"
 
 
 def assemble_until_terminal(
     stream: DataFrame, key: str, time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int
 ) -> DataFrame:
-    """Episodes closed at once by a terminal step, or by ``gap_seconds`` of inactivity.
-
-    Custom state per key with ``applyInPandasWithState``: the open episode's
-    start, last step time, length and state text (bounded by one episode).
-    A new step after the gap closes the open episode; otherwise an event-time
-    timeout closes it once the watermark passes ``last + gap``. The caller
-    sets the watermark on ``time_col`` (Spark drops steps older than it).
-    Times cross the Python boundary as epoch microseconds, so the timeout
-    does not depend on the session time zone.
+    """Episodes closed by a terminal step, or by ``gap_seconds`` of inactivity.
+
+    Custom state per key with ``applyInPandasWithState``: the steps that the
+    watermark has not settled yet, in time order. A step that arrives out of
+    order within the watermark takes its place among them. An episode leaves
+    once nothing can change it: its terminal step is older than the watermark,
+    or its last step plus the gap is. Steps older than the watermark are dropped
+    by Spark; the caller sets it on ``time_col``. To have the open episodes too
+    at the end of a feed, send a step of another key that moves the watermark.
+    Times cross the Python boundary as epoch microseconds, so nothing depends
+    on the session time zone. The key may be of any type, and null.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     gap_us = int(gap_seconds) * 1_000_000
     term = F.col(terminal) if isinstance(terminal, str) else terminal
     rows = stream.select(
-        F.col(key).alias("_k"), time_col, F.unix_micros(time_col).alias("_us"), F.col(order_col).alias("_o"),
-        F.col(state_col).cast("string").alias("_s"), term.alias("_t"),
+        F.col(key).alias("_k"), time_col, F.unix_micros(time_col).alias("_us"), F.col(order_col).cast("bigint").alias("_o"),
+        F.col(state_col).cast("string").alias("_s"), F.coalesce(term, F.lit(False)).alias("_t"),
     )
-
+    key_type = rows.schema["_k"].dataType.simpleString()
     cols = ["key", "start_us", "end_us", "n_steps", "states", "closed_by"]
 
     def fn(k, pdfs, state):
-        kk = int(k[0])
-        done: list[tuple] = []  # closed episodes of this call, returned as one frame
-        if state.hasTimedOut:
-            s0, l0, n0, st0 = state.get
+        held = state.get if state.exists else ([], [], [], [])
+        parts = [pd.DataFrame({"_us": held[0], "_o": held[1], "_s": held[2], "_t": held[3]})]
+        if not state.hasTimedOut:
+            parts += [p[["_us", "_o", "_s", "_t"]] for p in pdfs]
+        open_ = pd.concat([p for p in parts if len(p)]).sort_values(["_us", "_o"], kind="stable")
+        us, end = open_["_us"].to_numpy(np.int64), open_["_t"].to_numpy(bool)
+        first = np.flatnonzero(np.r_[True, (np.diff(us) >= gap_us) | end[:-1]])
+        last = np.r_[first[1:], len(us)] - 1
+        settled_at = np.where(end[last], us[last] + 1, us[last] + gap_us)
+        done = settled_at <= state.getCurrentWatermarkMs() * 1000
+        names = open_["_s"].fillna("").tolist()
+        out = [
+            (k[0], int(us[a]), int(us[b]), int(b - a + 1), " ".join(names[a : b + 1]), "terminal" if end[b] else "inactive")
+            for a, b in zip(first[done].tolist(), last[done].tolist())
+        ]
+        keep = np.repeat(~done, last - first + 1)
+        if keep.any():
+            left = open_[keep]
+            state.update((left["_us"].tolist(), left["_o"].tolist(), left["_s"].tolist(), [bool(x) for x in left["_t"]]))
+            # a timeout has to lie after the watermark
+            state.setTimeoutTimestamp(max(int(settled_at[~done].min()) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(kk, s0, l0, n0, st0, "inactive")], columns=cols)
-            return
-        cur = state.get if state.exists else None
-        batch = pd.concat(list(pdfs)).sort_values(["_us", "_o"])
-        for tu, st, end in zip(batch["_us"].tolist(), batch["_s"].tolist(), batch["_t"].tolist()):
-            if cur is not None and tu - cur[1] >= gap_us:
-                done.append((kk, cur[0], cur[1], cur[2], cur[3], "inactive"))
-                cur = None
-            cur = (tu, tu, 1, st) if cur is None else (cur[0], tu, cur[2] + 1, cur[3] + " " + st)
-            if bool(end):
-                done.append((kk, cur[0], cur[1], cur[2], cur[3], "terminal"))
-                cur = None
-        if cur is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(cur)
-            state.setTimeoutTimestamp((cur[1] + gap_us) // 1000)
-        if done:
-            yield pd.DataFrame(done, columns=cols)
+        if out:
+            yield pd.DataFrame(out, columns=cols)
 
     out = rows.groupBy("_k").applyInPandasWithState(
-        fn, EPISODE_OUT, EPISODE_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        fn, f"key {key_type}, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string", EPISODE_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
     return out.select(
         F.col("key").alias(key),
