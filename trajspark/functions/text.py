@@ -25,14 +25,6 @@ def register_tokenizer(name: str):
     return deco
 
 
-@register_tokenizer("tiktoken")
-def _tiktoken():  # pragma: no cover - needs the encoding files on the workers
-    import tiktoken
-
-    enc = tiktoken.get_encoding("cl100k_base")
-    return lambda s: [str(t) for t in enc.encode(s)]
-
-
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, WS), lambda x: x != "")
 

@@ -780,7 +780,7 @@ def s4(spark, sf):
     S.write_buffer(tr.withColumn("run", F.concat(F.lit("iter-"), F.col("iter").cast("string"))).drop("iter"), root,
                    partition_by=["run"])
     extra = [TY.StructField("user_id", TY.LongType()), TY.StructField("week", TY.StringType())]
-    steps = S.read_runs(spark, f"{root}/run=*", "generic", extra)
+    steps, _ = S.read_runs(spark, f"{root}/run=*", "generic", extra)
     return steps.select(
         F.regexp_replace("run", "^run=", "").alias("run"), *EP, "step", "state", "action", "reward", "turn", "is_terminal"
     )
@@ -792,13 +792,85 @@ def s5(spark, sf):
     tr = T.to_trajectories(V.ep_events(spark, sf), EP).withColumn("week", F.col("week").cast("string"))
     tpath, spath = _scratch(spark, "s5-traj"), _scratch(spark, "s5-states")
     S.write_buffer(tr, tpath)
-    from_traj = S.read_states(spark, tpath, "trajectory", traj_kind="generic")
+    from_traj, _ = S.read_states(spark, tpath, "trajectory", traj_kind="generic")
     S.write_buffer(from_traj.select(F.col("state").alias("serializad_state")), spath)
-    from_states = S.read_states(spark, spath, "states")
+    from_states, _ = S.read_states(spark, spath, "states")
     both = from_traj.withColumn("src", F.lit("trajectory")).unionByName(from_states.withColumn("src", F.lit("states")))
     return both.select("src", "state")
 
 
+@query("s1_two_player_win_rate")
+def s1b(spark, sf):
+    """A1 on the two-player log format: written with 2-vector rewards and player numbers, read back, aggregated."""
+    ep = V.ep_events(spark, sf)
+    acted = F.col("action").isNotNull()
+    both = F.array(F.col("reward").cast("double"), -F.col("reward").cast("double"))
+    rec = ep.select(
+        *EP, "step", "state", F.when(acted, F.col("action")).alias("a"), F.when(acted, both).alias("r"),
+        F.when(acted, F.when(F.col("turn"), 0).otherwise(1)).alias("t"), F.when(F.col("is_terminal"), S.TERMINAL_SENTINEL).otherwise(F.col("state")).alias("z"),
+    )
+    g = rec.groupBy(*EP).agg(F.sort_array(F.collect_list(F.struct("step", "state", "a", "r", "t", "z"))).alias("_s"))
+    moves = F.filter("_s", lambda x: x["a"].isNotNull())
+    log = g.select(
+        F.transform("_s", lambda x: x["state"]).alias("state"), F.transform(moves, lambda x: x["a"]).alias("action"),
+        F.transform(moves, lambda x: x["r"]).alias("reward"), F.transform(moves, lambda x: x["t"]).alias("turn"),
+        F.transform("_s", lambda x: x["z"]).alias("serializad_state"),
+    )
+    path = _scratch(spark, "s1b")
+    S.write_buffer(log, path)
+    steps, _ = S.read_buffer(spark, path, "breakthrough")
+    return A.win_rate(steps, ["episode_id"])
+
+
+@query("s3_read_keyed")
+def s3r(spark, sf):
+    """Keyed records written as one object a line, read with their order, merged with the last winning; bad lines counted."""
+    kv = V.keyed(spark, sf).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    lines = kv.select(F.to_json(F.map_from_arrays(F.array(F.col("key").cast("string")), F.array("value"))).alias("value"))
+    bad = table(spark, sf, "documents").select(F.concat(F.lit("no object "), F.col("doc_id").cast("string")).alias("value"))
+    path = _scratch(spark, "s3r")
+    lines.unionByName(bad).write.mode("overwrite").text(path)
+    rows, rejects = S.read_keyed(spark, path)
+    merged = S.merge_keyed(rows, "key", "value", ["file", "block", "pos"])
+    return merged.withColumn("n_rejects", rejects.agg(F.count(F.lit(1))).scalar())
+
+
+@query("p9_write_back")
+def p9w(spark, sf):
+    """Look-ahead records written, read, evaluated at their end states, written back in place and read again."""
+    la = V.lookahead_ev(spark, sf)
+    end = F.col("final_state")
+    logged = la.select(
+        F.concat_ws(":", F.col("user_id").cast("string"), "state").alias("record_id"), "user_id", "pv_idx", "current_state",
+        F.col("state").alias("current_serialised_state"),
+        F.struct(
+            F.array("state").alias("state"), F.col("pv_actions").alias("action"),
+            F.transform("pv_rewards", lambda r: F.array(r.cast("double"), -r.cast("double"))).alias("reward"),
+            F.transform("pv_actions", lambda a, i: (i % 2).cast("int")).alias("turn"), F.array("state").alias("serializad_state"),
+            F.struct(
+                F.when(end["is_terminal"], S.TERMINAL_SENTINEL).otherwise(end["state"]).alias("state"),
+                F.when(end["is_terminal"], S.TERMINAL_EVAL).alias("eval"),
+                F.when(end["turn"], 0).when(~end["turn"], 1).alias("turn"),
+            ).alias("final_state"),
+        ).alias("pv"),
+    ).withColumn("final_state", F.col("pv.final_state"))
+    first, second = _scratch(spark, "p9-log"), _scratch(spark, "p9-updated")
+    S.write_lookahead(logged, first, ["user_id"])
+    extra = [TY.StructField("user_id", TY.LongType())]
+    rows, _ = S.read_lookahead(spark, first, extra)
+    keys = ["record_id", "pv_idx"]
+    asked = rows.where((F.col("pv_idx") < 2) & ~F.col("final_state.is_terminal"))
+    prompts = PR.prompt_table(asked, PR.template_table(spark), "evaluate", {"state": F.col("final_state.state"), "turn": F.col("final_state.turn")})
+    answered = I.attach_response(prompts.select(*keys, "messages"), I.infer(prompts, "len_value", keys), keys)
+    replies = answered.select(*keys, F.element_at("messages", -1)["content"].alias("response"))
+    S.write_lookahead(I.attach_eval(rows, replies, keys), second, ["user_id"])
+    back, _ = S.read_lookahead(spark, second, extra)
+    return back.select(
+        "user_id", F.col("current_state").alias("state"), "pv_idx", F.array_join("pv.action", " ").alias("pv_actions"),
+        F.col("final_state.state").alias("final_state"), F.col("final_state.eval").alias("final_eval"),
+    )
+
+
 @query("s10_manifest")
 def s10(spark, sf):
     """An output written with its one-row manifest: parameters, seed and row counts."""
@@ -830,9 +902,23 @@ def s7(spark, sf):
 
 @query("s8_export_requests")
 def s8(spark, sf):
+    """Request lines written with their raw data, and read back field by field."""
     st = V.states(spark, sf)
     pr = PR.prompt_table(st, PR.template_table(spark), "evaluate", {"state": F.concat_ws(" ", "state", "props"), "turn": F.lit("true")})
-    return S.export_requests(pr, SKEYS, "model-under-test", {"temperature": 1.0, "top_p": 1.0, "max_tokens": 512})
+    req = S.export_requests(
+        pr.withColumn("raw", F.concat_ws(" ", "state", "props")), SKEYS, "model-under-test", {"temperature": 1.0, "top_p": 1.0, "max_tokens": 512}, raw="raw"
+    )
+    path = _scratch(spark, "s8")
+    S.write_requests(req, path)
+    schema = (
+        "custom_id string, method string, url string, raw_data string, body struct<model: string, "
+        "messages: array<struct<role: string, content: string>>, temperature: double, top_p: double, max_tokens: int>"
+    )
+    got = spark.read.text(path).select(F.from_json("value", schema).alias("r"))
+    return got.select(
+        "r.custom_id", "r.method", "r.url", "r.raw_data", "r.body.model", "r.body.temperature", "r.body.max_tokens",
+        F.array_join(F.transform("r.body.messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("messages"),
+    )
 
 
 @query("s9_value_table")

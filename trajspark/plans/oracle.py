@@ -739,3 +739,17 @@ SELECT * FROM (
          CAST(row_number() OVER (PARTITION BY state, props ORDER BY count(*) DESC, min(replica)) AS INTEGER) AS rank
   FROM mv GROUP BY state, props, candidate) t
 WHERE rank <= 2"""
+
+SQL["s8_export_requests"] = W("states") + f"""
+SELECT 'request-' || CAST(row_number() OVER (ORDER BY state, props) - 1 AS VARCHAR) AS custom_id, 'POST' AS method,
+       '/v1/chat/completions' AS url, concat_ws(' ', state, props) AS raw_data, 'model-under-test' AS model,
+       CAST(1.0 AS DOUBLE) AS temperature, CAST(512 AS INTEGER) AS max_tokens,
+       'system: ' || {_sys('evaluate')} || chr(10) || 'user: ' || {_fill('evaluate', {'state': "concat_ws(' ', state, props)", 'turn': "'true'"})} AS messages
+FROM states"""
+SQL["s1_two_player_win_rate"] = SQL["a1_win_rate"]
+SQL["s3_read_keyed"] = W("keyed") + """
+SELECT key, arg_max(value, seq) AS value, (SELECT count(*) FROM documents) AS n_rejects FROM keyed GROUP BY key"""
+SQL["p9_write_back"] = W("lookahead_ev") + END_PROMPTS + """
+SELECT user_id, state, pv_idx, array_to_string(pv_actions, ' ') AS pv_actions,
+       CASE WHEN final_terminal THEN 'Terminal State.' ELSE final_state END AS final_state,
+       CASE WHEN final_terminal THEN 'This is the terminal state.' ELSE eval END AS final_eval FROM att"""

@@ -10,16 +10,16 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajspark.functions.keys import seeded_order
 from trajspark.operators.sampling import shuffle, with_index
 
 CORRUPT = "_corrupt_record"
 
 # S1 schemas per buffer kind --------------------------------------------------
+# Field names (also the odd spelling) and types of the log formats.
 TRAJ_SCHEMAS: dict[str, T.StructType] = {
     # tic-tac-toe: state = [[9 board cells], "O"/"X"] (heterogeneous → array<string>)
     "tictactoe": T.StructType(
@@ -50,7 +50,36 @@ TRAJ_SCHEMAS: dict[str, T.StructType] = {
         ]
     ),
 }
+# How the logs name a terminal state, and its evaluation.
 TERMINAL_SENTINEL = "Terminal State."
+TERMINAL_EVAL = "This is the terminal state."
+# Field names and types of the look-ahead log format.
+LOOKAHEAD_SCHEMA = T.StructType(
+    [
+        T.StructField("current_state", T.StringType()),
+        T.StructField("current_serializad_state", T.StringType()),
+        T.StructField(
+            "pv",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        *TRAJ_SCHEMAS["breakthrough"].fields,
+                        T.StructField(
+                            "final_state",
+                            T.StructType(
+                                [
+                                    T.StructField("state", T.StringType()),
+                                    T.StructField("eval", T.StringType()),
+                                    T.StructField("turn", T.IntegerType()),
+                                ]
+                            ),
+                        ),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -63,46 +92,67 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
 
 
+def read_records(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, required: str
+) -> tuple[DataFrame, DataFrame]:
+    """JSON lines → (rows with ``source_file`` and ``record_id``, rejects).
+
+    A line that is no JSON of this shape, or lacks the ``required`` field, is a reject
+    (source_file, record_id, line); blank lines don't count. The record id is a digest of
+    the file and the line, with a number for lines that repeat in a file, so it doesn't
+    depend on how the files are split or read.
+    """
+    raw = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
+    raw = raw.where(~F.col("line").rlike(r"^\s*$")).withColumn("_id", F.md5(F.concat_ws("\n", "source_file", "line")))
+    again = F.row_number().over(Window.partitionBy("_id").orderBy("line"))
+    raw = raw.withColumn("_k", again).select(
+        "source_file", "line", F.when(F.col("_k") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_k")).alias("record_id")
+    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    rows = raw.withColumn("_r", F.from_json("line", _with_corrupt(schema), options))
+    bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | F.col(f"_r.{required}").isNull()
+    rejects = rows.where(bad).select("source_file", "record_id", "line")
+    return rows.where(~bad).select("source_file", "record_id", *[F.col(f"_r.{f.name}").alias(f.name) for f in schema.fields]), rejects
+
+
 # S1 -------------------------------------------------------------------------
 def read_trajectories(
     spark: SparkSession, paths: str | Sequence[str], kind: str, extra: Sequence[T.StructField] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """Trajectory JSONL → (trajectory rows with ``episode_id``, rejects).
-
-    The episode id is the file plus the row position in the read
-    (deterministic for a given set of files).
-    """
+    """Trajectory JSONL → (trajectory rows with ``episode_id``, rejects); see ``read_records``."""
     schema = T.StructType(list(TRAJ_SCHEMAS[kind].fields) + list(extra))
-    raw = (
-        spark.read.schema(_with_corrupt(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(_paths(paths))
-        .withColumn("source_file", F.input_file_name())
-        .withColumn("episode_id", F.monotonically_increasing_id())
-    )
-    bad = F.col(CORRUPT).isNotNull() | F.col("state").isNull()
-    rejects = raw.where(bad).select("source_file", "episode_id", F.coalesce(F.col(CORRUPT), F.lit("")).alias("line"))
-    good = raw.where(~bad).drop(CORRUPT)
-    return good, rejects
+    good, rejects = read_records(spark, paths, schema, "state")
+    return good.withColumnRenamed("record_id", "episode_id"), rejects
 
 
 def trajectories_to_steps(traj: DataFrame, kind: str, keys: Sequence[str] = ("episode_id",)) -> DataFrame:
-    """Struct-of-arrays → long ``steps`` table (state n+1 rows, the last is terminal)."""
+    """Struct-of-arrays → long ``steps`` table (state n+1 rows, the last is terminal).
+
+    The two-player kind is brought to the same form as the others: ``reward`` is the
+    first player's, ``turn`` is true when the first player (0) acts, and the serialised
+    state stands beside the shown one as ``serialised_state``.
+    """
     keys = list(keys)
-    t = traj.select(*keys, "action", "reward", "turn", F.posexplode("state").alias("step", "_s"), F.size("state").alias("_n"))
+    two = kind == "breakthrough"
+    t = traj.select(
+        *keys, "action", "reward", "turn", *(["serializad_state"] if two else []), F.posexplode("state").alias("step", "_s"), F.size("state").alias("_n")
+    )
     i = F.col("step") + 1
     if kind == "tictactoe":
         state = F.struct(F.from_json(F.col("_s")[0], "array<int>").alias("board"), F.col("_s")[1].alias("mark"))
     else:
         state = F.col("_s")
+    reward, turn = F.try_element_at("reward", i), F.try_element_at("turn", i)
+    if two:
+        reward, turn = F.try_element_at(reward, F.lit(1)), turn == 0
     return t.select(
         *keys,
         F.col("step").cast("int").alias("step"),
         state.alias("state"),
+        *([F.try_element_at("serializad_state", i).alias("serialised_state")] if two else []),
         F.try_element_at("action", i).alias("action"),
-        F.try_element_at("reward", i).alias("reward"),
-        F.try_element_at("turn", i).alias("turn"),
+        reward.alias("reward"),
+        turn.alias("turn"),
         (F.col("step") == F.col("_n") - 1).alias("is_terminal"),
     )
 
@@ -116,6 +166,42 @@ def read_buffer(
     return trajectories_to_steps(traj, kind, keys), rejects
 
 
+def read_lookahead(
+    spark: SparkSession, paths: str | Sequence[str], extra: Sequence[T.StructField] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Look-ahead records → (one row per variation, rejects).
+
+    Rows: record_id, extra fields, current_state, current_serialised_state, pv_idx from 0,
+    ``pv`` (the variation as logged) and ``final_state`` (state, eval, turn: first player
+    to move, is_terminal).
+    """
+    good, rejects = read_records(spark, paths, T.StructType([*LOOKAHEAD_SCHEMA.fields, *extra]), "pv")
+    rows = good.select(
+        "record_id", *[f.name for f in extra], "current_state", F.col("current_serializad_state").alias("current_serialised_state"),
+        F.posexplode("pv").alias("pv_idx", "pv"),
+    )
+    end = F.col("pv.final_state")
+    return rows.withColumn(
+        "final_state",
+        F.struct(end["state"].alias("state"), end["eval"].alias("eval"), (end["turn"] == 0).alias("turn"), (end["state"] == TERMINAL_SENTINEL).alias("is_terminal")),
+    ), rejects
+
+
+def write_lookahead(rows: DataFrame, path: str, extra: Sequence[str] = ()) -> None:
+    """Variations back to one record a line, in pv_idx order, with the evaluations of ``final_state`` in place.
+
+    A record's variations are gathered in one row, as the format asks.
+    """
+    pv = F.col("pv").withField("final_state", F.col("pv.final_state").withField("eval", F.col("final_state.eval")))
+    g = rows.groupBy("record_id", *extra).agg(
+        F.first("current_state").alias("current_state"),
+        F.first("current_serialised_state").alias("current_serializad_state"),
+        F.sort_array(F.collect_list(F.struct("pv_idx", pv.alias("v")))).alias("_pv"),
+    )
+    out = g.select(*extra, "current_state", "current_serializad_state", F.transform("_pv", lambda x: x["v"]).alias("pv"))
+    write_buffer(out, path)
+
+
 # S2 -------------------------------------------------------------------------
 def write_buffer(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """JSONL sink; nulls are written (they are meaningful, e.g. ``eval: null``).
@@ -137,55 +223,62 @@ def merge_keyed(df: DataFrame, key: str, value: str, order: Sequence[str]) -> Da
     return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def read_keyed(spark: SparkSession, paths: str | Sequence[str], value_type: str = "string") -> DataFrame:
-    """Lines of ``{key: value, …}`` objects → (key BIGINT, value, file, block, pos) rows.
+def read_keyed(spark: SparkSession, paths: str | Sequence[str], value_type: str = "string") -> tuple[DataFrame, DataFrame]:
+    """Lines of ``{key: value, …}`` objects → ((key BIGINT, value, file, block, pos) rows, rejects).
 
     Merge with ``merge_keyed(…, ["file", "block", "pos"])``: ``block`` is the
     byte offset of the file split (Spark packs splits into tasks by size, so
     a later split of a big file can get smaller ids), ``pos`` increases with
-    the line inside a split.
+    the line inside a split. Rejects (file, line): lines that are no such object,
+    and keys that are no number.
     """
     raw = spark.read.text(_paths(paths)).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), "value",
-    )
-    m = raw.select("file", "block", "pos", F.from_json("value", f"map<string,{value_type}>").alias("_m"))
-    e = m.select("file", "block", "pos", F.explode("_m").alias("_k", "value"))
-    return e.select(F.col("_k").cast("bigint").alias("key"), "value", "file", "block", "pos")
+    ).where(~F.col("value").rlike(r"^\s*$"))
+    m = raw.withColumn("_m", F.from_json("value", f"map<string,{value_type}>"))
+    bad = m.where(F.col("_m").isNull()).select("file", F.col("value").alias("line"))
+    e = m.select("file", "block", "pos", F.col("value").alias("line"), F.explode("_m").alias("_k", "value"))
+    e = e.withColumn("key", F.expr("try_cast(_k AS BIGINT)"))
+    bad = bad.unionByName(e.where(F.col("key").isNull()).select("file", "line"))
+    return e.where(F.col("key").isNotNull()).select("key", "value", "file", "block", "pos"), bad
 
 
 # S4 -------------------------------------------------------------------------
 def read_runs(
     spark: SparkSession, paths: str | Sequence[str], kind: str, extra: Sequence[T.StructField] = ()
-) -> DataFrame:
-    """Many run folders / comma-separated paths / globs → one steps table.
+) -> tuple[DataFrame, DataFrame]:
+    """Many run folders / comma-separated paths / globs → (one steps table, rejects).
 
     ``run`` is the name of the folder that holds each file.
     """
-    traj, _ = read_trajectories(spark, paths, kind, extra)
+    traj, rejects = read_trajectories(spark, paths, kind, extra)
     run = F.regexp_extract(F.col("source_file"), r"([^/]+)/[^/]+$", 1)
     keys = ["run", "episode_id", *[f.name for f in extra]]
-    return trajectories_to_steps(traj.withColumn("run", run), kind, keys)
+    return trajectories_to_steps(traj.withColumn("run", run), kind, keys), rejects.withColumn("run", run)
 
 
 # S5 -------------------------------------------------------------------------
 STATE_BUFFER = T.StructType([T.StructField("serializad_state", T.StringType())])
 
 
-def read_states(spark: SparkSession, paths: str | Sequence[str], kind: str, traj_kind: str = "breakthrough") -> DataFrame:
-    """A trajectory buffer or a state buffer → one ``state`` table (distinct, non-terminal).
+def read_states(
+    spark: SparkSession, paths: str | Sequence[str], kind: str, traj_kind: str = "breakthrough"
+) -> tuple[DataFrame, DataFrame]:
+    """A trajectory buffer or a state buffer → (one ``state`` table, distinct and non-terminal, rejects).
 
-    ``kind`` is 'trajectory' or 'states'; any other shape is refused.
+    ``kind`` is 'trajectory' or 'states'; lines of another shape are rejects.
     """
     if kind == "states":
-        df = spark.read.schema(STATE_BUFFER).json(_paths(paths)).select(F.col("serializad_state").alias("state"))
+        good, rejects = read_records(spark, paths, STATE_BUFFER, "serializad_state")
+        df = good.select(F.col("serializad_state").alias("state"))
     elif kind == "trajectory":
-        traj, _ = read_trajectories(spark, paths, traj_kind)
+        traj, rejects = read_trajectories(spark, paths, traj_kind)
         col = "serializad_state" if "serializad_state" in traj.columns else "state"
         df = traj.select(F.explode(col).alias("state"))
     else:
         raise ValueError(f"unknown buffer kind {kind!r}; expected 'trajectory' or 'states'")
-    return df.where(F.col("state").isNotNull() & (F.col("state") != TERMINAL_SENTINEL)).distinct()
+    return df.where(F.col("state").isNotNull() & (F.col("state") != TERMINAL_SENTINEL)).distinct(), rejects
 
 
 # S6 -------------------------------------------------------------------------
@@ -240,6 +333,7 @@ def export_requests(
 
 
 def write_requests(requests: DataFrame, path: str) -> None:
+    """Request lines as text, one request a line."""
     requests.select("line").write.mode("overwrite").text(path)
 
 
@@ -267,7 +361,3 @@ def write_manifest(spark: SparkSession, path: str, params: Mapping[str, object],
     m = spark.createDataFrame([row])
     m.write.mode("overwrite").json(f"{path}/_manifest")
     return m
-
-
-def seeded_sort_keys(seed: int | str, keys: Sequence[str]):
-    return seeded_order(seed, keys)
