@@ -27,6 +27,25 @@ def test_sample_n_above_count_is_an_error(spark):
     raise AssertionError("expected ValueError")
 
 
+def test_samples_are_the_first_rows_in_md5_order(spark, monkeypatch):
+    import hashlib
+
+    df = spark.createDataFrame([(i, f"v{i % 50}") for i in range(400)] + [(None, "x")], "k int, v string")
+    order = lambda r: (hashlib.md5("|".join(["5", *(str(x) for x in r if x is not None)]).encode()).hexdigest(), r[0] is not None, r[0] or 0)
+    rows = sorted(map(tuple, df.collect()), key=order)
+    for exact in (10_000, 1):  # one counting pass, and as many as the digits need
+        monkeypatch.setattr(D, "EXACT_ROWS", exact)
+        monkeypatch.setattr(D, "COUNT_DIGITS", 1)
+        for n in (0, 1, 100, 401):
+            got = {tuple(r) for r in D.sample_n(df, ["k", "v"], n, seed=5).collect()}
+            assert got == set(rows[:n])
+        assert D.sample_ratio(df, ["k", "v"], 0.25, seed=5).count() == 100
+    # rows that repeat tie on the whole md5
+    same = spark.range(30).selectExpr("1 AS k")
+    assert D.sample_n(same, ["k"], 7).count() == 7
+    assert D.sample_n(same.limit(0), ["k"], 0).count() == 0
+
+
 def test_dense_index_is_dense(spark):
     df = spark.range(1000).repartition(7).select(F.col("id").alias("k"))
     idx, total = D.with_index(df, [F.col("k")])

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from trajspark.functions.keys import seeded_key, seeded_order
 from trajspark.session import cut_lineage
 
-# beyond this many rows a top-k sample goes through the distributed index instead
-TOPK_MAX = 100_000
+#: a sample's cutoff is refined until the rows that tie on the cutoff prefix are so few that one sort ends it
+EXACT_ROWS = 10_000
+#: hex digits of the md5 by which one pass counts (16**4 rows reach the driver)
+COUNT_DIGITS = 4
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -74,22 +76,51 @@ def with_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> tup
 
 
 # D4 / D5 ----------------------------------------------------------------------
+def _first_by_md5(df: DataFrame, keys: Sequence[str], wanted, seed: int | str) -> DataFrame:
+    """The first n rows in seeded md5 order, n = ``wanted(row count)``.
+
+    Rows are counted by md5 prefix (partial aggregation); the prefix in which the n-th
+    row falls is counted again by its next digits until few rows share it. All rows below
+    the prefix are kept by a filter, and the rest is cut from the few that share it. So
+    no task sorts or gathers a sample, whatever its size.
+    """
+    h = df.withColumn("_h", seeded_key(seed, keys))
+    prefix, below, n = "", 0, None
+    while True:
+        d = len(prefix)
+        inside = h.where(F.substring("_h", 1, d) == prefix) if d else h
+        counts = sorted((r["p"], r["c"]) for r in inside.groupBy(F.substring("_h", d + 1, COUNT_DIGITS).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
+        if n is None:
+            n = wanted(sum(c for _, c in counts))
+        size = 0
+        for p, size in counts:  # at most 16**COUNT_DIGITS
+            if below + size > n:
+                prefix += p
+                break
+            below += size
+        else:
+            return df  # n is the row count
+        if size <= EXACT_ROWS or len(prefix) >= 32:
+            break
+    head = F.substring("_h", 1, len(prefix))
+    rest = h.where(head == prefix).orderBy("_h", *keys).limit(n - below)
+    return h.where(head < prefix).unionByName(rest).drop("_h")
+
+
 def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int | str = 42) -> DataFrame:
     """Seeded sample of exactly n rows without replacement; n above the count is an error."""
-    total = df.count()
-    if n > total:
-        raise ValueError(f"sample of {n} requested from {total} rows")
-    order = seeded_order(seed, keys)
-    if n <= TOPK_MAX:
-        return df.orderBy(*order).limit(n)  # top-k: n rows per task at most
-    idx, _ = with_index(df, order, "_idx")
-    return idx.where(F.col("_idx") < n).drop("_idx")
+
+    def wanted(total: int) -> int:
+        if n > total:
+            raise ValueError(f"sample of {n} requested from {total} rows")
+        return n
+
+    return _first_by_md5(df, keys, wanted, seed)
 
 
 def sample_ratio(df: DataFrame, keys: Sequence[str], ratio: float, seed: int | str = 42) -> DataFrame:
-    """Seeded sample of floor(ratio · N) rows."""
-    total = df.count()
-    return sample_n(df, keys, int(ratio * total), seed)
+    """Seeded sample of floor(ratio · N) rows; the row count comes from the same counting pass."""
+    return _first_by_md5(df, keys, lambda total: int(ratio * total), seed)
 
 
 # D6 -------------------------------------------------------------------------
@@ -121,7 +152,7 @@ def grow_frontier(old: DataFrame, seen: DataFrame, keys: Sequence[str], terminal
 def shuffle(df: DataFrame, keys: Sequence[str], seed: int | str = 42, partitions: int | None = None) -> DataFrame:
     """Seeded global shuffle: range-partition on the md5 key, sort inside partitions."""
     h = seeded_key(seed, keys)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.withColumn("_h", h).repartitionByRange(n, "_h").sortWithinPartitions("_h", *keys).drop("_h")
 
 

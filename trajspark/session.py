@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "trajspark") -> SparkSession:
-    """A local-mode session for tests and the benchmark (the UI stays off)."""
-    return (
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "trajspark", checkpoints: str = "/tmp/trajspark-checkpoints"
+) -> SparkSession:
+    """A local-mode session for tests and the benchmark (the UI stays off), with its own checkpoint folder."""
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -24,14 +25,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(checkpoints)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured *and* the master is local (tests) is a
-    scratch folder created; on a cluster an unset folder is an error, because a
-    machine-local folder does not survive the loss of an executor.
+    It is never made up: an unset folder is an error, because a machine-local one
+    does not survive the loss of an executor. Tests and the benchmark name their own
+    (see ``local_session``).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,32 +45,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-    folder = tempfile.mkdtemp(prefix="trajspark-ckpt-")
-    sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
 
 
-def cut_lineage(df, eager: bool = True, persist: bool = True):
+def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss.
 
-    With ``persist`` the plan is cached first so the eager checkpoint computes
-    it once (writing a reliable checkpoint otherwise re-runs the plan); the
-    cache is released as soon as the checkpoint files exist. Small per-round
-    frames of iterative loops skip the cache (``persist=False``): recomputing
-    them is cheaper than caching them.
+    The result keeps its partitioning and the order inside partitions. Nothing is kept
+    on executors' disks beside the checkpoint files.
     """
-    from pyspark import StorageLevel
-
     checkpoint_dir(df.sparkSession)
-    if not persist:
-        return df.checkpoint(eager=eager)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=eager)
-    if eager:
-        cached.unpersist(blocking=False)
-    return out
+    return df.checkpoint(eager=eager)
 
 
 def write_table(df, tag: str = "tbl"):
