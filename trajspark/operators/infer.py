@@ -53,10 +53,9 @@ def infer(
 ) -> DataFrame:
     """Run the scorer over the prompt table; result (ids…, response) is frozen before return.
 
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds each Python batch.
+    The scorer sees at most ``batch`` prompts at a time; the session's settings stay as they are.
     """
     spark = prompts.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     factory = _SCORERS[scorer]
     schema = ", ".join(f"`{c}` {t}" for c, t in prompts.select(*id_cols).dtypes) + ", response string"
 
@@ -64,7 +63,8 @@ def infer(
         fn = factory()  # one model load per task
         for pdf in batches:
             out = pdf[id_cols].copy()
-            out["response"] = fn(pdf[text].fillna("").tolist())
+            texts = pdf[text].fillna("").tolist()
+            out["response"] = [r for k in range(0, len(texts), batch) for r in fn(texts[k : k + batch])]
             yield out
 
     res = prompts.select(*id_cols, text).mapInPandas(run, schema)

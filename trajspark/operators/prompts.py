@@ -26,6 +26,10 @@ TEMPLATES = [
      "State: {state}\nVariations:\n{variations}\nGive the value of the state."),
     ("mc", "You estimate action values from sampled games.",
      "State: {state}\nAction: {action}\nGames:\n{games}"),
+    ("mc_state", "You estimate state values from sampled games.",
+     "State: {state}\nGames:\n{games}"),
+    ("q_student", "You evaluate actions of a turn-based game.",
+     "State: {state}\nAction: {action}\nEvaluate the action for the player to move."),
     ("move", "You choose a move.",
      "State: {state}\nLegal moves: {moves}\nAnswer with {\"best_move\": n}."),
     ("student", "You are a helpful assistant.", "{text}"),
@@ -81,22 +85,23 @@ def prompt_table(df: DataFrame, templates: DataFrame, name: str, slots: Mapping[
 
 
 # P2 -------------------------------------------------------------------------
-def mc_prompts(chunked_suffixes: DataFrame, key: Sequence[str], templates: DataFrame) -> DataFrame:
+def mc_prompts(chunked_suffixes: DataFrame, key: Sequence[str], templates: DataFrame, template: str = "mc") -> DataFrame:
     """Monte-Carlo group prompts: the suffix games of one (s, a) chunk, numbered and joined.
 
-    Input rows: (key…, chunk, pos, state, action, game_text). Each chunk holds at
+    With key = state the prompt asks for the state's value (template ``mc_state``), with
+    key = (state, action) for the action's. Input rows: (key…, chunk, pos, state, action, game_text). Each chunk holds at
     most n rows (D11), so the ordered collect is bounded by n.
     """
     g = chunked_suffixes.groupBy(*key, "chunk").agg(
-        F.min("state").alias("state"),
-        F.min("action").alias("action"),
+        F.min("state").alias("first_state"),
+        F.min("action").alias("first_action"),
         F.sort_array(F.collect_list(F.struct("pos", "game_text"))).alias("_g"),
     )
     lines = F.transform("_g", lambda x: F.concat(F.lit("Game "), (x["pos"] + 1).cast("string"), F.lit(": "), x["game_text"]))
     games = F.concat(F.array_join(lines, "\n"), F.lit("\nEnd of games."))
     g = g.withColumn("games", games).withColumn("n_games", F.size("_g")).drop("_g")
     return prompt_table(
-        g, templates, "mc", {"state": F.col("state"), "action": F.col("action"), "games": F.col("games")}
+        g, templates, template, {"state": F.col("first_state"), "action": F.col("first_action"), "games": F.col("games")}
     )
 
 
@@ -144,12 +149,6 @@ def candidates(states: DataFrame, legal: DataFrame, keys: Sequence[str]) -> Data
     return states.join(legal, list(keys))
 
 
-def legal_from_array(states: DataFrame, board: str, empty: int = 0) -> DataFrame:
-    """Board games: the legal actions are the empty cells, by generator, no join."""
-    idx = F.filter(F.sequence(F.lit(0), F.size(board) - 1), lambda i: F.element_at(F.col(board), i + 1) == empty)
-    return states.withColumn("action", F.explode(idx))
-
-
 # P10 ------------------------------------------------------------------------
 def epsilon_split(df: DataFrame, keys: Sequence[str], legal: str, eps: float, seed: int | str = 42) -> tuple[DataFrame, DataFrame]:
     """ε-greedy: rows under ε get a seeded uniform legal action and skip the model.

@@ -124,31 +124,39 @@ def audit_shape(steps: DataFrame, ep: Sequence[str], order: str = "step") -> Dat
 
 # T6 -------------------------------------------------------------------------
 def audit_replay(
-    steps: DataFrame, ep: Sequence[str], order: str = "step", legal: DataFrame | None = None
+    steps: DataFrame, ep: Sequence[str], order: str = "step", legal: DataFrame | None = None, rules: DataFrame | None = None
 ) -> DataFrame:
     """Replay audit of logged transitions, counted per rule.
 
     * ``alternation``: the actor flag changes at every step;
-    * ``next_state``: s' = apply(s, a); for event episodes the action names the next state;
+    * ``next_state``: s' = apply(s, a). ``rules`` is the game's table (state, action,
+      next_state); without it the action names the next state (event episodes);
     * ``terminal_flag``: the terminal flag is set exactly on the last state;
-    * ``legal`` (when a rule table of legal (state, action) pairs is given): the action is legal.
+    * ``legal`` (with ``legal`` or ``rules``): the action is one that the table has for the state.
+
+    ``order`` is the dense 0-based step number; neighbours come from joins on
+    (episode…, step ± 1), so a long episode spreads over tasks. A rule table may be of any size.
     """
-    w = _w(ep, order)
-    t = steps.select(
-        "*",
-        F.lag("turn").over(w).alias("_prev_turn"),
-        F.lead("state").over(w).alias("_next_state"),
-    )
+    t = _with_next_state(steps, steps, ep, order).withColumnRenamed("next_state", "_next_state")
+    before = steps.select(*[F.col(k).alias(f"_b_{k}") for k in ep], (F.col(order) + 1).alias("_b_o"), F.col("turn").alias("_prev_turn"))
+    t = t.join(before, _same(t, before, ep, lambda c: f"_b_{c}") & (t[order] == before["_b_o"]), "left")
+    acted = F.col("action").isNotNull()
+    wanted = F.col("action")
+    if rules is not None:
+        r = rules.select(F.col("state").alias("_r_s"), F.col("action").alias("_r_a"), F.col("next_state").alias("_r_n")).distinct()
+        t = t.join(r, (t["state"] == r["_r_s"]) & (t["action"] == r["_r_a"]), "left")
+        wanted = F.col("_r_n")
     checks = [
         ("alternation", F.col("_prev_turn").isNotNull(), F.col("_prev_turn") == F.col("turn")),
-        ("next_state", F.col("action").isNotNull(), ~F.col("action").eqNullSafe(F.col("_next_state"))),
+        ("next_state", acted, ~wanted.eqNullSafe(F.col("_next_state"))),
         ("terminal_flag", F.lit(True), F.col("is_terminal") != F.col("_next_state").isNull()),
     ]
     if legal is not None:
-        # legal-move rule in the same pass: left join to the distinct rule table
-        ok = legal.select("state", "action").distinct().withColumn("_legal", F.lit(True))
-        t = t.join(ok, ["state", "action"], "left")
-        checks.append(("legal", F.col("action").isNotNull(), F.col("_legal").isNull()))
+        ok = legal.select(F.col("state").alias("_l_s"), F.col("action").alias("_l_a")).distinct().withColumn("_legal", F.lit(True))
+        t = t.join(ok, (t["state"] == ok["_l_s"]) & (t["action"] == ok["_l_a"]), "left")
+        checks.append(("legal", acted, F.col("_legal").isNull()))
+    elif rules is not None:
+        checks.append(("legal", acted, F.col("_r_n").isNull()))
     # every rule's counts in one aggregate (one pass over the steps), then one row per rule
     aggs = []
     for i, (_, cond, bad) in enumerate(checks):

@@ -77,6 +77,20 @@ def t6(spark, sf):
     return T.audit_replay(V.ep_events(spark, sf), EP)
 
 
+def _rules(spark, sf):
+    """A rule table (state, action, next_state): every event may follow every other but an error a signup;
+    an action leads to the state of its name."""
+    kinds = table(spark, sf, "events").select("event_type").distinct()
+    names = kinds.agg(F.array_sort(F.collect_set("event_type"))).scalar()  # one value per event type
+    pairs = kinds.select(F.col("event_type").alias("state"), F.explode(names).alias("action"))
+    return pairs.where(~((F.col("state") == "error") & (F.col("action") == "signup"))).withColumn("next_state", F.col("action"))
+
+
+@query("t6_audit_rules")
+def t6r(spark, sf):
+    return T.audit_replay(V.ep_events(spark, sf), EP, rules=_rules(spark, sf))
+
+
 @query("t7_sa_keys")
 def t7(spark, sf):
     own = T.with_sa_key(T.own_steps(V.ep_events(spark, sf)))
@@ -171,6 +185,13 @@ def a4(spark, sf):
     return A.key_counts(own, ["state", "action"])
 
 
+@query("a4_key_counts_approx")
+def a4a(spark, sf):
+    """The HyperLogLog++ form; so few keys that the estimate is exact."""
+    own = T.own_steps(V.ep_events(spark, sf))
+    return A.key_counts(own, ["state", "action"], approx=True)
+
+
 def _ep_summary_input(spark, sf):
     f = V.ep_event_facts(spark, sf)
     return f.select(
@@ -476,6 +497,15 @@ def v8(spark, sf):
     return VE.move_accuracy(pred, opt, ["node"])
 
 
+@query("v8_misses")
+def v8m(spark, sf):
+    """Steps whose move is parsed but not among the optimal ones."""
+    pred = T.own_steps(V.ep_events(spark, sf)).select(
+        *EP, F.concat_ws(":", F.col("step").cast("string"), "state").alias("node"), "action"
+    )
+    return _wk(VE.misses(pred, _greedy(spark, sf), ["node"]))
+
+
 # ---------------------------------------------------------------- P family
 from trajspark.operators import answers as P  # noqa: E402
 from trajspark.operators import infer as I  # noqa: E402
@@ -504,7 +534,16 @@ def p2(spark, sf):
     )
     ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42)
     out = PR.mc_prompts(ch, ["sa_key"], PR.template_table(spark))
-    return out.select("sa_key", "chunk", "state", "action", "n_games", "user")
+    return out.select("sa_key", "chunk", F.col("first_state").alias("state"), F.col("first_action").alias("action"), "n_games", "user")
+
+
+@query("p2_mc_state_prompts")
+def p2v(spark, sf):
+    """The state-value form: the games of a state, whatever the action."""
+    s = T.suffixes(V.ep_events(spark, sf), EP).select(*EP, "start", "state", "action", _game_text().alias("game_text"))
+    ch = D.chunk(s, ["state"], [*EP, "start"], 5, seed=42)
+    out = PR.mc_prompts(ch, ["state"], PR.template_table(spark), "mc_state")
+    return out.select("state", "chunk", "n_games", "user")
 
 
 @query("p3_visit_prompts")
@@ -656,6 +695,19 @@ def p12(spark, sf):
     return P.verdict_accuracy(pred, v.select("doc_id", "win", "win_rate"), ["doc_id"])
 
 
+@query("p12_label_file")
+def p12f(spark, sf):
+    """Win-rate labels written as a log, an older one of each state included, read back with the last one winning."""
+    v = V.verdicts(spark, sf).withColumn("key", F.col("doc_id").cast("string"))
+    old = v.select("key", F.lit("none").alias("win"), F.lit(9.0).alias("win_rate"), F.lit(0).alias("label_seq"))
+    new = v.select("key", "win", "win_rate", F.lit(1).alias("label_seq"))
+    path = _scratch(spark, "p12")
+    S.write_labels(new.unionByName(old).withColumn("turn", F.lit(0)), path)
+    labels, _ = S.read_labels(spark, path)
+    pred = P.extract_verdict(v, "response").select("key", "predict")
+    return P.verdict_accuracy(pred, labels, ["key"])
+
+
 @query("p13_move_distribution")
 def p13(spark, sf):
     return P.move_distribution(V.logprobs(spark, sf), "state", "move", "lp", temperature=1.0, seed=42)
@@ -674,6 +726,31 @@ def x1(spark, sf):
     return out.select("conv_id", "turn", F.size("messages").alias("n_messages"), "system", "user", "assistant")
 
 
+def _variant(spark, sf, template, slots):
+    """SFT pairs whose student sees a short prompt and whose target is the teacher's evaluation text."""
+    ev = V.votes(spark, sf).groupBy("state", F.col("candidate").alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    rows = ev.groupBy("state").agg(F.max_by("action", F.struct("n", "action")).alias("action"), F.sum("n").alias("n"))
+    student = PR.prompt_table(rows.select("state", "action"), PR.template_table(spark), template, slots)
+    teacher = rows.select("state", F.concat(F.lit("best "), "action", F.lit(" of "), F.col("n").cast("string")).alias("content"))
+    out = X.sft_pairs(student, teacher, ["state"])
+    return out.select("state", F.size("messages").alias("n_messages"), "system", "user", "assistant")
+
+
+@query("x1_sft_value")
+def x1v(spark, sf):
+    return _variant(spark, sf, "evaluate", {"state": F.col("state"), "turn": F.lit("true")})
+
+
+@query("x1_sft_action_value")
+def x1q(spark, sf):
+    return _variant(spark, sf, "q_student", {"state": F.col("state"), "action": F.col("action")})
+
+
+@query("x1_sft_policy")
+def x1p(spark, sf):
+    return _variant(spark, sf, "move", {"state": F.col("state"), "moves": F.col("action")})
+
+
 def _rendered(spark, sf):
     return X.render_chat(V.chats(spark, sf), ["conv_id"], ["turn"])
 

@@ -753,3 +753,49 @@ SQL["p9_write_back"] = W("lookahead_ev") + END_PROMPTS + """
 SELECT user_id, state, pv_idx, array_to_string(pv_actions, ' ') AS pv_actions,
        CASE WHEN final_terminal THEN 'Terminal State.' ELSE final_state END AS final_state,
        CASE WHEN final_terminal THEN 'This is the terminal state.' ELSE eval END AS final_eval FROM att"""
+
+SQL["p2_mc_state_prompts"] = W("ep_events") + f""",
+sfx AS (SELECT user_id, week, step AS start, state, action, turn,
+               CAST(sum(reward) OVER w AS BIGINT) AS rtg, list(action) OVER w AS acts
+        FROM ep_events
+        WINDOW w AS (PARTITION BY user_id, week ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+games AS (SELECT user_id, week, start, state,
+                 'actions: ' || array_to_string(list_reverse(list_filter(acts, lambda x: x IS NOT NULL)), ' ') || '; return: ' || CAST(rtg AS VARCHAR) AS game_text
+          FROM sfx WHERE action IS NOT NULL AND turn),
+ch AS (SELECT *, (rk - 1) // 5 AS chunk, (rk - 1) % 5 AS pos FROM (
+         SELECT *, row_number() OVER (PARTITION BY state ORDER BY md5(concat_ws('|', '42', CAST(user_id AS VARCHAR), CAST(week AS VARCHAR), CAST(start AS VARCHAR))), user_id, week, start) AS rk
+         FROM games) r),
+g AS (SELECT state, CAST(chunk AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n_games,
+             string_agg('Game ' || CAST(pos + 1 AS VARCHAR) || ': ' || game_text, '\n' ORDER BY pos) || '\nEnd of games.' AS games
+      FROM ch GROUP BY state, chunk)
+SELECT state, chunk, n_games, {_fill('mc_state', {'state': 'state', 'games': 'games'})} AS user FROM g"""
+SQL["t6_audit_rules"] = W("ep_events") + """,
+t AS (SELECT *, lag(turn) OVER w AS prev_turn, lead(state) OVER w AS next_state,
+             CASE WHEN action IS NOT NULL AND NOT (state = 'error' AND action = 'signup') THEN action END AS wanted FROM ep_events
+      WINDOW w AS (PARTITION BY user_id, week ORDER BY step))
+SELECT 'alternation' AS rule, CAST(count_if(prev_turn IS NOT NULL) AS BIGINT) AS n_checked,
+       CAST(count_if(prev_turn IS NOT NULL AND prev_turn = turn) AS BIGINT) AS n_violations FROM t
+UNION ALL SELECT 'next_state', CAST(count_if(action IS NOT NULL) AS BIGINT),
+       CAST(count_if(action IS NOT NULL AND wanted IS DISTINCT FROM next_state) AS BIGINT) FROM t
+UNION ALL SELECT 'terminal_flag', CAST(count(*) AS BIGINT),
+       CAST(count_if(is_terminal <> (next_state IS NULL)) AS BIGINT) FROM t
+UNION ALL SELECT 'legal', CAST(count_if(action IS NOT NULL) AS BIGINT), CAST(count_if(action IS NOT NULL AND wanted IS NULL) AS BIGINT) FROM t"""
+SQL["a4_key_counts_approx"] = SQL["a4_key_counts"]
+SQL["v8_misses"] = W("ep_events") + GREEDY + """
+SELECT user_id, CAST(week AS VARCHAR) AS week, CAST(step AS VARCHAR) || ':' || state AS node, action
+FROM ep_events p WHERE action IS NOT NULL AND turn
+  AND NOT EXISTS (SELECT 1 FROM greedy g WHERE g.node = CAST(p.step AS VARCHAR) || ':' || p.state AND g.action = p.action)"""
+
+
+def _sft(template: str, slots: dict[str, str]) -> str:
+    return W("votes") + f""",
+ev AS (SELECT state, candidate AS action, count(*) AS n FROM votes GROUP BY state, candidate),
+r AS (SELECT state, arg_max(action, (n, action)) AS action, CAST(sum(n) AS BIGINT) AS n FROM ev GROUP BY state)
+SELECT state, CAST(3 AS INTEGER) AS n_messages, {_sys(template)} AS system, {_fill(template, slots)} AS user,
+       'best ' || action || ' of ' || CAST(n AS VARCHAR) AS assistant FROM r"""
+
+
+SQL["x1_sft_value"] = _sft("evaluate", {"state": "state", "turn": "'true'"})
+SQL["x1_sft_action_value"] = _sft("q_student", {"state": "state", "action": "action"})
+SQL["x1_sft_policy"] = _sft("move", {"state": "state", "moves": "action"})
+SQL["p12_label_file"] = SQL["p12_verdict_accuracy"]

@@ -281,6 +281,30 @@ def read_states(
     return df.where(F.col("state").isNotNull() & (F.col("state") != TERMINAL_SENTINEL)).distinct(), rejects
 
 
+# Win-rate labels -------------------------------------------------------------
+# Field names and types of the label log.
+LABEL_SCHEMA = T.StructType(
+    [
+        T.StructField("state_turn", T.StructType([T.StructField("state", T.StringType()), T.StructField("turn", T.IntegerType())])),
+        T.StructField("win", T.StringType()),
+        T.StructField("win_rate", T.DoubleType()),
+        T.StructField("label_seq", T.LongType()),
+    ]
+)
+
+
+def write_labels(labels: DataFrame, path: str, key: str = "key", turn: str = "turn", seq: str = "label_seq") -> None:
+    """Win-rate labels (key, turn, win, win_rate, seq) as JSON lines."""
+    out = labels.select(F.struct(F.col(key).alias("state"), F.col(turn).alias("turn")).alias("state_turn"), "win", "win_rate", F.col(seq).cast("long").alias("label_seq"))
+    write_buffer(out, path)
+
+
+def read_labels(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Win-rate label lines → ((key, turn, win, win_rate, label_seq), rejects); P12 lets the last of a key win."""
+    good, rejects = read_records(spark, paths, LABEL_SCHEMA, "state_turn")
+    return good.select(F.col("state_turn.state").alias("key"), F.col("state_turn.turn").alias("turn"), "win", "win_rate", "label_seq"), rejects
+
+
 # S6 -------------------------------------------------------------------------
 def history_window(df: DataFrame, iteration: int, history: int, seed: int | str = 42, it_col: str = "iter",
                    keys: Sequence[str] | None = None) -> DataFrame:
