@@ -33,12 +33,12 @@ from .text import blocks, slim
 SHARE = 1 / (1 << 18)
 #: longest word of the lexicon, bytes
 LONGEST = 48
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: fixed value: how byte-level BPE splits a text into words before merging
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = regex.compile(SPLIT)
 #: distinct words that a worker keeps with their ids
-SEEN = 300_000
+SEEN = 150_000
 
 
 def _latin_1() -> re.Pattern:
@@ -377,7 +377,7 @@ def frequent_words(docs: DataFrame, save, share: float = SHARE) -> list[bytes]:
         for _, texts in blocks(batches):
             for t in texts:
                 counts.update(words_of(t.decode("utf-8", "replace")))
-            if len(counts) > 300_000:
+            if len(counts) > 150_000:
                 yield from out()
         yield from out()
 

@@ -27,7 +27,7 @@ WORD = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 WINDOW = 10
 SAMPLE = 8
 #: text of a shard, bytes; a longer text is a shard of its own
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: the benchmark is held by every task, so its size is checked
 MAX_BENCHMARK = 64 << 20
 

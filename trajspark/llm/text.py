@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2 << 20
+#: bytes that are hashed at once
+PIECE = 1 << 19
 
 _U = np.uint64
 # a fixed random value per byte and an odd base; the hashes are sums of value * base^position mod 2^64
@@ -77,17 +79,30 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[0::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.offs)
+        self._bytes = _BYTE_LOWER if lower else _BYTE
         if hashes:
-            n = len(self.buf)
-            acc = np.zeros(n + 1, np.uint64)
-            np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.buf] * powers(_BASE, n), out=acc[1:])
-            self._acc = acc
-            self.hash = self.prefix_hash(n)
-
-    def prefix_hash(self, n: int) -> np.ndarray:
-        """Hashes of the words' first n bytes (of whole words that are shorter)."""
-        to = np.minimum(self.start + n, self.end)
-        return mix((self._acc[to] - self._acc[self.start]) * powers(_BASE_INV, len(self._acc))[self.start])
+            (self.hash,) = self.hashes(None)
+
+    def hashes(self, *lengths: int | None) -> list[np.ndarray]:
+        """Hashes of the words' first bytes (of whole words for None, and of words that are shorter).
+
+        Worked out for runs of words of about ``PIECE`` bytes, so that memory doesn't grow with the texts.
+        """
+        out = [np.empty(len(self), np.uint64) for _ in lengths]
+        a = 0
+        while a < len(self):
+            zero = int(self.start[a])
+            b = max(a + 1, int(np.searchsorted(self.start, zero + PIECE)))
+            raw = self.buf[zero : self.end[b - 1]]
+            acc = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(self._bytes[raw] * powers(_BASE, len(raw)), out=acc[1:])
+            start, end = self.start[a:b] - zero, self.end[a:b] - zero
+            back = powers(_BASE_INV, len(raw) + 1)[start]
+            for h, n in zip(out, lengths):
+                to = end if n is None else np.minimum(start + n, end)
+                h[a:b] = mix((acc[to] - acc[start]) * back)
+            a = b
+        return out
 
     def __len__(self) -> int:
         return len(self.start)
@@ -112,10 +127,6 @@ def ngram_hashes(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix((acc[n:] - acc[:-n]) * powers(inv, len(hashes) - n + 1))
 
 
-def word_hash(word: bytes, lower: bool = False) -> int:
-    return int(Words([word], np.ones(256, bool), lower).hash[0]) if word else 0
-
-
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .text import Words, blocks, byte_class, remainder
 
 #: bounds of the sample that the classifier is fitted on: rows of a label, bytes of their texts
-SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_ROWS = 3000
+SAMPLE_BYTES = 12 << 20
 #: rows with remainder 0 of crc32(doc_id) by this are held out
 FOLDS = 5
 DIM, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
@@ -41,10 +41,11 @@ WORD = byte_class((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of each word (words x 4) and the first word of each text."""
-    w = Words(texts, WORD, lower=True)
+    w = Words(texts, WORD, lower=True, hashes=False)
     size = np.uint64(BUCKETS)
-    cols = [w.hash % size, (w.hash >> np.uint64(32)) % size + size]
-    cols += [w.prefix_hash(n) % size + np.uint64(2 + k) * size for k, n in enumerate(PREFIXES)]
+    word, *begin = w.hashes(None, *PREFIXES)
+    cols = [word % size, (word >> np.uint64(32)) % size + size]
+    cols += [h % size + np.uint64(2 + k) * size for k, h in enumerate(begin)]
     return np.stack(cols, axis=1).astype(np.int32).reshape(len(w), -1), w.first
 
 
