@@ -12,6 +12,7 @@ from trajspark.operators import metrics as A
 from trajspark.operators import sampling as D
 from trajspark.operators import steps as T
 from trajspark.operators import value as VE
+from trajspark.session import write_table
 
 # Chat-template header tokens of the "llama3" style.
 LLAMA3 = {
@@ -109,10 +110,11 @@ def ppo_samples(steps: DataFrame, ep: Sequence[str], order: str = "step", gamma:
 
     ``steps`` carries ``value`` (critic value of the state) and ``lp`` (logged log-prob).
     """
-    s = steps.withColumn("final_value", F.max_by("value", order).over(Window.partitionBy(*ep)))
+    s = T.with_last(steps, ep, "value", "final_value", order)
     own = T.own_view(s, ep, order, extra=["value", "final_value", "lp"])
     own = VE.next_values(own, ep, order, "value", "final_value")
-    g = VE.gae(own, ep, order, gamma=gamma, lam=lam)
+    # written once: the normalisation reads it twice
+    g = write_table(VE.gae(own, ep, order, gamma=gamma, lam=lam), "gae")
     g = A.normalise(g, "adv", "adv_norm")
     return g.select(*ep, order, "state", "action", "adv_norm", "ret", F.col("lp").alias("old_lp"))
 

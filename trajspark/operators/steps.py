@@ -31,24 +31,34 @@ def _same(left: DataFrame, right: DataFrame, cols: Sequence[str], name) -> Colum
     return cond
 
 
-def _with_next_state(cur: DataFrame, steps: DataFrame, ep: Sequence[str], order: str) -> DataFrame:
-    """``next_state`` by a join on (episode…, step + 1); both sides hash on the step as well,
-    so a long episode spreads over many tasks. Null keys are keys like any other."""
+def _with_next_state(cur: DataFrame, steps: DataFrame, ep: Sequence[str], order: str, more: Sequence[str] = ()) -> DataFrame:
+    """``next_state`` (and ``next_…`` of more columns) by a join on (episode…, step + 1); both
+    sides hash on the step as well, so a long episode spreads over many tasks. Null keys are
+    keys like any other."""
     nxt = steps.select(
-        *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state")
+        *[F.col(k).alias(f"_n_{k}") for k in ep], (F.col(order) - 1).alias("_n_o"), F.col("state").alias("next_state"),
+        *[F.col(c).alias(f"next_{c}") for c in more],
     )
     cond = _same(cur, nxt, ep, lambda c: f"_n_{c}") & (cur[order] == nxt["_n_o"])
     return cur.join(nxt, cond, "left").drop(*[f"_n_{k}" for k in ep], "_n_o")
 
 
 # T1 -------------------------------------------------------------------------
-def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
-    """(s, a, r, s', turn, step) for every step that has an action.
+def to_transitions(steps: DataFrame, ep: Sequence[str], order: str = "step", more: Sequence[str] = ()) -> DataFrame:
+    """(s, a, r, s', turn, step) for every step that has an action, and ``next_…`` of more columns.
 
     ``order`` is the dense 0-based step number.
     """
     cur = steps.where(F.col("action").isNotNull())
-    return _with_next_state(cur, steps, ep, order).select(*ep, order, "state", "action", "reward", "next_state", "turn")
+    t = _with_next_state(cur, steps, ep, order, more)
+    return t.select(*ep, order, "state", "action", "reward", "next_state", "turn", *[f"next_{c}" for c in more])
+
+
+def with_last(steps: DataFrame, ep: Sequence[str], col: str, name: str, order: str = "step") -> DataFrame:
+    """The value of ``col`` at an episode's last step, on every step: a partial aggregate joined back."""
+    last = steps.groupBy(*ep).agg(F.max_by(col, order).alias(name))
+    last = last.select(*[F.col(k).alias(f"_f_{k}") for k in ep], name)
+    return steps.join(last, _same(steps, last, ep, lambda c: f"_f_{c}")).drop(*[f"_f_{k}" for k in ep])
 
 
 # T2 -------------------------------------------------------------------------
@@ -58,28 +68,42 @@ def own_steps(steps: DataFrame, turn: str = "turn") -> DataFrame:
 
 
 # T3 -------------------------------------------------------------------------
-def suffixes(steps: DataFrame, ep: Sequence[str], order: str = "step", own_only: bool = True) -> DataFrame:
-    """Suffix of every trajectory from each (own) step to the end.
+def suffix_starts(steps: DataFrame, ep: Sequence[str], order: str = "step", own_only: bool = True) -> DataFrame:
+    """Where suffixes start: (episode…, start, state, action, turn), one narrow row each.
 
-    A running frame over the descending order streams through the episode
-    once (no self-join, no pair enumeration); each output row carries its own
-    suffix, whose total size is the size of the requested output.
+    Sample, group and chunk these; ``with_suffixes`` cuts the suffixes only when they are rendered.
     """
-    w = _w(ep, order, desc=True).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = steps.select(
-        *ep,
-        F.col(order).alias("start"),
-        "state",
-        "action",
-        "turn",
-        F.count("action").over(w).alias("suffix_len"),
-        F.sum("reward").over(w).alias("return_to_go"),
-        F.reverse(F.collect_list("action").over(w)).alias("suffix_actions"),
-        F.reverse(F.collect_list("state").over(w)).alias("suffix_states"),
-    ).where(F.col("action").isNotNull())
+    out = steps.where(F.col("action").isNotNull())
     if own_only:
         out = out.where(F.col("turn"))
-    return out
+    return out.select(*ep, F.col(order).alias("start"), "state", "action", "turn")
+
+
+def with_suffixes(starts: DataFrame, steps: DataFrame, ep: Sequence[str], order: str = "step") -> DataFrame:
+    """Adds suffix_actions, suffix_states, suffix_len and return_to_go to rows with a ``start``.
+
+    Every episode's arrays are gathered once (as long as the episode, like T9's) and
+    joined; a row's suffix is a slice of them. ``order`` is the dense 0-based step number.
+    """
+    g = steps.groupBy(*ep).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "state", "action", "reward"))).alias("_s"))
+    g = g.select(*[F.col(k).alias(f"_g_{k}") for k in ep], "_s")
+    t = starts.join(g, _same(starts, g, ep, lambda c: f"_g_{c}")).drop(*[f"_g_{k}" for k in ep])
+    t = t.withColumn("_s", F.slice("_s", F.col("start") + 1, F.size("_s")))
+    rewards = F.filter(F.transform("_s", lambda x: x["reward"]), lambda r: r.isNotNull())
+    kind = steps.schema["reward"].dataType.simpleString()
+    total = "bigint" if kind in ("int", "bigint", "smallint", "tinyint") else "double"
+    return t.select(
+        *starts.columns,
+        F.size(F.filter("_s", lambda x: x["action"].isNotNull())).cast("bigint").alias("suffix_len"),
+        F.when(F.size(rewards) > 0, F.aggregate(rewards, F.lit(0).cast(total), lambda a, r: a + r.cast(total))).alias("return_to_go"),
+        F.filter(F.transform("_s", lambda x: x["action"]), lambda a: a.isNotNull()).alias("suffix_actions"),
+        F.transform("_s", lambda x: x["state"]).alias("suffix_states"),
+    )
+
+
+def suffixes(steps: DataFrame, ep: Sequence[str], order: str = "step", own_only: bool = True) -> DataFrame:
+    """Suffix of every trajectory from each (own) step to the end."""
+    return with_suffixes(suffix_starts(steps, ep, order, own_only), steps, ep, order)
 
 
 # T4 -------------------------------------------------------------------------
@@ -325,9 +349,9 @@ def keep_last(df: DataFrame, ep: Sequence[str], order: str, k: int) -> DataFrame
 
 # Step numbering --------------------------------------------------------------
 def number_steps(
-    df: DataFrame, ep: Sequence[str], order: Sequence[str], carry: str, span: Column, ahead: int = 2
+    df: DataFrame, ep: Sequence[str], order: Sequence[str], carry: str, span: Column, ahead: int = 2, name: str = "step"
 ) -> DataFrame:
-    """0-based ``step`` per episode and the next ``ahead`` values of ``carry``
+    """0-based step (column ``name``) per episode and the next ``ahead`` values of ``carry``
     (``_next1`` … ``_next{ahead}``).
 
     ``span`` cuts an episode into pieces that follow one another in ``order`` (such as
@@ -359,7 +383,7 @@ def number_steps(
         ).alias("_after"),
     )
     j = loc.join(heads, _same(loc, heads, [*ep, "_slice"], lambda c: f"_o_{c}"))
-    out = j.withColumn("step", (F.col("_off") + F.col("_rn") - 1).cast("int"))
+    out = j.withColumn(name, (F.col("_off") + F.col("_rn") - 1).cast("int"))
     # the i-th value ahead: local lead while the span has it, else from the following spans
     n_local = F.least(F.col("_cnt") - F.col("_rn"), F.lit(ahead))
     for i in range(1, ahead + 1):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.keys import seeded_key, seeded_uniform
+from trajspark.operators.steps import _same, number_steps
 from trajspark.session import cut_lineage, write_table
 
 
@@ -27,11 +28,18 @@ def _bounded_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+#: steps of an episode that one task works through at once
+SPAN = 4096
+
+
 # V2 -------------------------------------------------------------------------
 def next_values(own: DataFrame, ep: Sequence[str], order: str, value: str, final_value: str) -> DataFrame:
-    """Next own-step value; the last own step takes the value of the final next state."""
-    w = Window.partitionBy(*ep).orderBy(order)
-    return own.withColumn("next_value", F.coalesce(F.lead(value).over(w), F.col(final_value)))
+    """Next own-step value; the last own step takes the value of the final next state.
+
+    ``order`` counts steps; a task holds the steps of a span of it, not an episode.
+    """
+    t = number_steps(own, ep, [order], value, F.floor(F.col(order) / SPAN), ahead=1, name="_pos")
+    return t.withColumn("next_value", F.coalesce("_next1", F.col(final_value))).drop("_pos", "_next1")
 
 
 # V1 -------------------------------------------------------------------------
@@ -50,44 +58,52 @@ def gae(
 
     gae_t = δ_t + γλ(1 − done_t)·gae_{t+1},  δ_t = r_t + γ·(done_t ? 0 : v'_t) − v_t.
 
-    Closed form inside a segment (steps between dones): gae_t = Σ_{k≥t} ρ^{k−t} δ_k
-    with ρ = γλ. Running windows over descending position compute it in one
-    streaming pass; to keep ρ^k representable the sum is rebased per block of
-    B positions (ρ^B ≈ e^-300) and the next block's total is added with a range
-    frame, the rest being below double precision.
+    A suffix scan in blocks: inside a block gae_t = a_t + b_t·G with G the advantage at
+    the next block's start (b = 0 behind a done); a_t and b_t come from windows over one
+    block. Blocks compose in the same way, first inside super-blocks of ``SPAN`` blocks,
+    then over an episode's super-blocks (one for every 16 million steps), so every term
+    is kept and no task holds a long episode.
     """
     rho = gamma * lam
-    w = Window.partitionBy(*ep).orderBy(order)
-    d = F.col(done).cast("boolean")
+    block = SPAN if rho >= 1 or rho <= 0 else max(1, min(SPAN, int(300.0 / -math.log(rho))))
+    d = F.coalesce(F.col(done).cast("boolean"), F.lit(False))
     t = df.withColumn(
-        "_delta",
-        F.col(reward).cast("double") + F.when(d, F.lit(0.0)).otherwise(F.lit(gamma) * F.col(next_value)) - F.col(value),
-    )
-    t = t.withColumn("_pos", F.row_number().over(w) - 1).withColumn(
-        "_seg",
-        F.coalesce(
-            F.sum(d.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    )
-    if rho == 0.0:
-        t = t.withColumn("adv", F.col("_delta"))
+        "_delta", F.col(reward).cast("double") + F.when(d, F.lit(0.0)).otherwise(F.lit(gamma) * F.col(next_value)) - F.col(value)
+    ).withColumn("_done", d)
+    t = number_steps(t, ep, [order], "_done", F.floor(F.col(order) / SPAN), ahead=1, name="_pos").drop("_next1")
+    t = t.withColumn("_blk", F.floor(F.col("_pos") / F.lit(block))).withColumn("_off", F.col("_pos") - F.col("_blk") * block)
+    blk = Window.partitionBy(*ep, "_blk")
+    t = t.withColumn("_seg", F.coalesce(F.sum(F.col("_done").cast("int")).over(blk.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = Window.partitionBy(*ep, "_blk", "_seg").orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    weight = F.pow(F.lit(rho), F.col("_off")) if rho else F.when(F.col("_off") == 0, 1.0).otherwise(0.0)
+    later = F.sum(F.col("_done").cast("int")).over(blk.orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if rho:
+        t = t.withColumn("_a", F.sum(F.col("_delta") * weight).over(run) / weight)
+        t = t.withColumn("_b", F.when(later > 0, 0.0).otherwise(F.pow(F.lit(rho), F.max("_off").over(blk) + 1 - F.col("_off"))))
     else:
-        block = (
-            1 << 62 if rho >= 1.0 else max(1, int(300.0 / -math.log(rho)))
+        t = t.withColumn("_a", F.col("_delta")).withColumn("_b", F.lit(0.0))
+
+    def scan(rows: DataFrame, keys: list[str], at: str, a: str, b: str) -> DataFrame:
+        """Per row of a group in descending ``at``: the composition (ca, cb) of all later rows, and of the whole group (wa, wb)."""
+        g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(a).alias("a"), F.col(b).alias("b"))), asc=False).alias("_l"))
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), F.array().cast("array<struct<at:bigint,a:double,b:double>>").alias("out"))
+        step = lambda acc, x: F.struct(
+            (x["a"] + x["b"] * acc["a"]).alias("a"), (x["b"] * acc["b"]).alias("b"),
+            F.concat(acc["out"], F.array(F.struct(x["at"].cast("bigint").alias("at"), acc["a"].alias("a"), acc["b"].alias("b")))).alias("out"),
         )
-        t = t.withColumn("_blk", F.floor(F.col("_pos") / F.lit(block)))
-        t = t.withColumn("_off", F.col("_pos") - F.col("_blk") * F.lit(block))
-        t = t.withColumn("_wd", F.col("_delta") * F.pow(F.lit(rho), F.col("_off")))
-        run = Window.partitionBy(*ep, "_seg", "_blk").orderBy(F.col("_pos").desc()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        nxt = Window.partitionBy(*ep, "_seg").orderBy("_blk").rangeBetween(1, 1)
-        t = t.withColumn("_a", F.sum("_wd").over(run)).withColumn("_tn", F.coalesce(F.sum("_wd").over(nxt), F.lit(0.0)))
-        t = t.withColumn(
-            "adv",
-            F.col("_a") * F.pow(F.lit(rho), -F.col("_off"))
-            + F.col("_tn") * F.pow(F.lit(rho), F.lit(block) - F.col("_off")),
+        g = g.withColumn("_f", F.aggregate("_l", zero, step))
+        return g.select(*keys, F.explode("_f.out").alias("_x"), F.col("_f.a").alias("wa"), F.col("_f.b").alias("wb")).select(
+            *keys, F.col("_x.at").alias(at), F.col("_x.a").alias("ca"), F.col("_x.b").alias("cb"), "wa", "wb"
         )
+
+    heads = t.where(F.col("_off") == 0).select(*ep, "_blk", F.floor(F.col("_blk") / SPAN).alias("_sup"), "_a", "_b")
+    inner = scan(heads, [*ep, "_sup"], "_blk", "_a", "_b")
+    outer = scan(inner.groupBy(*ep, "_sup").agg(F.first("wa").alias("_a"), F.first("wb").alias("_b")), list(ep), "_sup", "_a", "_b")
+    outer = outer.select(*[F.col(k).alias(f"_u_{k}") for k in [*ep, "_sup"]], F.col("ca").alias("_h"))
+    carry = inner.join(outer, _same(inner, outer, [*ep, "_sup"], lambda c: f"_u_{c}"))
+    carry = carry.select(*[F.col(k).alias(f"_c_{k}") for k in [*ep, "_blk"]], (F.col("ca") + F.col("cb") * F.col("_h")).alias("_g"))
+    t = t.join(carry, _same(t, carry, [*ep, "_blk"], lambda c: f"_c_{c}"))
+    t = t.withColumn("adv", F.col("_a") + F.col("_b") * F.col("_g"))
     t = t.withColumn("ret", F.col("adv") + F.col(value))
     return t.drop(*[c for c in t.columns if c.startswith("_")])
 

@@ -52,7 +52,7 @@ def t2(spark, sf):
 
 @query("t3_suffixes")
 def t3(spark, sf):
-    s = T.suffixes(V.ep_events(spark, sf), EP)
+    s = T.suffixes(V.ep_events_once(spark, sf), EP)
     return _wk(
         s.select(
             *EP, "start", "suffix_len", "return_to_go",
@@ -74,7 +74,7 @@ def t5(spark, sf):
 
 @query("t6_audit_replay")
 def t6(spark, sf):
-    return T.audit_replay(V.ep_events(spark, sf), EP)
+    return T.audit_replay(V.ep_events_once(spark, sf), EP)
 
 
 def _rules(spark, sf):
@@ -88,7 +88,7 @@ def _rules(spark, sf):
 
 @query("t6_audit_rules")
 def t6r(spark, sf):
-    return T.audit_replay(V.ep_events(spark, sf), EP, rules=_rules(spark, sf))
+    return T.audit_replay(V.ep_events_once(spark, sf), EP, rules=_rules(spark, sf))
 
 
 @query("t7_sa_keys")
@@ -99,12 +99,12 @@ def t7(spark, sf):
 
 @query("t8_own_view")
 def t8(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP))
+    return _wk(T.own_view(V.ep_events_once(spark, sf), EP))
 
 
 @query("t8_own_view_credit_final")
 def t8c(spark, sf):
-    return _wk(T.own_view(V.ep_events(spark, sf), EP, credit_final=True))
+    return _wk(T.own_view(V.ep_events_once(spark, sf), EP, credit_final=True))
 
 
 @query("t9_trajectories")
@@ -378,15 +378,11 @@ def d13(spark, sf):
 
 
 # ---------------------------------------------------------------- V family
-from pyspark.sql import Window  # noqa: E402
-
 from trajspark.operators import value as VE  # noqa: E402
 
 
 def _own_with_values(spark, sf):
-    ep = V.ep_events(spark, sf).withColumn(
-        "final_value", F.max_by("value", "step").over(Window.partitionBy(*EP))
-    )
+    ep = T.with_last(V.ep_events_once(spark, sf), EP, "value", "final_value")
     own = T.own_view(ep, EP, extra=["value", "final_value"])
     return VE.next_values(own, EP, "step", "value", "final_value")
 
@@ -405,14 +401,8 @@ def v2(spark, sf):
 
 
 def _transitions(spark, sf):
-    w = Window.partitionBy(*EP).orderBy("step")
-    ep = V.ep_events(spark, sf)
-    return (
-        ep.withColumn("next_state", F.lead("state").over(w))
-        .withColumn("next_terminal", F.lead("is_terminal").over(w))
-        .where(F.col("next_state").isNotNull())
-        .select("state", "next_state", "next_terminal", "reward")
-    )
+    t = T.to_transitions(V.ep_events(spark, sf), EP, more=["is_terminal"])
+    return t.select("state", "next_state", F.col("next_is_terminal").alias("next_terminal"), "reward")
 
 
 @query("v3_td0")
@@ -441,8 +431,7 @@ def v5(spark, sf):
 
 
 def _layers(spark, sf):
-    ep = V.ep_events(spark, sf)
-    outcome = F.when(F.col("state") == "purchase", 1).when(F.col("state") == "error", -1).otherwise(0)
+    ep = V.ep_events_once(spark, sf)
     nodes = ep.groupBy(F.col("step").alias("layer"), F.col("state").alias("node")).agg(
         F.max("is_terminal").alias("_ends")
     ).select(
@@ -454,7 +443,6 @@ def _layers(spark, sf):
             (F.when(F.col("node") == "purchase", 1).when(F.col("node") == "error", -1).otherwise(0) * (100 - F.col("layer"))).cast("double"),
         ).alias("end_value"),
     )
-    del outcome
     edges = ep.where(F.col("action").isNotNull()).select(
         F.col("step").alias("layer"), F.col("state").alias("node"), F.col("action").alias("next_node")
     ).distinct()
@@ -529,10 +517,9 @@ def _game_text():
 
 @query("p2_mc_prompts")
 def p2(spark, sf):
-    s = T.suffixes(V.ep_events(spark, sf), EP).select(
-        *EP, "start", "state", "action", sa_key("state", "action").alias("sa_key"), _game_text().alias("game_text")
-    )
-    ch = D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42)
+    ep = V.ep_events_once(spark, sf)
+    s = T.suffix_starts(ep, EP).select(*EP, "start", "state", "action", sa_key("state", "action").alias("sa_key"))
+    ch = T.with_suffixes(D.chunk(s, ["sa_key"], [*EP, "start"], 5, seed=42), ep, EP).withColumn("game_text", _game_text())
     out = PR.mc_prompts(ch, ["sa_key"], PR.template_table(spark))
     return out.select("sa_key", "chunk", F.col("first_state").alias("state"), F.col("first_action").alias("action"), "n_games", "user")
 
@@ -540,8 +527,9 @@ def p2(spark, sf):
 @query("p2_mc_state_prompts")
 def p2v(spark, sf):
     """The state-value form: the games of a state, whatever the action."""
-    s = T.suffixes(V.ep_events(spark, sf), EP).select(*EP, "start", "state", "action", _game_text().alias("game_text"))
-    ch = D.chunk(s, ["state"], [*EP, "start"], 5, seed=42)
+    ep = V.ep_events_once(spark, sf)
+    ch = D.chunk(T.suffix_starts(ep, EP), ["state"], [*EP, "start"], 5, seed=42)
+    ch = T.with_suffixes(ch, ep, EP).withColumn("game_text", _game_text())
     out = PR.mc_prompts(ch, ["state"], PR.template_table(spark), "mc_state")
     return out.select("state", "chunk", "n_games", "user")
 
@@ -792,7 +780,7 @@ def x4(spark, sf):
 
 
 def _ppo(spark, sf):
-    ep = V.ep_events(spark, sf).withColumn("lp", -F.col("value") + F.lit(0.1) * ((F.col("step") % 3) - 1))
+    ep = V.ep_events_once(spark, sf).withColumn("lp", -F.col("value") + F.lit(0.1) * ((F.col("step") % 3) - 1))
     return X.ppo_samples(ep, EP)
 
 

@@ -13,10 +13,11 @@ reward are null. ``turn`` is true when our player acts at ``t``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajspark.operators.steps import number_steps
+from trajspark.session import write_table
 from trajspark.sources.tables import table
 
 EP_KEYS = ["user_id", "week"]
@@ -97,6 +98,11 @@ def ep_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ep_events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ep_events`` written once to the shared folder, for queries that read it several times."""
+    return write_table(ep_events(spark, sf_dir), "ep-events")
+
+
 def ep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as order episodes (the large-scale trajectory table).
 
@@ -108,16 +114,16 @@ def ep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
-    w = Window.partitionBy(*ORDER_KEYS).orderBy(*order_cols)
-    step = (F.row_number().over(w) - 1).cast("int")
-    nxt = F.lead(F.concat("l_returnflag", "l_linestatus"), 1).over(w)
+    li = li.withColumn("state", F.concat("l_returnflag", "l_linestatus"))
+    li = number_steps(li, ORDER_KEYS, order_cols, "state", F.col("l_linenumber"), ahead=1)
+    nxt = F.col("_next1")
     return li.select(
         "l_orderkey",
-        step.alias("step"),
-        F.concat("l_returnflag", "l_linestatus").alias("state"),
+        "step",
+        "state",
         nxt.alias("action"),
         F.when(nxt.isNull(), F.lit(None).cast("double")).otherwise(F.col("l_quantity")).alias("reward"),
-        ((step % 2) == 0).alias("turn"),
+        ((F.col("step") % 2) == 0).alias("turn"),
         nxt.isNull().alias("is_terminal"),
         F.col("l_extendedprice").alias("value"),
     )
