@@ -147,3 +147,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     ids = slim(docs).mapInArrow(_members, "digest binary, check binary, ids array<long>")
     each = spread_join(ids, found, ["digest", "check"], LOCAL_IDS).select(F.explode("ids").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "digest")
     return each.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+#: the same rows by grouping whole normalised texts
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
+), g AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY n ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY n) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
+"""

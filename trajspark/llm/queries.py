@@ -58,9 +58,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"), write_table)
 
 
-SQL["op5_line_dedup"] = linededup.SQL
-
-
 @query
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
@@ -89,3 +86,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards of equal weight, and over 25 for grown_shard."""
     return sharding.assign(table(spark, sf_dir, "documents"), weights=[1.0] * 24, grown=[1.0] * 25)
+
+
+SQL.update(
+    op1_decontamination=decontam.SQL,
+    op2_substring_dedup=substring.SQL,
+    op5_line_dedup=linededup.SQL,
+    op9_exact_dedup=exact.SQL,
+)

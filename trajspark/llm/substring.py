@@ -267,3 +267,23 @@ def report(docs: DataFrame, save) -> DataFrame:
 def dedup(docs: DataFrame, save) -> DataFrame:
     """As ``report``, with the text that stays in place of its digest."""
     return removals(docs, save, _Kept(), "doc_id long, n_words long, n_removed long, text string")
+
+
+#: the same rows by grouping all windows as texts
+SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, unnest(list_transform(range(1, len(ws) - 11), lambda i: array_to_string(ws[i:i + 12], ' '))) AS g
+  FROM w WHERE len(ws) >= 13
+), least AS (
+  SELECT g, min(doc_id) AS d FROM g GROUP BY g
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS k FROM g JOIN least USING (g) WHERE d < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w) x
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = x.doc_id AND gone.k = x.k) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) c ON c.doc_id = w.doc_id LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
