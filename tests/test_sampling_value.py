@@ -131,62 +131,75 @@ def test_gae_long_episode_matches_recursion(spark):
     assert max(abs(a - b) for a, b in zip(got, out)) < 1e-9
 
 
-def _maze_edges(spark):
-    # double T maze: 0 = open; goal (8, 6); directions and the 25 optimal moves are fixed values
-    grid = [
-        "1111111111111",
-        "1000001000001",
-        "1110111110111",
-        "1110111110111",
-        "1110111110111",
-        "1110000000111",
-        "1111110111111",
-        "1111110111111",
-        "1111110111111",
-        "1111111111111",
+# A garden of our own: a ring around a pond with a gate, G, and a dead end. '#' is closed.
+GARDEN = """
+#######
+#..G..#
+#.###.#
+#.#...#
+#.....#
+#.##..#
+#######
+"""
+MOVES = {"east": (0, 1), "north": (-1, 0), "south": (1, 0), "west": (0, -1)}
+
+
+def _garden_edges(spark):
+    rows = GARDEN.split()
+    free = {(x, y): c for x, row in enumerate(rows) for y, c in enumerate(row) if c != "#"}
+    edges = [
+        (f"{x},{y}", f"{x + dx},{y + dy}", name, rank)
+        for (x, y) in free
+        for rank, (name, (dx, dy)) in enumerate(MOVES.items())
+        if (x + dx, y + dy) in free
     ]
-    names = {(0, 1): "move right", (0, -1): "move left", (1, 0): "move down", (-1, 0): "move up"}
-    rank = {"move down": 0, "move right": 1, "move up": 2, "move left": 3}
-    edges = []
-    for x, row in enumerate(grid):
-        for y, c in enumerate(row):
-            if c != "0":
-                continue
-            for (dx, dy), name in names.items():
-                nx, ny = x + dx, y + dy
-                if 0 <= nx < len(grid) and 0 <= ny < len(row) and grid[nx][ny] == "0":
-                    edges.append((f"{x},{y}", f"{nx},{ny}", name, rank[name]))
-    return spark.createDataFrame(edges, "src string, dst string, action string, dir_rank int")
-
-
-OPTIMAL = {
-    (1, 1): "move right", (1, 2): "move right", (1, 3): "move down", (1, 4): "move left", (1, 5): "move left",
-    (1, 7): "move right", (1, 8): "move right", (1, 9): "move down", (1, 10): "move left", (1, 11): "move left",
-    (2, 3): "move down", (3, 3): "move down", (4, 3): "move down", (5, 3): "move right", (5, 4): "move right",
-    (5, 5): "move right", (5, 6): "move down", (6, 6): "move down", (7, 6): "move down", (5, 7): "move left",
-    (5, 8): "move left", (5, 9): "move left", (4, 9): "move down", (3, 9): "move down", (2, 9): "move down",
-}
-
-
-def test_shortest_policy_matches_optimal_directions(spark):
-    edges = _maze_edges(spark)
-    goals = spark.createDataFrame([("8,6",)], "node string")
-    pol = {r.node: r.move for r in VE.shortest_policy(edges, goals, rank="dir_rank").collect() if r.move}
-    assert {tuple(int(v) for v in k.split(",")): m for k, m in pol.items()} == OPTIMAL
-    pred = spark.createDataFrame(
-        [("1,1", "move right"), ("1,3", "move up"), ("5,6", None)], "node string, action string"
-    )
-    opt = spark.createDataFrame(list(pol.items()), "node string, action string")
+    goal = next(f"{x},{y}" for (x, y), c in free.items() if c == "G")
+    return free, goal, spark.createDataFrame(edges, "src string, dst string, action string, dir_rank int")
+
+
+def test_shortest_policy_walks_to_the_goal(spark, monkeypatch):
+    free, goal, edges = _garden_edges(spark)
+    goals = spark.createDataFrame([(goal,)], "node string")
+    # distances by hand: rings of cells around the goal
+    dist, ring = {goal: 0}, [tuple(map(int, goal.split(",")))]
+    while ring:
+        ring = [(x + dx, y + dy) for x, y in ring for dx, dy in MOVES.values() if (x + dx, y + dy) in free and f"{x + dx},{y + dy}" not in dist and not dist.update({f"{x + dx},{y + dy}": dist[f"{x},{y}"] + 1})]
+    for tables, size in ((8, 32 << 20), (1, 0)):  # also with compaction and without a broadcast
+        monkeypatch.setattr(VE, "SEEN_TABLES", tables)
+        monkeypatch.setattr(VE, "BROADCAST_BYTES", size)
+        pol = {r.node: (r.dist, r.move) for r in VE.shortest_policy(edges, goals, rank="dir_rank").collect()}
+        assert {k: d for k, (d, _) in pol.items()} == dist and pol[goal][1] is None
+        for node, (d, move) in pol.items():
+            if move:
+                x, y = map(int, node.split(","))
+                closer = [m for m, (dx, dy) in MOVES.items() if dist.get(f"{x + dx},{y + dy}") == d - 1]
+                assert move == closer[0]  # ties go by the fixed order of the moves
+    opt = spark.createDataFrame([(k, m) for k, (_, m) in pol.items() if m], "node string, action string")
+    pred = spark.createDataFrame([("1,1", "east"), ("1,5", "south"), ("4,1", None)], "node string, action string")
     acc = VE.move_accuracy(pred, opt, ["node"]).first()
     assert (acc.n, acc.n_parse_fail, acc.n_correct, acc.accuracy) == (3, 1, 1, 0.5)
+    assert [(r.node, r.action) for r in VE.misses(pred, opt, ["node"]).collect()] == [("1,5", "south")]
 
 
 def test_degrade_policy_keeps_share(spark):
-    edges = _maze_edges(spark)
-    goals = spark.createDataFrame([("8,6",)], "node string")
-    pol = VE.shortest_policy(edges, goals, rank="dir_rank")
+    free, goal, edges = _garden_edges(spark)
+    pol = VE.shortest_policy(edges, spark.createDataFrame([(goal,)], "node string"), rank="dir_rank")
     deg = VE.degrade_policy(pol, edges.select(F.col("src").alias("node"), "action"), p=1.0).collect()
-    assert all(not r.is_random for r in deg) and len(deg) == 25
+    assert all(not r.is_random for r in deg) and len(deg) == len(free) - 1
+
+
+def test_gae_terms_reach_over_many_blocks(spark, monkeypatch):
+    """Small blocks and super-blocks: every later reward counts."""
+    monkeypatch.setattr(VE, "SPAN", 3)
+    n = 60
+    rows = [(None if e else "e", i, 1.0 if i == n - 1 else 0.0, 0.0, 0.0, i in (20, n - 1)) for e in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "ep string, step int, reward double, value double, next_value double, done boolean")
+    got = {(r.ep, r.step): r.adv for r in VE.gae(df, ["ep"], gamma=0.9, lam=0.8).collect()}
+    for e in ("e", None):
+        for i in range(n):
+            want = 0.0 if i <= 20 else 0.72 ** (n - 1 - i)
+            assert abs(got[e, i] - want) <= 1e-12 * max(want, 1e-30)
+    assert len(got) == 2 * n
 
 
 def test_backward_induction_and_greedy(spark):

@@ -224,3 +224,26 @@ def test_joins_equal_the_windows(spark):
     full = steps.select(*V.EP_KEYS, "step", F.collect_list("action").over(w.rowsBetween(0, 2)).alias("pv_actions"), "action")
     full = full.where(F.col("action").isNotNull()).drop("action")
     assert ahead.exceptAll(full).count() == 0 and full.exceptAll(ahead).count() == 0
+
+
+def test_tic_tac_toe_steps_against_a_rule_table(spark, tmp_path):
+    import json
+
+    from trajspark.sources import io as S
+
+    game = {"state": [[[0] * 9, "O"], [[1] + [0] * 8, "X"], [[1, 2] + [0] * 7, "O"]], "action": [0, 1], "reward": [0, 1], "turn": [True, False]}
+    bad = {"state": [[[0] * 9, "O"], [[1] + [0] * 8, "X"]], "action": [5], "reward": [0], "turn": [True]}
+    (tmp_path / "t.jsonl").write_text("\n".join(map(json.dumps, (game, bad))) + "\n")
+    steps, rejects = S.read_buffer(spark, str(tmp_path / "t.jsonl"), "tictactoe")
+    assert rejects.count() == 0
+    kinds = "state struct<board: array<int>, mark: string>, action int, next_state struct<board: array<int>, mark: string>"
+    zero, one, two = ([0] * 9, "O"), ([1] + [0] * 8, "X"), ([1, 2] + [0] * 7, "O")
+    rules = spark.createDataFrame([(zero, 0, one), (one, 1, two)], kinds)
+    got = {r.rule: (r.n_checked, r.n_violations) for r in T.audit_replay(steps, ["episode_id"], rules=rules).collect()}
+    assert got == {"alternation": (1, 0), "next_state": (3, 1), "terminal_flag": (5, 0), "legal": (3, 1)}
+
+
+def test_suffixes_under_a_null_key(spark):
+    steps = _null_steps(spark)
+    got = {(r.ep, r.start): (r.suffix_len, r.return_to_go, r.suffix_actions, r.suffix_states) for r in T.suffixes(steps, ["ep"], own_only=False).collect()}
+    assert got[(None, 0)] == (2, -1, ["b", "c"], ["a", "b", "c"]) and got[(1, 1)] == (1, 1, ["z"], ["y", "z"]) and len(got) == 4

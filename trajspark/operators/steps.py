@@ -171,7 +171,7 @@ def audit_replay(
         t = t.join(r, (t["state"] == r["_r_s"]) & (t["action"] == r["_r_a"]), "left")
         wanted = F.col("_r_n")
     checks = [
-        ("alternation", F.col("_prev_turn").isNotNull(), F.col("_prev_turn") == F.col("turn")),
+        ("alternation", F.col("_prev_turn").isNotNull() & F.col("turn").isNotNull(), F.col("_prev_turn") == F.col("turn")),
         ("next_state", acted, ~wanted.eqNullSafe(F.col("_next_state"))),
         ("terminal_flag", F.lit(True), F.col("is_terminal") != F.col("_next_state").isNull()),
     ]

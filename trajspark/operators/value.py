@@ -19,13 +19,19 @@ from trajspark.operators.steps import _same, number_steps
 from trajspark.session import cut_lineage, write_table
 
 
-# Rows below which a side whose row count was just measured is broadcast
-# (narrow rows: a node id and a value); above it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+# A side whose size was just measured is broadcast up to so many bytes; above, the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def _bounded_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+def _size(df: DataFrame, *cols: str) -> tuple[int, int]:
+    """Rows, and bytes of the columns as text (with 16 a row for the rest)."""
+    text = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in cols), F.lit(16))
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return n, size
+
+
+def _bounded_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
 #: steps of an episode that one task works through at once
@@ -147,6 +153,10 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
 
 
 # V4 -------------------------------------------------------------------------
+#: rounds kept as tables of their own before they are written as one
+SEEN_TABLES = 8
+
+
 def shortest_policy(
     edges: DataFrame, goals: DataFrame, rank: str = "action", max_rounds: int | None = None
 ) -> DataFrame:
@@ -157,36 +167,36 @@ def shortest_policy(
     edge into the previous frontier, ties broken by ``rank`` (the fixed
     direction order). Stops when the frontier is empty (or at ``max_rounds``).
     """
-    # edges hash-partitioned on dst once; the checkpoint keeps that partitioning,
-    # so each round shuffles only the (small) frontier, never the edge table
-    e = cut_lineage(edges.select("src", "dst", "action", F.col(rank).alias("_rank")).repartition("dst"))
-    rounds = [
-        write_table(goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move")), "bfs-round")
-    ]
-    frontier, n_front = rounds[0], rounds[0].count()
-    n_seen = n_front
+    # the edges are read in place each round; a hub's edges stay spread over the table's
+    # partitions while the frontier is broadcast, and AQE splits them when it is joined
+    e = write_table(edges.select("src", "dst", "action", F.col(rank).alias("_rank")), "bfs-edges")
+    first = goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move"))
+    rounds = [write_table(first, "bfs-round")]
+    frontier = rounds[0]
+    n_new, front_bytes = _size(frontier, "node")
+    seen_bytes = front_bytes
     d = 0
-    while max_rounds is None or d < max_rounds:
-        seen = rounds[0].select("node")
+    while n_new and (max_rounds is None or d < max_rounds):
+        seen = rounds[0]
         for r in rounds[1:]:
-            seen = seen.unionByName(r.select("node"))
+            seen = seen.unionByName(r)
         front = frontier.select(F.col("node").alias("dst"))
-        cand = e.join(_bounded_broadcast(front, n_front), "dst").select(F.col("src").alias("node"), "action", "_rank")
-        new = (
-            cand.join(_bounded_broadcast(seen, n_seen), "node", "left_anti")
-            .groupBy("node")
-            .agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
-            .select("node", F.lit(d + 1).alias("dist"), "move")
-        )
-        # each round is checkpointed once; earlier rounds are read back from their files
-        new = write_table(new, "bfs-round")
-        n_new = new.count()
-        if n_new == 0:
+        cand = e.join(_bounded_broadcast(front, front_bytes), "dst").select(F.col("src").alias("node"), "action", "_rank")
+        # partial aggregation first: a node that many edges reach is one row per task
+        best = cand.groupBy("node").agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
+        new = best.join(_bounded_broadcast(seen.select("node"), seen_bytes), "node", "left_anti")
+        frontier = write_table(new.select("node", F.lit(d + 1).alias("dist"), "move"), "bfs-round")
+        n_new, front_bytes = _size(frontier, "node")
+        if not n_new:
             break
         d += 1
-        rounds.append(new)
-        frontier, n_front = new, n_new
-        n_seen += n_new
+        seen_bytes += front_bytes
+        rounds.append(frontier)
+        if len(rounds) > SEEN_TABLES:  # keep few tables to read: one holds all older rounds
+            older = rounds[0]
+            for r in rounds[1:-1]:
+                older = older.unionByName(r)
+            rounds = [write_table(older, "bfs-seen"), frontier]
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
@@ -243,11 +253,11 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> Da
     edges.write.partitionBy("layer").parquet(f"{root}/edges")
     nodes = spark.read.parquet(f"{root}/nodes")
     edges = spark.read.parquet(f"{root}/edges")
-    # one row per layer reaches the driver: the size check for every broadcast below
-    sizes = dict(nodes.groupBy("layer").count().collect())
+    # one row per layer reaches the driver: the size check (bytes) for every broadcast below
+    sizes = dict(nodes.groupBy("layer").agg(F.sum(F.octet_length(F.col("node").cast("string")) + 24)).collect())
     lo, hi = min(sizes), max(sizes)
     blocks: list[DataFrame] = []
-    prev, n_prev = None, 0
+    prev, prev_bytes = None, 0
     pending: list[DataFrame] = []
     for layer in range(hi, lo - 1, -1):
         cur = nodes.where(F.col("layer") == layer)
@@ -255,7 +265,7 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> Da
             succ = (
                 edges.where(F.col("layer") == layer)
                 .join(
-                    _bounded_broadcast(prev.select(F.col("node").alias("next_node"), F.col("value").alias("sv")), n_prev),
+                    _bounded_broadcast(prev.select(F.col("node").alias("next_node"), F.col("value").alias("sv")), prev_bytes),
                     "next_node",
                 )
                 .groupBy("node")
@@ -269,7 +279,7 @@ def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> Da
         )
         cur = cur.select("layer", "node", "maximize", val.alias("value"))
         pending.append(cur)
-        prev, n_prev = cur, sizes.get(layer, 0)
+        prev, prev_bytes = cur, sizes.get(layer, 0)
         if len(pending) == block or layer == lo:
             blk = pending[0]
             for f in pending[1:]:
