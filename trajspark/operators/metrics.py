@@ -223,8 +223,8 @@ def running_stats(df: DataFrame, order: Sequence[str], value: str, prefix: str =
 
     Distributed range sort → reliable checkpoint (fixes partition contents) →
     one total per partition reaches the driver → a window per partition id
-    (JVM-side) continues from its partition's offset, taken from literal
-    arrays with one entry per partition. Work and memory per task stay
+    (JVM-side) continues from its partition's offset, joined from a table with one
+    row per partition. Work and memory per task stay
     bounded whatever the row count.
     """
     srt = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id()))
@@ -248,20 +248,24 @@ def running_stats(df: DataFrame, order: Sequence[str], value: str, prefix: str =
         s, n, m = tot.get(p, (0.0, 0, None))
         acc_s, acc_n = acc_s + s, acc_n + n
         acc_m = m if acc_m is None else (acc_m if m is None else max(acc_m, m))
-    at = F.col("_pid") + 1
-    s0 = F.element_at(F.array(*[F.lit(float(v)) for v in off_s]), at)
-    n0 = F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in off_n]), at)
-    m0 = F.element_at(F.array(*[F.lit(None if v is None else float(v)).cast("double") for v in off_m]), at)
+    # a row per partition, sent to every task
+    starts = df.sparkSession.createDataFrame(
+        [(p, float(off_s[p]), int(off_n[p]), None if off_m[p] is None else float(off_m[p])) for p in range(len(off_s))],
+        "_pid int, _s0 double, _n0 long, _m0 double",
+    )
+    columns = [c for c in srt.columns if c != "_pid"]
+    srt = srt.join(F.broadcast(starts), "_pid")
+    s0, n0, m0 = F.col("_s0"), F.col("_n0"), F.col("_m0")
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cs = F.coalesce(F.sum(x).over(w), F.lit(0.0)) + s0
     cn = F.count(x).over(w) + n0
     return srt.select(
-        "*",
+        *columns,
         cs.alias(names[0]),
         cn.alias(names[1]),
         (cs / F.when(cn > 0, cn)).alias(names[2]),
         F.greatest(F.max(x).over(w), m0).alias(names[3]),
-    ).drop("_pid")
+    )
 
 
 # A12 ------------------------------------------------------------------------

@@ -71,8 +71,10 @@ def with_index(df: DataFrame, order: Sequence[Column], name: str = "idx") -> tup
         offsets.append(acc)
         acc += counts.get(p, 0)
     local = F.monotonically_increasing_id() - pid.cast("long") * F.lit(1 << 33)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), pid + 1)
-    return ck.withColumn(name, off + local), acc
+    # a row per partition, sent to every task
+    starts = df.sparkSession.createDataFrame(list(enumerate(offsets)) or [(0, 0)], "_p int, _start long")
+    t = ck.withColumn("_local", local).withColumn("_p", pid).join(F.broadcast(starts), "_p")
+    return t.withColumn(name, F.col("_start") + F.col("_local")).select(*ck.columns, name), acc
 
 
 # D4 / D5 ----------------------------------------------------------------------

@@ -247,7 +247,7 @@ def a10(spark, sf):
 
 @query("a11_normalise")
 def a11(spark, sf):
-    pl = V.policy_log(spark, sf)
+    pl = write_table(V.policy_log(spark, sf), "policy-log")  # read by the statistics and by the rows
     n = A.normalise(pl, "adv", "adv_norm")
     return _wk(n.select(*EP, "step", F.round("adv_norm", 6).alias("adv_norm")))
 
