@@ -251,7 +251,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         if len(probe) and (out := run(len(probe))) is not None:
             yield out
 
-    rows = distinct.select("fp").mapInArrow(keyed, "probe long, fp long")
+    # each fingerprint gives over a hundred rows, so the few bytes of the fingerprints must not set the number of tasks
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = distinct.select("fp").repartition(tasks, "fp").mapInArrow(keyed, "probe long, fp long")
     dealt = rows.repartition(F.shiftright("probe", 1)).sortWithinPartitions("probe")
     return dealt.mapInArrow(check, "u long, v long")
 
