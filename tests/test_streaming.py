@@ -86,3 +86,17 @@ def test_new_states_under_a_second_checkpoint(spark, tmp_path):
     ingest([("b", "1"), ("c", None), (None, None)], "two")
     got = sorted((r.s or "", r.p or "") for r in spark.read.parquet(table).collect())
     assert got == [("", ""), ("a", "1"), ("b", "1"), ("c", "")]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src, table, ckpt = str(tmp_path / "src"), str(tmp_path / "table"), str(tmp_path / "ckpt")
+    late = []
+    for i, rows in enumerate([[("a", _at(0))], [("b", _at(600))], [("c", _at(10)), ("d", _at(700))]]):
+        spark.createDataFrame(rows, "s string, ts timestamp").coalesce(1).write.parquet(f"{src}/part={i}")
+        stream = spark.readStream.schema("s string, ts timestamp").parquet(f"{src}/part=*")
+        q = M.ingest_new_states(stream, table, ["s"], ckpt, watermark=("ts", "10 minutes"))
+        q.awaitTermination()
+        assert q.exception() is None
+        late.append(M.late_rows(q))
+    assert late == [0, 0, 1]
+    assert sorted(r.s for r in spark.read.parquet(table).collect()) == ["a", "b", "d"]

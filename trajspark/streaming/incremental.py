@@ -107,6 +107,11 @@ def ingest_new_states(
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that arrived behind the watermark and were dropped, over the batches this run reports."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 # M2 -------------------------------------------------------------------------
 def live_metrics(
     stream: DataFrame,
