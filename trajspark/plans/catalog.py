@@ -541,8 +541,8 @@ def p3(spark, sf):
     return out.select("state", "turn", "user")
 
 
-def _end_state_prompts(spark, sf, m=2):
-    la = V.lookahead_ev(spark, sf).where((F.col("pv_idx") < m) & ~F.col("final_state.is_terminal"))
+def _end_state_prompts(spark, sf, m=2, la=None):
+    la = (la if la is not None else V.lookahead_ev(spark, sf)).where((F.col("pv_idx") < m) & ~F.col("final_state.is_terminal"))
     out = PR.prompt_table(
         la, PR.template_table(spark), "evaluate",
         {"state": F.col("final_state.state"), "turn": F.col("final_state.turn")},
@@ -555,8 +555,8 @@ def p4(spark, sf):
     return _end_state_prompts(spark, sf).select(*LA_KEYS, "system", "user")
 
 
-def _responses(spark, sf):
-    return I.infer(_end_state_prompts(spark, sf), "len_value", LA_KEYS)
+def _responses(spark, sf, la=None):
+    return I.infer(_end_state_prompts(spark, sf, la=la), "len_value", LA_KEYS)
 
 
 @query("p8_infer")
@@ -565,7 +565,8 @@ def p8(spark, sf):
 
 
 def _attached(spark, sf):
-    return I.attach_eval(V.lookahead_ev(spark, sf), _responses(spark, sf), LA_KEYS)
+    la = write_table(V.lookahead_ev(spark, sf), "look-ahead")  # read by the prompts and by the attachment
+    return I.attach_eval(la, _responses(spark, sf, la), LA_KEYS)
 
 
 @query("p9_attach")
