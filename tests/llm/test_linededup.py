@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -104,3 +105,31 @@ def test_odd_rows(request, table):
     out = linededup.dedup(docs.withColumn("rid", F.lit("r")).withColumn("order_", F.lit(1)).withColumn("rest", F.lit(0)), write_table)
     assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(i for i, _ in rows_of(docs))
     assert {"rid", "order_", "rest"} <= set(out.columns)
+
+
+def earlier_runs(rows):
+    """Every line of every run of T bytes that starts at an earlier place too; all runs are tried."""
+    seqs = [(i, t.split("\n"), [(p, x.strip(" ").encode()) for p, x in enumerate(t.split("\n")) if x.strip(" ")]) for i, t in rows]
+    seen, out = set(), {}
+    for i, lines, used in seqs:
+        gone = set()
+        for a in range(len(used)):
+            for b in range(a + 1, len(used) + 1):
+                run = tuple(x for _, x in used[a:b])
+                if sum(map(len, run)) >= T:
+                    if run in seen:
+                        gone.update(p for p, _ in used[a:b])
+                    seen.add(run)
+        out[i] = "\n".join(x for p, x in enumerate(lines) if p not in gone)
+    return out
+
+
+def test_runs_repeat_any_earlier_document(spark):
+    x, y, z = "x" * 130, "y" * 40, "z" * 40
+    rng = random.Random(5)
+    words = [c * n for c, n in zip("abcdefgh", (130, 119, 60, 40, 40, 25, 10, 1))]
+    rows = [(1, f"{x}\nother"), (2, f"{x}\n{y}\n{z}"), (3, f"{x}\n{y}\n{z}"), (4, f"{y}\n{z}\n{x}"), (5, f"{x}\n{y}\n{z}\nown")]
+    rows += [(i, "\n".join(rng.choice(["", *words]) for _ in range(rng.randint(1, 12)))) for i in range(10, 200)]
+    got = dict(linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), write_table).collect())
+    assert got[3] == "" and got[5] == "own"
+    assert got == earlier_runs(rows)

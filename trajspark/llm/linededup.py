@@ -1,11 +1,11 @@
-"""Line dedup by winnowing over line hashes. Main path: DataFrame functions only.
+"""Line dedup by windows of line hashes. Main path: DataFrame functions only.
 
 A text's lines that are not blank are its sequence. A window is the shortest run of
-lines from a line on with MIN_BYTES bytes at least; it depends on its own lines only,
-so two texts that share a run of MIN_BYTES share its windows, and the smallest line
-hash of each (the window's fingerprint). Windows meet by fingerprint and window hash
-at the earliest occurrence; a match is extended line by line both ways, and the later
-run's lines are deleted.
+MIN_BYTES bytes at least from a line on, or up to a line. It depends on its own lines
+only, so two texts that share a run of MIN_BYTES share all windows inside it, and these
+cover it: each line of the run starts a window inside it, or lies in the one that ends
+with the run. Windows meet by their lines; of each, all but the earliest occurrence are
+deleted, so a line goes exactly if some earlier run of MIN_BYTES has it.
 """
 
 from __future__ import annotations
@@ -16,13 +16,6 @@ from pyspark.sql import functions as F
 MIN_BYTES = 120
 
 
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
-
-
 def line_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     """rid, order_, pos, hash and bytes of every line; blank lines have 0 bytes."""
     body = F.trim("line_")
@@ -32,28 +25,29 @@ def line_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated(lines: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(rid, pos) of every line in a run that occurred earlier, by order_, rid and place.
 
-    A run counts if it has ``min_bytes`` bytes; the extension around a matched window
-    is bounded by windows too, so no group of lines grows with a text.
+    A run counts if it has ``min_bytes`` bytes; no group of lines grows with a text.
     """
     doc = Window.partitionBy("rid")
-    seq = lines.filter("bytes > 0").withColumn("at", F.sum("bytes").over(doc.orderBy("pos")) - F.col("bytes"))
-    along = doc.orderBy("at")
+    seq = lines.filter("bytes > 0").withColumn("end", F.sum("bytes").over(doc.orderBy("pos"))).withColumn("at", F.col("end") - F.col("bytes"))
+    along, back = doc.orderBy("at"), doc.orderBy("end")
     seq = (
-        seq.withColumn("window_", F.collect_list("hash").over(along.rangeBetween(0, min_bytes - 1)))
-        .withColumn("before_", F.reverse(F.collect_list("hash").over(along.rangeBetween(-min_bytes, -1))))
+        seq.withColumn("from_", F.collect_list("hash").over(along.rangeBetween(0, min_bytes - 1)))
+        .withColumn("head_", F.min("at").over(back.rangeBetween(1 - min_bytes, 0)))
+        .withColumn("upto_", F.collect_list("hash").over(back.rangeBetween(1 - min_bytes, 0)))
         .withColumn("k", F.row_number().over(along))
         .withColumn("total", F.sum("bytes").over(doc))
     )
-    seq = seq.withColumn("after_", F.concat(F.array("hash"), F.coalesce(F.lead("window_").over(along), F.array().cast("array<bigint>"))))
+    # a window up to a line that is also the one from its first line on is taken once
+    starts = F.when(F.col("at") + min_bytes <= F.col("total"), F.struct(F.col("k"), F.col("from_").alias("lines_")))
+    ends = F.when((F.col("end") >= min_bytes) & (F.col("at") - F.col("head_") >= min_bytes), F.struct((F.col("k") - F.size("upto_") + 1).alias("k"), F.col("upto_").alias("lines_")))
     key = ["fingerprint", "content"]
-    windows = seq.filter(F.col("at") + min_bytes <= F.col("total")).select(
-        F.array_min("window_").alias("fingerprint"), F.xxhash64("window_").alias("content"), F.col("order_").isNull().alias("last_"), "order_", "rid", "k", "before_", "after_"
+    windows = seq.select("order_", "rid", F.explode(F.array_compact(F.array(starts, ends))).alias("w")).select(
+        F.array_min("w.lines_").alias("fingerprint"), F.xxhash64("w.lines_").alias("content"), F.col("order_").isNull().alias("last_"), "order_", "rid", "w.k", F.size("w.lines_").alias("m")
     )
     place = F.struct("last_", "order_", "rid", "k")
-    first = windows.groupBy(*key).agg(F.min(F.struct("last_", "order_", "rid", "k", "before_", "after_")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(first, key).filter(place > F.struct("f.last_", "f.order_", "f.rid", "f.k"))
-    runs = later.select("rid", (F.col("k") - _common(F.col("before_"), F.col("f.before_"))).alias("a"), (F.col("k") + _common(F.col("after_"), F.col("f.after_"))).alias("b"))
-    hit = runs.select("rid", F.explode(F.sequence("a", F.col("b") - 1)).alias("k")).distinct()
+    first = windows.groupBy(*key).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = windows.join(first, key).filter(place > F.col("f"))
+    hit = later.select("rid", F.explode(F.sequence("k", F.col("k") + F.col("m") - 1)).alias("k")).distinct()
     return seq.select("rid", "k", "pos").join(hit, ["rid", "k"]).select("rid", "pos")
 
 
