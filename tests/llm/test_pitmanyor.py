@@ -113,3 +113,15 @@ def test_many_customers_are_seated_in_blocks():
 def test_answers_are_bundled():
     parts = [b"", b"abc", bytes(1000)]
     assert exchange.unbundle(exchange.bundle(parts)) == parts
+
+
+def test_scores_do_not_depend_on_the_chunks(spark, tmp_path, monkeypatch):
+    """The root's customers are the tables of the merged restaurants, however many chunks a pair occurs in."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["new york", *rng.choice([f"w{k}" for k in range(40)], 12), f"own{i}"])) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    one = {r["doc_id"]: r["score"] for r in pitmanyor.score(docs, write_table).collect()}
+    monkeypatch.setattr(pitmanyor, "chunks", lambda docs: exchange.chunks(docs, size=600))
+    many = {r["doc_id"]: r["score"] for r in pitmanyor.score(docs, write_table).collect()}
+    assert np.allclose([one[i] for i in one], [many[i] for i in one], rtol=1e-9)

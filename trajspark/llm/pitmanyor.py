@@ -7,11 +7,13 @@ word. Seatings are Gibbs-sampled: in turn each dish's number of tables is drawn
 all other tables. Predictive probabilities are averaged over the samples.
 
 The sampler is distributed. Buckets of contexts seat all customers of their
-restaurants. The root's customers are the tables that each chunk of documents opens
-when it seats its own pairs. Either uses the dish frequencies that it sees itself as
-the parent's probabilities while it samples; the probabilities that score use the
-merged root. A context with more customers than a bucket is to hold is dealt to several
-by the following word; its parts are seated apart and their tables added up.
+restaurants and send the tables of each word to the buckets of words, which seat them
+as the root's customers. The first seating takes the frequency of the words in the
+bucket as the parent's probabilities; the root that it fills is the parent of the
+second seating, whose tables make the root that scores. So the chunks of documents
+only say who the customers are. A context with more customers than a bucket is to hold
+is dealt to several by the following word; its parts are seated apart and their tables
+added up.
 
 Contexts are told apart by 36 bits of a hash and their dishes by 28; words as such by 64.
 """
@@ -161,7 +163,16 @@ class Tokens:
 
 def pair_keys(context: np.ndarray, dish: np.ndarray) -> np.ndarray:
     top = mix(context + np.uint64(77)) >> np.uint64(64 - CONTEXT_BITS)
-    return top << np.uint64(DISH_BITS) | mix(dish) >> np.uint64(64 - DISH_BITS)
+    return top << np.uint64(DISH_BITS) | dish >> np.uint64(64 - DISH_BITS)
+
+
+def _rest(dish: np.ndarray) -> np.ndarray:
+    """The bits of words that are not in their pair keys."""
+    return dish & np.uint64((1 << (64 - DISH_BITS)) - 1)
+
+
+def _dish(keys: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64((1 << DISH_BITS) - 1)) << np.uint64(64 - DISH_BITS) | rest
 
 
 def _contexts(keys: np.ndarray) -> np.ndarray:
@@ -191,14 +202,6 @@ def _house(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)])), first
 
 
-def _seated(keys: np.ndarray, customers: np.ndarray, seed: int) -> list[np.ndarray]:
-    """Seat the restaurants of sorted pair keys; the parent is the frequency of the dishes among them."""
-    house, first = _house(keys)
-    _, dish = np.unique(keys & np.uint64((1 << DISH_BITS) - 1), return_inverse=True)
-    share = np.bincount(dish, customers) / max(1, customers.sum())
-    return seat(np.random.default_rng(seed), customers, house, len(first), share[dish], DISCOUNT, STRENGTH)
-
-
 def _deal(keys: np.ndarray, sizes: Sizes, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted pair keys by bucket, and the buckets in that order. Hot contexts are dealt by dish."""
     bucket = (keys >> np.uint64(64 - sizes.pair_bits)).astype(np.int64)
@@ -215,10 +218,15 @@ def _deal(keys: np.ndarray, sizes: Sizes, hot: Hot) -> tuple[np.ndarray, np.ndar
 
 _ASK = "bucket int, chunk long, n int, keys binary, more binary"
 _ASK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
-_ANSWER = "chunk long, kind int, bucket int, data binary, key long, sums array<bigint>"
-_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("key", pa.int64()), ("sums", pa.list_(pa.int64()))])
-#: kinds of answers to chunks: words, pairs; and of sums that are added up by key: totals, hot words, hot contexts
-WORDS, PAIRS, TOTALS, HOT, HOUSES = 0, 1, 2, 3, 4
+_ANSWER = "chunk long, kind int, bucket int, n int, keys binary, data binary, key long, sums array<bigint>"
+_ANSWER_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("key", pa.int64()), ("sums", pa.list_(pa.int64()))])
+#: kinds of answers to chunks: words, pairs; of sums that are added up by key: totals, hot words, hot contexts;
+#: and of rows between buckets: what a bucket of pairs keeps, tables that it sends to the root, the root's answer
+WORDS, PAIRS, TOTALS, HOT, HOUSES, KEPT, SENT, ROOT = range(8)
+
+
+def _sums(kind: int, key: int, sums: list[int], bucket: int) -> tuple:
+    return None, kind, bucket, None, None, None, key, sums
 
 
 def _table(rows: list, schema: pa.Schema) -> pa.Table:
@@ -242,48 +250,106 @@ def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return n, keys[by][head], number, np.r_[0, np.cumsum(n)]
 
 
-def _answer_words(table: pa.Table, sizes: Sizes) -> pa.Table:
-    """Counts, root customers and root tables of a bucket's words, to all chunks that have them."""
-    n, keys, number, cut = _merge(table)
-    more = [[unpack(x) for x in unbundle(m)] for m in table.column("more").to_pylist()]
-    count, *customers = (np.bincount(number, np.concatenate(x), len(keys)).astype(np.int64) for x in zip(*more))
-    rng = np.random.default_rng(int(table.column("bucket")[0].as_py()))
+def _count_words(table: pa.Table, sizes: Sizes) -> pa.Table:
+    """Totals and hot words of a bucket's words."""
+    _, keys, number, _ = _merge(table)
+    count = np.bincount(number, np.concatenate([unpack(unbundle(x)[0]) for x in table.column("more").to_pylist()]), len(keys)).astype(np.int64)
+    bucket = table.column("bucket")[0].as_py()
+    rows = [_sums(TOTALS, 0, [int((count > 0).sum()), int(count.sum())], bucket)]
+    hot = np.flatnonzero(count >= max(1, sizes.words * max(HOT_SHARE, 2.0**-sizes.pair_bits)))
+    contexts = _contexts(pair_keys(keys[hot], keys[hot]))
+    rows += [_sums(HOT, k, [c], bucket) for k, c in zip(contexts.tolist(), count[hot].tolist())]
+    return _table(rows, _ANSWER_ARROW)
+
+
+def _sent(bucket: int, words: np.ndarray, dish: np.ndarray, samples: list[np.ndarray], sizes: Sizes) -> list[tuple]:
+    """Tables of each word in a bucket of pairs, to the buckets of words. The sender's number is negative, unlike a chunk's."""
+    total = [np.bincount(dish, t, len(words)).astype(np.int64) for t in samples]
+    runs = _runs((words >> np.uint64(64 - sizes.word_bits)).astype(np.int64))
+    return [(-1 - bucket, SENT, b, s.stop - s.start, pack_sorted(words[s]), bundle([pack(x[s]) for x in total]), None, None) for b, s in runs]
+
+
+def _seat_pairs(table: pa.Table, sizes: Sizes, hot: Hot) -> pa.Table:
+    """First seating of a bucket's restaurants: its tables to the root, and what the second seating needs."""
+    n, keys, number, _ = _merge(table)
+    bucket = table.column("bucket")[0].as_py()
+    customers, rest = (np.concatenate([unpack(x) for x in part]) for part in zip(*(unbundle(m) for m in table.column("more").to_pylist())))
+    count = np.bincount(number, customers, len(keys)).astype(np.int64)
+    others = np.empty(len(keys), np.uint64)
+    others[number] = rest
+    words, dish = np.unique(_dish(keys, others), return_inverse=True)
+    house, first = _house(keys)
+    share = np.bincount(dish, count, len(words)) / max(1, count.sum())
+    tables = seat(np.random.default_rng(bucket), count, house, len(first), share[dish], DISCOUNT, STRENGTH, samples=1)
+    contexts = _contexts(keys[first])
+    mine = np.flatnonzero(hot.find(contexts) >= 0)
+    chunk = np.array(table.column("chunk").to_pylist(), np.int64)
+    # numbers of the rows' entries as one ascending list
+    entries = number.astype(np.uint64) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(len(keys))
+    kept = bundle([pack(chunk), pack(n), pack_sorted(entries), pack(count), pack(dish), pack(np.diff(house, prepend=-1)), pack(mine), pack(contexts[mine])])
+    return _table([(None, KEPT, bucket, None, None, kept, None, None), *_sent(bucket, words, dish, tables, sizes)], _ANSWER_ARROW)
+
+
+def _seat_root(table: pa.Table, samples: int) -> pa.Table:
+    """Root customers and root tables of a bucket's words, to all chunks (with counts) or, if none asks, to the buckets of pairs."""
+    _, keys, number, cut = _merge(table)
+    bucket = table.column("bucket")[0].as_py()
+    asked = table.column("chunk").to_pylist()
+    count, customers = np.zeros(len(keys), np.int64), np.zeros((samples, len(keys)), np.int64)
+    for who, a, b, more in zip(asked, cut, cut[1:], table.column("more").to_pylist()):
+        got = [unpack(x).astype(np.int64) for x in unbundle(more)]
+        if who < 0:
+            customers[:, number[a:b]] += got
+        else:
+            count[number[a:b]] += got[0]
+    rng = np.random.default_rng(bucket)
     alone = np.zeros(len(keys), np.int64)
     # the root's other tables are not known here; the words of the bucket stand for all
-    base = 1.0 / max(1, int((count > 0).sum()))
+    base = 1.0 / max(1, int((customers[0] > 0).sum()))
     tables = [seat(rng, c, alone, 1, np.full(len(c), base), ROOT_DISCOUNT, ROOT_STRENGTH, samples=1)[0] for c in customers]
+    last = max(asked) >= 0
     rows = []
-    bucket = table.column("bucket")[0].as_py()
-    for chunk, a, b in zip(table.column("chunk").to_pylist(), cut, cut[1:]):
+    for who, a, b in zip(asked, cut, cut[1:]):
         own = number[a:b]
-        rows.append((chunk, WORDS, bucket, bundle([pack(x[own]) for x in (count, *customers, *tables)]), None, None))
-    totals = [int((count > 0).sum()), int(count.sum()), *(int(x.sum()) for x in (*customers, *tables))]
-    rows.append((None, TOTALS, bucket, None, 0, totals))
-    hot = np.flatnonzero(count >= max(1, sizes.words * max(HOT_SHARE, 2.0**-sizes.pair_bits)))
-    contexts = _contexts(pair_keys(keys[hot], keys[hot]))
-    rows += [(None, HOT, bucket, None, k, [c]) for k, c in zip(contexts.tolist(), count[hot].tolist())]
+        if last and who >= 0:
+            rows.append((who, WORDS, bucket, None, None, bundle([pack(x[own]) for x in (count, *customers, *tables)]), None, None))
+        elif not last:
+            rows.append((bucket, ROOT, -1 - who, None, None, bundle([*(pack(x[own]) for x in (*customers, *tables)), pack_sorted(keys[own])]), None, None))
+    rows.append(_sums(TOTALS, 0, [int(x.sum()) for x in (*customers, *tables)], bucket))
     return _table(rows, _ANSWER_ARROW)
 
 
-def _answer_pairs(table: pa.Table, hot: Hot) -> pa.Table:
-    """Customers and tables of a bucket's pairs and restaurants, to all chunks that have them."""
-    n, keys, number, cut = _merge(table)
-    count = np.bincount(number, np.concatenate([unpack(x) for x in table.column("more").to_pylist()]), len(keys)).astype(np.int64)
+def _root(customers: np.ndarray, tables: np.ndarray, totals: Totals, k: int) -> np.ndarray:
+    """The root's predictive probabilities of words."""
+    spare = ROOT_STRENGTH + ROOT_DISCOUNT * totals.tables[k]
+    return (customers - ROOT_DISCOUNT * tables + spare / (totals.vocabulary + 1)) / (ROOT_STRENGTH + totals.customers[k])
+
+
+def _seat_again(table: pa.Table, sizes: Sizes, totals: Totals) -> pa.Table:
+    """Second seating, with the root as the parent: customers and tables of pairs and restaurants to all chunks that have them, and tables to the root."""
     bucket = table.column("bucket")[0].as_py()
-    samples = _seated(keys, count, bucket)
-    house, first = _house(keys)
-    guests = np.bincount(house, count, len(first)).astype(np.int64)
-    total = [np.bincount(house, t, len(first)).astype(np.int64) for t in samples]
+    kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
+    chunk, n, entries, count, dish, head, mine, contexts = (unpack(x) for x in unbundle(data[kind.index(KEPT)]))
+    chunk, n, count, dish, house = chunk.astype(np.int64), n.astype(np.int64), count.astype(np.int64), dish.astype(np.int64), np.cumsum(head.astype(np.int64)) - 1
+    entries = np.cumsum(entries, dtype=np.uint64)
+    number = (entries - np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(len(count))).astype(np.int64)
+    # the root answers by the top bits of the words, so in their order
+    answers = [d for _, d in sorted((c, d) for k, c, d in zip(kind, table.column("chunk").to_pylist(), data) if k == ROOT)]
+    customers, tables, words = (np.concatenate(x) for x in zip(*((unpack(c), unpack(t), unpack_sorted(w)) for c, t, w in map(unbundle, answers))))
+    parent = _root(customers.astype(np.int64), tables.astype(np.int64), totals, 0)
+    houses = int(house[-1]) + 1
+    samples = seat(np.random.default_rng([bucket, 1]), count, house, houses, parent[dish], DISCOUNT, STRENGTH)
+    guests = np.bincount(house, count, houses).astype(np.int64)
+    total = [np.bincount(house, t, houses).astype(np.int64) for t in samples]
     rows = []
-    for chunk, a, b in zip(table.column("chunk").to_pylist(), cut, cut[1:]):
+    cut = np.r_[0, np.cumsum(n)]
+    for to, a, b in zip(chunk.tolist(), cut, cut[1:]):
         own = number[a:b]
         some = own[count[own] > 1]
         place = np.unique(house[own])
-        rows.append((chunk, PAIRS, bucket, bundle([pack(x) for x in (count[own], *(t[some] for t in samples), guests[place], *(t[place] for t in total))]), None, None))
-    contexts = _contexts(keys[first])
-    mine = np.flatnonzero(hot.find(contexts) >= 0)
-    rows += [(None, HOUSES, bucket, None, int(contexts[h]), [int(t[h]) for t in total]) for h in mine]
-    return _table(rows, _ANSWER_ARROW)
+        rows.append((to, PAIRS, bucket, None, None, bundle([pack(x) for x in (count[own], *(t[some] for t in samples), guests[place], *(t[place] for t in total))]), None, None))
+    rows += [_sums(HOUSES, c, [int(t[h]) for t in total], bucket) for h, c in zip(mine.tolist(), contexts.tolist())]
+    return _table(rows + _sent(bucket, words, dish, samples, sizes), _ANSWER_ARROW)
 
 
 @dataclass
@@ -303,14 +369,13 @@ def _scores(blob: bytes, answers: pa.Table, sizes: Sizes, totals: Totals, hot: H
     data = {(k, b): d for k, b, d in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("data").to_pylist())}
     count = np.zeros(len(words), np.int64)
     root = np.zeros((SAMPLES, len(words)))
+    customers_of, tables_of = np.zeros((SAMPLES, len(words)), np.int64), np.zeros((SAMPLES, len(words)), np.int64)
     for b, s in _runs((words >> np.uint64(64 - sizes.word_bits)).astype(np.int64)):
         got = [unpack(x).astype(np.int64) for x in unbundle(data[WORDS, b])]
         count[s] = got[0]
-        for k in range(SAMPLES):
-            root[k, s] = got[1 + k] - ROOT_DISCOUNT * got[1 + SAMPLES + k]
+        customers_of[:, s], tables_of[:, s] = got[1 : 1 + SAMPLES], got[1 + SAMPLES :]
     for k in range(SAMPLES):
-        spare = ROOT_STRENGTH + ROOT_DISCOUNT * totals.tables[k]
-        root[k] = (root[k] + spare / (totals.vocabulary + 1)) / (ROOT_STRENGTH + totals.customers[k])
+        root[k] = _root(customers_of[k], tables_of[k], totals, k)
     by, bucket = _deal(pairs, sizes, hot)
     customers = np.zeros(len(pairs), np.int64)
     tables, opened = np.zeros((SAMPLES, len(pairs))), np.zeros((SAMPLES, len(pairs)))
@@ -388,20 +453,16 @@ def score(docs: DataFrame, save) -> DataFrame:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = Tokens(blob)
-                words, word_of, count = t.words()
-                pairs, pair_of, customers = t.pairs()
-                dish = np.zeros(len(pairs), np.int64)
-                dish[pair_of] = word_of
-                sent = [np.bincount(dish, x, len(words)).astype(np.int64) for x in _seated(pairs, customers, chunk & 0xFFFFFFFF)]
+                words, _, count = t.words()
                 runs = _runs((words >> np.uint64(64 - sizes.word_bits)).astype(np.int64))
-                yield from _table([(b, chunk, s.stop - s.start, pack_sorted(words[s]), bundle([pack(x[s]) for x in (count, *sent)])) for b, s in runs], _ASK_ARROW).to_batches()
+                yield from _table([(b, chunk, s.stop - s.start, pack_sorted(words[s]), bundle([pack(count[s])])) for b, s in runs], _ASK_ARROW).to_batches()
 
-    answered = save(table.mapInArrow(ask_words, _ASK).groupBy("bucket").applyInArrow(lambda rows: _answer_words(rows, sizes), _ANSWER))
-    whole = _added(answered, TOTALS, 2 + 2 * SAMPLES).get(0, [0] * (2 + 2 * SAMPLES))
+    asked = save(table.mapInArrow(ask_words, _ASK))
+    counted = save(asked.groupBy("bucket").applyInArrow(lambda rows: _count_words(rows, sizes), _ANSWER))
+    vocabulary, tokens = _added(counted, TOTALS, 2).get(0, [0, 0])
     trained = docs.filter(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0).count()
-    totals = Totals(whole[0], whole[1], whole[2 : 2 + SAMPLES], whole[2 + SAMPLES :], trained)
     # at most 1 / HOT_SHARE contexts
-    guests = {k: n for k, (n,) in _added(answered, HOT, 1).items()}
+    guests = {k: n for k, (n,) in _added(counted, HOT, 1).items()}
     guests[int(_contexts(pair_keys(np.array([START]), np.array([START])))[0])] = trained
     per_bucket = max(1.0, sizes.words / (1 << sizes.pair_bits))
     parts = {k: int(np.ceil(n / per_bucket)) for k, n in guests.items() if n > per_bucket}
@@ -411,16 +472,32 @@ def score(docs: DataFrame, save) -> DataFrame:
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs, _, customers = Tokens(blob).pairs()
+                t = Tokens(blob)
+                pairs, pair_of, customers = t.pairs()
+                rest = np.empty(len(pairs), np.uint64)
+                rest[pair_of] = _rest(t.hash)
                 by, bucket = _deal(pairs, sizes, shared.value)
-                yield from _table([(b, chunk, s.stop - s.start, pack_sorted(pairs[by[s]]), pack(customers[by[s]])) for b, s in _runs(bucket)], _ASK_ARROW).to_batches()
+                yield from _table([(b, chunk, s.stop - s.start, pack_sorted(pairs[by[s]]), bundle([pack(customers[by[s]]), pack(rest[by[s]])])) for b, s in _runs(bucket)], _ASK_ARROW).to_batches()
 
     def finish(left: pa.Table, answers: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _SCORES_ARROW.empty_table()
         return _scores(left.column("blob")[0].as_py(), answers, sizes, totals, known.value)
 
-    of_pairs = save(table.mapInArrow(ask_pairs, _ASK).groupBy("bucket").applyInArrow(lambda rows: _answer_pairs(rows, shared.value), _ANSWER))
+    def totals_of(root: DataFrame, samples: int) -> Totals:
+        sums = _added(root, TOTALS, 2 * samples).get(0, [0] * (2 * samples))
+        return Totals(vocabulary, tokens, sums[:samples], sums[samples:], trained)
+
+    def sent(seated: DataFrame) -> DataFrame:
+        return seated.filter(F.col("kind") == SENT).select("bucket", "chunk", "n", "keys", F.col("data").alias("more"))
+
+    seated = save(table.mapInArrow(ask_pairs, _ASK).groupBy("bucket").applyInArrow(lambda rows: _seat_pairs(rows, sizes, shared.value), _ANSWER))
+    root = save(sent(seated).groupBy("bucket").applyInArrow(lambda rows: _seat_root(rows, 1), _ANSWER))
+    before = totals_of(root, 1)
+    again = seated.filter(F.col("kind") == KEPT).unionByName(root.filter(F.col("kind") == ROOT)).select("bucket", "kind", "chunk", "data")
+    of_pairs = save(again.groupBy("bucket").applyInArrow(lambda rows: _seat_again(rows, sizes, before), _ANSWER))
+    answered = save(asked.unionByName(sent(of_pairs)).groupBy("bucket").applyInArrow(lambda rows: _seat_root(rows, SAMPLES), _ANSWER))
+    totals = totals_of(answered, SAMPLES)
     opened = _added(of_pairs, HOUSES, SAMPLES)
     hot.tables = np.array([opened.get(k, [0] * SAMPLES) for k in hot.keys.tolist()], np.int64).reshape(-1, SAMPLES).T
     known = docs.sparkSession.sparkContext.broadcast(hot)
