@@ -74,6 +74,14 @@ def test_pii_checksums_and_context():
     assert near > pii.START_SCORE["card"] > far
 
 
+def test_ibans_end_where_their_checksum_holds():
+    be, es = "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332"
+    for text in (be, f"{be} EUR", f"{be} EURO 12", f"{es} 100", "BE68539007547034 EUR", f"AB12 CDEF GHIJ {be} NOW", f"{be} {es} EUR"):
+        found = [text[a:b] for kind, a, b, _ in pii.spans(text) if kind == "iban"]
+        assert found == [x for x in (be, be.replace(" ", ""), es) if x in text], text
+    assert not [x for x in pii.spans("BE68 5390 0754 7035 EUR") if x[0] == "iban"]
+
+
 @pytest.mark.parametrize("table", ["odd", "small", "empty"])
 def test_sharding_law(request, table):
     docs = request.getfixturevalue(table)

@@ -81,6 +81,20 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest part of each proposed span, cut at a space, that the checksum confirms: the pattern also takes words that follow."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        while 15 <= len(s := text[a:b].replace(" ", "")) and not (len(s) <= 34 and mod97(s)):
+            b = max(a, text.rfind(" ", a, b))
+        if len(s) >= 15:
+            yield a, b
+            m = _IBAN.search(text, b)
+        else:
+            m = _IBAN.search(text, a + 1)
+
+
 def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     if "@" in text:
         for a, b in _emails(text):
@@ -95,9 +109,8 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(s := m[0].replace(" ", "")) <= 34 and mod97(s):
-            yield "iban", m.start(), m.end()
+    for a, b in _ibans(text):
+        yield "iban", a, b
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", m.start(), m.end()
