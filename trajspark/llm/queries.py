@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 from ..sources.tables import table
-from . import bpe, decontam, exact, linededup, pii, pitmanyor, sharding, simhash, substring, toxicity
+from . import bpe, collocation, decontam, exact, linededup, mixing, pii, pitmanyor, ranked, sharding, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,9 +88,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), weights=[1.0] * 24, grown=[1.0] * 25)
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words over all documents, 2000 a language."""
+    return collocation.mine(table(spark, sf_dir, "documents"), write_table)
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by sources that weigh 5, 2 and 1, at most three times a source."""
+    return mixing.report(mixing.allocate(table(spark, sf_dir, "documents"), write_table))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), write_table)
+
+
 SQL.update(
     op1_decontamination=decontam.SQL,
     op2_substring_dedup=substring.SQL,
     op5_line_dedup=linededup.SQL,
     op9_exact_dedup=exact.SQL,
+    op11_collocations=collocation.SQL,
+    op12_mixing=mixing.SQL,
+    op13_ranked_search=ranked.SQL,
 )
