@@ -203,16 +203,14 @@ def test_gae_terms_reach_over_many_blocks(spark, monkeypatch):
 
 
 def test_backward_induction_and_greedy(spark):
-    # layer 0 (max) → {a, b}; layer 1 (min) a → {w (+5), l (−3)}, b → {d (0)}
+    # root (max) → {a, b}; a (min) → {w (+5), l (−3)}, b (min) → {d (0)}
     nodes = spark.createDataFrame(
-        [(0, "root", True, None), (1, "a", False, None), (1, "b", False, None), (2, "w", True, 5.0), (2, "l", True, -3.0), (2, "d", True, 0.0)],
-        "layer int, node string, maximize boolean, end_value double",
+        [("root", True, None), ("a", False, None), ("b", False, None), ("w", True, 5.0), ("l", True, -3.0), ("d", True, 0.0)],
+        "node string, maximize boolean, end_value double",
     )
-    edges = spark.createDataFrame(
-        [(0, "root", "a"), (0, "root", "b"), (1, "a", "w"), (1, "a", "l"), (1, "b", "d")], "layer int, node string, next_node string"
-    )
-    vals = {(r.layer, r.node): r.value for r in VE.backward_induction(nodes, edges, block=2).collect()}
-    assert vals[(1, "a")] == -3.0 and vals[(1, "b")] == 0.0 and vals[(0, "root")] == 0.0
+    edges = spark.createDataFrame([("root", "a"), ("root", "b"), ("a", "w"), ("a", "l"), ("b", "d"), ("b", "d")], "node string, next_node string")
+    vals = {r.node: r.value for r in VE.backward_induction(nodes, edges).collect()}
+    assert vals["a"] == -3.0 and vals["b"] == 0.0 and vals["root"] == 0.0
     ch = spark.createDataFrame([("root", True, "a", -3.0), ("root", True, "b", 0.0)], "node string, maximize boolean, action string, value double")
     g = VE.greedy_actions(ch).collect()
     assert [(r.action, r.is_pick) for r in g] == [("b", True)]
@@ -223,3 +221,33 @@ def test_td0_two_sweeps(spark):
     v = {r.state: r.value for r in VE.td0(tr, alpha=0.5, sweeps=2).collect()}
     # sweep 1: v(b) = 0.5; sweep 2: v(a) = 0.5 * 0.5 = 0.25, v(b) = 0.75
     assert v == {"a": 0.25, "b": 0.75, "t": 0.0}
+
+
+def test_peeling_a_graph_with_nodes_at_several_depths(spark):
+    """Rounds and the one-task rest agree with recursion; cycles, dead ends and edges into nowhere are defined."""
+    import functools
+    import random
+
+    rng = random.Random(4)
+    n = 60
+    links = sorted({(f"n{i}", f"n{j}") for i in range(n) for j in rng.sample(range(i + 1, n), min(3, n - 1 - i)) if rng.random() < 0.9})
+    ends = {f"n{i}": float(rng.randrange(-9, 9)) if i > n - 8 or rng.random() < 0.1 else None for i in range(n)}
+    after = {}
+    for a, b in links:
+        after.setdefault(a, []).append(b)
+
+    @functools.cache
+    def value(x):
+        seen = [v for v in map(value, after.get(x, ())) if v is not None] + ([ends[x]] if ends[x] is not None else [])
+        return (max(seen) if int(x[1:]) % 2 else min(seen)) if seen else None
+
+    cycle = [("c1", "c2"), ("c2", "c1"), ("c0", "c1"), ("c0", "n59"), ("c1", "nowhere")]
+    rows = [(x, bool(int(x[1:]) % 2), e) for x, e in ends.items()] + [("c0", True, 1.0), ("c1", True, None), ("c2", False, 3.0)]
+    nodes = spark.createDataFrame(rows, "node string, maximize boolean, end_value double")
+    edges = spark.createDataFrame(links + cycle, "node string, next_node string")
+    want = {**{x: value(x) for x in ends}, "c0": None, "c1": None, "c2": None}
+    for size, rounds in ((1 << 20, 4), (0, 3), (1500, 1)):
+        got = VE.backward_induction(nodes, edges, peel_bytes=size, rounds=rounds).collect()
+        assert len(got) == len(want) and {r.node: r.value for r in got} == want
+    none = VE.backward_induction(nodes.limit(0), edges.limit(0)).collect()
+    assert none == []

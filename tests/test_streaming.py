@@ -17,9 +17,10 @@ def _at(minutes):
 def _run(spark, root, out, ckpt):
     s = spark.readStream.schema(SCHEMA).parquet(f"{root}/part=*").withWatermark("ts", "10 minutes")
     ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state") == "purchase", 7200)
-    q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-    q = q.outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with M.rocksdb_state(spark):
+        q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+        q = q.outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
     assert q.exception() is None
 
 
@@ -58,9 +59,10 @@ def test_steps_out_of_order_inside_the_watermark(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/part={i}")
         s = spark.readStream.schema(schema).parquet(f"{root}/part=*").withWatermark("ts", "30 minutes")
         ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state") == "purchase", 7200)
-        q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-        q = q.outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
+        with M.rocksdb_state(spark):
+            q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+            q = q.outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
         assert q.exception() is None
 
     run([("u", 1, _at(60), "b"), (None, 9, _at(61), "n")], 0)
@@ -100,3 +102,76 @@ def test_late_rows_are_counted(spark, tmp_path):
         late.append(M.late_rows(q))
     assert late == [0, 0, 1]
     assert sorted(r.s for r in spark.read.parquet(table).collect()) == ["a", "b", "d"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_only_the_buckets_of_a_batch_are_scanned(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = [(f"s{i}", None if i % 5 == 0 else "p") for i in range(200)]
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, "s string, p string").write.parquet(f"{src}/part=0")
+    stream = spark.readStream.schema("s string, p string").parquet(f"{src}/part=*")
+    M.ingest_new_states(stream, table, ["s", "p"], str(tmp_path / "c"), buckets=16).awaitTermination()
+    stored = M.stored_states(spark, table)
+    assert stored.select("bucket").distinct().count() == 16 and stored.count() == 200
+    new = spark.createDataFrame([("s7", "p"), ("s0", None), ("new", "p")], "s string, p string").withColumn("bucket", M.state_bucket(["s", "p"], 16))
+    wanted = sorted({r["bucket"] for r in new.collect()})
+    left = M.unseen(new, table, ["s", "p"])
+    assert [(r["s"], r["p"]) for r in left.collect()] == [("new", "p")]
+    text = _plan(M.stored_states(spark, table, wanted))
+    assert "PartitionFilters: [bucket" in text and all(f"{b}" in text for b in wanted)
+    read = M.stored_states(spark, table, wanted).select(F.input_file_name().alias("f")).distinct().collect()
+    assert {int(r["f"].split("bucket=")[1].split("/")[0]) for r in read} == set(wanted)
+
+
+def test_upserts_keep_one_row_per_group_and_survive_a_second_write(spark, tmp_path):
+    src, path, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    schema = "g string, ts timestamp, value double"
+    day = 1440
+    batches = [
+        [("a", _at(1), 1.0), ("b", _at(2), 2.0), (None, _at(3), 5.0), ("a", _at(day + 1), 7.0)],
+        [("a", _at(4), 3.0), ("c", _at(5), 9.0), (None, _at(6), 7.0)],
+        [("b", _at(day + 9), 4.0)],
+    ]
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{src}/part=*")
+        agg = M.live_metrics(stream, ["g"], "ts", "1 day", "value")
+        q = M.write_updates(agg, path, ["window", "g"], ckpt, part=F.date_format("window.start", "yyyyMMdd"))
+        q.awaitTermination()
+        assert q.exception() is None
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/part={i}")
+        run()
+    got = M.read_latest(spark, path)
+    assert got.columns == ["window", "g", "n", "mean_value", "min_value", "max_value"]
+    want = {(0, "a", 2, 2.0), (0, "b", 1, 2.0), (0, None, 2, 6.0), (0, "c", 1, 9.0), (1, "a", 1, 7.0), (1, "b", 1, 4.0)}
+    rows = got.collect()
+    assert len(rows) == len(want) and {((r["window"]["start"] - T0).days, r["g"], r["n"], r["mean_value"]) for r in rows} == want
+    # the last batch is put in place again, from what it staged
+    staged = spark.read.parquet(f"{path}-staged-{M._run_of(ckpt)}-2")
+    assert {r["part"] for r in staged.collect()} == {"20240102"}
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    assert M.read_latest(spark, path).count() == len(want)
+
+
+def test_stream_queries_take_in_null_and_negative_keys(spark, tmp_path):
+    """Rows with a null user, a null or negative id, or no time are fed like others."""
+    from trajspark.plans.catalog import QUERIES
+
+    sf = str(tmp_path)
+    rows = [(i if i % 3 else (-i if i % 2 else None), _at(i * 7), None if i % 4 == 0 else -1, ["view", "click", "purchase"][i % 3], float(i), f"p{i}") for i in range(40)]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows + [(None, None, 5, "view", 1.0, "notime")], schema).write.parquet(f"{sf}/events.parquet")
+    states = {(r[3], r[5]) for r in rows} | {("view", "notime")}
+    for name in ("m1_new_states", "m1_new_states_state"):
+        assert {tuple(r) for r in QUERIES[name](spark, sf).collect()} == states
+    got = QUERIES["m3_assemble_episodes"](spark, sf).collect()
+    assert sum(r["n_steps"] for r in got) == 40 and {r["user_id"] for r in got} == {None, -1}
+    got = QUERIES["m3_terminal_episodes"](spark, sf).collect()
+    assert sum(r["n_steps"] for r in got) == 40 and {r["user_id"] for r in got} == {None, -1}
+    assert QUERIES["m4_resume"](spark, sf).count() == 41

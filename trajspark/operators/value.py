@@ -2,7 +2,7 @@
 
 GAE is computed with running windows instead of per-episode arrays, so an
 episode never has to fit in one row. Iterative estimates (TD sweeps,
-shortest-path frontier, backward induction) loop on the driver over small
+shortest-path frontier, backward induction by peeling) loop on the driver over small
 per-round DataFrames and cut lineage with a reliable checkpoint each round.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.keys import seeded_key, seeded_uniform
@@ -229,69 +229,97 @@ def degrade_policy(policy: DataFrame, moves: DataFrame, p: float, seed: int | st
 
 
 # V6 -------------------------------------------------------------------------
-def backward_induction(nodes: DataFrame, edges: DataFrame, block: int = 4) -> DataFrame:
-    """Best value per node of a layered transition graph, from the last layer back.
-
-    nodes: (layer, node, maximize, end_value) with end_value null when the
-    node never ends a game; edges: (layer, node, next_node) into layer + 1.
-    value = max (maximizing player) or min over successor values and the
-    node's own end value.
-
-    ``block`` layers are planned lazily as one job; the block's values are
-    then cut with a reliable checkpoint, which the next block reads. A lost
-    executor recomputes at most one block.
+#: what is left of a graph is settled by one task when it has no more bytes than this (measured)
+PEEL_BYTES = 32 << 20
+#: peeled rounds that are planned as one job
+PEEL_ROUNDS = 4
+
+
+def _best(maximize: Column, hi: Column, lo: Column, end: Column) -> Column:
+    return F.when(maximize, F.greatest(hi, end)).otherwise(F.least(lo, end))
+
+
+def _peel_rest(pdf):
+    """Settle a whole small graph: a node is done when the counter of its open successors is 0."""
+    import pandas as pd
+
+    is_edge = pdf["next_node"].notna().to_numpy()
+    nodes, edges = pdf[~is_edge], pdf[is_edge]
+    left = dict(zip(nodes["node"], nodes["left"]))
+    bounds = {n: ([] if x != x else [x], [] if y != y else [y], m, None if e != e else e) for n, x, y, m, e in zip(nodes["node"], nodes["hi"], nodes["lo"], nodes["maximize"], nodes["end_value"])}
+    before: dict[str, list[str]] = {}
+    for n, to in zip(edges["node"], edges["next_node"]):
+        before.setdefault(to, []).append(n)
+    ready = [n for n, k in left.items() if k == 0]
+    value = {}
+    for n in ready:  # grows while it is read
+        hi, lo, maximize, end = bounds[n]
+        seen = (hi if maximize else lo) + ([] if end is None else [end])
+        value[n] = (max(seen) if maximize else min(seen)) if seen else None
+        for p in before.get(n, ()):
+            if value[n] is not None:
+                bounds[p][0].append(value[n])
+                bounds[p][1].append(value[n])
+            left[p] -= 1
+            if left[p] == 0:
+                ready.append(p)
+    return pd.DataFrame({"node": list(bounds), "maximize": [bounds[n][2] for n in bounds], "value": pd.Series([value.get(n) for n in bounds], dtype="float64")})
+
+
+def backward_induction(nodes: DataFrame, edges: DataFrame, peel_bytes: int = PEEL_BYTES, rounds: int = PEEL_ROUNDS) -> DataFrame:
+    """Best value per node of any transition graph, from its ends back.
+
+    nodes: (node, maximize, end_value) with end_value null when the node never ends a
+    game; edges: (node, next_node). value = max (maximizing player) or min over successor
+    values and the node's own end value. A node may be reached at several depths.
+
+    Rounds peel the graph: every node whose successors are all settled (a counter of open
+    ones) is settled, and its value goes to its predecessors as one aggregate, so a hub
+    costs a partial aggregation. ``rounds`` rounds are a job, whose result is written; what
+    is left is measured, and one task settles the rest as soon as that is small. Nodes on
+    cycles, or that lead into one, have no value. Edges into unknown nodes don't count;
+    nodes are distinct, edges are made so.
     """
-    import uuid
-
-    from trajspark.session import checkpoint_dir
-
-    # the graph is written once as tables partitioned by layer (in the shared
-    # checkpoint folder): each layer then reads only its own partition
-    spark = nodes.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/layers-{uuid.uuid4().hex}"
-    nodes.write.partitionBy("layer").parquet(f"{root}/nodes")
-    edges.write.partitionBy("layer").parquet(f"{root}/edges")
-    nodes = spark.read.parquet(f"{root}/nodes")
-    edges = spark.read.parquet(f"{root}/edges")
-    # one row per layer reaches the driver: the size check (bytes) for every broadcast below
-    sizes = dict(nodes.groupBy("layer").agg(F.sum(F.octet_length(F.col("node").cast("string")) + 24)).collect())
-    lo, hi = min(sizes), max(sizes)
-    blocks: list[DataFrame] = []
-    prev, prev_bytes = None, 0
-    pending: list[DataFrame] = []
-    for layer in range(hi, lo - 1, -1):
-        cur = nodes.where(F.col("layer") == layer)
-        if prev is not None:
-            succ = (
-                edges.where(F.col("layer") == layer)
-                .join(
-                    _bounded_broadcast(prev.select(F.col("node").alias("next_node"), F.col("value").alias("sv")), prev_bytes),
-                    "next_node",
-                )
-                .groupBy("node")
-                .agg(F.max("sv").alias("smax"), F.min("sv").alias("smin"))
+    nodes = nodes.select(F.col("node").cast("string").alias("node"), "maximize", F.col("end_value").cast("double").alias("end_value"))
+    edges = edges.select(F.col("node").cast("string").alias("node"), F.col("next_node").cast("string").alias("next_node")).distinct()
+    known = nodes.select(F.col("node").alias("next_node"))
+    edges = write_table(edges.join(known, "next_node", "left_semi"), "peel-edges")
+    none = F.lit(None).cast("double")
+    out_degree = edges.groupBy("node").agg(F.count(F.lit(1)).alias("left"))
+    pending = nodes.join(out_degree, "node", "left").select("node", "maximize", "end_value", F.coalesce("left", F.lit(0)).alias("left"), none.alias("hi"), none.alias("lo"))
+    pending = write_table(pending, "peel")
+    text = F.octet_length("node") + F.lit(32)
+    done: list[DataFrame] = []
+    while True:
+        got = pending.agg(F.sum(text).alias("bytes"), F.count_if(F.col("left") == 0).alias("ready")).first()
+        size = (got["bytes"] or 0) + (edges.agg(F.sum(text + F.octet_length("next_node")).alias("bytes")).first()["bytes"] or 0)
+        if not got["ready"] or size <= peel_bytes:
+            break
+        settled = None
+        for _ in range(rounds):
+            ready = pending.where("left = 0").withColumn("value", _best(F.col("maximize"), F.col("hi"), F.col("lo"), F.col("end_value")))
+            sent = edges.join(ready.select(F.col("node").alias("next_node"), "value"), "next_node").groupBy("node").agg(
+                F.count(F.lit(1)).alias("n"), F.max("value").alias("smax"), F.min("value").alias("smin")
             )
-            cur = cur.join(_bounded_broadcast(succ, sizes.get(layer, 0)), "node", "left")
-        else:
-            cur = cur.withColumn("smax", F.lit(None).cast("double")).withColumn("smin", F.lit(None).cast("double"))
-        val = F.when(F.col("maximize"), F.greatest(F.col("smax"), F.col("end_value"))).otherwise(
-            F.least(F.col("smin"), F.col("end_value"))
-        )
-        cur = cur.select("layer", "node", "maximize", val.alias("value"))
-        pending.append(cur)
-        prev, prev_bytes = cur, sizes.get(layer, 0)
-        if len(pending) == block or layer == lo:
-            blk = pending[0]
-            for f in pending[1:]:
-                blk = blk.unionByName(f)
-            blk = write_table(blk, "layer-values")
-            blocks.append(blk)
-            prev = blk.where(F.col("layer") == layer)
-            pending = []
-    out = blocks[0]
-    for b in blocks[1:]:
-        out = out.unionByName(b)
-    return out
+            pending = pending.where("left > 0").join(sent, "node", "left").select(
+                "node", "maximize", "end_value", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.greatest("hi", "smax").alias("hi"), F.least("lo", "smin").alias("lo")
+            )
+            ready = ready.select("node", "maximize", "end_value", F.lit(-1).cast("bigint").alias("left"), F.col("value").alias("hi"), "lo")
+            settled = ready if settled is None else settled.unionByName(ready)
+        step = write_table(settled.unionByName(pending), "peel")
+        done.append(step.where("left < 0").select("node", "maximize", F.col("hi").alias("value")))
+        pending = step.where("left >= 0")
+        edges = write_table(edges.join(pending.select("node"), "node", "left_semi").join(pending.select(F.col("node").alias("next_node")), "next_node", "left_semi"), "peel-edges")
+    columns = ["node", "maximize", "end_value", "left", "hi", "lo"]
+    if got["ready"]:
+        links = edges.select("node", *[F.lit(None).cast(pending.schema[c].dataType).alias(c) for c in columns[1:]], "next_node")
+        rest = pending.select(*columns, F.lit(None).cast("string").alias("next_node")).unionByName(links)
+        rest = write_table(rest.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_peel_rest, "node string, maximize boolean, value double"), "peel-values")
+    else:
+        rest = pending.select("node", "maximize", none.alias("value"))
+    for d in done:
+        rest = rest.unionByName(d)
+    return rest
 
 
 # V7 -------------------------------------------------------------------------

@@ -449,26 +449,30 @@ def _layers(spark, sf):
     return nodes, edges
 
 
+def _at(layer, node):
+    """A node of the layered graph as one text."""
+    return F.concat_ws(":", layer.cast("string"), node)
+
+
+def _layer_values(nodes, edges):
+    flat = nodes.select(_at(F.col("layer"), F.col("node")).alias("node"), "maximize", "end_value")
+    links = edges.select(_at(F.col("layer"), F.col("node")).alias("node"), _at(F.col("layer") + 1, F.col("next_node")).alias("next_node"))
+    return VE.backward_induction(flat, links)
+
+
 @query("v6_backward_induction")
 def v6(spark, sf):
-    nodes, edges = _layers(spark, sf)
-    return VE.backward_induction(nodes, edges)
+    vals = _layer_values(*_layers(spark, sf))
+    return vals.select(F.expr("substr(node, 1, instr(node, ':') - 1)").cast("int").alias("layer"), F.expr("substr(node, instr(node, ':') + 1)").alias("node"), "maximize", "value")
 
 
 def _greedy(spark, sf):
     nodes, edges = _layers(spark, sf)
-    vals = VE.backward_induction(nodes, edges)
-    nv = vals.select(
-        (F.col("layer") - 1).alias("layer"), F.col("node").alias("next_node"), F.col("value")
-    )
-    ch = edges.join(nv, ["layer", "next_node"]).join(nodes.select("layer", "node", "maximize"), ["layer", "node"])
-    ch = ch.select(
-        F.concat_ws(":", F.col("layer").cast("string"), "node").alias("node"),
-        "maximize",
-        F.col("next_node").alias("action"),
-        "value",
-    )
-    return VE.greedy_actions(ch, seed=42)
+    vals = _layer_values(nodes, edges)
+    to = vals.select(F.col("node").alias("to"), "value")
+    ch = edges.select(_at(F.col("layer"), F.col("node")).alias("node"), F.col("next_node").alias("action"), _at(F.col("layer") + 1, F.col("next_node")).alias("to"))
+    ch = ch.join(to, "to").join(vals.select("node", "maximize"), "node")
+    return VE.greedy_actions(ch.select("node", "maximize", "action", "value"), seed=42)
 
 
 @query("v7_greedy_actions")
@@ -999,11 +1003,7 @@ def s9(spark, sf):
 # ---------------------------------------------------------------- M family
 from trajspark.streaming import incremental as M  # noqa: E402
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
-# key of the row that moves the watermark past all others at the end of a feed
-FLUSH_USER = -1
+EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string, is_flush boolean"
 
 
 def _feed(spark, sf, run, split: str = "id", parts: int = 4, flush: bool = False) -> str:
@@ -1012,22 +1012,23 @@ def _feed(spark, sf, run, split: str = "id", parts: int = 4, flush: bool = False
     The folders are staged by one write with the table's own parallelism;
     ``run(glob)`` then processes one more folder each time (``availableNow`` on
     a fixed checkpoint), so every query resumes from its checkpoint between
-    folders. ``split="id"`` deals rows by ``event_id``; ``split="time"`` cuts
-    ``ts`` into equal spans so folders arrive in event-time order (no step is
-    late). ``flush`` adds a last folder with a row of ``FLUSH_USER`` two days
-    after the last event. Returns the glob of all folders.
+    folders. ``split="id"`` deals rows by ``event_id`` (null ids to folder 0);
+    ``split="time"`` cuts ``ts`` into equal spans so folders arrive in event-time
+    order (no step is late; rows without a time come first). ``flush`` adds a last
+    folder with a row two days after the last event that only moves the watermark
+    (``is_flush``). Returns the glob of all folders.
     """
     root = _scratch(spark, "stream-src")
     ev = table(spark, sf, "events")
     if split == "time":
         us = F.unix_micros(F.col("ts").cast("timestamp"))
         lo, hi = ev.select(F.min(us), F.max(us)).first()
-        k = F.floor((us - F.lit(lo)) * parts / F.lit(hi - lo + 1))
+        k = F.floor((us - F.lit(lo or 0)) * parts / F.lit((hi or 0) - (lo or 0) + 1))
     else:
-        k = F.col("event_id") % parts
-    staged = ev.withColumn("part", k.cast("int"))
+        k = F.pmod(F.col("event_id"), F.lit(parts))
+    staged = ev.withColumns({"is_flush": F.lit(False), "part": F.coalesce(k, F.lit(0)).cast("int")})
     if flush:
-        late = {"user_id": F.lit(FLUSH_USER).cast("bigint"), "ts": F.expr("ts + INTERVAL 2 DAYS"), "part": F.lit(parts)}
+        late = {"ts": F.expr("ts + INTERVAL 2 DAYS"), "is_flush": F.lit(True), "part": F.lit(parts)}
         last = ev.select(F.max("ts").alias("ts")).select(*[late.get(c, F.lit(None).cast(ev.schema[c].dataType) if c in ev.columns else None).alias(c) for c in staged.columns])
         staged = staged.unionByName(last)
     staged.write.mode("overwrite").partitionBy("part").parquet(root)
@@ -1038,7 +1039,7 @@ def _feed(spark, sf, run, split: str = "id", parts: int = 4, flush: bool = False
 
 def _stream(spark, glob):
     return M.event_stream(spark, glob, EVENT_SCHEMA).select(
-        "event_id", "ts", "user_id", F.col("event_type").alias("state"), "props", "value"
+        "event_id", "ts", "user_id", F.col("event_type").alias("state"), "props", "value", "is_flush"
     )
 
 
@@ -1091,15 +1092,15 @@ def _append_to_parquet(df, path: str, ckpt: str) -> None:
 @query("m2_live_metrics")
 def m2(spark, sf):
     """Update mode with a watermark: closed windows leave the state; each batch
-    writes the windows it changed, readers keep the last version per window."""
+    rewrites the windows it changed, so the table holds one row per group."""
     path, ckpt = _scratch(spark, "m2-out"), _scratch(spark, "m2-ckpt")
 
     def run(root):
         agg = M.live_metrics(_stream(spark, root), ["state"], "ts", "1 day", "value", watermark="1 hour")
-        M.write_updates(agg, path, ckpt).awaitTermination()
+        _until_done(M.write_updates(agg, path, ["window", "state"], ckpt, part=F.date_format("window.start", "yyyyMMdd")))
 
     _feed(spark, sf, run, split="time")
-    out = M.read_latest(spark, path, ["window", "state"])
+    out = M.read_latest(spark, path)
     return out.select(
         F.col("window.start").cast("string").alias("window_start"), "state", "n",
         F.round("mean_value", 6).alias("mean_value"), "min_value", "max_value",
@@ -1117,10 +1118,10 @@ def m3(spark, sf):
 
     def run(root):
         s = _stream(spark, root).withWatermark("ts", M3_DELAY)
-        _append_to_parquet(M.assemble_episodes(s, ["user_id"], "ts", "2 hours", ["event_id", "state"]), path, ckpt)
+        _append_to_parquet(M.assemble_episodes(s, ["user_id", "is_flush"], "ts", "2 hours", ["event_id", "state"]), path, ckpt)
 
     _feed(spark, sf, run, split="time", flush=True)
-    out = spark.read.parquet(path).where(F.col("user_id") != FLUSH_USER)
+    out = spark.read.parquet(path).where(~F.col("is_flush"))
     return out.select(
         "user_id",
         F.col("session.start").cast("string").alias("session_start"),
@@ -1137,11 +1138,12 @@ def m3t(spark, sf):
 
     def run(root):
         s = _stream(spark, root).withWatermark("ts", M3_DELAY)
-        ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state").isin("purchase", "error"), 7200)
-        _append_to_parquet(ep, path, ckpt)
+        ep = M.assemble_until_terminal(s, ["user_id", "is_flush"], "ts", "event_id", "state", F.col("state").isin("purchase", "error"), 7200)
+        with M.rocksdb_state(spark):
+            _append_to_parquet(ep, path, ckpt)
 
     _feed(spark, sf, run, split="time", flush=True)
-    out = spark.read.parquet(path).where(F.col("user_id") != FLUSH_USER)
+    out = spark.read.parquet(path).where(~F.col("is_flush"))
     return out.select(
         "user_id",
         F.col("episode_start").cast("string").alias("episode_start"),

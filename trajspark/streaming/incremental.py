@@ -9,12 +9,16 @@ restart resumes where it stopped and reprocesses nothing.
 from __future__ import annotations
 
 import hashlib
-import time
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from trajspark.functions.keys import joint_key
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, time_col: str = "ts", max_files: int | None = None) -> DataFrame:
@@ -28,6 +32,8 @@ def event_stream(spark: SparkSession, path: str, schema: str, time_col: str = "t
 # M1 -------------------------------------------------------------------------
 # Distinct keys of one micro-batch that may be broadcast: bytes of their text, checked per batch.
 BATCH_KEYS_BROADCAST = 32 << 20
+# Buckets of a new state table: partitions by digest of the key.
+STATE_BUCKETS = 64
 
 
 def _run_of(checkpoint: str) -> str:
@@ -35,9 +41,51 @@ def _run_of(checkpoint: str) -> str:
     return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a staging folder of this job."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def state_bucket(keys: Sequence[str], buckets: int = STATE_BUCKETS) -> Column:
+    """Bucket of a state: the digest of its joint key, so equal states (nulls too) share one."""
+    return F.conv(F.substring(F.md5(joint_key(keys)), 1, 8), 16, 10).cast("bigint") % buckets
+
+
+def stored_states(spark: SparkSession, table_path: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The state table, or only the files of some buckets (partition pruning: the others are not scanned)."""
+    stored = spark.read.parquet(table_path)
+    return stored if buckets is None else stored.where(F.col("bucket").isin([int(b) for b in buckets]))
+
+
+def unseen(new: DataFrame, table_path: str, keys: Sequence[str], own: Column | None = None) -> DataFrame:
+    """The rows of ``new`` (distinct keys and their ``bucket``) that the state table does not hold.
+
+    Only the buckets that ``new`` falls in are scanned. Small key sets (bytes checked) are
+    broadcast to those files; larger ones meet them in a join on bucket and keys.
+    """
+    spark = new.sparkSession
+    size = F.sum(F.lit(16) + sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
+    got = new.agg(size.alias("size"), F.collect_set("bucket").alias("buckets")).first()  # at most one number per bucket
+    seen = stored_states(spark, table_path, got["buckets"])
+    if own is not None:
+        seen = seen.where(~own)
+    seen = seen.select("bucket", *keys)
+    on = lambda x, y: [x["bucket"] == y["bucket"], *[x[k].eqNullSafe(y[k]) for k in keys]]
+    if (got["size"] or 0) <= BATCH_KEYS_BROADCAST:
+        # the few keys that the table has, found by one pass over its files, leave the batch
+        seen = seen.join(F.broadcast(new), on(seen, new), "left_semi").distinct()
+    return new.join(seen, on(new, seen), "left_anti")
 
 
 def ingest_new_states(
@@ -48,17 +96,16 @@ def ingest_new_states(
     watermark: tuple[str, str] | None = None,
     trigger_available_now: bool = True,
     mode: str | None = None,
+    buckets: int = STATE_BUCKETS,
 ) -> StreamingQuery:
     """Append only states never seen before to the table at ``table_path``.
 
-    Exact mode (default): each micro-batch is deduplicated and anti-joined
-    with the table; the batch is written to its own ``batch_id=<run>-<n>``
-    folder in overwrite mode, so a retried batch replaces its own output
-    (idempotent) and a run under a new checkpoint replaces nobody's.
-    When the batch's distinct keys are small (their bytes against
-    ``BATCH_KEYS_BROADCAST``), the table is streamed once against a broadcast
-    of those keys instead of being shuffled for the anti join. Keys that are
-    null in every part are a state like any other, in all modes.
+    Exact mode (default): the table is partitioned by ``bucket`` (a digest of the key)
+    and ``batch_id=<run>-<n>``. Each micro-batch is deduplicated, staged, and anti-joined
+    with the buckets that its own keys fall in (see ``unseen``); it overwrites its own
+    partitions only, so a retried batch replaces its own output (idempotent) and a run
+    under a new checkpoint replaces nobody's. ``buckets`` must not change over a table's
+    life. Keys that are null in every part are a state like any other, in all modes.
     Bounded-state mode (``watermark=(time_col, delay)``): Spark keeps the keys
     seen within the watermark (``dropDuplicatesWithinWatermark``).
     State mode (``mode="state"``): exact and incremental; every key seen by the
@@ -85,23 +132,16 @@ def ingest_new_states(
     run = _run_of(checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select(*keys).distinct()
+        new = batch.select(*keys).distinct().withColumn("bucket", state_bucket(keys, buckets))
+        staged = f"{checkpoint.rstrip('/')}-keys-{batch_id}"
         if _exists(spark, table_path):
-            stored = spark.read.parquet(table_path)
+            new.write.mode("overwrite").parquet(staged)
             part = F.col("batch_id").cast("string")
             own = (F.substring_index(part, "-", 1) == run) & (F.substring_index(part, "-", -1).cast("long") >= batch_id)
-            seen = (stored.where(~own) if "batch_id" in stored.columns else stored).select(*keys)
-            new = new.persist()  # measured, then joined: the batch keys are computed once
-            size = F.sum(F.lit(16) + sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)))
-            if (new.agg(size).first()[0] or 0) <= BATCH_KEYS_BROADCAST:
-                # small batch: stream the table once against a broadcast of the
-                # batch keys (no shuffle of the table), then drop the few matches
-                hit = seen.join(F.broadcast(new), [seen[k].eqNullSafe(new[k]) for k in keys], "left_semi")
-                new = new.join(hit, [new[k].eqNullSafe(hit[k]) for k in keys], "left_anti")
-            else:
-                new = new.join(seen, [new[k].eqNullSafe(seen[k]) for k in keys], "left_anti")
-        new.write.mode("overwrite").parquet(f"{table_path}/batch_id={run}-{batch_id}")
-        new.unpersist()
+            new = unseen(spark.read.schema(new.schema).parquet(staged), table_path, keys, own)
+        out = new.withColumn("batch_id", F.lit(f"{run}-{batch_id}")).repartition("bucket")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(table_path)
+        _drop(spark, staged)
 
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
@@ -137,27 +177,49 @@ def live_metrics(
     )
 
 
-def write_updates(agg: DataFrame, path: str, checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
-    """Update-mode sink: each micro-batch writes the groups it changed to its own
-    ``batch_id=<run>-<n>`` folder (overwrite, so a retried batch replaces itself and a new
-    checkpoint replaces nobody), with the time of the write as ``version``."""
+def write_updates(agg: DataFrame, path: str, keys: Sequence[str], checkpoint: str, part: Column, trigger_available_now: bool = True) -> StreamingQuery:
+    """Upsert sink for update mode: a table with one row per group (``keys``), partitioned by ``part``.
+
+    A batch rewrites only the partitions that hold a group it changed: their other rows are
+    kept, the changed ones replaced. The new contents are staged first and then put in place
+    by dynamic partition overwrite. A batch that is run again finds its staged contents and
+    puts the same in place, so a failure between the two steps loses nothing. Null keys are
+    groups like any other.
+    """
+    spark = agg.sparkSession
     run = _run_of(checkpoint)
+    keys = list(keys)
+
+    def staged_path(batch_id: int) -> str:
+        return f"{path.rstrip('/')}-staged-{run}-{batch_id}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumn("version", F.lit(time.time_ns()))
-        out.write.mode("overwrite").parquet(f"{path}/batch_id={run}-{batch_id}")
+        staged = staged_path(batch_id)
+        if not _exists(spark, f"{staged}/_SUCCESS"):
+            out = batch.withColumn("part", part.cast("string"))
+            if _exists(spark, path):
+                changed = f"{staged}-rows"
+                out.write.mode("overwrite").parquet(changed)
+                out = spark.read.schema(out.schema).parquet(changed)
+                stored = spark.read.schema(out.schema).parquet(path)
+                touched = out.select("part").distinct()  # prunes the table's partitions at run time
+                old = stored.join(touched, stored["part"].eqNullSafe(touched["part"]), "left_semi")
+                old = old.join(out.select(*keys), [old[k].eqNullSafe(out[k]) for k in keys], "left_anti")
+                out = old.select(out.columns).unionByName(out)
+            out.write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        # what earlier batches staged is in place for good
+        _drop(spark, staged_path(batch_id - 1))
+        _drop(spark, f"{staged}-rows")
 
     w = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if trigger_available_now else w).start()
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current value of every group written by ``write_updates``: the row of the
-    latest write per key (``max_by``, a partial aggregation; no sort)."""
-    df = spark.read.parquet(path)
-    vals = [c for c in df.columns if c not in (*keys, "batch_id", "version")]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*vals), "version").alias("_v"))
-    return last.select(*keys, *[F.col("_v")[c].alias(c) for c in vals])
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """Current value of every group written by ``write_updates``: the table holds one row for each."""
+    return spark.read.parquet(path).drop("part")
 
 
 # M3 -------------------------------------------------------------------------
@@ -196,71 +258,115 @@ def run_incremental(
 
 
 # M3 (stateful) ------------------------------------------------------------------
-EPISODE_STATE = "us array<bigint>, o array<bigint>, s array<string>, t array<boolean>"
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """The state store that ``transformWithState`` needs, for streams started inside."""
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+
+
+_STEPS = "us array<bigint>, o array<bigint>, s array<string>, t array<boolean>"
+
+
+class _EpisodeProcessor(StatefulProcessor):
+    """Steps of one key as a list state that only grows, and a timer at which an episode may be settled."""
+
+    def __init__(self, gap_us: int):
+        self.gap_us = gap_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.steps = handle.getListState("steps", _STEPS)
+        self.due = handle.getValueState("due", "ms bigint")
+
+    def _wake(self, due_us: int, watermark_ms: int) -> None:
+        """Have the timer expire at ``due_us`` or earlier; a timer has to lie after the watermark."""
+        ms = max(-(-due_us // 1000), watermark_ms + 1)
+        held = self.due.get()[0] if self.due.exists() else None
+        if held is None or ms < held:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        """A batch costs its own steps: they are appended, and what is held is not read."""
+        due = None
+        for pdf in rows:
+            us, end = pdf["us"].to_numpy(np.int64), pdf["t"].to_numpy(bool)
+            self.steps.appendValue((us.tolist(), pdf["o"].tolist(), pdf["s"].tolist(), end.tolist()))
+            first = int(np.where(end, us + 1, us + self.gap_us).min())
+            due = first if due is None else min(due, first)
+        if due is not None:
+            self._wake(due, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Episodes that nothing can change any more leave; the steps of the others are put back."""
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [np.array([x for part in column for x in part], dtype) for column, dtype in zip(zip(*self.steps.get()), (np.int64, np.int64, object, bool))]
+        order = np.lexsort((held[1], held[0]))
+        us, o, names, end = (c[order] for c in held)
+        first = np.flatnonzero(np.r_[True, (np.diff(us) >= self.gap_us) | end[:-1]])
+        last = np.r_[first[1:], len(us)] - 1
+        settled_at = np.where(end[last], us[last] + 1, us[last] + self.gap_us)
+        done = settled_at <= watermark * 1000
+        self.due.clear()
+        if not done.all():
+            keep = np.repeat(~done, last - first + 1)
+            if done.any():
+                self.steps.put([(us[keep].tolist(), o[keep].tolist(), names[keep].tolist(), end[keep].tolist())])
+            self._wake(int(settled_at[~done].min()), watermark)
+        else:
+            self.steps.clear()
+        out = [
+            (key[0], int(us[a]), int(us[b]), int(b - a + 1), " ".join(names[a : b + 1]), "terminal" if end[b] else "inactive")
+            for a, b in zip(first[done].tolist(), last[done].tolist())
+        ]
+        if out:
+            yield pd.DataFrame(out, columns=["key", "start_us", "end_us", "n_steps", "states", "closed_by"])
+
+    def close(self) -> None:
+        pass
 
 
 def assemble_until_terminal(
-    stream: DataFrame, key: str, time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int
+    stream: DataFrame, key: str | Sequence[str], time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int
 ) -> DataFrame:
     """Episodes closed by a terminal step, or by ``gap_seconds`` of inactivity.
 
-    Custom state per key with ``applyInPandasWithState``: the steps that the
-    watermark has not settled yet, in time order. A step that arrives out of
-    order within the watermark takes its place among them. An episode leaves
-    once nothing can change it: its terminal step is older than the watermark,
-    or its last step plus the gap is. Steps older than the watermark are dropped
-    by Spark; the caller sets it on ``time_col``. To have the open episodes too
-    at the end of a feed, send a step of another key that moves the watermark.
+    ``transformWithState``: a key's unsettled steps are a list state to which a batch
+    appends its own; a timer reads it when the first episode may be settled. A step that
+    arrives out of order within the watermark takes its place by time. An episode leaves
+    once nothing can change it: its terminal step is older than the watermark, or its last
+    step plus the gap is. Steps older than the watermark are dropped by Spark; the caller
+    sets it on ``time_col`` and starts the stream under ``rocksdb_state``. To have the open
+    episodes too at the end of a feed, send a step of another key that moves the watermark.
     Times cross the Python boundary as epoch microseconds, so nothing depends
-    on the session time zone. The key may be of any type, and null.
+    on the session time zone. Key columns may be null; steps without a time are left out.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    gap_us = int(gap_seconds) * 1_000_000
     term = F.col(terminal) if isinstance(terminal, str) else terminal
-    rows = stream.select(
-        F.col(key).alias("_k"), time_col, F.unix_micros(time_col).alias("_us"), F.col(order_col).cast("bigint").alias("_o"),
-        F.col(state_col).cast("string").alias("_s"), F.coalesce(term, F.lit(False)).alias("_t"),
+    keys = [key] if isinstance(key, str) else list(key)
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    # one text per key: pandas has no null integers
+    rows = stream.where(F.col(time_col).isNotNull()).select(
+        F.to_json(F.struct(*keys), options).alias("k"), time_col, F.unix_micros(time_col).alias("us"), F.coalesce(F.col(order_col).cast("bigint"), F.lit(0)).alias("o"),
+        F.coalesce(F.col(state_col).cast("string"), F.lit("")).alias("s"), F.coalesce(term, F.lit(False)).alias("t"),
     )
-    key_type = rows.schema["_k"].dataType.simpleString()
-    cols = ["key", "start_us", "end_us", "n_steps", "states", "closed_by"]
-
-    def fn(k, pdfs, state):
-        held = state.get if state.exists else ([], [], [], [])
-        parts = [pd.DataFrame({"_us": held[0], "_o": held[1], "_s": held[2], "_t": held[3]})]
-        if not state.hasTimedOut:
-            parts += [p[["_us", "_o", "_s", "_t"]] for p in pdfs]
-        open_ = pd.concat([p for p in parts if len(p)]).sort_values(["_us", "_o"], kind="stable")
-        us, end = open_["_us"].to_numpy(np.int64), open_["_t"].to_numpy(bool)
-        first = np.flatnonzero(np.r_[True, (np.diff(us) >= gap_us) | end[:-1]])
-        last = np.r_[first[1:], len(us)] - 1
-        settled_at = np.where(end[last], us[last] + 1, us[last] + gap_us)
-        done = settled_at <= state.getCurrentWatermarkMs() * 1000
-        names = open_["_s"].fillna("").tolist()
-        out = [
-            (k[0], int(us[a]), int(us[b]), int(b - a + 1), " ".join(names[a : b + 1]), "terminal" if end[b] else "inactive")
-            for a, b in zip(first[done].tolist(), last[done].tolist())
-        ]
-        keep = np.repeat(~done, last - first + 1)
-        if keep.any():
-            left = open_[keep]
-            state.update((left["_us"].tolist(), left["_o"].tolist(), left["_s"].tolist(), [bool(x) for x in left["_t"]]))
-            # a timeout has to lie after the watermark
-            state.setTimeoutTimestamp(max(int(settled_at[~done].min()) // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=cols)
-
-    out = rows.groupBy("_k").applyInPandasWithState(
-        fn, f"key {key_type}, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string", EPISODE_STATE, "append",
-        GroupStateTimeout.EventTimeTimeout,
+    key_type = stream.select(*keys).schema
+    out = rows.groupBy("k").transformWithStateInPandas(
+        _EpisodeProcessor(int(gap_seconds) * 1_000_000),
+        "key string, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string",
+        "Append", "EventTime",
     )
     return out.select(
-        F.col("key").alias(key),
+        F.from_json("key", key_type, options).alias("key"),
         F.timestamp_micros("start_us").alias("episode_start"),
         F.timestamp_micros("end_us").alias("episode_end"),
         "n_steps", "states", "closed_by",
-    )
+    ).select("key.*", "episode_start", "episode_end", "n_steps", "states", "closed_by")
