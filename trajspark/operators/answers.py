@@ -6,7 +6,7 @@ Extraction never raises: ANSI casts go through ``try_cast`` /
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,3 +133,48 @@ def move_distribution(
         (F.row_number().over(wa) == 1).alias("is_argmax"),
         is_sample.alias("is_sample"),
     )
+
+
+# P13 (token level) --------------------------------------------------------------
+#: fixed values: texts of the tokens that close a move in a chat transcript
+HEADER_TOKENS = ("<|start_header_id|>", "assistant", "<|end_header_id|>", "\n\n")
+
+
+def extract_move_logprobs(
+    outputs: DataFrame, keys: Sequence[str], positions: str, legal: str, moves: Mapping[str, int], headers: Sequence[str] = HEADER_TOKENS
+) -> DataFrame:
+    """Log-prob of every legal move from a model's token log-probs by position.
+
+    ``positions``: array of positions, each an array of (token, logprob) candidates or null;
+    ``legal``: array of the state's legal moves; ``moves``: move of each move token. A position
+    tells of a move when it holds a move token (the last one counts) and a token of a closing
+    header. A move's log-prob is the highest of its positions, over all outputs of the key;
+    one that is null, NaN or infinite counts as -inf. Moves never seen are -inf; a key without
+    a finite log-prob gets 0.0 for all its legal moves (``is_uniform``), as a uniform choice.
+
+    Rows per legal move: (keys…, move, lp, n_positions, is_uniform). Outputs are reduced to
+    their best value per move inside the row before the shuffle, so a key may have any number.
+    Rows of a key share its legal moves; a null list of positions has none.
+    """
+    ninf = F.lit(float("-inf"))
+    table = F.create_map(*[F.lit(x) for pair in moves.items() for x in pair])
+
+    def told(p: F.Column) -> F.Column:
+        named = F.filter(p, lambda c: c["token"].isin(*moves))
+        closed = F.exists(p, lambda c: F.coalesce(c["token"].isin(*headers), F.lit(False)))
+        last = F.get(named, F.size(named) - 1)
+        lp = last["logprob"].cast("double")
+        finite = F.when(lp.isNull() | F.isnan(lp) | (F.abs(lp) == float("inf")), ninf).otherwise(lp)
+        return F.when(closed & (F.size(named) > 0), F.struct(F.element_at(table, last["token"]).alias("move"), finite.alias("lp")))
+
+    t = outputs.select(*keys, F.col(legal).alias("_legal"), F.filter(F.transform(F.coalesce(F.col(positions), F.array()), told), lambda x: x.isNotNull()).alias("_seen"))
+    per_move = lambda m: F.filter("_seen", lambda x: x["move"] == m)
+    one = t.select(
+        *keys,
+        F.explode(
+            F.transform("_legal", lambda m: F.struct(m.alias("move"), F.array_max(F.transform(per_move(m), lambda x: x["lp"])).alias("lp"), F.size(per_move(m)).cast("bigint").alias("n")))
+        ).alias("_m"),
+    )
+    best = one.groupBy(*keys, F.col("_m.move").alias("move")).agg(F.coalesce(F.max("_m.lp"), ninf).alias("lp"), F.sum("_m.n").alias("n_positions"))
+    none = F.max("lp").over(Window.partitionBy(*keys)) == ninf
+    return best.select(*keys, "move", F.when(none, 0.0).otherwise(F.col("lp")).alias("lp"), "n_positions", none.alias("is_uniform"))

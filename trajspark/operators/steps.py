@@ -264,43 +264,45 @@ def to_trajectories(steps: DataFrame, ep: Sequence[str], order: str = "step") ->
 
 
 # T10 ------------------------------------------------------------------------
-def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step") -> DataFrame:
+#: steps of an episode that one task looks ahead over
+LOOK_SPAN = 1024
+
+
+def look_ahead(steps: DataFrame, ep: Sequence[str], k: int, order: str = "step", span: int = LOOK_SPAN) -> DataFrame:
     """k-step look-ahead over logged games.
 
     Per state with an action: the next k actions and rewards and a
     ``final_state``: the state k steps ahead with its turn (eval null), or the
     terminal state (turn null) when the game ends inside the window.
 
-    ``order`` is the dense 0-based step number. Every row is sent to the k + 1
-    anchor steps that see it (offsets 0..k) and one aggregate per (episode…,
-    anchor) gathers them: groups of at most k + 1 rows, hashed on the step as
-    well, so a long episode spreads over tasks.
+    ``order`` is the dense 0-based step number. Halo exchange: an episode is cut in spans
+    of ``span`` steps, hashed on the span as well, and each span also receives the first k
+    rows of the span behind it; all look-aheads are then windows inside a span. So a row
+    travels once, but for k in ``span``, and a long episode spreads over tasks.
     """
-    j = F.col("_j")
-    rep = steps.select(
-        *ep, order, "state", "action", "reward", "turn", "is_terminal", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("_j")
-    ).withColumn("_anchor", F.col(order) - j)
-
-    def ordered(col: str) -> F.Column:
-        picked = F.collect_list(F.when((j < k) & F.col(col).isNotNull(), F.struct(j.alias("j"), F.col(col).alias("v"))))
-        return F.transform(F.sort_array(picked), lambda x: x["v"])
-
-    g = rep.where(F.col("_anchor") >= 0).groupBy(*ep, "_anchor").agg(
-        F.max(F.when(j == 0, F.lit(1))).alias("_has"),
-        F.max_by(F.when(j == 0, F.col("state")), F.when(j == 0, j)).alias("state"),
-        F.max(F.when(j == 0, F.col("action").isNotNull())).alias("_act"),
-        ordered("action").alias("pv_actions"),
-        ordered("reward").alias("pv_rewards"),
-        F.max_by(F.when(j == k, F.col("state")), F.when(j == k, j)).alias("_as"),
-        F.max(F.when(j == k, F.col("is_terminal"))).alias("_at"),
-        F.max(F.when(j == k, F.col("turn"))).alias("_au"),
-        F.max_by("state", j).alias("_last"),  # the furthest row seen: the episode's last one when it ends early
+    span = max(span, k)
+    home = F.floor(F.col(order) / span)
+    halo = (F.col(order) % span < k) & (home > 0)
+    t = steps.select(
+        *ep, order, "state", "action", "reward", "turn", "is_terminal", home.alias("_home"), F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home))).alias("_span")
     )
-    g = g.where((F.col("_has") == 1) & F.col("_act"))
-    ended = F.col("_as").isNull() | F.col("_at")
-    return g.select(
+    w = Window.partitionBy(*ep, "_span").orderBy(order)
+    ahead = w.rowsBetween(0, k - 1)
+    t = t.select(
+        *ep, order, "state", "action", "_home", "_span",
+        F.collect_list("action").over(ahead).alias("pv_actions"),
+        F.collect_list("reward").over(ahead).alias("pv_rewards"),
+        F.lead("state", k).over(w).alias("_as"),
+        F.lead("is_terminal", k).over(w).alias("_at"),
+        F.lead("turn", k).over(w).alias("_au"),
+        F.lead(F.lit(True), k).over(w).alias("_ak"),
+        F.last("state").over(w.rowsBetween(0, k)).alias("_last"),  # the furthest row seen: the episode's last one when it ends early
+    )
+    t = t.where((F.col("_home") == F.col("_span")) & F.col("action").isNotNull())
+    ended = F.col("_ak").isNull() | F.col("_as").isNull() | F.col("_at")
+    return t.select(
         *ep,
-        F.col("_anchor").cast(steps.schema[order].dataType).alias(order),
+        order,
         "state",
         "pv_actions",
         "pv_rewards",

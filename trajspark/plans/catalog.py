@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajspark.operators import board as B
 from trajspark.operators import metrics as A
 from trajspark.operators import steps as T
 from trajspark.plans import views as V
@@ -91,6 +92,53 @@ def t6r(spark, sf):
     return T.audit_replay(V.ep_events_once(spark, sf), EP, rules=_rules(spark, sf))
 
 
+TIC_TAC_TOE = B.winning_lines(3, 3, 3)
+
+
+def _board_log(spark, sf):
+    """Tic-tac-toe games written as a log and read back (S1) as steps.
+
+    Every (user, week) of events is a game of cells in seeded order. By another seeded digit a
+    sixteenth of the games each has a wrong reward, lacks its last move, plays an
+    occupied cell, or has one actor only.
+    """
+    g = table(spark, sf, "events").select("user_id", F.date_trunc("week", "ts").cast("date").cast("string").alias("week")).distinct()
+    drawn = lambda c: F.struct(F.md5(F.concat_ws("|", F.lit("42"), F.col("user_id").cast("string"), "week", c.cast("string"))).alias("h"), c.alias("c"))
+    cells = F.transform(F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(8)), drawn)), lambda x: x["c"])
+    states, actions = B.replay_moves(cells, TIC_TAC_TOE, 9)
+    spoil = F.substring(F.md5(F.concat_ws("|", F.lit("7"), F.col("user_id").cast("string"), "week")), 1, 1)
+    g = g.select("user_id", spoil.alias("spoil"), states.alias("states"), actions.alias("actions"))
+    cut = F.col("spoil") == "1"
+    g = g.withColumns(
+        {
+            "states": F.when(cut, F.slice("states", 1, F.size("states") - 1)).otherwise(F.col("states")),
+            "actions": F.when(cut, F.slice("actions", 1, F.size("actions") - 1)).otherwise(F.col("actions")),
+        }
+    )
+    n = F.size("actions")
+    final = F.when(F.col("spoil") == "0", 5).otherwise(B.outcome_reward(B.status(F.element_at("states", -1)["board"], TIC_TAC_TOE)))
+    reward = F.transform("actions", lambda x, i: F.when(i == n - 1, final).otherwise(0))
+    turn = F.transform("actions", lambda x, i: (F.col("spoil") == "3") | ((i % 2 == 0) == (F.col("user_id") % 2 == 0)))
+    played = F.transform("actions", lambda x, i: F.when((F.col("spoil") == "2") & (i == n - 1), F.get("actions", F.lit(0))).otherwise(x))
+    shown = F.array_join(F.transform("states", lambda x: F.concat(F.lit("["), F.to_json(x["board"]), F.lit(', "'), x["mark"], F.lit('"]'))), ", ")
+    line = F.concat(
+        F.lit('{"state": ['), shown, F.lit('], "action": '), F.to_json(played), F.lit(', "reward": '), F.to_json(reward), F.lit(', "turn": '), F.to_json(turn), F.lit("}")
+    )
+    path = _scratch(spark, "t6-log")
+    g.select(line.alias("value")).write.text(path)
+    return S.read_buffer(spark, path, "tictactoe")[0]
+
+
+@query("t6_board_audit")
+def t6b(spark, sf):
+    return B.audit_board(_board_log(spark, sf), ["episode_id"], TIC_TAC_TOE)
+
+
+@query("t6_board_outcomes")
+def t6o(spark, sf):
+    return B.board_outcomes(_board_log(spark, sf), ["episode_id"], TIC_TAC_TOE)
+
+
 @query("t7_sa_keys")
 def t7(spark, sf):
     own = T.with_sa_key(T.own_steps(V.ep_events(spark, sf)))
@@ -706,6 +754,27 @@ def p13(spark, sf):
     return P.move_distribution(V.logprobs(spark, sf), "state", "move", "lp", temperature=1.0, seed=42)
 
 
+@query("p13_extract_logprobs")
+def p13x(spark, sf):
+    """Token log-probs by position, nested as a model server returns them (one output per user and week)."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.date_trunc("week", "ts").alias("week"), "event_type", "value")
+    k = F.col("event_id")
+    candidate = lambda token, lp: F.struct(token.alias("token"), lp.cast("double").alias("logprob"))
+    lp = F.when(k % 13 == 0, float("-inf")).when(k % 11 == 0, float("nan")).when(k % 17 == 5, None).otherwise(F.round(-F.col("value") / 100, 6))
+    named = candidate((F.length("event_type") % 9 + 1).cast("string"), lp)
+    again = candidate((k % 9 + 1).cast("string"), F.round(-F.col("value") / 50, 6))
+    closing = candidate(F.get(F.array(*[F.lit(t) for t in (*P.HEADER_TOKENS, "other")]), (k % 5).cast("int")), F.lit(-1.0))
+    position = F.when(k % 19 != 0, F.when(k % 7 == 0, F.array(named, again, closing)).otherwise(F.array(named, closing)))
+    out = e.withColumn("p", position).groupBy("user_id", "week").agg(F.collect_list(F.struct("p")).alias("ps"))
+    out = out.select(
+        F.col("user_id").alias("state"),
+        F.transform("ps", lambda x: x["p"]).alias("positions"),
+        F.filter(F.sequence(F.lit(1), F.lit(9)), lambda m: (F.col("user_id") + m) % 4 != 0).alias("legal"),
+    )
+    got = P.extract_move_logprobs(out, ["state"], "positions", "legal", {str(m): m for m in range(1, 10)})
+    return got.select("state", "move", F.round("lp", 6).alias("lp"), "n_positions", "is_uniform")
+
+
 # ---------------------------------------------------------------- X family
 from trajspark.operators import examples as X  # noqa: E402
 

@@ -799,3 +799,40 @@ SQL["x1_sft_value"] = _sft("evaluate", {"state": "state", "turn": "'true'"})
 SQL["x1_sft_action_value"] = _sft("q_student", {"state": "state", "action": "action"})
 SQL["x1_sft_policy"] = _sft("move", {"state": "state", "moves": "action"})
 SQL["p12_label_file"] = SQL["p12_verdict_accuracy"]
+
+
+_GAMES = """
+WITH g AS (SELECT DISTINCT user_id, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week FROM events),
+c AS (SELECT user_id, week, cell, row_number() OVER (PARTITION BY user_id, week
+             ORDER BY md5('42|' || CAST(user_id AS VARCHAR) || '|' || week || '|' || CAST(cell AS VARCHAR))) - 1 AS place
+      FROM g CROSS JOIN range(9) t(cell)),
+l AS (SELECT unnest([[0, 1, 2], [3, 4, 5], [6, 7, 8], [0, 3, 6], [1, 4, 7], [2, 5, 8], [0, 4, 8], [2, 4, 6]]) AS line),
+f AS (SELECT user_id, week, line, max(place) AS ends, min(place % 2) AS who FROM c JOIN (SELECT line, unnest(line) AS cell FROM l) USING (cell)
+      GROUP BY user_id, week, line HAVING min(place % 2) = max(place % 2)),
+e AS (SELECT g.user_id, g.week, substr(md5('7|' || CAST(g.user_id AS VARCHAR) || '|' || g.week), 1, 1) AS spoil,
+             coalesce(min(ends) + 1, 9) AS m, coalesce(arg_min(who + 1, ends), 0) AS winner
+      FROM g LEFT JOIN f ON f.user_id = g.user_id AND f.week = g.week GROUP BY g.user_id, g.week),
+k AS (SELECT *, m - CASE WHEN spoil = '1' THEN 1 ELSE 0 END AS n FROM e)
+"""
+
+SQL["t6_board_audit"] = _GAMES + """
+SELECT 'alternation' AS rule, CAST(sum(n - 1) AS BIGINT) AS n_checked, CAST(coalesce(sum(n - 1) FILTER (spoil = '3'), 0) AS BIGINT) AS n_violations FROM k
+UNION ALL SELECT 'mark', CAST(sum(n + 1) AS BIGINT), CAST(0 AS BIGINT) FROM k
+UNION ALL SELECT 'legal', CAST(sum(n) AS BIGINT), CAST(count_if(spoil = '2') AS BIGINT) FROM k
+UNION ALL SELECT 'next_state', CAST(sum(n) AS BIGINT), CAST(count_if(spoil = '2') AS BIGINT) FROM k
+UNION ALL SELECT 'terminal_flag', CAST(sum(n + 1) AS BIGINT), CAST(count_if(spoil = '1') AS BIGINT) FROM k
+UNION ALL SELECT 'winner', CAST(sum(n) AS BIGINT), CAST(count_if(spoil = '0') AS BIGINT) FROM k"""
+
+SQL["t6_board_outcomes"] = _GAMES + """
+SELECT CAST(CASE WHEN spoil = '1' THEN -1 ELSE winner END AS INT) AS winner, count(*) AS n_games, CAST(sum(n) AS BIGINT) AS n_moves FROM k GROUP BY 1"""
+
+SQL["p13_extract_logprobs"] = """
+WITH e AS (
+  SELECT user_id AS state, CAST(CASE WHEN event_id % 7 = 0 THEN event_id % 9 + 1 ELSE length(event_type) % 9 + 1 END AS INT) AS move,
+         CASE WHEN event_id % 7 = 0 THEN round(-value / 50, 6)
+              WHEN event_id % 13 = 0 OR event_id % 11 = 0 OR event_id % 17 = 5 THEN '-inf'::DOUBLE ELSE round(-value / 100, 6) END AS lp
+  FROM events WHERE event_id % 19 <> 0 AND event_id % 5 < 4),
+m AS (SELECT DISTINCT user_id AS state, CAST(move AS INT) AS move FROM events, range(1, 10) t(move) WHERE (user_id + move) % 4 <> 0),
+b AS (SELECT m.state, m.move, coalesce(max(lp), '-inf'::DOUBLE) AS lp, count(e.move) AS n_positions FROM m LEFT JOIN e ON e.state = m.state AND e.move = m.move GROUP BY m.state, m.move)
+SELECT state, move, round(CASE WHEN max(lp) OVER w = '-inf'::DOUBLE THEN 0.0 ELSE lp END, 6) AS lp, n_positions, max(lp) OVER w = '-inf'::DOUBLE AS is_uniform
+FROM b WINDOW w AS (PARTITION BY state)"""

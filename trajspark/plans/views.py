@@ -115,7 +115,7 @@ def ep_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     ]
     li = li.withColumn("state", F.concat("l_returnflag", "l_linestatus"))
-    li = number_steps(li, ORDER_KEYS, order_cols, "state", F.col("l_linenumber"), ahead=1)
+    li = number_steps(li, ORDER_KEYS, order_cols, "state", F.floor(F.col("l_linenumber") / 4096), ahead=1)
     nxt = F.col("_next1")
     return li.select(
         "l_orderkey",

@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.operators.sampling import shuffle, with_index
+from trajspark.session import write_table
 
 CORRUPT = "_corrupt_record"
 
@@ -92,6 +93,35 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
 
 
+#: digests of repeated lines that are broadcast, bytes (measured); more are joined
+REPEATS_BROADCAST = 32 << 20
+#: copies of one repeated line that are numbered at a time
+REPEATS_STEP = 4096
+
+
+def _numbered(raw: DataFrame, broadcast_bytes: int = REPEATS_BROADCAST) -> DataFrame:
+    """(source_file, line, record_id): the digest of file and line, with ``-2``, ``-3``, … for further copies.
+
+    Only 16-byte digests are counted, after partial aggregation, and only those that repeat
+    are kept (written to the shared folder). A line whose digest doesn't repeat goes on from
+    where it was read. Copies of a line can't be told apart, so repeated lines meet as
+    one row per task and are then written out as often as they were counted.
+    """
+    raw = raw.withColumn("_id", F.unhex(F.md5(F.concat_ws("\n", "source_file", "line"))))
+    counts = raw.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    repeats = write_table(counts, "repeats").select("_id")
+    if repeats.count() * 32 <= broadcast_bytes:
+        repeats = F.broadcast(repeats)
+    text = F.lower(F.hex("_id"))
+    once = raw.join(repeats, "_id", "left_anti").select("source_file", "line", text.alias("record_id"))
+    again = raw.join(repeats, "_id", "left_semi").groupBy("_id").agg(
+        F.first("source_file").alias("source_file"), F.first("line").alias("line"), F.count(F.lit(1)).alias("_n")
+    )
+    again = again.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"), F.lit(REPEATS_STEP).cast("bigint"))))
+    again = again.withColumn("_k", F.explode(F.sequence("_from", F.least(F.col("_n"), F.col("_from") + REPEATS_STEP - 1))))
+    return once.unionByName(again.select("source_file", "line", F.when(F.col("_k") == 1, text).otherwise(F.concat_ws("-", text, "_k")).alias("record_id")))
+
+
 def read_records(
     spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, required: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -100,14 +130,10 @@ def read_records(
     A line that is no JSON of this shape, or lacks the ``required`` field, is a reject
     (source_file, record_id, line); blank lines don't count. The record id is a digest of
     the file and the line, with a number for lines that repeat in a file, so it doesn't
-    depend on how the files are split or read.
+    depend on how the files are split or read (see ``_numbered``).
     """
     raw = spark.read.text(_paths(paths)).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("line"))
-    raw = raw.where(~F.col("line").rlike(r"^\s*$")).withColumn("_id", F.md5(F.concat_ws("\n", "source_file", "line")))
-    again = F.row_number().over(Window.partitionBy("_id").orderBy("line"))
-    raw = raw.withColumn("_k", again).select(
-        "source_file", "line", F.when(F.col("_k") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_k")).alias("record_id")
-    )
+    raw = _numbered(raw.where(~F.col("line").rlike(r"^\s*$")))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     rows = raw.withColumn("_r", F.from_json("line", _with_corrupt(schema), options))
     bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull() | F.col(f"_r.{required}").isNull()
