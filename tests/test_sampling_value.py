@@ -251,3 +251,30 @@ def test_peeling_a_graph_with_nodes_at_several_depths(spark):
         assert len(got) == len(want) and {r.node: r.value for r in got} == want
     none = VE.backward_induction(nodes.limit(0), edges.limit(0)).collect()
     assert none == []
+
+
+def test_delta_sweeps_equal_full_sweeps_and_touch_fewer_states(spark):
+    # a chain that ends in a reward, and a part that nothing happens in
+    rows = [(f"c{i}", f"c{i + 1}", i == 11, 1 if i == 11 else 0) for i in range(12)] + [(f"d{i}", f"d{i + 1}", False, 0) for i in range(40)] + [("c0", "c2", False, 0)]
+    tr = spark.createDataFrame(rows, "state string, next_state string, next_terminal boolean, reward int")
+    for sweeps in (1, 5):
+        got, log = VE.td0_delta(tr, alpha=0.5, max_sweeps=sweeps)
+        full = VE.td0(tr, alpha=0.5, sweeps=sweeps)
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in full.collect()}
+    assert log[0] == (52, 1) and all(n <= 6 for n, _ in log[1:]) and [m for _, m in log] == [1, 2, 3, 4, 5]
+    got, log = VE.td0_delta(tr, alpha=1.0, tolerance=1e-9, max_sweeps=50)
+    v = {r.state: r.value for r in got.collect()}
+    assert all(v[f"c{i}"] == 1.0 for i in range(12)) and v["d0"] == v["c12"] == 0.0 and len(log) < 16 and log[-1][1] == 0
+
+
+def test_gae_reads_the_next_blocks_where_nothing_is_left_of_later_ones(spark):
+    n = 1500  # blocks of 432 steps at a discount of one half
+    rows = [(None if e else "e", i, float(i % 7 == 0), 0.25, 0.5, i == 700) for e in range(2) for i in range(n)]
+    df = spark.createDataFrame(rows, "ep string, step int, reward double, value double, next_value double, done boolean")
+    got = {(r.ep, r.step): r.adv for r in VE.gae(df, ["ep"], gamma=0.5, lam=1.0).collect()}
+    want, g = {}, 0.0
+    for i in reversed(range(n)):
+        done = i == 700
+        g = float(i % 7 == 0) + (0 if done else 0.25) - 0.25 + (0 if done else 0.5 * g)
+        want[i] = g
+    assert len(got) == 2 * n and all(abs(got[e, i] - want[i]) < 1e-9 for e in ("e", None) for i in range(n))

@@ -247,3 +247,16 @@ def test_suffixes_under_a_null_key(spark):
     steps = _null_steps(spark)
     got = {(r.ep, r.start): (r.suffix_len, r.return_to_go, r.suffix_actions, r.suffix_states) for r in T.suffixes(steps, ["ep"], own_only=False).collect()}
     assert got[(None, 0)] == (2, -1, ["b", "c"], ["a", "b", "c"]) and got[(1, 1)] == (1, 1, ["z"], ["y", "z"]) and len(got) == 4
+
+
+def test_window_counts_from_stored_sketches(spark):
+    """Many keys: the windows' estimates lie within 5 % of the exact counts; rows are exact."""
+    df = spark.range(0, 60_000).select(F.col("id"), (F.col("id") % 6 + 1).cast("int").alias("iter")).withColumn(
+        "k", F.when(F.col("id") % 1000 == 0, None).otherwise((F.col("id") * 7919 % 23_000 + F.col("iter") * 3000).cast("string"))
+    )
+    got = {r["iter"]: (r["n_unique"], r["n_pairs"]) for r in A.window_key_counts(A.key_sketches(df, "iter", ["k"]), "iter", 3).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    for i, (n_unique, n_pairs) in got.items():
+        w = df.where(F.col("iter").between(i - 2, i))
+        exact = w.agg(F.count_distinct("k")).first()[0] + 1
+        assert n_pairs == w.count() and abs(n_unique - exact) < 0.05 * exact

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajspark.functions.keys import joint_key
+
 from trajspark.operators.steps import WS
 from trajspark.session import cut_lineage
 
@@ -87,6 +89,32 @@ def key_counts(df: DataFrame, keys: Sequence[str], approx: bool = False) -> Data
     return df.agg(distinct.alias("n_unique"), F.count(F.lit(1)).alias("n_pairs"))
 
 
+#: log2 of the registers of a stored sketch: relative error about 1.04 / sqrt(2**12) = 1.6 %
+SKETCH_LG_K = 12
+
+
+def key_sketches(df: DataFrame, it_col: str, keys: Sequence[str], lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """One mergeable sketch per iteration: (it_col, sketch, n_pairs). Store it; ``window_key_counts`` reads it.
+
+    A sketch has at most 2**lg_k registers however many keys there are, and partial
+    sketches are merged in the shuffle. Rows with a null key part count as a key of their own.
+    """
+    return df.groupBy(it_col).agg(F.hll_sketch_agg(joint_key(keys), F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def window_key_counts(sketches: DataFrame, it_col: str, history: int) -> DataFrame:
+    """Unique keys and total rows of each iteration's history window (iterations i + 1 - history … i), from the stored sketches.
+
+    A sketch goes to the ``history`` windows that it lies in, and a window's are merged; the rows are not read again.
+    """
+    until = F.explode(F.sequence(F.col(it_col), F.col(it_col) + history - 1))
+    ends = sketches.select(F.col(it_col).alias("_e"))
+    w = sketches.select(until.alias("_i"), "sketch", "n_pairs").join(ends, F.col("_i") == F.col("_e"), "left_semi")
+    return w.groupBy(F.col("_i").alias(it_col)).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_unique"), F.sum("n_pairs").alias("n_pairs")
+    )
+
+
 # A5 -------------------------------------------------------------------------
 def interaction_summary(episodes: DataFrame, start: str, cols: Sequence[str]) -> DataFrame:
     """mean / population std / min / max of each column per start point, plus a macro row.

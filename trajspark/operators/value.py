@@ -36,16 +36,23 @@ def _bounded_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
 
 #: steps of an episode that one task works through at once
 SPAN = 4096
+# Blocks that are composed as one list.
+SUPER = 256
+
+
+#: column with the 0-based number of a row among its episode's rows
+POSITION = "own_step"
 
 
 # V2 -------------------------------------------------------------------------
 def next_values(own: DataFrame, ep: Sequence[str], order: str, value: str, final_value: str) -> DataFrame:
     """Next own-step value; the last own step takes the value of the final next state.
 
-    ``order`` counts steps; a task holds the steps of a span of it, not an episode.
+    ``order`` counts steps; a task holds the steps of a span of it, not an episode. The
+    own steps' 0-based number stays as ``POSITION``, so that ``gae`` doesn't count again.
     """
-    t = number_steps(own, ep, [order], value, F.floor(F.col(order) / SPAN), ahead=1, name="_pos")
-    return t.withColumn("next_value", F.coalesce("_next1", F.col(final_value))).drop("_pos", "_next1")
+    t = number_steps(own, ep, [order], value, F.floor(F.col(order) / SPAN), ahead=1, name=POSITION)
+    return t.withColumn("next_value", F.coalesce("_next1", F.col(final_value))).drop("_next1")
 
 
 # V1 -------------------------------------------------------------------------
@@ -66,9 +73,11 @@ def gae(
 
     A suffix scan in blocks: inside a block gae_t = a_t + b_t·G with G the advantage at
     the next block's start (b = 0 behind a done); a_t and b_t come from windows over one
-    block. Blocks compose in the same way, first inside super-blocks of ``SPAN`` blocks,
-    then over an episode's super-blocks (one for every 16 million steps), so every term
-    is kept and no task holds a long episode.
+    block. Where a block's (γλ)^length is so small that three blocks leave nothing of a
+    double, G is read off the next three blocks. Otherwise blocks compose in the same
+    way, first inside super-blocks of ``SUPER`` blocks, then over an episode's
+    super-blocks (one for every million steps). So every term is kept and no task holds
+    a long episode. A column ``POSITION`` (see ``next_values``) saves the numbering.
     """
     rho = gamma * lam
     block = SPAN if rho >= 1 or rho <= 0 else max(1, min(SPAN, int(300.0 / -math.log(rho))))
@@ -76,7 +85,10 @@ def gae(
     t = df.withColumn(
         "_delta", F.col(reward).cast("double") + F.when(d, F.lit(0.0)).otherwise(F.lit(gamma) * F.col(next_value)) - F.col(value)
     ).withColumn("_done", d)
-    t = number_steps(t, ep, [order], "_done", F.floor(F.col(order) / SPAN), ahead=1, name="_pos").drop("_next1")
+    if POSITION in df.columns:
+        t = t.withColumnRenamed(POSITION, "_pos")
+    else:
+        t = number_steps(t, ep, [order], "_done", F.floor(F.col(order) / SPAN), ahead=1, name="_pos").drop("_next1")
     t = t.withColumn("_blk", F.floor(F.col("_pos") / F.lit(block))).withColumn("_off", F.col("_pos") - F.col("_blk") * block)
     blk = Window.partitionBy(*ep, "_blk")
     t = t.withColumn("_seg", F.coalesce(F.sum(F.col("_done").cast("int")).over(blk.orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -102,13 +114,19 @@ def gae(
             *keys, F.col("_x.at").alias(at), F.col("_x.a").alias("ca"), F.col("_x.b").alias("cb"), "wa", "wb"
         )
 
-    heads = t.where(F.col("_off") == 0).select(*ep, "_blk", F.floor(F.col("_blk") / SPAN).alias("_sup"), "_a", "_b")
-    inner = scan(heads, [*ep, "_sup"], "_blk", "_a", "_b")
-    outer = scan(inner.groupBy(*ep, "_sup").agg(F.first("wa").alias("_a"), F.first("wb").alias("_b")), list(ep), "_sup", "_a", "_b")
-    outer = outer.select(*[F.col(k).alias(f"_u_{k}") for k in [*ep, "_sup"]], F.col("ca").alias("_h"))
-    carry = inner.join(outer, _same(inner, outer, [*ep, "_sup"], lambda c: f"_u_{c}"))
-    carry = carry.select(*[F.col(k).alias(f"_c_{k}") for k in [*ep, "_blk"]], (F.col("ca") + F.col("cb") * F.col("_h")).alias("_g"))
-    t = t.join(carry, _same(t, carry, [*ep, "_blk"], lambda c: f"_c_{c}"))
+    heads = t.where(F.col("_off") == 0)
+    if not rho or block * -math.log(rho) > 250:  # e^-750 of anything is below the smallest double
+        w = Window.partitionBy(*ep).orderBy("_blk")
+        a, b = [[F.coalesce(F.lead(c, i).over(w), F.lit(0.0)) for i in (1, 2, 3)] for c in ("_a", "_b")]
+        carry = heads.select(*[F.col(k).alias(f"_c_{k}") for k in [*ep, "_blk"]], (a[0] + b[0] * (a[1] + b[1] * a[2])).alias("_g"), F.lead("_a").over(w).isNotNull().alias("_more"))
+        carry = carry.where("_more").drop("_more")
+    else:
+        inner = scan(heads.select(*ep, "_blk", F.floor(F.col("_blk") / SUPER).alias("_sup"), "_a", "_b"), [*ep, "_sup"], "_blk", "_a", "_b")
+        outer = scan(inner.groupBy(*ep, "_sup").agg(F.first("wa").alias("_a"), F.first("wb").alias("_b")), list(ep), "_sup", "_a", "_b")
+        outer = outer.select(*[F.col(k).alias(f"_u_{k}") for k in [*ep, "_sup"]], F.col("ca").alias("_h"))
+        carry = inner.join(outer, _same(inner, outer, [*ep, "_sup"], lambda c: f"_u_{c}"))
+        carry = carry.select(*[F.col(k).alias(f"_c_{k}") for k in [*ep, "_blk"]], (F.col("ca") + F.col("cb") * F.col("_h")).alias("_g"))
+    t = t.join(carry, _same(t, carry, [*ep, "_blk"], lambda c: f"_c_{c}"), "left").withColumn("_g", F.coalesce("_g", F.lit(0.0)))
     t = t.withColumn("adv", F.col("_a") + F.col("_b") * F.col("_g"))
     t = t.withColumn("ret", F.col("adv") + F.col(value))
     return t.drop(*[c for c in t.columns if c.startswith("_")])
@@ -152,6 +170,58 @@ def td0(transitions: DataFrame, alpha: float = 0.4, sweeps: int = 1, init: float
     return v.join(visits, "state", "left").select("state", "value", F.coalesce("visits", F.lit(0)).alias("visits"))
 
 
+def td0_delta(
+    transitions: DataFrame, alpha: float = 0.4, tolerance: float = 0.0, max_sweeps: int = 100, init: float = 0.0
+) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """TD(0) driven by changes: (values, [(states recomputed, states moved) per sweep]).
+
+    The sweeps of ``td0``, but a state is recomputed only when one of its successors, or
+    its own value, moved by more than ``tolerance`` in the sweep before: nothing else can
+    change. With a tolerance of 0 the values equal those of as many full sweeps. It
+    ends when no state moves, or after ``max_sweeps``. Rows as of ``td0``.
+
+    Transitions are reduced to (s, s') pairs once. A sweep reads the pairs of the
+    states to recompute, and writes their values beside the table; the table is written
+    anew when as many rows lie beside it as in it.
+    """
+    pairs = write_table(
+        transitions.groupBy("state", "next_state", "next_terminal").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("reward").cast("double")).alias("r_sum")), "td-pairs"
+    )
+    states = pairs.select("state").union(pairs.select(F.col("next_state").alias("state"))).distinct()
+    start = F.lit(float(init))
+    base = write_table(states.select("state", start.alias("value"), F.lit(0).alias("sweep")), "td-values")
+    n_base, beside, n_beside = base.count(), None, 0
+    links = pairs.select("state", "next_state")
+    due, log = pairs.select("state").distinct(), []
+    for sweep in range(1, max_sweeps + 1):
+        every = base if beside is None else base.unionByName(beside)
+        v = every.groupBy("state").agg(F.max_by("value", "sweep").alias("value")) if beside is not None else base.select("state", "value")
+        mine = pairs.join(due, "state", "left_semi") if sweep > 1 else pairs
+        to = v.select(F.col("state").alias("next_state"), F.col("value").alias("nv"))
+        then = F.when(F.col("next_terminal"), 0.0).otherwise(F.coalesce("nv", F.lit(0.0)) * F.col("n"))
+        target = mine.join(to, "next_state", "left").groupBy("state").agg((F.sum(F.col("r_sum") + then) / F.sum("n")).alias("target"))
+        changed = target.join(v, "state").select(
+            "state", (F.col("value") + alpha * (F.col("target") - F.col("value"))).alias("value"), F.lit(sweep).alias("sweep"), F.col("value").alias("before")
+        )
+        changed = write_table(changed, "td-delta")
+        moved = changed.where(F.abs(F.col("value") - F.col("before")) > tolerance).select("state", "value", "sweep")
+        got = changed.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("value") - F.col("before")) > tolerance).alias("m")).first()
+        log.append((got["n"], got["m"]))
+        if not got["m"]:
+            break
+        beside = moved if beside is None else beside.unionByName(moved)
+        n_beside += got["m"]
+        if n_beside >= n_base or sweep % SEEN_TABLES == 0:
+            base = write_table(base.unionByName(beside).groupBy("state").agg(F.max_by("value", "sweep").alias("value"), F.max("sweep").alias("sweep")), "td-values")
+            beside, n_beside = None, 0
+        names = moved.select("state")
+        due = names.union(links.join(names.select(F.col("state").alias("next_state")), "next_state", "left_semi").select("state")).distinct()
+    every = base if beside is None else base.unionByName(beside)
+    last = every.groupBy("state").agg(F.max_by("value", "sweep").alias("value"))
+    visits = pairs.groupBy("state").agg(F.sum("n").alias("visits"))
+    return last.join(visits, "state", "left").select("state", "value", F.coalesce("visits", F.lit(0)).alias("visits")), log
+
+
 # V4 -------------------------------------------------------------------------
 #: rounds kept as tables of their own before they are written as one
 SEEN_TABLES = 8

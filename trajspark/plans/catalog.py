@@ -240,6 +240,14 @@ def a4a(spark, sf):
     return A.key_counts(own, ["state", "action"], approx=True)
 
 
+@query("a4_window_sketches")
+def a4w(spark, sf):
+    """Unique (state, action) pairs of every window of three iterations, from one stored sketch per iteration."""
+    own = T.own_steps(V.ep_events(spark, sf))
+    stored = write_table(A.key_sketches(own, "iter", ["state", "action"]), "sketches")
+    return A.window_key_counts(stored, "iter", 3)
+
+
 def _ep_summary_input(spark, sf):
     f = V.ep_event_facts(spark, sf)
     return f.select(
@@ -459,6 +467,21 @@ def v3(spark, sf):
     return v.select("state", F.round("value", 6).alias("value"), "visits")
 
 
+@query("v3_td0_delta")
+def v3d(spark, sf):
+    """Values of (event type, props) states of each user's events, by sweeps over what moved."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type", F.concat_ws(" ", "event_type", "props").alias("state"))
+    w = T.number_steps(e.withColumn("next", F.struct("state", "event_type")), ["user_id"], ["ts", "event_id"], "next", F.date_trunc("hour", "ts"), ahead=1)
+    t = w.where(F.col("_next1").isNotNull()).select(
+        "state",
+        F.col("_next1.state").alias("next_state"),
+        (F.col("_next1.event_type") == "error").alias("next_terminal"),
+        F.when(F.col("_next1.event_type") == "purchase", 1).when(F.col("_next1.event_type") == "error", -1).otherwise(0).alias("reward"),
+    )
+    v, _ = VE.td0_delta(t, alpha=0.4, max_sweeps=3)
+    return v.select("state", F.round("value", 6).alias("value"), "visits")
+
+
 def _graph(spark, sf):
     e = V.graph_edges(spark, sf).withColumn("action", F.col("dst"))
     goals = spark.range(1).select(F.lit("s1").alias("node"))
@@ -1121,7 +1144,7 @@ def _until_done(q) -> None:
 @query("m1_new_states")
 def m1(spark, sf):
     table_path, ckpt = _scratch(spark, "m1-table"), _scratch(spark, "m1-ckpt")
-    _feed(spark, sf, lambda root: _until_done(M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt)))
+    _feed(spark, sf, lambda root: _until_done(M.ingest_new_states(_stream(spark, root), table_path, ["state", "props"], ckpt, buckets=8)))
     return spark.read.parquet(table_path).select("state", "props")
 
 

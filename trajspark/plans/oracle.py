@@ -836,3 +836,28 @@ m AS (SELECT DISTINCT user_id AS state, CAST(move AS INT) AS move FROM events, r
 b AS (SELECT m.state, m.move, coalesce(max(lp), '-inf'::DOUBLE) AS lp, count(e.move) AS n_positions FROM m LEFT JOIN e ON e.state = m.state AND e.move = m.move GROUP BY m.state, m.move)
 SELECT state, move, round(CASE WHEN max(lp) OVER w = '-inf'::DOUBLE THEN 0.0 ELSE lp END, 6) AS lp, n_positions, max(lp) OVER w = '-inf'::DOUBLE AS is_uniform
 FROM b WINDOW w AS (PARTITION BY state)"""
+
+SQL["a4_window_sketches"] = W("ep_events") + """,
+own AS (SELECT iter, state, action FROM ep_events WHERE turn AND action IS NOT NULL)
+SELECT i.iter, count(DISTINCT (state, action)) AS n_unique, count(*) AS n_pairs
+FROM (SELECT DISTINCT iter FROM own) i JOIN own ON own.iter BETWEEN i.iter - 2 AND i.iter GROUP BY i.iter"""
+
+
+def _td_sweeps(n: int) -> str:
+    """Full synchronous sweeps, one after another."""
+    out = """
+WITH e AS (SELECT user_id, ts, event_id, event_type, event_type || ' ' || props AS state FROM events),
+t AS (SELECT state, lead(state) OVER w AS next_state, lead(event_type) OVER w AS nt FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT state, next_state, nt = 'error' AS over, count(*) AS n, CAST(sum(CASE nt WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) AS DOUBLE) AS r
+      FROM t WHERE next_state IS NOT NULL GROUP BY ALL),
+v0 AS (SELECT DISTINCT state, 0.0::DOUBLE AS value FROM (SELECT state FROM p UNION ALL SELECT next_state FROM p))"""
+    for k in range(n):
+        out += f""",
+g{k} AS (SELECT p.state, sum(r + CASE WHEN over THEN 0 ELSE v.value * n END) / sum(n) AS target FROM p JOIN v{k} v ON v.state = p.next_state GROUP BY p.state),
+v{k + 1} AS (SELECT v.state, CASE WHEN target IS NULL THEN value ELSE value + 0.4::DOUBLE * (target - value) END AS value FROM v{k} v LEFT JOIN g{k} g ON g.state = v.state)"""
+    return out + f"""
+SELECT v.state, round(value, 6) AS value, CAST(coalesce(n, 0) AS BIGINT) AS visits
+FROM v{n} v LEFT JOIN (SELECT state, sum(n) AS n FROM p GROUP BY state) s ON s.state = v.state"""
+
+
+SQL["v3_td0_delta"] = _td_sweeps(3)

@@ -13,8 +13,7 @@ from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -260,21 +259,27 @@ def run_incremental(
 # M3 (stateful) ------------------------------------------------------------------
 @contextmanager
 def rocksdb_state(spark: SparkSession):
-    """The state store that ``transformWithState`` needs, for streams started inside."""
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf, None)
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The state store that ``transformWithState`` needs, for streams started inside; a batch saves its changes only."""
+    base = "spark.sql.streaming.stateStore."
+    wanted = {
+        base + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        base + "rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 _STEPS = "us array<bigint>, o array<bigint>, s array<string>, t array<boolean>"
 
 
 class _EpisodeProcessor(StatefulProcessor):
-    """Steps of one key as a list state that only grows, and a timer at which an episode may be settled."""
+    """Steps of one key as a list state that only grows, and timers at which an episode may be settled."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
@@ -282,54 +287,43 @@ class _EpisodeProcessor(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.steps = handle.getListState("steps", _STEPS)
-        self.due = handle.getValueState("due", "ms bigint")
 
     def _wake(self, due_us: int, watermark_ms: int) -> None:
-        """Have the timer expire at ``due_us`` or earlier; a timer has to lie after the watermark."""
-        ms = max(-(-due_us // 1000), watermark_ms + 1)
-        held = self.due.get()[0] if self.due.exists() else None
-        if held is None or ms < held:
-            if held is not None:
-                self.handle.deleteTimer(held)
-            self.handle.registerTimer(ms)
-            self.due.update((ms,))
+        """Have a timer expire at ``due_us``, or as soon as it can: it has to lie after the watermark."""
+        self.handle.registerTimer(max(-(-due_us // 1000), watermark_ms + 1))
 
     def handleInputRows(self, key, rows, timerValues):
         """A batch costs its own steps: they are appended, and what is held is not read."""
-        due = None
-        for pdf in rows:
-            us, end = pdf["us"].to_numpy(np.int64), pdf["t"].to_numpy(bool)
-            self.steps.appendValue((us.tolist(), pdf["o"].tolist(), pdf["s"].tolist(), end.tolist()))
-            first = int(np.where(end, us + 1, us + self.gap_us).min())
-            due = first if due is None else min(due, first)
-        if due is not None:
-            self._wake(due, timerValues.getCurrentWatermarkInMs())
+        us, o, names, end = map(list, zip(*((r["us"], r["o"], r["s"], r["t"]) for r in rows)))
+        self.steps.appendValue((us, o, names, end))
+        self._wake(min(u + 1 if e else u + self.gap_us for u, e in zip(us, end)), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Episodes that nothing can change any more leave; the steps of the others are put back."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [np.array([x for part in column for x in part], dtype) for column, dtype in zip(zip(*self.steps.get()), (np.int64, np.int64, object, bool))]
-        order = np.lexsort((held[1], held[0]))
-        us, o, names, end = (c[order] for c in held)
+        held = [step for us, o, names, end in self.steps.get() for step in zip(us, o, names, end)]
+        if not held:
+            return
+        held.sort(key=lambda x: x[:2])
+        us = np.array([x[0] for x in held], np.int64)
+        end = np.array([x[3] for x in held], bool)
         first = np.flatnonzero(np.r_[True, (np.diff(us) >= self.gap_us) | end[:-1]])
         last = np.r_[first[1:], len(us)] - 1
         settled_at = np.where(end[last], us[last] + 1, us[last] + self.gap_us)
         done = settled_at <= watermark * 1000
-        self.due.clear()
-        if not done.all():
-            keep = np.repeat(~done, last - first + 1)
+        if done.all():
+            self.steps.clear()
+        else:
             if done.any():
-                self.steps.put([(us[keep].tolist(), o[keep].tolist(), names[keep].tolist(), end[keep].tolist())])
+                left = [held[i] for i in np.flatnonzero(np.repeat(~done, last - first + 1)).tolist()]
+                self.steps.put([tuple(map(list, zip(*left)))])
             self._wake(int(settled_at[~done].min()), watermark)
-        else:
-            self.steps.clear()
-        out = [
-            (key[0], int(us[a]), int(us[b]), int(b - a + 1), " ".join(names[a : b + 1]), "terminal" if end[b] else "inactive")
-            for a, b in zip(first[done].tolist(), last[done].tolist())
-        ]
-        if out:
-            yield pd.DataFrame(out, columns=["key", "start_us", "end_us", "n_steps", "states", "closed_by"])
+        for a, b in zip(first[done].tolist(), last[done].tolist()):
+            yield Row(
+                key=key[0], start_us=held[a][0], end_us=held[b][0], n_steps=b - a + 1,
+                states=" ".join(x[2] for x in held[a : b + 1]), closed_by="terminal" if held[b][3] else "inactive",
+            )
 
     def close(self) -> None:
         pass
@@ -359,7 +353,7 @@ def assemble_until_terminal(
         F.coalesce(F.col(state_col).cast("string"), F.lit("")).alias("s"), F.coalesce(term, F.lit(False)).alias("t"),
     )
     key_type = stream.select(*keys).schema
-    out = rows.groupBy("k").transformWithStateInPandas(
+    out = rows.groupBy("k").transformWithState(
         _EpisodeProcessor(int(gap_seconds) * 1_000_000),
         "key string, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string",
         "Append", "EventTime",
