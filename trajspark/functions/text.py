@@ -1,15 +1,19 @@
 """Tokenisers: whitespace by default (JVM-side), model vocabularies pluggable.
 
 A pluggable tokenizer runs as an Arrow-batched pandas UDF with one load per
-Python worker; the whitespace default never leaves the JVM.
+Python worker; the whitespace default never leaves the JVM. Subword vocabularies
+(a tokenizers JSON file, its path a parameter) give token ids; the file is sent to every
+worker and loaded there once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -53,3 +57,40 @@ def token_count(text: Column, tokenizer: str | None = None) -> Column:
         return s.fillna("").map(lambda x: len(fn(x))).astype("int32")
 
     return _cnt(text)
+
+
+#: subword vocabularies by name: file name and special tokens
+_SUBWORDS: dict[str, tuple[str, tuple[str, ...]]] = {}
+_loaded: dict[tuple[str, tuple[str, ...]], object] = {}
+
+
+def register_subwords(spark: SparkSession, name: str, path: str, special: Sequence[str] = ()) -> None:
+    """A subword vocabulary under ``name``; ``special`` tokens are atomic and get the ids after the vocabulary's."""
+    spark.sparkContext.addFile(path)
+    _SUBWORDS[name] = (os.path.basename(path), tuple(special))
+
+
+def _subwords(file: str, special: tuple[str, ...]):
+    """The vocabulary in this worker, loaded once."""
+    if (file, special) not in _loaded:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        made = Tokenizer.from_file(SparkFiles.get(file))
+        made.no_truncation()
+        made.no_padding()
+        made.add_special_tokens(list(special))
+        _loaded[file, special] = made
+    return _loaded[file, special]
+
+
+def token_ids(text: Column, name: str) -> Column:
+    """Ids of the subword vocabulary ``name`` (see ``register_subwords``); a null text has none."""
+    file, special = _SUBWORDS[name]
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def _ids(s: pd.Series) -> pd.Series:
+        made = _subwords(file, special)
+        return pd.Series([x.ids for x in made.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+
+    return _ids(text)

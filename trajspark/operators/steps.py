@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajspark.functions.keys import bucket_of, sa_key
+from trajspark.functions.text import token_ids
 
 WS = "[ \t\n\r\f]+"  # whitespace token separator, the same class in Java and RE2
 
@@ -322,15 +323,16 @@ def token_rows(
     text: str = "text",
     is_action: Column | None = None,
     reward: Column | None = None,
+    vocabulary: str | None = None,
 ) -> DataFrame:
     """Text items → token rows: ``is_action`` repeated, the item's reward on its last token.
 
-    Whitespace tokens by default; ``trajspark.functions.text`` has pluggable
-    tokenizers for model vocabularies.
+    Whitespace tokens by default; ``vocabulary`` names a subword vocabulary
+    (``functions.text.register_subwords``), whose ids are then the tokens.
     """
     is_action = is_action if is_action is not None else F.lit(False)
     reward = reward if reward is not None else F.lit(0.0)
-    toks = F.filter(F.split(F.col(text), WS), lambda x: x != "")
+    toks = token_ids(F.col(text), vocabulary) if vocabulary else F.filter(F.split(F.col(text), WS), lambda x: x != "")
     t = texts.select(*keys, toks.alias("_t"), is_action.alias("is_action"), reward.cast("double").alias("_r"))
     t = t.select(*keys, "is_action", "_r", F.size("_t").alias("_n"), F.posexplode("_t").alias("tok_idx", "token"))
     return t.select(

@@ -8,6 +8,7 @@ both engines can be compared value by value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -864,6 +865,32 @@ def x3d(spark, sf):
     return m.agg(F.count_if(~F.col("kept")).alias("n_dropped"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def _subword_vocabulary(spark) -> str:
+    """The byte-level vocabulary with the chat template's marks as special tokens."""
+    import public_tokenizers
+    from trajspark.functions.text import register_subwords
+
+    marks = [m for text in X.LLAMA3.values() for m in re.findall(r"<\|[^|]*\|>", text)]
+    register_subwords(spark, "byte-bpe", public_tokenizers.path("byte_bpe_50k.json"), sorted(set(marks)))
+    return "byte-bpe"
+
+
+@query("x3_subword_masks")
+def x3s(spark, sf):
+    """Ids and labels of every rendered conversation; digests of both."""
+    m = X.label_id_masks(_rendered(spark, sf), X.MAX_TOKENS, _subword_vocabulary(spark))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return m.select("conv_id", "n_tokens", "n_prompt", "n_label", "kept", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
+
+
+@query("t11_subword_rows")
+def t11s(spark, sf):
+    c = V.chats(spark, sf).select("conv_id", "turn", "role", "text")
+    name = _subword_vocabulary(spark)
+    rows = T.token_rows(c, ["conv_id", "turn", "role"], is_action=F.col("role") == "assistant", reward=F.col("turn") * 1.0, vocabulary=name)
+    return rows.withColumnRenamed("token", "token_id")
+
+
 @query("x4_pad_batches")
 def x4(spark, sf):
     m = _masked(spark, sf).where("kept").select("conv_id", F.col("input_tokens").alias("tok"))
