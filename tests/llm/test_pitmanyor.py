@@ -103,11 +103,103 @@ def test_sampler_draws_from_the_seating_distribution():
     assert math.isclose(math.exp(stirling[3, 2]), 3 * (1 - d))
 
 
-def test_many_customers_are_seated_in_blocks():
+def exact_tables(c, other, parent, d, s, top=5000):
+    """Mean and deviation of a dish's tables from all weights."""
+    log = np.full(top + 2, -np.inf)
+    log[0] = 0.0
+    t = np.arange(top + 2)
+    with np.errstate(divide="ignore"):
+        for k in range(c):
+            log = np.logaddexp(log + np.log(np.maximum(k - d * t, 0)), np.r_[-np.inf, log[:-1]])
+    t = np.arange(1, c + 1)
+    w = np.cumsum(np.log(s + d * (other + t - 1))) + np.log(parent) * t + log[1 : c + 1]
+    w = np.exp(w - w.max())
+    mean = (w * t).sum() / w.sum()
+    return mean, ((w * (t - mean) ** 2).sum() / w.sum()) ** 0.5
+
+
+@pytest.mark.parametrize("c, other, parent", [(32, 1000, 0.05), (200, 1000, 0.05), (256, 0, 0.2), (257, 1000, 0.05), (1000, 1000, 0.05), (1000, 1000, 0.005), (5000, 0, 0.2), (1000, 20000, 0.05), (1000, 200000, 0.05), (3000, 2000, 0.3)])
+def test_tables_of_frequent_dishes_follow_their_conditional(c, other, parent):
+    """One dish beside ``other`` tables that stay: another dish of as many customers, one a table, that the parent surely has."""
+    d, s, n = 0.8, 1.0, 4000
     rng = np.random.default_rng(0)
-    n = np.array([5000, 40, 2, 1, 0])
-    t = pitmanyor.seat(rng, n, np.zeros(5, np.int64), 1, np.full(5, 0.1), 0.8, 1.0)[-1]
-    assert (t <= n).all() and (t[:4] >= 1).all() and t[4] == 0 and t[0] > t[2]
+    mean, spread = exact_tables(c, other, parent, d, s)
+    if c > pitmanyor.EXACT:
+        got = pitmanyor._many(rng, np.full(n, c), np.full(n, other), np.full(n, parent), d, s)
+    else:
+        customers, house = np.full(n, c), np.arange(n)
+        alone = np.ones(n * min(other, 40), np.int64)  # dishes with one customer have one table
+        other = min(other, 40)
+        mean, spread = exact_tables(c, other, parent, d, s)
+        got = pitmanyor.seat(rng, np.r_[customers, alone], np.r_[house, np.repeat(house, other)], n, np.full(n * (1 + other), parent), d, s, samples=1, sweeps=1)[0][:n]
+    assert abs(got.mean() - mean) < 0.02 * mean + 3 * spread / n**0.5 and abs(got.std() - spread) < 0.08 * spread + 0.05
+
+
+def test_score_equals_a_plain_sampler(spark, tmp_path):
+    """The model's log-probabilities against a one-machine sampler that seats customers one by one at tables."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", f"x{i % 9}"], int(rng.integers(1, 9)), p=[0.4, 0.3, 0.15, 0.1, 0.05]))) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.score(spark.read.parquet(str(tmp_path / "t")), write_table).collect()}
+    learn = [["<s>", *t.split(), "</s>"] for i, t in rows if not pitmanyor.is_held_out(i)]
+    vocabulary = {w for ws in learn for w in ws[1:]}
+    d, s, e, q = pitmanyor.DISCOUNT, pitmanyor.STRENGTH, pitmanyor.ROOT_DISCOUNT, pitmanyor.ROOT_STRENGTH
+    customers = [(ws[k], ws[k + 1]) for ws in learn for k in range(len(ws) - 1)]
+    seats: dict = collections.defaultdict(lambda: collections.defaultdict(list))  # context, word: sizes of tables
+    top: dict = collections.defaultdict(list)
+    base = 1 / (len(vocabulary) + 1)
+
+    def add(tables, new, mass, enter):
+        r = rng.random() * (sum(tables) - mass * len(tables) + new)
+        for k, size in enumerate(tables):
+            r -= size - mass
+            if r < 0:
+                tables[k] += 1
+                return
+        tables.append(1)
+        enter()
+
+    def leave(tables):
+        k = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def root(w):
+        n, t = sum(map(sum, top.values())), sum(map(len, top.values()))
+        own = top.get(w, [])
+        return (sum(own) - e * len(own) + (q + e * t) * base) / (q + n)
+
+    def root_add(w):
+        add(top[w], (q + e * sum(map(len, top.values()))) * base, e, lambda: None)
+
+    def prob(c, w):
+        house = seats.get(c, {})
+        own = house.get(w, [])
+        opened, n = sum(map(len, house.values())), sum(map(sum, house.values()))
+        return (sum(own) - d * len(own) + (s + d * opened) * root(w)) / (s + n)
+
+    mean, kept = collections.Counter(), 0
+    asked = {(ws[k], ws[k + 1]) for ws in (["<s>", *t.split(), "</s>"] for _, t in rows) for k in range(len(ws) - 1)}
+    for sweep in range(14):
+        for c, w in customers:
+            tables = seats[c][w]
+            if sweep and leave(tables):
+                leave(top[w])
+            add(tables, (s + d * sum(map(len, seats[c].values()))) * root(w), d, lambda: root_add(w))
+        if sweep >= 6:
+            kept += 1
+            for a in asked:
+                mean[a] += prob(*a)
+    want = {}
+    for i, t in rows:
+        ws = ["<s>", *t.split(), "</s>"]
+        want[i] = sum(math.log10(mean[ws[k], ws[k + 1]] / kept) for k in range(len(ws) - 1))
+    # the distributed sampler knows only a bucket's words when it seats the root
+    assert all(abs(got[i] - want[i]) < 0.1 * abs(want[i]) + 0.1 for i in want)
+    assert abs(sum(got.values()) - sum(want.values())) < 0.03 * abs(sum(want.values()))
 
 
 def test_answers_are_bundled():

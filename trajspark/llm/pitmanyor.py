@@ -108,7 +108,8 @@ def _many(rng, customers, other, parent, discount, strength) -> np.ndarray:
     saddle point the weights' ratio is (1 - u^d) * parent * (strength / d + other + t) / t. So t - 1 is
     negative binomial with q = (1 - u^d) * parent (exactly so as c grows, where u is 0);
     beyond 50 tables it is drawn as normal with the curvature at the mode, which
-    also holds where nearly every customer has a table. Means are within 2 % of exact sums.
+    also holds where nearly every customer has a table. Means are within 3 % of exact sums
+    at EXACT customers and nearer beyond.
     """
     c, base = customers.astype(np.float64), strength / discount + other
     parent = np.clip(parent, 1e-300, 1 - 1e-12)
@@ -284,11 +285,16 @@ def _count_words(table: pa.Table, sizes: Sizes) -> pa.Table:
     return _table(rows, _ANSWER_ARROW)
 
 
-def _sent(bucket: int, words: np.ndarray, dish: np.ndarray, samples: list[np.ndarray], sizes: Sizes) -> list[tuple]:
-    """Tables of each word in a bucket of pairs, to the buckets of words. The sender's number is negative, unlike a chunk's."""
-    total = [np.bincount(dish, t, len(words)).astype(np.int64) for t in samples]
-    runs = _runs((words >> np.uint64(64 - sizes.word_bits)).astype(np.int64))
-    return [(-1 - bucket, SENT, b, s.stop - s.start, pack_sorted(words[s]), bundle([pack(x[s]) for x in total]), None, None) for b, s in runs]
+#: stands for the chunk in the rows that a bucket of words keeps for itself
+KEEPER = np.iinfo(np.int64).min
+
+
+def _sent(bucket: int, dish: np.ndarray, samples: list[np.ndarray], runs, words: np.ndarray | None = None) -> list[tuple]:
+    """Tables of each word in a bucket of pairs, to the buckets of words (``runs`` of them). The sender's number is
+    negative, unlike a chunk's. The words go along the first time only."""
+    runs = list(runs)
+    total = [np.bincount(dish, t, runs[-1][1].stop if runs else 0).astype(np.int64) for t in samples]
+    return [(-1 - bucket, SENT, b, s.stop - s.start, None if words is None else pack_sorted(words[s]), bundle([pack(x[s]) for x in total]), None, None) for b, s in runs]
 
 
 def _seat_pairs(table: pa.Table, sizes: Sizes, hot: Hot) -> pa.Table:
@@ -306,37 +312,60 @@ def _seat_pairs(table: pa.Table, sizes: Sizes, hot: Hot) -> pa.Table:
     contexts = _contexts(keys[first])
     mine = np.flatnonzero(hot.find(contexts) >= 0)
     chunk = np.array(table.column("chunk").to_pylist(), np.int64)
-    # numbers of the rows' entries as one ascending list
-    entries = number.astype(np.uint64) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(len(keys))
-    kept = bundle([pack(chunk), pack(n), pack_sorted(entries), pack(count), pack(dish), pack(np.diff(house, prepend=-1)), pack(mine), pack(contexts[mine])])
-    return _table([(None, KEPT, bucket, None, None, kept, None, None), *_sent(bucket, words, dish, tables, sizes)], _ANSWER_ARROW)
+    kept = bundle([pack(chunk), pack(n), _pack_entries(number, n, len(keys)), pack(count), pack(dish), pack(np.diff(house, prepend=-1)), pack(mine), pack(contexts[mine])])
+    return _table([(None, KEPT, bucket, None, None, kept, None, None), *_sent(bucket, dish, tables, _runs((words >> np.uint64(64 - sizes.word_bits)).astype(np.int64)), words)], _ANSWER_ARROW)
 
 
-def _seat_root(table: pa.Table, samples: int) -> pa.Table:
-    """Root customers and root tables of a bucket's words, to all chunks (with counts) or, if none asks, to the buckets of pairs."""
-    _, keys, number, cut = _merge(table)
+def _seat_root(table: pa.Table) -> pa.Table:
+    """Root customers and root tables of a bucket's words, to the buckets of pairs, in the order in which they sent
+    the words; and, for the second round, the words and who sent which of them, so that words travel once."""
+    n, keys, number, cut = _merge(table)
     bucket = table.column("bucket")[0].as_py()
-    asked = table.column("chunk").to_pylist()
-    count, customers = np.zeros(len(keys), np.int64), np.zeros((samples, len(keys)), np.int64)
-    for who, a, b, more in zip(asked, cut, cut[1:], table.column("more").to_pylist()):
-        got = [unpack(x).astype(np.int64) for x in unbundle(more)]
-        if who < 0:
-            customers[:, number[a:b]] += got
-        else:
-            count[number[a:b]] += got[0]
-    rng = np.random.default_rng(bucket)
-    alone = np.zeros(len(keys), np.int64)
+    senders = np.array([-1 - x for x in table.column("chunk").to_pylist()], np.int64)
+    customers = np.bincount(number, np.concatenate([unpack(unbundle(x)[0]) for x in table.column("more").to_pylist()]), len(keys)).astype(np.int64)
+    tables = _root_tables(np.random.default_rng(bucket), customers)
+    rows = [(bucket, ROOT, who, None, None, bundle([pack(x[number[a:b]]) for x in (customers, tables)]), None, None) for who, a, b in zip(senders.tolist(), cut, cut[1:])]
+    kept = bundle([pack(senders), pack(n), _pack_entries(number, n, len(keys)), pack_sorted(keys)])
+    return _table([*rows, (None, KEPT, bucket, None, None, kept, None, None), _sums(TOTALS, 0, [int(customers.sum()), int(tables.sum())], bucket)], _ANSWER_ARROW)
+
+
+def _root_tables(rng: np.random.Generator, customers: np.ndarray) -> np.ndarray:
     # the root's other tables are not known here; the words of the bucket stand for all
-    base = 1.0 / max(1, int((customers[0] > 0).sum()))
-    tables = [seat(rng, c, alone, 1, np.full(len(c), base), ROOT_DISCOUNT, ROOT_STRENGTH, samples=1)[0] for c in customers]
-    last = max(asked) >= 0
+    base = 1.0 / max(1, int((customers > 0).sum()))
+    return seat(rng, customers, np.zeros(len(customers), np.int64), 1, np.full(len(customers), base), ROOT_DISCOUNT, ROOT_STRENGTH, samples=1)[0]
+
+
+def _pack_entries(number: np.ndarray, n: np.ndarray, keys: int) -> bytes:
+    """Key numbers of rows of ``n`` entries (ascending in a row) as one ascending list."""
+    return pack_sorted(number.astype(np.uint64) + np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(keys))
+
+
+def _unpack_entries(data: bytes, n: np.ndarray, keys: int) -> np.ndarray:
+    return (unpack_sorted(data) - np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(keys)).astype(np.int64)
+
+
+def _seat_root_again(table: pa.Table) -> pa.Table:
+    """Counts, root customers and root tables (of every sample) of a bucket's words, to all chunks that asked for them."""
+    bucket = table.column("bucket")[0].as_py()
+    who = table.column("chunk").to_numpy()
+    asked = table.filter(pa.array(who >= 0))
+    _, keys, number, cut = _merge(asked)
+    count = np.bincount(number, np.concatenate([unpack(unbundle(x)[0]) for x in asked.column("more").to_pylist()]), len(keys)).astype(np.int64)
+    customers = np.zeros((SAMPLES, len(keys)), np.int64)
+    more = table.column("more").to_pylist()
+    for k in np.flatnonzero(who == KEEPER).tolist():
+        senders, n, entries, words = unbundle(more[k])
+        n, words = unpack(n).astype(np.int64), unpack_sorted(words)
+        place = np.searchsorted(keys, words)[_unpack_entries(entries, n, len(words))]
+        of = dict(zip(unpack(senders).astype(np.int64).tolist(), np.split(place, np.cumsum(n)[:-1])))
+        for j in np.flatnonzero((who < 0) & (who != KEEPER)).tolist():
+            customers[:, of[-1 - int(who[j])]] += np.array([unpack(x) for x in unbundle(more[j])], np.int64)
+    rng = np.random.default_rng(bucket)
+    tables = [_root_tables(rng, c) for c in customers]
     rows = []
-    for who, a, b in zip(asked, cut, cut[1:]):
+    for chunk, a, b in zip(asked.column("chunk").to_pylist(), cut, cut[1:]):
         own = number[a:b]
-        if last and who >= 0:
-            rows.append((who, WORDS, bucket, None, None, bundle([pack(x[own]) for x in (count, *customers, *tables)]), None, None))
-        elif not last:
-            rows.append((bucket, ROOT, -1 - who, None, None, bundle([*(pack(x[own]) for x in (*customers, *tables)), pack_sorted(keys[own])]), None, None))
+        rows.append((chunk, WORDS, bucket, None, None, bundle([pack(x[own]) for x in (count, *customers, *tables)]), None, None))
     rows.append(_sums(TOTALS, 0, [int(x.sum()) for x in (*customers, *tables)], bucket))
     return _table(rows, _ANSWER_ARROW)
 
@@ -347,17 +376,20 @@ def _root(customers: np.ndarray, tables: np.ndarray, totals: Totals, k: int) ->
     return (customers - ROOT_DISCOUNT * tables + spare / (totals.vocabulary + 1)) / (ROOT_STRENGTH + totals.customers[k])
 
 
-def _seat_again(table: pa.Table, sizes: Sizes, totals: Totals) -> pa.Table:
+def _seat_again(table: pa.Table, totals: Totals) -> pa.Table:
     """Second seating, with the root as the parent: customers and tables of pairs and restaurants to all chunks that have them, and tables to the root."""
     bucket = table.column("bucket")[0].as_py()
     kind, data = table.column("kind").to_pylist(), table.column("data").to_pylist()
-    chunk, n, entries, count, dish, head, mine, contexts = (unpack(x) for x in unbundle(data[kind.index(KEPT)]))
-    chunk, n, count, dish, house = chunk.astype(np.int64), n.astype(np.int64), count.astype(np.int64), dish.astype(np.int64), np.cumsum(head.astype(np.int64)) - 1
-    entries = np.cumsum(entries, dtype=np.uint64)
-    number = (entries - np.repeat(np.arange(len(n)), n).astype(np.uint64) * np.uint64(len(count))).astype(np.int64)
+    chunk, n, entries, *kept = unbundle(data[kind.index(KEPT)])
+    chunk, n, count, dish, head, mine, contexts = (unpack(x).astype(np.int64) for x in (chunk, n, *kept))
+    house = np.cumsum(head) - 1
+    number = _unpack_entries(entries, n, len(count))
     # the root answers by the top bits of the words, so in their order
-    answers = [d for _, d in sorted((c, d) for k, c, d in zip(kind, table.column("chunk").to_pylist(), data) if k == ROOT)]
-    customers, tables, words = (np.concatenate(x) for x in zip(*((unpack(c), unpack(t), unpack_sorted(w)) for c, t, w in map(unbundle, answers))))
+    answers = sorted((c, d) for k, c, d in zip(kind, table.column("chunk").to_pylist(), data) if k == ROOT)
+    parts = [[unpack(x) for x in unbundle(d)] for _, d in answers]
+    customers, tables = (np.concatenate(x) for x in zip(*parts))
+    ends = np.cumsum([len(c) for c, _ in parts])
+    runs = [(c, slice(int(e) - len(p[0]), int(e))) for (c, _), e, p in zip(answers, ends, parts)]
     parent = _root(customers.astype(np.int64), tables.astype(np.int64), totals, 0)
     houses = int(house[-1]) + 1
     samples = seat(np.random.default_rng([bucket, 1]), count, house, houses, parent[dish], DISCOUNT, STRENGTH)
@@ -371,7 +403,7 @@ def _seat_again(table: pa.Table, sizes: Sizes, totals: Totals) -> pa.Table:
         place = np.unique(house[own])
         rows.append((to, PAIRS, bucket, None, None, bundle([pack(x) for x in (count[own], *(t[some] for t in samples), guests[place], *(t[place] for t in total))]), None, None))
     rows += [_sums(HOUSES, c, [int(t[h]) for t in total], bucket) for h, c in zip(mine.tolist(), contexts.tolist())]
-    return _table(rows + _sent(bucket, words, dish, samples, sizes), _ANSWER_ARROW)
+    return _table(rows + _sent(bucket, dish, samples, runs), _ANSWER_ARROW)
 
 
 @dataclass
@@ -514,11 +546,12 @@ def score(docs: DataFrame, save) -> DataFrame:
         return seated.filter(F.col("kind") == SENT).select("bucket", "chunk", "n", "keys", F.col("data").alias("more"))
 
     seated = save(table.mapInArrow(ask_pairs, _ASK).groupBy("bucket").applyInArrow(lambda rows: _seat_pairs(rows, sizes, shared.value), _ANSWER))
-    root = save(sent(seated).groupBy("bucket").applyInArrow(lambda rows: _seat_root(rows, 1), _ANSWER))
+    root = save(sent(seated).groupBy("bucket").applyInArrow(_seat_root, _ANSWER))
     before = totals_of(root, 1)
     again = seated.filter(F.col("kind") == KEPT).unionByName(root.filter(F.col("kind") == ROOT)).select("bucket", "kind", "chunk", "data")
-    of_pairs = save(again.groupBy("bucket").applyInArrow(lambda rows: _seat_again(rows, sizes, before), _ANSWER))
-    answered = save(asked.unionByName(sent(of_pairs)).groupBy("bucket").applyInArrow(lambda rows: _seat_root(rows, SAMPLES), _ANSWER))
+    of_pairs = save(again.groupBy("bucket").applyInArrow(lambda rows: _seat_again(rows, before), _ANSWER))
+    keeper = root.filter(F.col("kind") == KEPT).select("bucket", F.lit(KEEPER).alias("chunk"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("keys"), F.col("data").alias("more"))
+    answered = save(asked.unionByName(sent(of_pairs)).unionByName(keeper).groupBy("bucket").applyInArrow(_seat_root_again, _ANSWER))
     totals = totals_of(answered, SAMPLES)
     opened = _added(of_pairs, HOUSES, SAMPLES)
     hot.tables = np.array([opened.get(k, [0] * SAMPLES) for k in hot.keys.tolist()], np.int64).reshape(-1, SAMPLES).T
