@@ -72,3 +72,78 @@ def test_thresholds_take_the_best_f1(spark):
     own, _ = toxicity.thresholds(scores, labels)
     got = {r["lang"]: r["threshold"] for r in own.collect()}
     assert 0.3 < got["en"] <= 0.9 and 0.1 < got["de"] <= 0.3
+
+
+def test_gradients_equal_differences():
+    """Every kind of weight, in double precision, against the change of the loss."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (9, 1, 2, 30, 0, 5)]
+    toxic, weight = np.array([1.0, 0, 1, 0, 1, 0]), np.array([1.0, 2, 0.5, 1, 1, 3])
+    d, f = toxicity.DIM, toxicity.FILTERS
+    m = toxicity.Model(
+        rng.normal(0, 0.3, ((2 + len(toxicity.PREFIXES)) * toxicity.BUCKETS, d)), [rng.normal(0, 0.5, (w * d, f)) for w in toxicity.WIDTHS],
+        [rng.normal(0, 0.1, f) for _ in toxicity.WIDTHS], rng.normal(0, 0.5, len(toxicity.WIDTHS) * f), 0.1,
+    )
+    pooled = m.pooled
+    rows, first = toxicity.features(texts)
+
+    def exact(rows, first, arg=False):
+        """The pooled values in double precision, text by text."""
+        pool, where = np.zeros((len(first) - 1, len(toxicity.WIDTHS) * f)), np.full((len(first) - 1, len(toxicity.WIDTHS) * f), -1, np.int64)
+        x = m.embed[rows].sum(axis=1)
+        for t, (a, b) in enumerate(zip(first, first[1:])):
+            for j, w in enumerate(toxicity.WIDTHS):
+                if b - a >= w:
+                    y = np.stack([np.concatenate(x[k : k + w]) @ m.filters[j] for k in range(a, b - w + 1)])
+                    pool[t, j * f : (j + 1) * f] = np.maximum(y.max(axis=0) + m.bias[j], 0)
+                    where[t, j * f : (j + 1) * f] = a + y.argmax(axis=0)
+        return pool, where
+
+    got, at = pooled(rows, first, arg=True)
+    assert np.allclose(got, exact(rows, first)[0], atol=1e-5) and (at == exact(rows, first)[1]).all()
+    m.pooled = exact
+
+    def loss():
+        z = exact(rows, first)[0] @ m.dense + m.offset
+        return float((weight * (np.log1p(np.exp(z)) - toxic * z)).sum())
+
+    g_filters, g_biases, at, total, g_dense, g_offset = m.gradients(rows, first, toxic, weight)
+    checks = [(m.dense, (3,), g_dense[3]), (m.dense, (20,), g_dense[20])]
+    checks += [(m.filters[j], (k, 4), g_filters[j][k, 4]) for j in range(len(toxicity.WIDTHS)) for k in (0, d * toxicity.WIDTHS[j] - 1)]
+    checks += [(m.bias[j], (2,), g_biases[j][2]) for j in range(len(toxicity.WIDTHS))]
+    checks += [(m.embed, (int(at[k]), 5), total[k, 5]) for k in range(0, len(at), 5)]
+    for array, place, gradient in checks:
+        old, step = array[place], 1e-6
+        array[place] = old + step
+        up = loss()
+        array[place] = old - step
+        down = loss()
+        array[place] = old
+        assert abs((up - down) / (2 * step) - gradient) < 1e-4 * max(1, abs(gradient))
+    m.offset += 1e-6
+    up = loss()
+    m.offset -= 2e-6
+    assert abs((up - loss()) / 2e-6 - g_offset) < 1e-4
+
+
+def test_extra_columns_come_back_unchanged(planted):
+    docs, labels, truth = planted
+    extra = {c: F.concat(F.lit(c), F.col("doc_id")) for c in ("lang_", "own_", "threshold_", "toxicity_", "score", "threshold", "rest", "bin", "toxic")}
+    docs = docs.withColumns(extra)
+    kept = toxicity.keep_clean(docs, labels, write_table)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert len(rows) > 600 and all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in extra)
+    assert kept.exceptAll(docs).count() == 0
+
+
+def test_an_id_with_very_many_rows_is_sampled_once(spark, planted, monkeypatch):
+    docs, labels, _ = planted
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weight: seen.append((texts, toxic, weight)))
+    toxicity.train(docs, labels)
+    many = docs.unionByName(docs.filter("doc_id = 1").withColumn("text", F.lit("x")).crossJoin(spark.range(3000)).drop("id"))
+    toxicity.train(many, labels)
+    (one, toxic1, weight1), (two, toxic2, weight2) = seen
+    assert one == two and (toxic1 == toxic2).all() and np.allclose(weight1, weight2)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .text import Words, blocks, byte_class, remainder
 
 #: bounds of the sample that the classifier is fitted on: rows of a label, bytes of their texts
-SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 24 << 20
 #: rows with remainder 0 of crc32(doc_id) by this are held out
 FOLDS = 5
 DIM, FILTERS, WIDTHS = 16, 12, (1, 2, 3)
@@ -91,6 +91,35 @@ class Model:
     def logits(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.pooled(rows, first)[0] @ self.dense + self.offset
 
+    def gradients(self, rows: np.ndarray, first: np.ndarray, toxic: np.ndarray, weight: np.ndarray):
+        """Gradients of the weighted sum of log losses: by filters and their biases, the embedding rows
+        concerned and theirs, by the dense layer and its offset."""
+        pool, where = self.pooled(rows, first, arg=True)
+        p = 1 / (1 + np.exp(-np.clip(pool @ self.dense + self.offset, -30, 30)))
+        g = (p - toxic) * weight
+        g_pool = g[:, None] * self.dense * (pool > 0)
+        g_filters, g_biases = [np.zeros_like(f) for f in self.filters], [np.zeros_like(b) for b in self.bias]
+        touched, grads = [], []
+        for j, width in enumerate(WIDTHS):
+            cols = slice(j * FILTERS, (j + 1) * FILTERS)
+            d, f = np.nonzero((g_pool[:, cols] != 0) & (where[:, cols] >= 0))
+            if not len(d):
+                continue
+            up, at = g_pool[d, j * FILTERS + f], where[d, j * FILTERS + f]
+            np.add.at(g_biases[j], f, up)
+            for s in range(width):
+                near = rows[at + s]
+                part = np.zeros((FILTERS, DIM), g_filters[j].dtype)
+                np.add.at(part, f, up[:, None] * self.embed[near].sum(axis=1))
+                g_filters[j][s * DIM : (s + 1) * DIM] += part.T
+                touched.append(near.ravel())
+                grads.append(np.repeat(up[:, None] * self.filters[j][s * DIM : (s + 1) * DIM].T[f], near.shape[1], axis=0))
+        at, inverse = np.unique(np.concatenate(touched), return_inverse=True) if touched else (np.zeros(0, np.int64), None)
+        total = np.zeros((len(at), DIM), self.embed.dtype)
+        if touched:
+            np.add.at(total, inverse, np.concatenate(grads))
+        return g_filters, g_biases, at, total, pool.T @ g, float(g.sum())
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         z = np.clip(self.logits(*features(texts)).astype(np.float64), -30, 30)
         return 1 / (1 + np.exp(-z))
@@ -114,37 +143,13 @@ def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, seed: int = 7
             lens = np.array([len(data[i]) for i in ids])
             first = np.r_[0, np.cumsum(lens)]
             rows = np.concatenate([data[i] for i in ids])
-            pool, where = m.pooled(rows, first, arg=True)
-            p = 1 / (1 + np.exp(-np.clip(pool @ m.dense + m.offset, -30, 30)))
-            g = (p - toxic[ids]) * weight[ids] / len(ids)
-            g_dense, g_offset = pool.T @ g, float(g.sum())
-            g_pool = g[:, None] * m.dense * (pool > 0)
-            touched, grads = [], []
-            for j, width in enumerate(WIDTHS):
-                cols = slice(j * FILTERS, (j + 1) * FILTERS)
-                d, f = np.nonzero((g_pool[:, cols] != 0) & (where[:, cols] >= 0))
-                if not len(d):
-                    continue
-                up, at = g_pool[d, j * FILTERS + f], where[d, j * FILTERS + f]
-                g_filter, g_bias = np.zeros_like(m.filters[j]), np.zeros_like(m.bias[j])
-                np.add.at(g_bias, f, up)
-                for s in range(width):
-                    near = rows[at + s]
-                    x = m.embed[near].sum(axis=1)
-                    part = np.zeros((FILTERS, DIM), np.float32)
-                    np.add.at(part, f, up[:, None] * x)
-                    g_filter[s * DIM : (s + 1) * DIM] += part.T
-                    back = up[:, None] * m.filters[j][s * DIM : (s + 1) * DIM].T[f]
-                    touched.append(near.ravel())
-                    grads.append(np.repeat(back, near.shape[1], axis=0))
-                past["f"][j] += g_filter**2
-                past["b"][j] += g_bias**2
-                m.filters[j] -= rate * g_filter / rate_of(past["f"][j])
-                m.bias[j] -= rate * g_bias / rate_of(past["b"][j])
-            if touched:
-                at, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                total = np.zeros((len(at), DIM), np.float32)
-                np.add.at(total, inverse, np.concatenate(grads))
+            g_filters, g_biases, at, total, g_dense, g_offset = m.gradients(rows, first, toxic[ids], weight[ids] / len(ids))
+            for j in range(len(WIDTHS)):
+                past["f"][j] += g_filters[j] ** 2
+                past["b"][j] += g_biases[j] ** 2
+                m.filters[j] -= rate * g_filters[j] / rate_of(past["f"][j])
+                m.bias[j] -= rate * g_biases[j] / rate_of(past["b"][j])
+            if len(at):
                 past["e"][at] += (total**2).mean(axis=1)
                 m.embed[at] -= rate * total / rate_of(past["e"][at])[:, None]
             past["d"] += g_dense**2
@@ -164,9 +169,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Of each label, rows are taken by a hash of doc_id, as many as SAMPLE_ROWS and
     SAMPLE_BYTES allow (whole texts); weights restore the labels' shares. Ids and
-    lengths decide, so texts of other rows are never moved.
+    lengths decide, so texts of other rows are never moved. Rows that repeat an id count
+    as one, by their longest text (the first by code points of equally long ones).
     """
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("size"))
+    lengths = lengths.groupBy("doc_id").agg(F.max("size").alias("size"))
     rows = lengths.join(known(labels), "doc_id").filter(remainder(FOLDS) != 0)
     totals = {r["toxic"]: (r["n"], r["size"] or 0) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()}
     share = {y: min(1.0, SAMPLE_ROWS / n, SAMPLE_BYTES / max(1, size)) for y, (n, size) in totals.items()}
@@ -177,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         wanted = wanted | ((F.col("toxic") == y) & (part < round(s * scale)))
     ids = rows.filter(wanted).select("doc_id", "toxic").distinct()
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in chosen.join(F.broadcast(ids), "doc_id").collect())
+    one = chosen.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(-F.coalesce(F.octet_length("text"), F.lit(0)), "text")).alias("t"))
+    got = sorted((r["doc_id"], r["toxic"], r["t"]["text"] or "") for r in one.collect())
     toxic = np.array([y for _, y, _ in got], np.int64)
     weight = np.array([1 / share[y] for _, y, _ in got], np.float64)
     return fit([t.encode("utf-8", "surrogatepass") for _, _, t in got], toxic, weight / weight.mean() if len(got) else weight)
@@ -245,6 +253,11 @@ def classify(docs: DataFrame, labels: DataFrame, save) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, save) -> DataFrame:
     """The documents, all columns kept, without those that their language's threshold rejects."""
-    name = "toxicity_"
-    rows = save(scored(docs, train(docs, labels), name))
-    return judged(rows, labels, name, "lang", "threshold_").filter(F.col(name) < F.col("threshold_")).select(*docs.columns)
+    # every column travels under a name of its own, so that no extra column can clash
+    names = docs.columns
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest")
+    )
+    rows = save(scored(own, train(docs, labels)))
+    clean = judged(rows, labels).filter(F.col("score") < F.col("threshold"))
+    return clean.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
