@@ -22,10 +22,12 @@ def line_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("rid", "order_", F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line_")).select("rid", "order_", "pos", F.xxhash64(body).alias("hash"), F.octet_length(body).cast("long").alias("bytes"))
 
 
-def repeated(lines: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated(lines: DataFrame, save, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(rid, pos) of every line in a run that occurred earlier, by order_, rid and place.
 
-    A run counts if it has ``min_bytes`` bytes; no group of lines grows with a text.
+    A run counts if it has ``min_bytes`` bytes; no group of lines grows with a text. The
+    earliest places are written as a table, so that the join with them is one of
+    plain shuffles, whose hot keys adaptive execution splits.
     """
     doc = Window.partitionBy("rid")
     seq = lines.filter("bytes > 0").withColumn("end", F.sum("bytes").over(doc.orderBy("pos"))).withColumn("at", F.col("end") - F.col("bytes"))
@@ -46,7 +48,7 @@ def repeated(lines: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     )
     place = F.struct("last_", "order_", "rid", "k")
     first = windows.groupBy(*key).agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = windows.join(first, key).filter(place > F.col("f"))
+    later = windows.join(save(first), key).filter(place > F.col("f"))
     hit = later.select("rid", F.explode(F.sequence("k", F.col("k") + F.col("m") - 1)).alias("k")).distinct()
     return seq.select("rid", "k", "pos").join(hit, ["rid", "k"]).select("rid", "pos")
 
@@ -56,10 +58,10 @@ def _rows(docs: DataFrame, save) -> DataFrame:
     return save(docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("order_", F.col("doc_id").cast("long")))
 
 
-def _marked(rows: DataFrame, min_bytes: int, text: str = "text") -> DataFrame:
+def _marked(rows: DataFrame, save, min_bytes: int, text: str = "text") -> DataFrame:
     """rid and, for texts that lose lines, a mark for each line (true: deleted)."""
     lines = line_rows(rows, text)
-    gone = repeated(lines, min_bytes).withColumn("gone", F.lit(True))
+    gone = repeated(lines, save, min_bytes).withColumn("gone", F.lit(True))
     marks = lines.select("rid", "pos").join(gone, ["rid", "pos"], "left").groupBy("rid").agg(F.collect_list(F.struct("pos", F.coalesce("gone", F.lit(False)).alias("gone"))).alias("m"), F.max("gone").alias("any_"))
     return marks.filter("any_").select("rid", F.transform(F.array_sort("m"), lambda x: x["gone"]).alias("gone_"))
 
@@ -83,7 +85,7 @@ def dedup(docs: DataFrame, save, min_bytes: int = MIN_BYTES) -> DataFrame:
     names = docs.columns
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"))
     rows = _rows(own, save)
-    marks = _marked(rows, min_bytes)
+    marks = _marked(rows, save, min_bytes)
     out = rows.join(marks, "rid", "left").withColumn("text", F.when(F.col("gone_").isNotNull(), _kept(F.col("text"), F.col("gone_"))).otherwise(F.col("text")))
     return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in names])
 
@@ -91,14 +93,14 @@ def dedup(docs: DataFrame, save, min_bytes: int = MIN_BYTES) -> DataFrame:
 def report(docs: DataFrame, save, min_bytes: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the text that stays, for every row."""
     rows = _rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), save)
-    out = rows.join(_marked(rows, min_bytes), "rid", "left")
+    out = rows.join(_marked(rows, save, min_bytes), "rid", "left")
     text = F.coalesce("text", F.lit(""))
     lost = F.coalesce(F.size(F.filter("gone_", lambda g: g)), F.lit(0))
     kept = F.when(F.col("gone_").isNotNull(), _kept(text, F.col("gone_"))).otherwise(text)
     return out.select("doc_id", F.when(text == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"), F.greatest(lost, F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
-#: the same rows by comparing whole windows of lines as lists of strings
+#: the same rows by comparing windows from and up to each line as lists of strings
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -107,21 +109,17 @@ WITH lines AS (
 ), placed AS (
   SELECT *, CAST(sum(b) OVER (PARTITION BY doc_id ORDER BY pos) - b AS BIGINT) AS head, CAST(sum(b) OVER (PARTITION BY doc_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM used
 ), listed AS (
-  SELECT *, list(body) OVER (PARTITION BY doc_id ORDER BY head RANGE BETWEEN CURRENT ROW AND {MIN_BYTES - 1} FOLLOWING) AS win,
-    list(body) OVER (PARTITION BY doc_id ORDER BY head RANGE BETWEEN {MIN_BYTES} PRECEDING AND 1 PRECEDING) AS bef FROM placed
-), seq AS (
-  SELECT *, list_prepend(body, coalesce(lead(win) OVER (PARTITION BY doc_id ORDER BY head), [])) AS aft, coalesce(list_reverse(bef), []) AS back FROM listed
+  SELECT *, list(body) OVER (PARTITION BY doc_id ORDER BY head RANGE BETWEEN CURRENT ROW AND {MIN_BYTES - 1} FOLLOWING) AS onward,
+    list(body) OVER (PARTITION BY doc_id ORDER BY head + b RANGE BETWEEN {MIN_BYTES - 1} PRECEDING AND CURRENT ROW) AS upto,
+    min(head) OVER (PARTITION BY doc_id ORDER BY head + b RANGE BETWEEN {MIN_BYTES - 1} PRECEDING AND CURRENT ROW) AS upto_head FROM placed
 ), windows AS (
-  SELECT *, first_value(doc_id) OVER w AS f_doc, first_value(k) OVER w AS f_k FROM seq WHERE head + {MIN_BYTES} <= total WINDOW w AS (PARTITION BY win ORDER BY doc_id, k)
-), pairs AS (
-  SELECT w.doc_id, w.k, w.aft, w.back, s.aft AS f_aft, s.back AS f_back FROM windows w JOIN seq s ON s.doc_id = w.f_doc AND s.k = w.f_k WHERE w.doc_id <> w.f_doc OR w.k <> w.f_k
-), runs AS (
-  SELECT doc_id,
-    k - (SELECT coalesce(min(i) - 1, least(len(p.back), len(p.f_back))) FROM range(1, least(len(p.back), len(p.f_back)) + 1) t(i) WHERE p.back[i] <> p.f_back[i]) AS a,
-    k + (SELECT coalesce(min(i) - 1, least(len(p.aft), len(p.f_aft))) FROM range(1, least(len(p.aft), len(p.f_aft)) + 1) t(i) WHERE p.aft[i] <> p.f_aft[i]) AS e
-  FROM pairs p
+  SELECT doc_id, k, onward AS win FROM listed WHERE head + {MIN_BYTES} <= total
+  UNION ALL
+  SELECT doc_id, k - len(upto) + 1, upto FROM listed WHERE head + b >= {MIN_BYTES} AND head - upto_head >= {MIN_BYTES}
+), later AS (
+  SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS n FROM windows
 ), gone AS (
-  SELECT DISTINCT r.doc_id, s.pos FROM runs r JOIN seq s ON s.doc_id = r.doc_id AND s.k >= r.a AND s.k < r.e
+  SELECT DISTINCT l.doc_id, p.pos FROM (SELECT DISTINCT doc_id, unnest(range(k, k + len(win))) AS k FROM later WHERE n > 1) l JOIN placed p ON p.doc_id = l.doc_id AND p.k = l.k
 )
 SELECT d.doc_id, CAST(CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM documents d
