@@ -133,3 +133,16 @@ def test_runs_repeat_any_earlier_document(spark):
     got = dict(linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), write_table).collect())
     assert got[3] == "" and got[5] == "own"
     assert got == earlier_runs(rows)
+
+
+def test_sql_takes_out_tails_that_repeat_a_later_document(spark):
+    """A run repeats a document after the one where its first window occurred: query, SQL and any-earlier-run agree."""
+    x, y, z = "x" * 130, "y" * 40, "z" * 40
+    rows = [(1, f"{x}\nother"), (2, f"{x}\n{y}\n{z}"), (3, f"{x}\n{y}\n{z}"), (4, f"{y}\n{z}\nend"), (5, f"{y}\n{y}\n{z}\n{x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.report(docs, write_table)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = con.execute(linededup.SQL).fetchall()
+    same(got.select("doc_id", "n_lines", "n_removed", "kept_sha256").collect(), want)
+    assert {r[0]: r[2] for r in want} == {1: 0, 2: 1, 3: 3, 4: 0, 5: 1}

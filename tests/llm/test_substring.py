@@ -67,3 +67,20 @@ def test_packing_round_trips():
         assert (exchange.unpack(exchange.pack(x)) == x).all()
         assert (exchange.unpack_sorted(exchange.pack_sorted(np.sort(x))) == np.sort(x)).all()
     assert len(exchange.unpack(exchange.pack(np.zeros(0, np.uint64)))) == 0
+
+
+def twins(k):
+    """Two different words of 2^k bytes whose sums of value * base^position are equal modulo 2^64 for large k."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_sums_cannot_tell_apart(spark):
+    head = " ".join(f"w{i}" for i in range(12))
+    for k in (6, 10, 12):
+        one, two = twins(k)
+        docs = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}")], "doc_id long, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in substring.report(docs, write_table).collect()}
+        assert got == {1: 0, 2: 0, 3: 13}

@@ -12,12 +12,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 2 << 20
 #: bytes that are hashed at once
 PIECE = 1 << 19
+#: words from so many bytes on are hashed by XXH64: sums of value * base^position are equal for some pairs of
+#: words of 2^k bytes, whatever the base, where k is large
+LONG_WORD = 64
 
 _U = np.uint64
 # a fixed random value per byte and an odd base; the hashes are sums of value * base^position mod 2^64
@@ -86,7 +90,7 @@ class Words:
     def hashes(self, *lengths: int | None) -> list[np.ndarray]:
         """Hashes of the words' first bytes (of whole words for None, and of words that are shorter).
 
-        Worked out for runs of words of about ``PIECE`` bytes, so that memory doesn't grow with the texts.
+        ``LONG_WORD`` bytes and more are hashed one by one. Worked out for runs of words of about ``PIECE`` bytes, so that memory doesn't grow with the texts.
         """
         out = [np.empty(len(self), np.uint64) for _ in lengths]
         a = 0
@@ -102,6 +106,11 @@ class Words:
                 to = end if n is None else np.minimum(start + n, end)
                 h[a:b] = mix((acc[to] - acc[start]) * back)
             a = b
+        for h, n in zip(out, lengths):
+            if n is None or n >= LONG_WORD:
+                for k in np.flatnonzero(self.end - self.start >= LONG_WORD).tolist():
+                    word = self.raw[self.start[k] : self.end[k]][:n]
+                    h[k] = xxhash.xxh64_intdigest(word.lower() if self._bytes is _BYTE_LOWER else word)
         return out
 
     def __len__(self) -> int:
