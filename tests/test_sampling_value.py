@@ -278,3 +278,15 @@ def test_gae_reads_the_next_blocks_where_nothing_is_left_of_later_ones(spark):
         g = float(i % 7 == 0) + (0 if done else 0.25) - 0.25 + (0 if done else 0.5 * g)
         want[i] = g
     assert len(got) == 2 * n and all(abs(got[e, i] - want[i]) < 1e-9 for e in ("e", None) for i in range(n))
+
+
+def test_degraded_moves_are_uniform_draws(spark):
+    """Every move of a node is drawn about equally often over many nodes; a hub's moves are combined before the shuffle."""
+    n = 3000
+    pol = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node"), F.lit(1).alias("dist"), F.lit("m0").alias("move"))
+    moves = pol.select("node", F.explode(F.array(*[F.lit(f"m{k}") for k in range(4)], F.lit("m3"))).alias("action"))
+    got = VE.degrade_policy(pol, moves, p=0.0)
+    assert got.where("is_random").count() == n
+    share = {r["move"]: r["count"] / n for r in got.groupBy("move").count().collect()}
+    assert set(share) == {"m0", "m1", "m2", "m3"} and all(abs(x - 0.25) < 0.04 for x in share.values())
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()

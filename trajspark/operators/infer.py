@@ -8,14 +8,13 @@ recomputed lineage would sample different text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.session import checkpoint_dir, cut_lineage
+from trajspark.session import cut_lineage, new_folder
 
 Scorer = Callable[[list[str]], list[str]]
 _SCORERS: dict[str, Callable[[], Scorer]] = {}
@@ -71,7 +70,7 @@ def infer(
     if path is None:
         return cut_lineage(res)
     if path == "auto":
-        path = f"{checkpoint_dir(spark).rstrip('/')}/infer-{uuid.uuid4().hex}"
+        path = new_folder(spark, "infer")
     res.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -277,19 +277,14 @@ def shortest_policy(
 def degrade_policy(policy: DataFrame, moves: DataFrame, p: float, seed: int | str = 42) -> DataFrame:
     """With probability 1 − p replace a node's move by a uniform draw from its moves.
 
-    ``moves`` is (node, action). The draw ranks a node's moves by action and
-    picks rank floor(u·deg): one window per node, no per-node list.
+    ``moves`` is (node, action). The draw is the move with the least seeded key: one
+    partial aggregate, so a hub's moves are combined where they are read and no
+    task holds, ranks or counts them. Repeated moves are drawn as one.
     """
     u_keep = seeded_uniform(seed, ["node"])
-    u_pick = seeded_uniform(f"{seed}|pick", ["node"])
-    pol = policy.where(F.col("move").isNotNull()).select(
-        "node", "dist", "move", u_keep.alias("_uk"), u_pick.alias("_up")
-    )
-    w = Window.partitionBy("node").orderBy("action")
-    ranked = moves.select("node", "action").distinct().withColumn("_r", F.row_number().over(w) - 1).withColumn(
-        "_deg", F.count(F.lit(1)).over(Window.partitionBy("node"))
-    )
-    j = pol.join(ranked, "node").where(F.col("_r") == F.floor(F.col("_up") * F.col("_deg")))
+    pol = policy.where(F.col("move").isNotNull()).select("node", "dist", "move", u_keep.alias("_uk"))
+    drawn = moves.groupBy("node").agg(F.min_by("action", F.struct(seeded_key(f"{seed}|pick", ["node", "action"]), "action")).alias("action"))
+    j = pol.join(drawn, "node")
     return j.select(
         "node",
         "dist",

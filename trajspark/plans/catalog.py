@@ -927,17 +927,15 @@ def x5a(spark, sf):
 
 
 # ---------------------------------------------------------------- S family
-import uuid  # noqa: E402
-
 from pyspark.sql import types as TY  # noqa: E402
 
-from trajspark.session import checkpoint_dir, write_table  # noqa: E402
+from trajspark.session import new_folder, write_table  # noqa: E402
 from trajspark.sources import io as S  # noqa: E402
 
 
 def _scratch(spark, tag: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return new_folder(spark, tag)
 
 
 @query("s1_read_buffer")

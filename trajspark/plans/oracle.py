@@ -388,13 +388,11 @@ SELECT v2.state, round(v2.value, 6) AS value, CAST(coalesce(vis.visits, 0) AS BI
 FROM v2 LEFT JOIN (SELECT state, sum(n) AS visits FROM pairs GROUP BY state) vis ON vis.state = v2.state""",
     "v4_shortest_path": _recursive(W("graph_edges")) + BFS + "SELECT node, dist, move FROM pol",
     "v5_degrade_policy": _recursive(W("graph_edges")) + BFS + f""",
-mv AS (SELECT src AS node, dst AS action, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS r,
-              count(*) OVER (PARTITION BY src) AS deg
-       FROM (SELECT DISTINCT src, dst FROM graph_edges) g)
+mv AS (SELECT src AS node, arg_min(dst, md5('42|pick|' || src || '|' || dst)) AS action FROM graph_edges GROUP BY src)
 SELECT p.node, p.dist, CASE WHEN {_u('42', 'p.node')} < 0.5 THEN p.move ELSE mv.action END AS move,
        {_u('42', 'p.node')} >= 0.5 AS is_random
 FROM pol p JOIN mv ON mv.node = p.node
-WHERE p.move IS NOT NULL AND mv.r = floor({_u('42|pick', 'p.node')} * mv.deg)""",
+WHERE p.move IS NOT NULL""",
     "v6_backward_induction": W("ep_events") + _layers_sql() + """
 SELECT layer, node, maximize, value FROM vals""",
     "v7_greedy_actions": W("ep_events") + GREEDY + "SELECT node, action, value, is_pick FROM greedy",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -58,6 +60,40 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+_written: list[str] = []
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder under the shared checkpoint folder; ``clean`` removes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clean(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the folders that this process's jobs wrote (but for the first ``keep``), and return their number.
+
+    Jobs that cut their lineage leave their tables in the shared folder, as results are
+    read from them. Call this when the results are written or no longer needed.
+    """
+    gone = _written[keep:]
+    del _written[keep:]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove at the end what jobs inside wrote to the shared folder: ``with scratch(spark): query(...).write...``."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clean(spark, before)
+
+
 def write_table(df, tag: str = "tbl"):
     """Cut lineage by writing a Parquet table into the shared checkpoint folder.
 
@@ -65,9 +101,6 @@ def write_table(df, tag: str = "tbl"):
     read-back has no known partitioning, so use ``cut_lineage`` where a
     later join relies on the partitioning or a partition's row order.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, tag)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
