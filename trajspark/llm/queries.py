@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
+from ..session import new_folder
 from ..sources.tables import table
 from . import bpe, collocation, decontam, exact, linededup, mixing, pii, pitmanyor, ranked, sharding, simhash, substring, toxicity
 
@@ -18,7 +17,7 @@ SQL: dict[str, str] = {}
 
 def write_table(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table to the shared folder, well compressed as texts are, and read it again."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "llm")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
