@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.operators.steps import _same, _with_next_state
+from trajspark.operators.steps import _with_next_state
 
 #: fixed values: marks of the players by code
 MARKS = ("O", "X")
