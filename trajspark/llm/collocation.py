@@ -20,15 +20,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import _deflate, bundle, pack, pack_sorted, unbundle, unpack, unpack_sorted
 from .text import LOWER, blocks, byte_class, mix
 
-import zstandard
-
 #: words are made of all bytes but space, tab and these, which end a piece
 BREAK = ~byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 WORD = byte_class((0x20, 0x20), (0x09, 0x09)) & ~BREAK
