@@ -3,11 +3,13 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF001
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from trajspark.functions import text as text_module
 from trajspark.functions.text import register_subwords, token_ids
 from trajspark.operators import examples as X
 from trajspark.operators import steps as T
@@ -59,6 +61,28 @@ def test_token_rows_of_ids(spark, library):
     assert got == [(i, x, 2.5 if i == len(want) - 1 else 0.0) for i, x in enumerate(want)]
 
 
+class _Recorder:
+    """A vocabulary that notes the characters it was given at once."""
+
+    def __init__(self, made):
+        self.made, self.sizes = made, []
+
+    def encode_batch(self, texts, add_special_tokens):
+        self.sizes.append(sum(map(len, texts)))
+        return self.made.encode_batch(texts, add_special_tokens=add_special_tokens)
+
+
+def test_few_texts_are_encoded_at_once(library, monkeypatch):
+    """Many texts, and a long one in parts at words' ends: no call sees more than a bounded piece, and the ids are those of the whole."""
+    recorder = _Recorder(library)
+    monkeypatch.setattr(text_module, "_subwords", lambda file, special: (recorder, True))
+    monkeypatch.setattr(text_module, "ENCODE_BYTES", 500)
+    texts = [None, "", "a word  and\n\n more, it's 12 \u4e2d\u3002 ", *["some words of a turn "] * 200, "long text, that isn't cut  inside\tof words 1.5 " * 100, "x" * 900, None]
+    got = [[i for part in x for i in part.tolist()] for x in text_module._encoded(pa.array(texts, pa.string()), "f", ())]
+    assert got == [ids(library, x) for x in texts]
+    assert max(recorder.sizes) <= 900 and sorted(recorder.sizes)[-2] <= 520
+
+
 def test_registered_queries_equal_the_library(spark, library):
     marks = sorted({"<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"} & {m for t in X.LLAMA3.values() for m in ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"] if m in t})
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

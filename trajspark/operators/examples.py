@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajspark.functions.text import token_count, token_ids, tokens
+from trajspark.functions.text import token_count, token_id_count, token_ids, tokens
 from trajspark.operators import metrics as A
 from trajspark.operators import sampling as D
 from trajspark.operators import steps as T
@@ -94,8 +94,8 @@ def label_id_masks(df: DataFrame, max_len: int, tokenizer: str) -> DataFrame:
     """``label_masks`` over the ids of a subword vocabulary: ``input_ids`` cut to ``max_len``, and
     ``labels`` with −100 on the positions that the query's own ids take up. Rows without a
     label are flagged ``kept = false``."""
-    t = df.withColumn("_all", token_ids(F.col("full_text"), tokenizer)).withColumn("_query", token_ids(F.col("query_text"), tokenizer))
-    t = t.select(*df.columns, F.slice("_all", 1, max_len).alias("input_ids"), F.size("_query").alias("n_prompt"))
+    t = df.withColumn("_all", token_ids(F.col("full_text"), tokenizer)).withColumn("n_prompt", token_id_count(F.col("query_text"), tokenizer))
+    t = t.select(*df.columns, F.slice("_all", 1, max_len).alias("input_ids"), "n_prompt")
     labels = F.transform("input_ids", lambda x, i: F.when(i < F.col("n_prompt"), IGNORE_INDEX).otherwise(x))
     n_label = F.greatest(F.size("input_ids") - F.col("n_prompt"), F.lit(0))
     return t.select("*", F.size("input_ids").alias("n_tokens"), n_label.alias("n_label"), labels.alias("labels"), (n_label > 0).alias("kept"))
