@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trajspark.functions import text as text_module
-from trajspark.functions.text import register_subwords, token_ids
+from trajspark.functions.text import register_subwords, token_id_count, token_ids
 from trajspark.operators import examples as X
 from trajspark.operators import steps as T
 from trajspark.plans.catalog import QUERIES, _rendered
@@ -83,6 +83,17 @@ def test_few_texts_are_encoded_at_once(library, monkeypatch):
     assert max(recorder.sizes) <= 900 and sorted(recorder.sizes)[-2] <= 520
 
 
+def test_long_text_gives_the_rows_of_the_whole(spark, library):
+    """A text of many pieces becomes the token rows of the whole text; its ids are counted without being handed out."""
+    register_subwords(spark, "t", public_tokenizers.path("byte_bpe_50k.json"), MARKS)
+    text = "several words, it's  12 of them.\n\n" * (3 * text_module.ENCODE_BYTES // 34)
+    df = spark.createDataFrame([(1, text, 1.0), (2, None, 1.0)], "k int, text string, r double")
+    want = ids(library, text)
+    assert [r["n"] for r in df.orderBy("k").select(token_id_count(F.col("text"), "t").alias("n")).collect()] == [len(want), 0]
+    got = T.token_rows(df, ["k"], reward=F.col("r"), vocabulary="t").agg(F.count("*"), F.sum("reward"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tok_idx", "token"))), lambda x: x["token"].cast("string")), ","))).first()
+    assert tuple(got) == (len(want), 1.0, hashlib.md5(",".join(map(str, want)).encode()).hexdigest())
+
+
 def test_registered_queries_equal_the_library(spark, library):
     marks = sorted({"<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"} & {m for t in X.LLAMA3.values() for m in ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"] if m in t})
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
