@@ -290,3 +290,26 @@ def test_degraded_moves_are_uniform_draws(spark):
     share = {r["move"]: r["count"] / n for r in got.groupBy("move").count().collect()}
     assert set(share) == {"m0", "m1", "m2", "m3"} and all(abs(x - 0.25) < 0.04 for x in share.values())
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_task_sorts_more_moves_than_its_share(spark, monkeypatch):
+    """A hub, a move that comes many times and many small nodes are dealt evenly; policy and draws stay the same."""
+    hub = spark.range(400).select(F.lit("hub").alias("node"), F.concat(F.lit("x"), "id").alias("action"))
+    again = spark.range(0, 800, 1, 8).select(F.lit("again").alias("node"), F.lit("y").alias("action"))
+    small = spark.range(800).select(F.concat(F.lit("n"), "id").alias("node"), F.lit("hub").alias("action"))
+    moves = hub.unionByName(again).unionByName(small)
+    edges = moves.select(F.col("node").alias("src"), F.col("action").alias("dst"), "action")
+    goals = spark.createDataFrame([("x1",), ("y",)], "node string")
+
+    def run():
+        pol = VE.shortest_policy(edges, goals)
+        return sorted(map(tuple, pol.collect()), key=str), sorted(map(tuple, VE.degrade_policy(pol, moves, p=0.3).collect()))
+
+    want = run()
+    monkeypatch.setattr(VE, "SORT_ROWS", 200)
+    dealt = VE._spread(moves, 2000, "node", "action")
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert dealt.rdd.getNumPartitions() == 10 and sum(sizes) == 2000 and max(sizes) < 2000 / 2
+    assert run() == want
+    pol = spark.createDataFrame([("hub", 1, "x1")], "node string, dist int, move string")
+    assert "spark_partition_id" in VE.degrade_policy(pol, moves, p=0.3)._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -34,6 +34,21 @@ def _bounded_broadcast(df: DataFrame, n_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
+#: rows that one task sorts for a least-of aggregation (some 270 bytes a row, measured)
+SORT_ROWS = 1 << 18
+
+
+def _spread(df: DataFrame, n_rows: int, *cols: str) -> DataFrame:
+    """Deal at most ``n_rows`` rows so that a task aggregates about ``SORT_ROWS`` of them.
+
+    An aggregate that keeps a text is sorted, a task's rows at once, and their number a
+    task grows with the input where small rows were packed into few partitions. The
+    partition that a row comes from is part of the deal, so repeated rows are spread too.
+    """
+    n = -(-n_rows // SORT_ROWS)
+    return df if n <= 1 else df.repartition(n, *cols, F.spark_partition_id())
+
+
 #: steps of an episode that one task works through at once
 SPAN = 4096
 # Blocks that are composed as one list.
@@ -240,6 +255,7 @@ def shortest_policy(
     # the edges are read in place each round; a hub's edges stay spread over the table's
     # partitions while the frontier is broadcast, and AQE splits them when it is joined
     e = write_table(edges.select("src", "dst", "action", F.col(rank).alias("_rank")), "bfs-edges")
+    n_edges = e.count()
     first = goals.select("node", F.lit(0).alias("dist"), F.lit(None).cast("string").alias("move"))
     rounds = [write_table(first, "bfs-round")]
     frontier = rounds[0]
@@ -253,7 +269,7 @@ def shortest_policy(
         front = frontier.select(F.col("node").alias("dst"))
         cand = e.join(_bounded_broadcast(front, front_bytes), "dst").select(F.col("src").alias("node"), "action", "_rank")
         # partial aggregation first: a node that many edges reach is one row per task
-        best = cand.groupBy("node").agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
+        best = _spread(cand, n_edges, "node", "action").groupBy("node").agg(F.min_by("action", F.struct("_rank", "action")).alias("move"))
         new = best.join(_bounded_broadcast(seen.select("node"), seen_bytes), "node", "left_anti")
         frontier = write_table(new.select("node", F.lit(d + 1).alias("dist"), "move"), "bfs-round")
         n_new, front_bytes = _size(frontier, "node")
@@ -278,12 +294,14 @@ def degrade_policy(policy: DataFrame, moves: DataFrame, p: float, seed: int | st
     """With probability 1 − p replace a node's move by a uniform draw from its moves.
 
     ``moves`` is (node, action). The draw is the move with the least seeded key: one
-    partial aggregate, so a hub's moves are combined where they are read and no
-    task holds, ranks or counts them. Repeated moves are drawn as one.
+    partial aggregate, so a hub's moves are combined before they meet and no
+    task holds, ranks or counts them. Repeated moves are drawn as one. The moves are
+    written once, and dealt so that a task sorts a bounded number of them.
     """
+    moves = write_table(moves.select("node", "action"), "moves")
     u_keep = seeded_uniform(seed, ["node"])
     pol = policy.where(F.col("move").isNotNull()).select("node", "dist", "move", u_keep.alias("_uk"))
-    drawn = moves.groupBy("node").agg(F.min_by("action", F.struct(seeded_key(f"{seed}|pick", ["node", "action"]), "action")).alias("action"))
+    drawn = _spread(moves, moves.count(), "node", "action").groupBy("node").agg(F.min_by("action", F.struct(seeded_key(f"{seed}|pick", ["node", "action"]), "action")).alias("action"))
     j = pol.join(drawn, "node")
     return j.select(
         "node",
