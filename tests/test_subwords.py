@@ -94,6 +94,15 @@ def test_long_text_gives_the_rows_of_the_whole(spark, library):
     assert tuple(got) == (len(want), 1.0, hashlib.md5(",".join(map(str, want)).encode()).hexdigest())
 
 
+def test_token_rows_encode_each_text_once(spark):
+    """One Python step in the plan, with no second one for a filter below; texts without ids still give no rows."""
+    register_subwords(spark, "t", public_tokenizers.path("byte_bpe_50k.json"), MARKS)
+    texts = spark.createDataFrame([(1, "some words"), (2, ""), (3, None)], "k int, text string")
+    rows = T.token_rows(texts, ["k"], reward=F.lit(1.0), vocabulary="t")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["k"] for r in rows.collect()} == {1}
+
+
 def test_registered_queries_equal_the_library(spark, library):
     marks = sorted({"<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"} & {m for t in X.LLAMA3.values() for m in ["<|begin_of_text|>", "<|start_header_id|>", "<|end_header_id|>", "<|eot_id|>"] if m in t})
     full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -334,8 +334,9 @@ def token_rows(
     reward = reward if reward is not None else F.lit(0.0)
     toks = token_ids(F.col(text), vocabulary) if vocabulary else F.filter(F.split(F.col(text), WS), lambda x: x != "")
     t = texts.select(*keys, toks.alias("_t"), is_action.alias("is_action"), reward.cast("double").alias("_r"))
-    t = t.select(*keys, "is_action", "_r", F.size("_t").alias("_n"), F.posexplode("_t").alias("tok_idx", "token"))
-    return t.select(
+    # outer: else Spark puts a filter on the array's size below, which encodes every text a second time
+    t = t.select(*keys, "is_action", "_r", F.size("_t").alias("_n"), F.posexplode_outer("_t").alias("tok_idx", "token"))
+    return t.where(F.col("tok_idx").isNotNull()).select(
         *keys,
         "tok_idx",
         "token",
