@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trajspark.streaming import incremental as M
@@ -73,6 +74,87 @@ def test_steps_out_of_order_inside_the_watermark(spark, tmp_path):
     assert got == {("u", 55, 70, "a b late purchase", "terminal"), (None, 61, 61, "n", "inactive")}
 
 
+def test_many_keys_share_a_state_and_are_told_apart(spark, tmp_path, monkeypatch):
+    """Episodes of interleaved keys in few groups, in entries of few steps; a batch's calls to the state follow the groups, not the keys."""
+    monkeypatch.setattr(M, "EPISODE_CHUNK", 5)
+    n, gap = 40, 120
+    rows = [(u if u else None, 100 * u + i, _at(m + u % 3), "purchase" if i == 2 and u % 2 else f"s{i}") for u in range(n) for i, m in enumerate((0, 10, 20, 30, 30 + gap + u % 2))]
+    want = set()
+    for u in range(n):
+        at = u % 3
+        if u % 2:
+            want |= {(u, at, at + 20, "s0 s1 purchase", "terminal"), (u, at + 30, at + 30, "s3", "inactive"), (u, at + 31 + gap, at + 31 + gap, "s4", "inactive")}
+        else:
+            want |= {(u or None, at, at + 30, "s0 s1 s2 s3", "inactive"), (u or None, at + 30 + gap, at + 30 + gap, "s4", "inactive")}
+    root, out, ckpt = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    batches = [[r for r in rows if r[2] < _at(25)][::-1], [r for r in rows if r[2] >= _at(25)], [(-1, 1, _at(6000), "x")]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{root}/part={i}")
+        s = spark.readStream.schema(SCHEMA).parquet(f"{root}/part=*").withWatermark("ts", "10 minutes")
+        ep = M.assemble_until_terminal(s, "user_id", "ts", "event_id", "state", F.col("state") == "purchase", gap * 60, groups=3)
+        with M.rocksdb_state(spark):
+            q = ep.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        assert q.exception() is None
+        assert all(o["numRowsUpdated"] <= 30 for p in q.recentProgress for o in p["stateOperators"])
+    minutes = lambda t: int((t - T0).total_seconds() // 60)
+    got = [(r.user_id, minutes(r.episode_start), minutes(r.episode_end), r.states, r.closed_by) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+class _Handle:
+    """A list state and timers that count the calls made to them."""
+
+    def __init__(self):
+        self.calls, self.held = 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def appendValue(self, x):
+        self.calls += 1
+        self.held.append(x)
+
+    def put(self, xs):
+        self.calls += 1
+        self.held = list(xs)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.held)
+
+    def clear(self):
+        self.calls += 1
+        self.held = []
+
+    def registerTimer(self, ms):
+        self.calls += 1
+
+
+class _Times:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_the_calls_to_a_state_do_not_follow_the_keys(spark):
+    """A thousand keys of a group cost as many calls as one: to append their steps, and to settle them."""
+    calls = []
+    for n in (1, 1000):
+        handle, made = _Handle(), M._EpisodeProcessor(1_000_000)
+        made.init(handle)
+        rows = [Row(k=f"k{i}", us=j * 5_000_000, o=j, s="x", t=False, g=7) for i in range(n) for j in range(2)]
+        assert list(made.handleInputRows((7,), iter(rows), _Times(0))) == []
+        left = [x for r in made.handleExpiredTimer((7,), _Times(1_500), None) for x in zip(r["key"], r["start_us"], r["n_steps"], r["closed_by"])]
+        assert sorted(left) == sorted((f"k{i}", 0, 1, "inactive") for i in range(n))
+        left = [x for r in made.handleExpiredTimer((7,), _Times(6_500), None) for x in zip(r["key"], r["start_us"])]
+        assert sorted(left) == sorted((f"k{i}", 5_000_000) for i in range(n)) and handle.held == []
+        calls.append(handle.calls)
+    assert calls[0] == calls[1] <= 8
+
+
 def test_new_states_under_a_second_checkpoint(spark, tmp_path):
     """A new checkpoint over an existing table keeps its rows and adds unseen ones only; null keys are states."""
     table = str(tmp_path / "table")

@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -275,18 +277,29 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
-_STEPS = "us array<bigint>, o array<bigint>, s array<string>, t array<boolean>"
+#: Groups of keys with one state each. A batch makes a few calls for each group it touches, however many keys that has.
+EPISODE_GROUPS = 1024
+#: Steps of one entry of a state, and episodes of one row on the way out.
+EPISODE_CHUNK = 1 << 13
+_STEPS = pa.schema([("k", pa.large_string()), ("us", pa.int64()), ("o", pa.int64()), ("s", pa.large_string()), ("t", pa.bool_())])
+
+
+def _to_bytes(steps: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, steps.schema) as out:
+        out.write_table(steps)
+    return sink.getvalue().to_pybytes()
 
 
 class _EpisodeProcessor(StatefulProcessor):
-    """Steps of one key as a list state that only grows, and timers at which an episode may be settled."""
+    """Steps of one group of keys as a list state of Arrow tables, and timers at which an episode may be settled."""
 
     def __init__(self, gap_us: int):
         self.gap_us = gap_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.steps = handle.getListState("steps", _STEPS)
+        self.steps = handle.getListState("steps", "steps binary")
 
     def _wake(self, due_us: int, watermark_ms: int) -> None:
         """Have a timer expire at ``due_us``, or as soon as it can: it has to lie after the watermark."""
@@ -294,21 +307,29 @@ class _EpisodeProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         """A batch costs its own steps: they are appended, and what is held is not read."""
-        us, o, names, end = map(list, zip(*((r["us"], r["o"], r["s"], r["t"]) for r in rows)))
-        self.steps.appendValue((us, o, names, end))
-        self._wake(min(u + 1 if e else u + self.gap_us for u, e in zip(us, end)), timerValues.getCurrentWatermarkInMs())
+        due = []
+        while part := list(islice(rows, EPISODE_CHUNK)):
+            cols = dict(zip(part[0].__fields__, zip(*part)))
+            steps = pa.table([cols[c] for c in _STEPS.names], schema=_STEPS)
+            self.steps.appendValue((_to_bytes(steps),))
+            us = steps["us"].to_numpy()
+            due.append(int(np.where(steps["t"].to_numpy(), us + 1, us + self.gap_us).min()))
+        self._wake(min(due), timerValues.getCurrentWatermarkInMs())
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Episodes that nothing can change any more leave; the steps of the others are put back."""
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [step for us, o, names, end in self.steps.get() for step in zip(us, o, names, end)]
-        if not held:
+        parts = [pa.ipc.open_stream(x[0]).read_all() for x in self.steps.get()]
+        if not parts:
             return
-        held.sort(key=lambda x: x[:2])
-        us = np.array([x[0] for x in held], np.int64)
-        end = np.array([x[3] for x in held], bool)
-        first = np.flatnonzero(np.r_[True, (np.diff(us) >= self.gap_us) | end[:-1]])
+        held = pa.concat_tables(parts)
+        k = held["k"].combine_chunks().dictionary_encode().indices.to_numpy()
+        # by key, time and order; steps that tie stay as they came
+        at = np.lexsort((held["o"].to_numpy(), held["us"].to_numpy(), k))
+        held, k = held.take(at), k[at]
+        us, end = held["us"].to_numpy(), held["t"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (np.diff(k) != 0) | (np.diff(us) >= self.gap_us) | end[:-1]])
         last = np.r_[first[1:], len(us)] - 1
         settled_at = np.where(end[last], us[last] + 1, us[last] + self.gap_us)
         done = settled_at <= watermark * 1000
@@ -316,13 +337,17 @@ class _EpisodeProcessor(StatefulProcessor):
             self.steps.clear()
         else:
             if done.any():
-                left = [held[i] for i in np.flatnonzero(np.repeat(~done, last - first + 1)).tolist()]
-                self.steps.put([tuple(map(list, zip(*left)))])
+                left = held.filter(pa.array(np.repeat(~done, last - first + 1)))
+                self.steps.put([(_to_bytes(left.slice(i, EPISODE_CHUNK)),) for i in range(0, len(left), EPISODE_CHUNK)])
             self._wake(int(settled_at[~done].min()), watermark)
-        for a, b in zip(first[done].tolist(), last[done].tolist()):
+        first, last = first[done], last[done]
+        for i in range(0, len(first), EPISODE_CHUNK):
+            a, b = first[i : i + EPISODE_CHUNK], last[i : i + EPISODE_CHUNK]
+            names = held["s"].slice(a[0], b[-1] - a[0] + 1).to_pylist()
             yield Row(
-                key=key[0], start_us=held[a][0], end_us=held[b][0], n_steps=b - a + 1,
-                states=" ".join(x[2] for x in held[a : b + 1]), closed_by="terminal" if held[b][3] else "inactive",
+                key=held["k"].take(a).to_pylist(), start_us=us[a].tolist(), end_us=us[b].tolist(), n_steps=(b - a + 1).tolist(),
+                states=[" ".join(names[x : y + 1]) for x, y in zip((a - a[0]).tolist(), (b - a[0]).tolist())],
+                closed_by=np.where(end[b], "terminal", "inactive").tolist(),
             )
 
     def close(self) -> None:
@@ -330,12 +355,16 @@ class _EpisodeProcessor(StatefulProcessor):
 
 
 def assemble_until_terminal(
-    stream: DataFrame, key: str | Sequence[str], time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int
+    stream: DataFrame, key: str | Sequence[str], time_col: str, order_col: str, state_col: str, terminal: F.Column | str, gap_seconds: int,
+    groups: int = EPISODE_GROUPS,
 ) -> DataFrame:
     """Episodes closed by a terminal step, or by ``gap_seconds`` of inactivity.
 
-    ``transformWithState``: a key's unsettled steps are a list state to which a batch
-    appends its own; a timer reads it when the first episode may be settled. A step that
+    ``transformWithState``: the keys are dealt to ``groups`` by digest, and the unsettled
+    steps of a group are a list state to which a batch appends its own; a timer reads it
+    when the first episode may be settled. A call to the state thus serves all keys of a
+    group; a task holds one group's unsettled steps at a time. ``groups`` must not change
+    over a checkpoint's life. A step that
     arrives out of order within the watermark takes its place by time. An episode leaves
     once nothing can change it: its terminal step is older than the watermark, or its last
     step plus the gap is. Steps older than the watermark are dropped by Spark; the caller
@@ -347,18 +376,18 @@ def assemble_until_terminal(
     term = F.col(terminal) if isinstance(terminal, str) else terminal
     keys = [key] if isinstance(key, str) else list(key)
     options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    # one text per key: pandas has no null integers
+    # one text per key, whatever its columns
     rows = stream.where(F.col(time_col).isNotNull()).select(
         F.to_json(F.struct(*keys), options).alias("k"), time_col, F.unix_micros(time_col).alias("us"), F.coalesce(F.col(order_col).cast("bigint"), F.lit(0)).alias("o"),
         F.coalesce(F.col(state_col).cast("string"), F.lit("")).alias("s"), F.coalesce(term, F.lit(False)).alias("t"),
     )
     key_type = stream.select(*keys).schema
-    out = rows.groupBy("k").transformWithState(
+    out = rows.withColumn("g", F.pmod(F.xxhash64("k"), F.lit(groups)).cast("int")).groupBy("g").transformWithState(
         _EpisodeProcessor(int(gap_seconds) * 1_000_000),
-        "key string, start_us bigint, end_us bigint, n_steps bigint, states string, closed_by string",
+        "key array<string>, start_us array<bigint>, end_us array<bigint>, n_steps array<bigint>, states array<string>, closed_by array<string>",
         "Append", "EventTime",
     )
-    return out.select(
+    return out.select(F.inline(F.arrays_zip(*out.columns))).select(
         F.from_json("key", key_type, options).alias("key"),
         F.timestamp_micros("start_us").alias("episode_start"),
         F.timestamp_micros("end_us").alias("episode_end"),
